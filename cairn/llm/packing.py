@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm._rows import SLICE
-from cairn.llm.tokens import WordEncoder, crc32_of
+from cairn.llm.tokens import crc32_of, word_encoder
 from cairn.plans.staging import Stage
 
 CAPACITY = 2048
@@ -116,7 +116,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     """
 
     def encoder():
-        return WordEncoder(tokenizer_path).encode
+        return word_encoder(tokenizer_path).encode
 
     stage = Stage(docs.sparkSession, "pack")
     pieces = stage.put(local_bins(docs, encoder, id_col, text_col, capacity, end_id, keep_ids))

@@ -7,9 +7,12 @@ go to the tokenizer; any other text goes to it whole. Both ways give the tokeniz
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 import zlib
+from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -22,16 +25,24 @@ _NUMBERS = "".join(c for c in _CHARS if unicodedata.category(c)[0] == "N")
 _OTHER = re.compile(f"[^\t\n\r{re.escape(''.join(_CHARS))}]|<\\|")
 #: The word pattern of the public vocabulary file.
 _WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
-WORDS_KEPT = 300_000
+CHUNKS_KEPT = 500_000
 
 
 class WordEncoder:
-    """``path``: a file of the ``tokenizers`` library. Holds the ids of at most ``WORDS_KEPT`` words and one call's."""
+    """``path``: a file of the ``tokenizers`` library. Holds the ids of at most ``CHUNKS_KEPT`` chunks and one call's.
+
+    A chunk is what stands between white space; no word of the tokenizer crosses it. New chunks of a call go to the
+    tokenizer as one text; in its vocabulary a word's last piece is marked, which tells whose ids are whose.
+    """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one core for each task
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)  # pieces that end a word
+        self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -39,40 +50,49 @@ class WordEncoder:
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.at, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def learn(self, words: list[str]) -> None:
-        made = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, made), np.int64, len(made))
-        n, total = len(self.known), int(sizes.sum())
+    def learn(self, chunks: list[str]) -> None:
+        words = np.fromiter((len(_WORDS.findall(c)) for c in chunks), np.int64, len(chunks))
+        made = self.tokenizer.encode_batch_fast([" ".join(chunks)], add_special_tokens=False)[0]
+        ids = np.array(made.ids, dtype=np.uint32)
+        stops = np.concatenate([[0], np.flatnonzero(self.last[ids]) + 1])
+        if len(stops) - 1 != words.sum():
+            raise AssertionError("the tokenizer splits words in another way")
+        sizes = np.diff(stops[np.cumsum(words)], prepend=0)
+        n, total = len(self.known), len(ids)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + len(words) > len(self.at):
+        while n + len(chunks) > len(self.at):
             self.at, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.length))
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in made for i in x), np.uint32, total)
-        self.at[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
-        self.length[n : n + len(words)] = sizes
+        self.flat[self.used : self.used + total] = ids
+        self.at[n : n + len(chunks)] = self.used + np.cumsum(sizes) - sizes
+        self.length[n : n + len(chunks)] = sizes
         self.used += total
-        self.known.update(zip(words, range(n, n + len(words))))
+        self.known.update(zip(chunks, range(n, n + len(chunks))))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text as uint32; none for null or empty ones."""
-        if len(self.known) > WORDS_KEPT:
+        if len(self.known) > CHUNKS_KEPT:
             self.forget()
-        out: list[np.ndarray | None] = [None] * len(texts)
         odd = [i for i, t in enumerate(texts) if t and _OTHER.search(t)]
-        for i, e in zip(odd, self.tokenizer.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False)):
-            out[i] = np.array(e.ids, dtype=np.uint32)
-        for i, t in enumerate(texts):
-            if out[i] is None:
-                words = _WORDS.findall((t or "").lower())
-                known = self.known
-                if new := [w for w in dict.fromkeys(words) if w not in known]:
-                    self.learn(new)
-                w = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-                size = self.length[w]
-                ends = np.cumsum(size)
-                total = int(ends[-1]) if len(ends) else 0
-                out[i] = self.flat[np.arange(total) + np.repeat(self.at[w] - ends + size, size)]
-        return out
+        whole = dict(zip(odd, self.tokenizer.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False)))
+        split = [[] if i in whole or not t else t.lower().split() for i, t in enumerate(texts)]
+        flat = list(chain.from_iterable(split))
+        k = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
+        missed = np.flatnonzero(k < 0).tolist()
+        if missed:
+            self.learn(list(dict.fromkeys(flat[i] for i in missed)))
+            k[missed] = [self.known[flat[i]] for i in missed]
+        size = self.length[k]
+        ends = np.cumsum(size)
+        ids = self.flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.at[k] - ends + size, size)]
+        cuts = np.concatenate([[0], ends])[np.cumsum([0, *map(len, split)])]
+        return [np.array(whole[i].ids, dtype=np.uint32) if i in whole else ids[a:b] for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+
+
+@lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    """One for each Python worker, so that a task finds what earlier tasks learned."""
+    return WordEncoder(path)
 
 
 def crc32_of(ids: np.ndarray) -> int:
