@@ -88,7 +88,7 @@ ORACLE_SQL: dict[str, str] = {
     "op6_embedding_dedup": """
         WITH RECURSIVE good AS (
             SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
-            WHERE len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(embedding, x -> abs(x))) > 0),
+            WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
         link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.9),
         reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
         comp AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
