@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +43,16 @@ class Pieces:
         normal = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.unk = sp.unk_id()
         self.known = {self.text[i]: (i, sp.get_score(i)) for i in normal}
-        self.longest = max(map(len, self.known))
         self.unknown_score = min(s for _, s in self.known.values()) - UNKNOWN_PENALTY
-        self.first: dict[str, int] = {}
-        for p in self.known:  # the longest piece that starts with a character
-            self.first[p[0]] = max(self.first.get(p[0], 0), len(p))
+        self.trie: dict = {}
+        for piece, hit in self.known.items():
+            node = self.trie
+            for ch in piece:
+                node = node.setdefault(ch, {})
+            node[""] = hit
+        #: What each piece adds to a text; bytes over 127 mean something together only.
+        self.plain = [chr(self.of_byte[i]) if self.of_byte.get(i, 128) < 128 else x for i, x in enumerate(self.text)]
+        self.high = {i for i, b in self.of_byte.items() if b > 127}
 
     def unknown(self, c: str) -> list[int]:
         """Ids for a character that is no piece: its bytes."""
@@ -55,8 +61,8 @@ class Pieces:
 
     def segment(self, words: list[str]) -> dict[str, list[int]]:
         """Ids of each word of a sorted list of distinct words. Ties go to the longer last piece."""
-        known, longest, out = self.known, self.longest, {}
-        best, back = [0.0], [(0, 0)]
+        known, root, out = self.known, self.trie, {}
+        best, back, alive = [0.0], [(0, 0)], [[]]  # by depth; alive: (start, trie node) of every piece that may still go on
         before = ""
         for w in words:
             k = 0
@@ -64,32 +70,40 @@ class Pieces:
                 if a != b:
                     break
                 k += 1
-            del best[k + 1 :], back[k + 1 :]
-            for e in range(k + 1, len(w) + 1):
-                top, frm, pid = None, 0, -1
-                for s in range(max(0, e - longest), e):
-                    if (hit := known.get(w[s:e])) and (top is None or best[s] + hit[1] > top):
-                        top, frm, pid = best[s] + hit[1], s, hit[0]
-                if w[e - 1] not in known and (top is None or best[e - 1] + self.unknown_score > top):
-                    top, frm, pid = best[e - 1] + self.unknown_score, e - 1, -1
+            del best[k + 1 :], back[k + 1 :], alive[k + 1 :]
+            for e in range(k, len(w)):
+                c, top, frm, pid, on = w[e], None, 0, -1, []
+                for s, node in [*alive[e], (e, root)]:
+                    if (node := node.get(c)) is not None:
+                        on.append((s, node))
+                        if (hit := node.get("")) is not None and (top is None or best[s] + hit[1] > top):
+                            top, frm, pid = best[s] + hit[1], s, hit[0]
+                if c not in known and (top is None or best[e] + self.unknown_score > top):
+                    top, frm, pid = best[e] + self.unknown_score, e, -1
                 best.append(top)
                 back.append((frm, pid))
+                alive.append(on)
             ids, e = [], len(w)
             while e:
                 s, pid = back[e]
-                ids[:0] = [pid] if pid >= 0 else self.unknown(w[s])
+                if pid >= 0:
+                    ids.append(pid)
+                else:
+                    ids.extend(reversed(self.unknown(w[s])))
                 e = s
+            ids.reverse()
             out[w] = ids
             before = w
         return out
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; the space that marks the beginning is left out."""
-        text, of_byte = self.text, self.of_byte
-        if of_byte.keys().isdisjoint(ids):
-            made = "".join([text[i] for i in ids])
+        if self.high.isdisjoint(ids):
+            plain = self.plain
+            made = "".join([plain[i] for i in ids])
         else:
-            made = b"".join(bytes([of_byte[i]]) if i in of_byte else text[i].encode() for i in ids).decode("utf-8", "replace")
+            of_byte = self.of_byte
+            made = b"".join(bytes([of_byte[i]]) if i in of_byte else self.text[i].encode() for i in ids).decode("utf-8", "replace")
         return made.replace(MARK, " ")[1 if ids else 0 :]
 
 
@@ -137,6 +151,12 @@ class PieceEncoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def piece_encoder(path: str) -> PieceEncoder:
+    """One for each Python worker, so that a task finds what earlier tasks learned."""
+    return PieceEncoder(path)
+
+
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, ids, n_ids, ids_crc32, decoded_sha256, exact)`` for every document.
 
@@ -146,7 +166,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     """
 
     def start():
-        engine = PieceEncoder(model_path)
+        engine = piece_encoder(model_path)
 
         def do(texts: list) -> list:
             ids = engine.encode(texts)
