@@ -14,13 +14,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 
 from cairn.llm._labelled import sample
 from cairn.llm._rows import map_text
 
 #: At most so many labelled texts are learned from, and so many of their commonest words keep a vector.
-SAMPLE = 5000
+SAMPLE = 3000
 WORDS = 40_000
 DIM = 64
 NONZERO = 6
@@ -43,10 +44,14 @@ def token_class(t: str) -> int:
     return 5 + zlib.crc32(t[0].encode()) % SIGNS * 2 + (len(t) > 1)
 
 
-def index_vector(token: str) -> tuple[np.ndarray, np.ndarray]:
-    """Places and signs of the few entries that are not zero."""
-    h = np.random.default_rng(zlib.crc32(token.encode("utf-8", "replace")))
-    return h.choice(DIM, NONZERO, replace=False), h.choice([-1.0, 1.0], NONZERO)
+def index_vectors(tokens: list[str]) -> np.ndarray:
+    """A row of small whole numbers for each token: ``NONZERO`` places and signs from the bits of its hash."""
+    h = np.fromiter((xxhash.xxh64_intdigest(t.encode("utf-8", "replace")) for t in tokens), np.uint64, len(tokens))
+    out, rows = np.zeros((len(tokens), DIM), np.int8), np.arange(len(tokens))
+    for k in range(NONZERO):
+        bits = h >> np.uint64(7 * k)
+        out[rows, (bits & np.uint64(DIM - 1)).astype(np.int64)] += np.where(bits & np.uint64(64), 1, -1).astype(np.int8)
+    return out
 
 
 class Vectors:
@@ -54,30 +59,27 @@ class Vectors:
 
     def __init__(self, texts: list[str]):
         known: dict[str, int] = {}
-        docs = [np.array([known.setdefault(t, len(known)) for t in TOKEN.findall(x)], dtype=np.int64) for x in texts]
+        docs = [np.array([known.setdefault(t, len(known)) for t in TOKEN.findall(x)], dtype=np.int32) for x in texts]
         n = len(known)
-        index = np.zeros((n, DIM), np.float32)
-        for t, i in known.items():
-            at, sign = index_vector(t)
-            index[i, at] = sign
-        flat = np.concatenate([*docs, np.zeros(0, np.int64)])
-        place = np.concatenate([np.full(len(d), i) for i, d in enumerate(docs)] + [np.zeros(0, np.int64)])
+        index = index_vectors(list(known))
+        flat = np.concatenate([*docs, np.zeros(0, np.int32)])
+        place = np.repeat(np.arange(len(docs), dtype=np.int32), [len(d) for d in docs])
         count = np.bincount(flat, minlength=n)
         context = np.zeros((n, DIM), np.float32)
-        order = np.argsort(flat, kind="stable")
-        cuts = np.searchsorted(flat[order], np.arange(n))
-        for off in (*range(-WINDOW, 0), *range(1, WINDOW + 1)):
-            other = np.clip(np.arange(len(flat)) + off, 0, max(0, len(flat) - 1))
-            ok = (np.arange(len(flat)) + off == other) & (place[other] == place) if len(flat) else np.zeros(0, bool)
-            for lo in range(0, DIM, 16):  # a slice of the dimensions at a time
-                values = np.where(ok[:, None], index[flat[other], lo : lo + 16], 0)[order]
-                if n:
-                    context[:, lo : lo + 16] += np.add.reduceat(values, cuts, axis=0)
+        for at in range(0, len(flat), 50_000):  # bounded: the sums of so many places at a time
+            here = np.arange(at, min(len(flat), at + 50_000))
+            near = np.zeros((len(here), DIM), np.float32)
+            for off in (*range(-WINDOW, 0), *range(1, WINDOW + 1)):
+                other = np.clip(here + off, 0, len(flat) - 1)
+                ok = (here + off == other) & (place[other] == place[here])
+                near[ok] += index[flat[other[ok]]]
+            order = np.argsort(flat[here], kind="stable")
+            own, first = np.unique(flat[here][order], return_index=True)
+            context[own] += np.add.reduceat(near[order], first, axis=0)
         classes = np.array([token_class(t) for t in known], dtype=np.int64)
         self.classes = np.zeros((CLASSES, DIM), np.float32)
         np.add.at(self.classes, classes, context)
-        at, sign = index_vector("\x00repeat")
-        self.classes[REPEAT, at] = sign
+        self.classes[REPEAT] = index_vectors(["\x00repeat"])[0]
         self.classes /= np.maximum(np.linalg.norm(self.classes, axis=1, keepdims=True), 1e-9)
         keep = np.lexsort((np.arange(n), -count))[:WORDS]
         context /= np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-9)
