@@ -20,13 +20,15 @@ from cairn.llm._labelled import sample
 from cairn.llm._rows import map_text
 
 #: At most so many labelled texts are learned from.
-SAMPLE = 8000
+SAMPLE = 6000
 LIMIT = 0.5
 STEMS = range(4, 9)
 MIN_TEXTS = 3
 MIN_WEIGHT = 3.0
 #: A term that no text needs is taken too if it is in this share of toxic texts, and in ten, and hardly in clean ones.
 COMMON, CLEAN_SHARE = 0.01, 0.02
+#: A beginning gives way to a longer one, or a word, that has nearly as many texts.
+SPECIFIC = 0.95
 MAX_TERMS = 2000
 
 #: Letters of other scripts that look like Latin ones, and what digits and signs in words stand for.
@@ -126,6 +128,12 @@ def learn(rows: list[tuple[str, int]]) -> Lexicon:
                 for c in (w, *(w[:k] + "*" for k in STEMS if k <= len(w))):
                     toxic.setdefault(c, set()).add(i)
     toxic = {c: s for c, s in toxic.items() if len(s) >= MIN_TEXTS and len(c) > 3}
+    longer: dict[str, int] = {}  # the most texts of any more specific term
+    for c, s in toxic.items():
+        for k in STEMS:
+            if (k < len(c.rstrip("*")) or not c.endswith("*")) and k <= len(c.rstrip("*")):
+                longer[c[:k] + "*"] = max(longer.get(c[:k] + "*", 0), len(s))
+    toxic = {c: s for c, s in toxic.items() if longer.get(c, 0) < SPECIFIC * len(s)}
     clean: Counter = Counter()
     for t, y in texts:
         if not y:
