@@ -85,9 +85,9 @@ def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     lo, hi, n = docs.agg(F.min(id_col), F.max(id_col), F.count("*")).first()
     lo, hi = (0, 0) if lo is None else (int(lo), int(hi))
-    width = max(1, -(-(hi - lo + 1) // max(1, n // NEIGHBOURS)))
+    width = float(max(1, -(-(hi - lo + 1) // max(1, n // NEIGHBOURS))))
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("t"))
-    src = src.withColumn("b", F.coalesce(F.floor((F.col("id") - F.lit(lo)) / F.lit(width)).cast("bigint"), F.lit(-1)))
+    src = src.withColumn("b", F.coalesce(F.floor((F.col("id").cast("double") - F.lit(float(lo))) / F.lit(width)).cast("bigint"), F.lit(-1)))
     w = Window.partitionBy("b").orderBy(F.col("id").desc_nulls_last(), F.xxhash64("t"), F.col("t"))
     ranked = src.select("*", F.row_number().over(w).alias("rn"), F.lead("t").over(w).alias("lead_t"))
     order = Window.orderBy(F.col("b").desc())  # bucket numbers alone, one for each few hundred documents
