@@ -65,18 +65,21 @@ def features(host: str, path: str) -> np.ndarray:
 class UrlModel:
     """Logistic regression, full-batch gradient steps with L2; rows of features are scaled to length one."""
 
-    def __init__(self, rows: Iterable[tuple[str, int]], steps: int = 1500, rate: float = 8.0, l2: float = 1e-4):
+    def __init__(self, rows: Iterable[tuple[str, int]], steps: int = 1500, rate: float = 3.0, l2: float = 1e-4):
         rows = list(rows)
-        x = np.zeros((len(rows), 1 << BITS), np.float32)
-        for i, (url, _) in enumerate(rows):
-            f = features(*parts(url))
-            x[i, f] = 1 / np.sqrt(max(1, len(f)))
+        found = [features(*parts(url)) for url, _ in rows]
+        used = np.unique(np.concatenate([*found, np.zeros(0, np.int64)]))
+        x = np.zeros((len(rows), len(used)), np.float32)
+        for i, f in enumerate(found):
+            x[i, np.searchsorted(used, f)] = 1 / np.sqrt(max(1, len(f)))
         y = np.array([label for _, label in rows], dtype=np.float32)
-        self.w, self.b = np.zeros(1 << BITS, np.float32), np.float32(0)
-        for _ in range(steps):
-            g = 1 / (1 + np.exp(-(x @ self.w + self.b))) - y
-            self.w -= rate * (x.T @ g / len(y) + l2 * self.w)
+        w, self.b = np.zeros(len(used), np.float32), np.float32(0)
+        for _ in range(steps if rows else 0):
+            g = 1 / (1 + np.exp(-(x @ w + self.b))) - y
+            w -= rate * (x.T @ g / len(y) + l2 * w)
             self.b -= rate * g.mean()
+        self.w = np.zeros(1 << BITS, np.float32)
+        self.w[used] = w
 
     def block(self, host: str, path: str) -> float:
         """Probability that the URL is one to block. Empty host and path: that of a URL without features."""
