@@ -112,6 +112,33 @@ def _log_odds(c1: int, c0: int, n1: int, n0: int) -> float:
     return float(np.log((c1 + 0.1) / (n1 + 0.2)) - np.log((c0 + 0.1) / (n0 + 0.2)))
 
 
+def _phrases(words: list[str], k: int) -> list[str]:
+    """The pairs of words that hold the word at ``k``."""
+    return [f"{a} {b}" for a, b in zip(words[max(0, k - 1) : k + 1], words[max(0, k - 1) + 1 : k + 2])]
+
+
+def _harmless_in_phrases(texts: list[tuple[str, int]], terms: dict[str, float], n1: int, n0: int) -> dict[str, float]:
+    """Words that toxic texts have more often, though clean ones have them too, but there only in a few phrases no toxic text has."""
+    split = lambda: ((_WORD.findall(t), y) for t, y in texts)  # noqa: E731  split anew in each pass, not held
+    count = [Counter(), Counter()]
+    for words, y in split():
+        count[y].update(set(words))
+    stems = tuple(c[:-1] for c in terms if c.endswith("*"))
+    odd = {w for w, c in count[1].items() if len(w) > 3 and c >= max(10, COMMON * n1) and c / n1 > 1.3 * count[0][w] / n0 and w not in terms and not w.startswith(stems or ("\0",))}
+    odd = {w for w in odd if count[0][w] > CLEAN_SHARE * count[1][w]}
+    seen: list[dict[str, Counter]] = [{w: Counter() for w in odd} for _ in (0, 1)]
+    for words, y in split():
+        for w, ps in {(w, p) for k, w in enumerate(words) if w in odd for p in _phrases(words, k)}:
+            seen[y][w][ps] += 1
+    safe = {w: {p for p, c in seen[0][w].items() if c >= MIN_TEXTS and not seen[1][w][p]} for w in odd}
+    safe = {w: ps for w, ps in safe.items() if 0 < len(ps) <= 40}
+    left: Counter = Counter()
+    for words, y in split():
+        if not y:
+            left.update({w for k, w in enumerate(words) if w in safe and not safe[w].intersection(_phrases(words, k))})
+    return {w: _log_odds(count[1][w], left[w], n1, n0) for w in safe if left[w] <= CLEAN_SHARE * count[1][w]}
+
+
 def learn(rows: list[tuple[str, int]]) -> Lexicon:
     """From ``(text, label)``, equal rows once: terms are taken one by one, each the one that accounts for most toxic texts not yet accounted
     for, less those clean texts that hold it; ties go to the more specific. Then exceptions, then the curve."""
@@ -153,11 +180,18 @@ def learn(rows: list[tuple[str, int]]) -> Lexicon:
         covered = any(c.startswith(c[:k]) and c[:k] + "*" in terms for k in STEMS if k < len(c.rstrip("*")))
         if len(toxic[c]) >= max(10, COMMON * n1) and clean[c] <= CLEAN_SHARE * len(toxic[c]) and not covered and len(terms) < MAX_TERMS:
             terms[c] = _log_odds(len(toxic[c]), clean[c], n1, n0)
+    terms |= _harmless_in_phrases(texts, terms, n1, n0)
     first = Lexicon(terms)
-    pairs: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    for t, y in texts:
-        pairs[y].update({p for _, word, a, b in first.hits(t) for p in ([f"{a} {word}"] * bool(a) + [f"{word} {b}"] * bool(b))})
-    made = Lexicon(terms, frozenset(p for p, c in pairs[0].items() if c >= MIN_TEXTS and not pairs[1][p]))
+    found = [[{q for q in (f"{a} {word}" * bool(a), f"{word} {b}" * bool(b)) if q} for _, word, a, b in first.hits(t)] for t, _ in texts]
+    toxic_pairs = {q for hits, (_, y) in zip(found, texts) if y for hit in hits for q in hit}
+    open_hits, exceptions = [hit - toxic_pairs for hits, (_, y) in zip(found, texts) if not y for hit in hits], set()
+    while pairs := Counter(q for hit in open_hits for q in hit).most_common():
+        best, n = min(pairs, key=lambda p: (-p[1], p[0]))
+        if n < MIN_TEXTS:
+            break
+        exceptions.add(best)
+        open_hits = [hit for hit in open_hits if best not in hit]
+    made = Lexicon(terms, frozenset(exceptions))
     x = np.array([(1.0, *made.features(t)) for t, _ in rows])
     y = np.array([y for _, y in rows], dtype=float)
     b = np.array([-3.0, 1.0, 1.0])
