@@ -205,7 +205,7 @@ def crossed_bootstrap(stats: DataFrame, draws: int, first: str = "seed", second:
 def weighted_quantile(table: DataFrame, keys: Sequence[str], value: str, weight: str, q: float, tie: Sequence[str] = ()) -> DataFrame:
     """The smallest value whose share of weight, summed in order, reaches ``q``; the largest if none does."""
     w = Window.partitionBy(*keys)
-    share = F.sum(weight).over(w.orderBy(value, *tie).rowsBetween(Window.unboundedPreceding, 0)) / F.sum(weight).over(w)
+    share = F.try_divide(F.sum(weight).over(w.orderBy(value, *tie).rowsBetween(Window.unboundedPreceding, 0)), F.sum(weight).over(w))
     return table.withColumn("_share", share).groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col("_share") >= q, F.col(value))), F.max(value)).alias("quantile"))
 
 

@@ -153,7 +153,7 @@ def chord(table: DataFrame, key: str, axes: Sequence[str], floor: float = 0.25)
 def cumulative_share(table: DataFrame, keys: Sequence[str], value: str, weight: str, tie: Sequence[str] = ()) -> DataFrame:
     """Adds ``cdf``: share of weight up to a row in order of ``value``."""
     w = Window.partitionBy(*keys)
-    return table.withColumn("cdf", F.sum(weight).over(w.orderBy(value, *tie).rowsBetween(Window.unboundedPreceding, 0)) / F.sum(weight).over(w))
+    return table.withColumn("cdf", F.try_divide(F.sum(weight).over(w.orderBy(value, *tie).rowsBetween(Window.unboundedPreceding, 0)), F.sum(weight).over(w)))
 
 
 def prequential(table: DataFrame, key: str, member: str, value: str, evidence: str, temperature: float = 1.0) -> DataFrame:

@@ -446,9 +446,9 @@ def a22_quantile(spark, d):
     return rounded(panel(spark, d).groupBy("component").agg(F.percentile(F.abs(F.col("candidate") - F.col("incumbent")), 0.95).alias("p95"), F.percentile("truth", 0.5).alias("p50")))
 
 
-@query("WITH c AS (SELECT s_nationkey, s_acctbal, s_suppkey, sum(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey ROWS UNBOUNDED PRECEDING) / sum(s_suppkey) OVER (PARTITION BY s_nationkey) AS cdf FROM supplier) SELECT s_nationkey, coalesce(min(CASE WHEN cdf >= 0.6 THEN s_acctbal END), max(s_acctbal)) AS quantile FROM c GROUP BY s_nationkey")
+@query("WITH c AS (SELECT s_nationkey, s_acctbal, s_suppkey, sum(s_suppkey + 1) OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey ROWS UNBOUNDED PRECEDING) / sum(s_suppkey + 1) OVER (PARTITION BY s_nationkey) AS cdf FROM supplier) SELECT s_nationkey, coalesce(min(CASE WHEN cdf >= 0.6 THEN s_acctbal END), max(s_acctbal)) AS quantile FROM c GROUP BY s_nationkey")
 def a23_weighted_quantile(spark, d):
-    return metrics.weighted_quantile(table(spark, d, "supplier"), ["s_nationkey"], "s_acctbal", "s_suppkey", 0.6, ["s_suppkey"])
+    return metrics.weighted_quantile(table(spark, d, "supplier").withColumn("w", F.col("s_suppkey") + 1), ["s_nationkey"], "s_acctbal", "w", 0.6, ["s_suppkey"])
 
 
 REFIT = PANEL + """, w AS (SELECT well, avg((truth - incumbent) ** 2) AS p, avg((truth - candidate) ** 2) AS c FROM panel GROUP BY 1), g AS (SELECT component, avg((truth - incumbent) ** 2) AS p, avg((truth - candidate) ** 2) AS c FROM panel GROUP BY 1),
@@ -510,9 +510,9 @@ def a30_calibration(spark, d):
     return t.select("l_suppkey", *(r(c, 2 if c == "intercept" else 4).alias(c) for c in ("slope", "intercept", "offset", "a", "b")))
 
 
-@query("WITH m AS (SELECT user_id, abs(value - median(value) OVER (PARTITION BY user_id)) AS dev FROM events) SELECT user_id, round(least(greatest(median(dev) * 1.4826, 1), 60), 4) AS scale FROM m GROUP BY user_id")
+@query("WITH m AS (SELECT user_id, abs(value - median(value) OVER (PARTITION BY user_id)) AS dev FROM events) SELECT user_id, round(least(greatest(median(dev) * 1.4826, 1), 60), 8) AS scale FROM m GROUP BY user_id")
 def a31_robust_scale(spark, d):
-    return rounded(ordered.robust_scale(table(spark, d, "events").select("user_id", "value"), "user_id", "value", 1.0, 60.0))
+    return rounded(ordered.robust_scale(table(spark, d, "events").select("user_id", "value"), "user_id", "value", 1.0, 60.0), 8)
 
 
 @query(f"""WITH {SERIES}, c AS (SELECT user_id, rn, value - avg(value) OVER (PARTITION BY user_id) AS c FROM s), v AS (SELECT user_id, sum(c * c) AS var FROM c GROUP BY 1),
@@ -646,9 +646,9 @@ def w15_stride(spark, d):
     return ordered.stride(series(spark, d), "user_id", 4).select("event_id")
 
 
-@query("SELECT s_suppkey, round(sum(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey ROWS UNBOUNDED PRECEDING) / sum(s_suppkey) OVER (PARTITION BY s_nationkey), 8) AS cdf FROM supplier")
+@query("SELECT s_suppkey, round(sum(s_suppkey + 1) OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey ROWS UNBOUNDED PRECEDING) / sum(s_suppkey + 1) OVER (PARTITION BY s_nationkey), 8) AS cdf FROM supplier")
 def w16_cumulative_share(spark, d):
-    return ordered.cumulative_share(table(spark, d, "supplier"), ["s_nationkey"], "s_acctbal", "s_suppkey", ["s_suppkey"]).select("s_suppkey", r("cdf", 8).alias("cdf"))
+    return ordered.cumulative_share(table(spark, d, "supplier").withColumn("w", F.col("s_suppkey") + 1), ["s_nationkey"], "s_acctbal", "w", ["s_suppkey"]).select("s_suppkey", r("cdf", 8).alias("cdf"))
 
 
 @query(f"""WITH {SERIES}, m AS (SELECT user_id, rn, seed, value * (1 + seed / 10.0) AS v, -((value / 100.0 - seed) ** 2) AS ll FROM s, (SELECT unnest([0, 1, 2]) AS seed)), c AS (SELECT *, coalesce(sum(ll) OVER (PARTITION BY user_id, seed ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS l FROM m), w AS (SELECT *, exp(l - max(l) OVER (PARTITION BY user_id, rn)) AS w FROM c)
