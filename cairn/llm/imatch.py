@@ -138,3 +138,15 @@ def edited_and_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         like(F.col("hash") == F.col("next_hash"), "nrung", "ns").alias("near_next"),
     )
 
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, rung, slots, fingerprint)`` of each document, a row for every row: ``likeness`` compares two of them by rung and slots.
+
+    ``slots`` is null where no term is in the band. Rows of equal id and text have equal fingerprints and are worked on once.
+    """
+    src = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("t")).select("id", F.xxhash64("t").alias("hash"), terms(F.col("t")).alias("all"))
+    src = src.withColumn("rung", base_rung(F.size("all")))
+    asked = src.select("hash", "rung", F.explode(candidates(F.col("all"), F.col("rung"))).alias("h")).distinct()
+    made = asked.join(band(docs, text_col), "h").groupBy("hash", "rung").agg(F.collect_set("h").alias("kept")).select("hash", slots(F.col("kept"), F.col("rung")).alias("slots"))
+    return src.select("id", "hash", "rung").join(made, "hash", "left").select(F.col("id").alias(id_col), "rung", "slots", written(F.col("rung"), F.col("slots"), F.col("hash")).alias("fingerprint"))

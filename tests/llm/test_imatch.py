@@ -90,3 +90,11 @@ def test_no_python_in_the_plan(spark):
     t = m.edited_and_next(spark.createDataFrame(docs_of(10), "doc_id long, text string"))
     plan = t._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_plain_fingerprints_are_the_same(spark):
+    rows = docs_of(80, 4) + [(90_000, None), (90_001, "")]
+    t = spark.createDataFrame(rows + rows[:5], "doc_id long, text string")
+    a = sorted((r.doc_id, r.fingerprint) for r in m.edited_and_next(t).collect())
+    b = sorted((r.doc_id, r.fingerprint) for r in m.fingerprints(t).collect())
+    assert a == b
