@@ -50,8 +50,6 @@ def particle_paths(series: DataFrame, curves: DataFrame, seeds: Sequence[int], s
     knots = keys.join(curves.select(F.col("well").alias("c_well"), "TVT", "GR"), F.col("k_well") == F.col("c_well"))
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty:
-            return pd.DataFrame({c: [] for c in ("well", "arm", "seed", "row_number", "tvt", "evidence")})
         frame, at = frame_of(left)
         rate = left["rate"].iloc[0]
         t = pf.track(frame, curve_of(right), [int(key[2])], settings, None if pd.isna(rate) else float(rate))
@@ -114,13 +112,13 @@ def grid_paths(series: DataFrame, curves: DataFrame, settings: GridSettings = Gr
     """``(well, row_number, tvt, spread, log_likelihood)`` by forward-backward smoothing on a grid."""
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty:
-            return pd.DataFrame({c: [] for c in ("well", "row_number", "tvt", "spread", "log_likelihood")})
         frame, at = frame_of(left)
         mean, std, logl = GridSmoother(frame, curve_of(right), settings).run()
         return pd.DataFrame({"well": key[0], "row_number": at[~np.isfinite(frame["TVT_input"])], "tvt": mean, "spread": std, "log_likelihood": logl})
 
-    return observable(series).groupBy("well").cogroup(curves.select("well", "TVT", "GR").groupBy("well")).applyInPandas(run, "well string, row_number int, tvt double, spread double, log_likelihood double")
+    known = series.select(F.col("well").alias("k_well")).distinct()
+    knots = known.join(curves.select("well", "TVT", "GR"), F.col("k_well") == F.col("well")).select("k_well", "TVT", "GR")
+    return observable(series).groupBy("well").cogroup(knots.groupBy("k_well")).applyInPandas(run, "well string, row_number int, tvt double, spread double, log_likelihood double")
 
 
 # --- overlays that need a recursion -------------------------------------------------------------------------------------

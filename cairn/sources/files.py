@@ -77,7 +77,7 @@ class LogStore:
                     t = pd.read_csv(io.BytesIO(raw), dtype=str, usecols=lambda c: c in {*wanted, *rest})
                     if missing := [c for c in wanted if c not in t]:
                         raise CheckFailure(f"{well}: {kind} log lacks {', '.join(missing)}")
-                    t = t.reindex(columns=[*wanted, *rest])
+                    t = t.reindex(columns=[*wanted, *rest]).astype(object)
                     t.insert(0, "row_number", np.arange(len(t), dtype=np.int32))
                     t.insert(0, "well", well)
                     yield t
@@ -158,7 +158,7 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
 def inventory(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """``(name, bytes, sha256)`` of every file below a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
-    root = F.lit(folder.rstrip("/").split(":", 1)[-1].lstrip("/") + "/")
+    root = folder.rstrip("/").split(":", 1)[-1].lstrip("/") + "/"
     return files.select(F.substring_index("path", root, -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
