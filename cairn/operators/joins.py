@@ -6,10 +6,14 @@ None of them plans a nested loop over two large tables: range and radius conditi
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.operators.graph import connected_components
+from cairn.plans.staging import Stage
+
 
 class DuplicateKeyError(ValueError):
     pass
@@ -91,15 +95,20 @@ def radius_pairs(points: DataFrame, key: str, x: str, y: str, radius: float) ->
     return probe.join(home, ["cx", "cy"]).where("a < b").withColumn("dist", dist).where(F.col("dist") <= radius).select("a", "b", "dist")
 
 
-def dot(a: Column, b: Column) -> Column:
+def dot(a: Column, b: Column, size: int | None = None) -> Column:
+    """Product of two arrays in double precision; with ``size`` known, as one expression that is compiled."""
+    if size:
+        return reduce(lambda s, i: s + F.get(a, i).cast("double") * F.get(b, i).cast("double"), range(size), F.lit(0.0))
     return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-def similarity_edges(points: DataFrame, key: str, x: str, y: str, first: str, second: str, near: float, far: float, threshold: float) -> DataFrame:
+def similarity_edges(points: DataFrame, key: str, x: str, y: str, first: str, second: str, near: float, far: float, threshold: float, size: int | None = None) -> DataFrame:
     """``(a, b, dist, corr, reason)``: pairs within ``near``, or within ``far`` with a fingerprint product of at least the threshold."""
     pairs = radius_pairs(points, key, x, y, max(near, far))
-    side = lambda s: points.select(F.col(key).alias(s), F.col(first).alias(f"{s}1"), F.col(second).alias(f"{s}2"))
-    t = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("corr", F.greatest(dot(F.col("a1"), F.col("b1")), dot(F.col("a2"), F.col("b2"))))
+    both = [first] if first == second else [first, second]
+    side = lambda s: points.select(F.col(key).alias(s), *(F.col(c).alias(f"{s}_{i}") for i, c in enumerate(both)))
+    products = [dot(F.col(f"a_{i}"), F.col(f"b_{i}"), size) for i in range(len(both))]
+    t = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("corr", F.greatest(*products) if len(both) > 1 else products[0])
     spatial, similar = F.col("dist") <= near, (F.col("dist") <= far) & (F.col("corr") >= threshold)
     reason = F.when(spatial & similar, "spatial+similar").when(spatial, "spatial").when(similar, "similar").otherwise("none")
     return t.select("a", "b", "dist", "corr", reason.alias("reason")).where("reason <> 'none'")
@@ -107,8 +116,7 @@ def similarity_edges(points: DataFrame, key: str, x: str, y: str, first: str, se
 
 def labelled_components(nodes: DataFrame, key: str, edges: DataFrame) -> DataFrame:
     """``(key, component, degree)``: every node with a label ``component_000`` and on, numbered by smallest key."""
-    from cairn.operators.graph import connected_components
-
+    edges = Stage(nodes.sparkSession, "edges").put(edges.select("a", "b"))  # found once, used twice
     comps = connected_components(edges, "a", "b")
     degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
     t = nodes.select(key).join(comps, F.col(key) == F.col("node"), "left").select(key, F.coalesce("component", key).alias("_root"))

@@ -216,21 +216,18 @@ def correlation_length(table: DataFrame, key: str, value: str, lags: int = 60, s
 
 def fingerprint(table: DataFrame, key: str, value: str, points: int = 64) -> DataFrame:
     """``shape``: the filled series at evenly spaced places, centered, of length one; zeros for fewer than four values or a flat one."""
-    filled = fill_linear(table, key, value, "_f")
-    s = filled.groupBy(key).agg(F.count(value).alias("_n"), F.transform(F.sort_array(F.collect_list(F.struct("rn", "_f"))), lambda r: r["_f"]).alias("_v"))
-    at = lambda k: k * (F.size("_v") - 1) / F.lit(float(points - 1))
-
-    def sample(k: Column) -> Column:
-        i = F.least(F.floor(at(k)).cast("int"), F.greatest(F.size("_v") - 2, F.lit(0)))
-        a, b = F.get("_v", i), F.coalesce(F.get("_v", i + 1), F.get("_v", i))
-        return a + (b - a) * (at(k) - i)
-
-    total = lambda c, f: F.aggregate(c, F.lit(0.0), f)
-    s = s.withColumn("_s", F.transform(F.sequence(F.lit(0), F.lit(points - 1)), sample))
-    s = s.withColumn("_s", F.transform("_s", lambda x: x - total("_s", lambda a, y: a + y) / points))
-    s = s.withColumn("_l", F.sqrt(total("_s", lambda a, y: a + y * y)))
+    w, last = whole(key), points - 1
+    t = fill_linear(table, key, value, "_f").select(key, "rn", "_f", F.lead("_f").over(ordered(key)).alias("_g"), F.count("*").over(w).alias("_n"), F.count(value).over(w).alias("_seen"))
+    span = F.greatest(F.col("_n") - 1, F.lit(1))  # place k lies at k * (n - 1) / last; each row gives the places between itself and the next
+    low, high = F.floor(F.col("rn") * last / span - 1e-6), F.ceil((F.col("rn") + 1) * last / span + 1e-6)
+    t = t.withColumn("_k", F.explode(F.sequence(F.greatest(low, F.lit(0)), F.least(high, F.lit(last)))))
+    at = F.col("_k") * (F.col("_n") - 1)
+    t = t.where((F.col("rn") * last <= at) & (at < (F.col("rn") + 1) * last))
+    t = t.withColumn("_y", F.col("_f") + (F.coalesce("_g", "_f") - F.col("_f")) * (at / last - F.col("rn")))
+    t = t.withColumn("_y", F.col("_y") - F.avg("_y").over(w))
+    s = t.groupBy(key).agg(F.max("_seen").alias("_n"), F.sqrt(F.sum(F.col("_y") * F.col("_y"))).alias("_l"), F.sort_array(F.collect_list(F.struct("_k", "_y"))).alias("_s"))
     zeros = F.array_repeat(F.lit(0.0), points)
-    return s.select(key, F.when((F.col("_n") >= 4) & (F.col("_l") > 1e-12), F.transform("_s", lambda x: x / F.col("_l"))).otherwise(zeros).alias("shape"))
+    return s.select(key, F.when((F.col("_n") >= 4) & (F.col("_l") > 1e-12), F.transform("_s", lambda x: x["_y"] / F.col("_l"))).otherwise(zeros).alias("shape"))
 
 
 def rolling_origin(table: DataFrame, key: str, predictor: str, target: str, fractions: Sequence[float], ahead: float = 0.1) -> DataFrame:

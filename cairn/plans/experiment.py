@@ -55,7 +55,7 @@ def components(series: DataFrame, curves: DataFrame, c: Config) -> DataFrame:
     own = ordered.fingerprint(rows, "well", "GR").withColumnRenamed("shape", "f1")
     other = ordered.fingerprint(curves.withColumnRenamed("row_number", "rn"), "well", "GR").withColumnRenamed("shape", "f2")
     points = place.join(own, "well").join(other, "well")
-    edges = joins.similarity_edges(points, "well", "x", "y", "f1", "f2", c.spatial_radius, c.similarity_radius, c.similarity)
+    edges = joins.similarity_edges(points, "well", "x", "y", "f1", "f2", c.spatial_radius, c.similarity_radius, c.similarity, 64)
     return joins.labelled_components(place, "well", edges).join(place.select("well", "rows"), "well")
 
 

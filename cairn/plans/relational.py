@@ -144,7 +144,7 @@ EDGES = """e AS (SELECT vec_id, embedding::DOUBLE[] AS e, embedding[1]::DOUBLE A
 
 def edges(spark, d, near=0.002, far=0.2, threshold=0.4):
     e = table(spark, d, "embeddings").select("vec_id", "embedding", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
-    return joins.similarity_edges(e, "vec_id", "x", "y", "embedding", "embedding", near, far, threshold)
+    return joins.similarity_edges(e, "vec_id", "x", "y", "embedding", "embedding", near, far, threshold, 64)
 
 
 @query(f"WITH {EDGES} SELECT reason, count(*) AS n FROM kept GROUP BY reason")
