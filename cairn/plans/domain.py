@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from cairn.functions.grid import GridSettings
 from cairn.functions.particles import FilterSettings
 from cairn.operators import experts, metrics, overlays
-from cairn.plans import blending, evaluation, features
+from cairn.plans import blending, evaluation, features, historical
 from cairn.plans.relational import ARMS, BOUNDS, SERIES, panel, rounded, series
 from cairn.sources.tables import table
 
@@ -92,6 +92,12 @@ def d07_features(spark, d):
     return features.build(t, c.select("well", F.col("TVT").alias("tvt"), F.col("GR").alias("gr")))
 
 
+@query()
+def d08_historical_features(spark, d):
+    t, c = logs(spark, d)
+    return historical.build(t, c, features.NAMES, particles=64)
+
+
 @query()
 def d10_ridge_scores(spark, d):
     p = panel(spark, d)

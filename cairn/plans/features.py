@@ -20,6 +20,10 @@ NARROW = (-30, -15, -8, -4, -2, 0, 2, 4, 8, 15, 30)
 WINDOWS = (5, 21, 51, 101)
 SHIFTS = (1, 5, 15, 30)
 FAMILIES = {"tda": ("hmm", WIDE), "tdbc": ("_beam_cons", MIDDLE), "tdsc": ("_cons", NARROW), "tdpf": ("pf", NARROW)}
+NAMES = sorted(
+    "last_known_tvt pf_ancc pf_ancc_std pf_ancc_delta pf_z pf_z_delta pf_vs_z beam_mean_d beam_std_d beam_med_d sc8_d sc8_sc sc15_d sc15_sc sc25_d sc25_sc sc_cons_d sc_ens_d sc_trust hyb_d sc_vs_beam cal_a cal_b pfx_rmse known_len eval_len slp_all slp_50 slp_z slp_b_d_all slp_b_d_50 ktvt_range ktvt_std md_since frac frac2 sqrt_frac z dx dy dz dxy dzdmd dxdmd dydmd gr gr_d1 gr_d2 gr_env gr_nrg gr_vs_tw_anc gr_vs_slp_all tw_range tw_gr_mean".split()
+    + [f"beam_{k}_d" for k in BEAMS] + [f"{n}{o}" for n, (_, offsets) in FAMILIES.items() for o in offsets] + [f"gr{s}{w}" for s in "ms" for w in WINDOWS] + [f"g{s}{k}" for s in ("lag", "lead") for k in SHIFTS]
+)
 
 
 def _array_stats(values: list[Column]) -> tuple[Column, Column, Column]:
@@ -122,6 +126,6 @@ def build(rows: DataFrame, typewell: DataFrame, key: str = "well") -> DataFrame:
     made |= {f"glag{k}": F.col(f"gr_fill_lag{k}") for k in SHIFTS} | {f"glead{k}": F.col(f"gr_fill_lead{k}") for k in SHIFTS}
     for c in "last_known_tvt pf_z sc_trust cal_a cal_b pfx_rmse known_len eval_len slp_all slp_50 slp_z ktvt_range ktvt_std md_since frac z gr_d1 gr_d2 tw_range tw_gr_mean".split():
         made[c] = F.col(c)
-    if len(made) != 121:
-        raise AssertionError(f"{len(made)} features")
+    if sorted(made) != NAMES or len(NAMES) != 121:
+        raise AssertionError(f"features differ: {sorted(set(made) ^ set(NAMES))}")
     return t.select(key, "rn", *(or_zero(made[c].cast("double")).alias(c) for c in sorted(made)))

@@ -216,3 +216,50 @@ def test_ridge_is_the_normal_equation():
     z = (x - m.mean) / m.scale
     grad = (z * w[:, None]).T @ (z @ m.coef + m.intercept - y) + 10 * m.coef
     assert np.allclose(grad, 0, atol=1e-8) and w @ (z @ m.coef + m.intercept - y) == pytest.approx(0, abs=1e-8)
+
+
+def test_beam_is_the_best_path_when_wide():
+    from cairn.functions import matching as m
+
+    rng = np.random.default_rng(0)
+    signal, ref = rng.normal(size=12), rng.normal(size=9)
+    got = m.beam(signal, ref, 4, 1000, 0.3, 1.0)
+    cost = np.full(9, np.inf)
+    cost[4] = 0
+    for g in signal:  # all knots at once
+        cost = np.array([min(cost[j] + 0.3 * abs(i - j) for j in range(max(0, i - 2), min(9, i + 3))) for i in range(9)]) + (g - ref) ** 2
+    path = np.concatenate([[4], got])
+    assert (np.abs(np.diff(path)) <= 2).all()
+    assert ((signal - ref[got]) ** 2).sum() + 0.3 * np.abs(np.diff(path)).sum() == pytest.approx(cost.min())
+    assert len(m.beam(signal, ref, 4, 1, 0.3, 1.0)) == 12
+
+
+def test_window_match_finds_a_copied_window():
+    from cairn.functions import matching as m
+
+    rng = np.random.default_rng(1)
+    known = rng.normal(size=150).cumsum()
+    level, score = m.window_match(known, np.arange(150.0), known[60:111], 8, stride=1)
+    assert np.allclose(level[12:-12], np.arange(60, 111)[12:-12]) and score[12:-12].min() > 0.999
+    short = m.window_match(known[:10], np.arange(10.0), known[60:65], 8)
+    assert (short[0] == 9).all() and (short[1] == 0).all()
+
+
+def test_series_seeds_and_nearest_knots():
+    import hashlib
+
+    from cairn.functions import matching as m
+
+    assert m.series_seed(42, "a") == int.from_bytes(hashlib.sha256(b"42:a").digest()[:4], "little") != m.series_seed(42, "b")
+    with pytest.raises(ValueError):
+        m.series_seed(2**32, "a")
+    at = np.array([0.0, 1.0, 4.0])
+    assert [m.nearest_knot(at, x) for x in (-5, 0.5, 0.51, 2.5, 2.6, 9)] == [0, 0, 1, 1, 2, 2]
+
+
+def test_velocity_filter_follows_elevation():
+    from cairn.functions import matching as m
+
+    frame, curve, truth = well()
+    mean, std = m.velocity_track(frame, curve.at, curve.value, 15.0, 3)
+    assert np.sqrt(np.mean((mean - truth) ** 2)) < 15 and np.isfinite(std).all()
