@@ -55,9 +55,12 @@ def look_up(x: Column, tx: Column, ty: Column) -> Column:
         right = F.get(tx, mid) <= x
         return F.struct(F.when(right & (s["hi"] - s["lo"] > 1), mid).otherwise(s["lo"]).alias("lo"), F.when(~right & (s["hi"] - s["lo"] > 1), mid).otherwise(s["hi"]).alias("hi"))
 
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(12)), start, halve)
-    return F.transform(F.array(found), lambda s: F.when(x <= F.get(tx, s["lo"]), F.get(ty, s["lo"])).when(x >= F.get(tx, s["hi"]), F.get(ty, s["hi"])).otherwise(
-        F.get(ty, s["lo"]) + (F.get(ty, s["hi"]) - F.get(ty, s["lo"])) * (x - F.get(tx, s["lo"])) / (F.get(tx, s["hi"]) - F.get(tx, s["lo"]))))[0]
+    def line(s: Column) -> Column:
+        x0, y0 = F.get(tx, s["lo"]), F.get(ty, s["lo"])
+        x1, y1 = F.get(tx, s["hi"]), F.get(ty, s["hi"])
+        return F.when(x <= x0, y0).when(x >= x1, y1).otherwise(y0 + (y1 - y0) * (x - x0) / (x1 - x0))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(12)), start, halve, line)
 
 
 def series_constants(rows: DataFrame, key: str) -> DataFrame:
@@ -105,7 +108,10 @@ def build(rows: DataFrame, typewell: DataFrame, key: str = "well") -> DataFrame:
     pf, hmm = F.col("pf"), F.col("hmm")
     ens, apart, _ = _array_stats([pf, hmm, F.col("_bm"), F.col("pf_z")])
     t = t.withColumns({"_sc8": 0.8 * pf + 0.2 * hmm, "_sc15": 0.85 * pf + 0.15 * hmm, "_sc25": 0.75 * pf + 0.25 * hmm, "_cons": 0.5 * pf + 0.25 * hmm + 0.25 * F.col("_bd"), "_ens": ens, "sc_trust": 1 / (1 + F.pow(apart / 6.0, 2))})
-    residual = lambda path, off: F.col("gr_fill") - (F.col("cal_a") * look_up(path + off, F.col("_tx"), F.col("_ty")) + F.col("cal_b"))
+    asked = {"gr_vs_tw_anc": F.col("pf_z"), "gr_vs_slp_all": F.col("_line_all")} | {f"{name}{off}": F.col(path) + float(off) for name, (path, offsets) in FAMILIES.items() for off in offsets}
+    t = t.withColumn("_at", F.array(*asked.values()))  # one look-up expression for all of a row's places
+    t = t.withColumn("_ref", F.transform("_at", lambda x: F.col("cal_a") * look_up(x, F.col("_tx"), F.col("_ty")) + F.col("cal_b")))
+    residual = {k: F.col("gr_fill") - F.col("_ref")[i] for i, k in enumerate(asked)}
     per = lambda c: c / F.greatest(h, F.lit(1e-6))
     dx, dy, dz = F.col("x") - F.col("_x0"), F.col("y") - F.col("_y0"), F.col("z") - F.col("_z0")
     made = {
@@ -116,12 +122,11 @@ def build(rows: DataFrame, typewell: DataFrame, key: str = "well") -> DataFrame:
         "slp_b_d_all": F.col("_line_all") - F.col("_bd"), "slp_b_d_50": F.col("_line_50") - F.col("_bd"),
         "frac2": F.col("frac") * F.col("frac"), "sqrt_frac": F.sqrt("frac"), "dx": dx, "dy": dy, "dz": dz, "dxy": F.hypot(dx, dy), "dzdmd": per(dz), "dxdmd": per(dx), "dydmd": per(dy),
         "gr": F.col("gr_fill"), "gr_env": F.abs(F.col("gr_fill") - F.col("gr_fill_mean51")), "gr_nrg": F.pow(F.col("gr_fill") - F.col("_gr_known"), 2),
-        "gr_vs_tw_anc": residual(F.col("pf_z"), 0.0), "gr_vs_slp_all": residual(F.col("_line_all"), 0.0),
+        **residual,
     }
     for k in ("8", "15", "25"):
         made[f"sc{k}_d"], made[f"sc{k}_sc"] = F.col(f"_sc{k}") - last, (F.col(f"_sc{k}") - F.col("_bm")) / F.greatest(F.col("_bs"), F.lit(1e-3))
     made |= {f"beam_{k}_d": F.col(f"_beam_{k}") - last for k in BEAMS}
-    made |= {f"{name}{off}": residual(F.col(path), float(off)) for name, (path, offsets) in FAMILIES.items() for off in offsets}
     made |= {f"grm{w}": F.col(f"gr_fill_mean{w}") for w in WINDOWS} | {f"grs{w}": F.col(f"gr_fill_std{w}") for w in WINDOWS}
     made |= {f"glag{k}": F.col(f"gr_fill_lag{k}") for k in SHIFTS} | {f"glead{k}": F.col(f"gr_fill_lead{k}") for k in SHIFTS}
     for c in "last_known_tvt pf_z sc_trust cal_a cal_b pfx_rmse known_len eval_len slp_all slp_50 slp_z ktvt_range ktvt_std md_since frac z gr_d1 gr_d2 tw_range tw_gr_mean".split():

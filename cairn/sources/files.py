@@ -281,3 +281,33 @@ def synthetic_logs(spark: SparkSession, wells: int, rows: int, seed: int = 0) ->
     type_rows = base.select("i", "well", F.explode(F.sequence(F.lit(0), F.lit(1600))).alias("k")).withColumn("TVT", 9700 + F.col("k") / 2.0)
     typewell = type_rows.select("well", F.col("k").alias("row_number"), "TVT", (curve(F.col("TVT") - 9700) + 0.4 * noise("tw")).alias("GR"))
     return t.select("well", F.col("k").alias("row_number"), *HORIZONTAL[:5], "TVT_input", "TVT", *TOPS), typewell
+
+
+def below(root: str, relative: str) -> str:
+    """``root/relative``, refused if it would leave the root."""
+    parts = [p for p in relative.split("/") if p not in ("", ".")]
+    depth = 0
+    for p in parts:
+        depth += -1 if p == ".." else 1
+        if depth < 0:
+            raise ValueError(f"{relative!r} leaves {root!r}")
+    if relative.startswith("/") or "://" in relative:
+        raise ValueError(f"{relative!r} is not a relative path")
+    return f"{root.rstrip('/')}/{'/'.join(parts)}"
+
+
+def release_report(spark: SparkSession, root: str, required: Sequence[str], manifests: Sequence[str] = ("manifest.json",)) -> dict[str, Any]:
+    """Gates of a release below ``root``: required files are there and every listed file has its digest. ``status`` is PASS only if
+    nothing failed; each manifest lists files relative to its own folder."""
+    found = inventory(spark, root).select("name").where("name not like '%.crc'")
+    wanted = spark.createDataFrame([(n,) for n in required], "name string")
+    missing = [r.name for r in wanted.join(found, "name", "left_anti").orderBy("name").collect()]
+    broken = []
+    for m in manifests:
+        folder = below(root, m.rpartition("/")[0]) if "/" in m else root
+        listed = load_json(spark, f"{folder}/{m.rpartition('/')[2]}")["files"]
+        for name in listed:
+            below(folder, name)
+        manifest = spark.createDataFrame(sorted(listed.items()), "name string, sha256 string")
+        broken += [f"{m}: {r.name} {r.problem}" for r in manifest_violations(inventory(spark, folder), manifest).where("problem <> 'unlisted'").orderBy("name").collect()]
+    return {"status": "PASS" if not missing and not broken else "FAIL", "missing": missing, "broken": broken, "required": len(required)}

@@ -110,3 +110,19 @@ def test_synthetic_logs_do_not_depend_on_partitions(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "7")
     assert f.row_order_free_hash(a).first() == f.row_order_free_hash(f.synthetic_logs(spark, 10, 100)[0].repartition(5)).first()
     spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_paths_stay_below_their_root():
+    assert f.below("/data/x/", "a/./b.csv") == "/data/x/a/b.csv" and f.below("/d", "a/../b") == "/d/a/../b"
+    for bad in ("../b", "a/../../b", "/etc/passwd", "s3://x/y"):
+        with pytest.raises(ValueError):
+            f.below("/data", bad)
+
+
+def test_release_report(spark, tmp_path):
+    t = spark.createDataFrame([(1,)], "k int")
+    root = str(tmp_path / "r")
+    f.write_result({"t": t}, {}, root)
+    assert f.release_report(spark, root, ["summary.json"])["status"] == "PASS"
+    bad = f.release_report(spark, root, ["summary.json", "notes.md"])
+    assert bad["status"] == "FAIL" and bad["missing"] == ["notes.md"]
