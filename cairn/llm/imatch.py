@@ -1,11 +1,15 @@
 """I-Match document fingerprints in DataFrame functions only.
 
 A document's terms are its distinct lower-cased words, as 64-bit hashes. Those whose document frequency over all
-documents lies in a band of inverse document frequencies stay. Lexicon subsets are random and nested by rung: a
-term belongs to rung ``l`` if the last ``l`` bits of its hash are zero, and in each rung to one of ``GROUPS`` subsets by other
-bits. For every subset the document's terms in it, sorted, are hashed; that slot changes with any of its
+documents lies in a band of inverse document frequencies stay. Lexicon subsets are random: ``PARTS`` subsets part the
+whole band, so each term of a document is in exactly one of them; beside them others are nested by rung, where a
+term belongs to rung ``l`` if the last ``l`` bits of its hash are zero, and in each rung to one of ``GROUPS`` by other
+bits. For every subset the document's terms in it are hashed as a set; that slot changes with any of its
 terms. A document uses ``RUNGS`` rungs, from the one where about ``2 * GROUPS`` of its terms are left, so long and
-short documents both have slots of one or two terms, and no document needs more than some tens of terms looked up.
+short documents both have slots of one or two terms; the parting subsets hold whatever is in the band.
+
+Terms are not looked up one by one: those over the band are few (the mean number of terms over ``MAX_SHARE``) and are taken
+off in one array, those under it occur in one document and return to it alone.
 """
 
 from __future__ import annotations
@@ -17,6 +21,9 @@ from cairn.plans.staging import Stage
 
 GROUPS = 16
 RUNGS = 3
+NESTED = RUNGS * GROUPS
+#: Subsets that part the band; few, as a slot of many terms says little but whether all are the same.
+PARTS = 4
 #: The band: terms of at least so many documents, and of at most this share of all.
 MIN_DF = 2
 MAX_SHARE = 0.05
@@ -40,8 +47,23 @@ def candidates(all_terms: Column, rung: Column) -> Column:
     return F.filter(all_terms, lambda h: h.bitwiseAND(mask) == 0)
 
 
-def slots(kept: Column, rung: Column) -> Column:
-    """For each rung and group the hash, below 65536, of the sorted terms in it; EMPTY where there is none."""
+def marks(kept: Column) -> Column:
+    """For each of the subsets that part the band the exclusive or of its terms' hashes; 0 where there is none."""
+
+    def mark(g: Column) -> Column:
+        own = F.filter(kept, lambda h: F.shiftrightunsigned(h, 28).bitwiseAND(F.lit(PARTS - 1)) == g)
+        return F.aggregate(own, F.lit(0).cast("bigint"), lambda x, h: x.bitwiseXOR(F.xxhash64(h)))
+
+    return F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(PARTS - 1).cast("bigint")), mark)
+
+
+def with_marks(m: Column, more: Column) -> Column:
+    """``m`` with a few more terms."""
+    return F.zip_with(m, marks(more), lambda a, b: a.bitwiseXOR(b))
+
+
+def slots(kept: Column, m: Column, rung: Column) -> Column:
+    """For each rung and group, then for each of ``marks``, the hash, below 65536, of the terms in it; EMPTY where there is none."""
 
     def slot(s: Column) -> Column:
         r = rung + F.floor(s / GROUPS).cast("int")
@@ -50,56 +72,84 @@ def slots(kept: Column, rung: Column) -> Column:
         own = F.filter(kept, lambda h: (h.bitwiseAND(mask) == 0) & (F.pmod(F.floor(F.shiftrightunsigned(h, 33) / shift), F.lit(GROUPS)) == s % GROUPS))
         return F.when(F.size(own) == 0, F.lit(EMPTY)).otherwise(F.pmod(F.xxhash64(F.sort_array(own)), F.lit(65536)).cast("int"))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(RUNGS * GROUPS - 1)), slot)
+    part = F.transform(m, lambda x: F.when(x == 0, F.lit(EMPTY)).otherwise(F.pmod(F.xxhash64(x), F.lit(65536)).cast("int")))
+    return F.concat(F.transform(F.sequence(F.lit(0), F.lit(NESTED - 1)), slot), part)
 
 
 def likeness(rung_a: Column, a: Column, rung_b: Column, b: Column) -> Column:
     """Share of equal slots among those that both documents' rungs have and that are not empty in both."""
     shift = (rung_a - rung_b) * GROUPS
-    other = lambda i: F.get(b, i + shift)
-    pairs = F.filter(F.sequence(F.lit(0), F.lit(RUNGS * GROUPS - 1)), lambda i: other(i).isNotNull() & ((F.get(a, i) != EMPTY) | (other(i) != EMPTY)))
+    other = lambda i: F.when(i >= NESTED, F.get(b, i)).when((i + shift).between(0, NESTED - 1), F.get(b, i + shift))
+    pairs = F.filter(F.sequence(F.lit(0), F.lit(NESTED + PARTS - 1)), lambda i: other(i).isNotNull() & ((F.get(a, i) != EMPTY) | (other(i) != EMPTY)))
     same = F.filter(pairs, lambda i: F.get(a, i) == other(i))
     return F.when(F.size(pairs) > 0, F.size(same) / F.size(pairs)).otherwise(F.lit(0.0))
 
 
 def written(rung: Column, s: Column, text_hash: Column) -> Column:
-    """The fingerprint as text; a document without a term in the band has its whole text's hash instead."""
+    """The fingerprint as text, after ``=`` if no rung has a term; a document without any has its whole text's hash instead."""
     hexed = F.array_join(F.transform(s, lambda x: F.when(x == EMPTY, F.lit("----")).otherwise(F.lower(F.lpad(F.hex(x), 4, "0")))), "")
-    none = s.isNull() | ~F.exists(s, lambda x: x != EMPTY)
-    return F.when(none, F.concat(F.lit("="), F.lower(F.lpad(F.hex(text_hash), 16, "0")))).otherwise(F.concat(F.lpad(rung.cast("string"), 2, "0"), F.lit(":"), hexed))
+    filled = lambda x: F.exists(x, lambda v: v != EMPTY)
+    none = s.isNull() | ~filled(s)
+    lead = F.when(filled(F.slice(s, 1, NESTED)), F.lit("")).otherwise(F.lit("="))
+    return F.when(none, F.concat(F.lit("="), F.lower(F.lpad(F.hex(text_hash), 16, "0")))).otherwise(F.concat(lead, F.lpad(rung.cast("string"), 2, "0"), F.lit(":"), hexed))
+
+
+def held(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once, also where a lambda reads them again and again."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
+
+
+def vocabulary(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(h, df, id, k)``: every term with its document frequency; where that is 1, the id and text hash of its document."""
+    src = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("t"))
+    return src.select("id", F.xxhash64("t").alias("k"), F.explode(terms(F.col("t"))).alias("h")).groupBy("h").agg(F.count("*").alias("df"), F.min("id").alias("id"), F.min("k").alias("k"))
+
+
+def over(docs: DataFrame, vocab: DataFrame, max_share: float = MAX_SHARE) -> DataFrame:
+    """``(h)``: the terms over the band; at most the mean number of terms of a document over ``max_share``."""
+    return vocab.where(F.col("df") > max(MIN_DF, int(max_share * docs.count()))).select("h")
 
 
 def band(docs: DataFrame, text_col: str = "text", min_df: int = MIN_DF, max_share: float = MAX_SHARE) -> DataFrame:
     """``(h)``: hashes of the terms in the band, from the document frequencies over all documents."""
-    n = docs.count()
-    df = docs.select(F.explode(terms(F.coalesce(text_col, F.lit("")))).alias("h")).groupBy("h").agg(F.count("*").alias("df"))
-    return df.where((F.col("df") >= min_df) & (F.col("df") <= max(min_df, int(max_share * n)))).select("h")
+    vocab = vocabulary(docs.withColumn("__id", F.lit(0)), "__id", text_col)
+    return vocab.where(F.col("df") >= min_df).join(F.broadcast(over(docs, vocab, max_share)), "h", "left_anti").select("h")
 
 
-def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(b, rn, id, t, next_b, next_rn, next_t)``: each document with the next in descending id, after the last the first.
+def in_order(docs: DataFrame, id_col: str, text_col: str, rare: DataFrame) -> DataFrame:
+    """``(b, rn, t, s, id, next_b, next_rn, next_t, next_s)``: each document with the next in descending id, after the last the first.
 
     Null ids come last; equal ids in order of their texts. Documents are dealt to buckets of neighbouring ids, so there is
     no global sort: only the first document of each bucket crosses to the bucket above. Ids that crowd in a small part of
-    their range make large buckets, which spill but stay right.
+    their range make large buckets, which spill but stay right. ``rare`` has ``(id, k, s)``, a row before that of its document.
     """
     lo, hi, n = docs.agg(F.min(id_col), F.max(id_col), F.count("*")).first()
     lo, hi = (0, 0) if lo is None else (int(lo), int(hi))
     width = float(max(1, -(-(hi - lo + 1) // max(1, n // NEIGHBOURS))))
-    src = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("t"))
-    src = src.withColumn("b", F.coalesce(F.floor((F.col("id").cast("double") - F.lit(float(lo))) / F.lit(width)).cast("bigint"), F.lit(-1)))
-    w = Window.partitionBy("b").orderBy(F.col("id").desc_nulls_last(), F.xxhash64("t"), F.col("t"))
-    ranked = src.select("*", F.row_number().over(w).alias("rn"), F.lead("t").over(w).alias("lead_t"))
+    bucket = F.coalesce(F.floor((F.col("id").cast("double") - F.lit(float(lo))) / F.lit(width)).cast("bigint"), F.lit(-1))
+    src = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("t")).select("id", F.xxhash64("t").alias("k"), F.lit(1).alias("doc"), "t", F.lit(None).cast("array<bigint>").alias("s"), bucket.alias("b"))
+    own = rare.select("id", "k", F.lit(0).alias("doc"), F.lit(None).cast("string").alias("t"), "s", bucket.alias("b"))
+    w = Window.partitionBy("b").orderBy(F.col("id").desc_nulls_last(), "k", "doc", F.col("t"))
+    follows = F.lead("doc").over(w) == 1
+    ranked = src.unionByName(own).select(
+        "b", "id", "doc", "t",
+        F.sum("doc").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int").alias("rn"),
+        F.when(F.lag("doc").over(w) == 0, F.lag("s").over(w)).alias("s"),
+        F.when(follows, F.lead("t").over(w)).otherwise(F.lead("t", 2).over(w)).alias("lead_t"),
+        F.when(~follows, F.lead("s").over(w)).alias("lead_s"),
+    ).where("doc = 1")
     order = Window.orderBy(F.col("b").desc())  # bucket numbers alone, one for each few hundred documents
     used = src.select("b").distinct().select("b", F.lead("b").over(order).alias("below"), F.first("b").over(order).alias("top"))
-    heads = ranked.where("rn = 1").select(F.col("b").alias("head_b"), F.col("t").alias("head_t"))
-    after = used.select("b", F.coalesce("below", "top").alias("head_b")).join(heads, "head_b").select(F.col("b").alias("of"), "head_b", "head_t")
+    heads = src.withColumn("first", F.row_number().over(w)).where("first = 1").select(F.col("b").alias("head_b"), F.col("id").alias("head_id"), F.col("k").alias("head_k"), F.col("t").alias("head_t"))
+    heads = heads.join(own.select("b", "id", "k", F.col("s").alias("head_s")), (F.col("head_b") == F.col("b")) & (F.col("head_k") == F.col("k")) & F.col("head_id").eqNullSafe(F.col("id")), "left").drop("b", "id", "k")
+    after = used.select("b", F.coalesce("below", "top").alias("head_b")).join(heads, "head_b").select(F.col("b").alias("of"), "head_b", "head_t", "head_s")
     last = F.col("lead_t").isNull()
     return ranked.join(after, F.col("b") == F.col("of")).select(
-        "b", "rn", "id", "t",
+        "b", "rn", "id", "t", "s",
         F.when(last, F.col("head_b")).otherwise(F.col("b")).alias("next_b"),
         F.when(last, F.lit(1)).otherwise(F.col("rn") + 1).alias("next_rn"),
         F.when(last, F.col("head_t")).otherwise(F.col("lead_t")).alias("next_t"),
+        F.when(last, F.col("head_s")).otherwise(F.col("lead_s")).alias("next_s"),
     )
 
 
@@ -112,21 +162,27 @@ def edited_and_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts are always 1. Equal ids stay separate documents. A single document is its own next. Empty tables give no rows.
     """
     stage = Stage(docs.sparkSession, "imatch")
+    none = F.array().cast("array<bigint>")
+    vocab = stage.put(vocabulary(docs, id_col, text_col))
+    common = over(docs, vocab).agg(F.collect_list("h").alias("common"))
+    rare = vocab.where("df = 1").groupBy("id", "k").agg(F.collect_list("h").alias("s"))
     n = F.length("t")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("t", F.lit(1), n - third), F.substring("next_t", F.lit(1), third))
-    rows = in_order(docs, id_col, text_col).select("b", "rn", "id", "next_b", "next_rn", n.cast("bigint").alias("n_chars"), F.xxhash64("t").alias("hash"), F.xxhash64("next_t").alias("next_hash"), F.col("t"), edited.alias("e"))
-    rows = rows.select("*", terms(F.col("t")).alias("ot"), terms(F.col("e")).alias("et"))
-    rows = rows.select("*", base_rung(F.size("ot")).alias("orung"), base_rung(F.size("et")).alias("erung"))
+    rows = in_order(docs, id_col, text_col, rare).crossJoin(F.broadcast(common))  # a single row
+    rows = rows.select("b", "rn", "id", "next_b", "next_rn", "t", "next_t", "common", F.coalesce("s", none).alias("s"), F.coalesce("next_s", none).alias("next_s"), edited.alias("e"))
+    rows = held(rows, ot=terms(F.col("t")), et=terms(F.col("e")), nt=terms(F.col("next_t")))
+    rows = held(rows, cut=F.array_except("et", F.concat("common", "ot", "nt")))  # words that only the cut makes: two at most
+    rows = held(rows, own=F.array_except("ot", F.concat("common", "s")), edit=F.array_except("et", F.concat("common", "s", "next_s", "cut")), orung=base_rung(F.size("ot")), erung=base_rung(F.size("et")))
     picked = stage.put(
-        rows.select("b", "rn", "id", "next_b", "next_rn", "n_chars", "hash", "next_hash", F.sha2(F.col("e").cast("binary"), 256).alias("edited_sha256"), F.xxhash64("e").alias("edited_hash"), "orung", "erung",
-                    candidates(F.col("ot"), F.col("orung")).alias("oc"), candidates(F.col("et"), F.col("erung")).alias("ec"))
+        rows.select("b", "rn", "id", "next_b", "next_rn", n.cast("bigint").alias("n_chars"), F.xxhash64("t").alias("hash"), F.xxhash64("next_t").alias("next_hash"), F.sha2(F.col("e").cast("binary"), 256).alias("edited_sha256"), F.xxhash64("e").alias("edited_hash"), "orung", "erung", "cut",
+                    candidates(F.col("own"), F.col("orung")).alias("oc"), marks(F.col("own")).alias("om"), candidates(F.col("edit"), F.col("erung")).alias("ec"), marks(F.col("edit")).alias("em"))
     )
-    asked = picked.select("b", "rn", "orung", "erung", F.explode(F.array_union("oc", "ec")).alias("h"), "oc", "ec")
-    asked = asked.select("b", "rn", "orung", "erung", "h", F.array_contains("oc", F.col("h")).alias("o"), F.array_contains("ec", F.col("h")).alias("e"))
-    known = asked.join(band(docs, text_col), "h").groupBy("b", "rn", "orung", "erung").agg(F.collect_set(F.when(F.col("o"), F.col("h"))).alias("oh"), F.collect_set(F.when(F.col("e"), F.col("h"))).alias("eh"))
-    prints = stage.put(known.select("b", "rn", "orung", slots(F.col("oh"), F.col("orung")).alias("os"), slots(F.col("eh"), F.col("erung")).alias("es")))
-    own = picked.drop("oc", "ec").join(prints.drop("orung"), ["b", "rn"], "left")
+    made = picked.select("b", "rn", F.explode("cut").alias("h")).join(vocab.where(F.col("df") >= MIN_DF).select("h"), "h").groupBy("b", "rn").agg(F.collect_list("h").alias("more"))
+    known = picked.select("b", "rn", "orung", "erung", "oc", "om", "ec", "em").join(made, ["b", "rn"], "left").withColumn("more", F.coalesce("more", none))
+    known = held(known, eh=F.concat("ec", candidates(F.col("more"), F.col("erung"))), ex=with_marks(F.col("em"), F.col("more")))
+    prints = stage.put(known.select("b", "rn", "orung", slots(F.col("oc"), F.col("om"), F.col("orung")).alias("os"), slots(F.col("eh"), F.col("ex"), F.col("erung")).alias("es")))
+    own = picked.drop("oc", "om", "ec", "em", "cut").join(prints.drop("orung"), ["b", "rn"], "left")
     after = prints.select(F.col("b").alias("next_b"), F.col("rn").alias("next_rn"), F.col("orung").alias("nrung"), F.col("os").alias("ns"))
     both = own.join(after, ["next_b", "next_rn"], "left")
     like = lambda same, rung, s: F.when(same, F.lit(1.0)).otherwise(F.coalesce(likeness(F.col("orung"), F.col("os"), F.col(rung), F.col(s)), F.lit(0.0)))
@@ -139,7 +195,6 @@ def edited_and_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, rung, slots, fingerprint)`` of each document, a row for every row: ``likeness`` compares two of them by rung and slots.
 
@@ -147,6 +202,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("t")).select("id", F.xxhash64("t").alias("hash"), terms(F.col("t")).alias("all"))
     src = src.withColumn("rung", base_rung(F.size("all")))
-    asked = src.select("hash", "rung", F.explode(candidates(F.col("all"), F.col("rung"))).alias("h")).distinct()
-    made = asked.join(band(docs, text_col), "h").groupBy("hash", "rung").agg(F.collect_set("h").alias("kept")).select("hash", slots(F.col("kept"), F.col("rung")).alias("slots"))
+    asked = src.select("hash", "rung", F.explode("all").alias("h")).distinct()
+    kept = asked.join(band(docs, text_col), "h").groupBy("hash", "rung").agg(F.collect_set("h").alias("kept"))
+    kept = held(kept, some=candidates(F.col("kept"), F.col("rung")), m=marks(F.col("kept")))
+    made = kept.select("hash", slots(F.col("some"), F.col("m"), F.col("rung")).alias("slots"))
     return src.select("id", "hash", "rung").join(made, "hash", "left").select(F.col("id").alias(id_col), "rung", "slots", written(F.col("rung"), F.col("slots"), F.col("hash")).alias("fingerprint"))

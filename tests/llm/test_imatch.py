@@ -98,3 +98,30 @@ def test_plain_fingerprints_are_the_same(spark):
     a = sorted((r.doc_id, r.fingerprint) for r in m.edited_and_next(t).collect())
     b = sorted((r.doc_id, r.fingerprint) for r in m.fingerprints(t).collect())
     assert a == b
+
+
+def test_every_term_in_the_band_counts(spark):
+    many = [f"term{i}" for i in range(1500)]
+    rnd = random.Random(3)
+    base = [" ".join(rnd.sample(many, 700)) for _ in range(4)]
+    rows = [(i, t) for i, t in enumerate(base * 2)] + [(100 + i, f"other{i} text{i}") for i in range(400)]
+    words = base[0].split()
+    rows += [(1000 + k, " ".join(words[:k] + words[k + 1 :])) for k in range(0, 700, 100)]
+    got = {r.doc_id: r.fingerprint for r in m.edited_and_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == got[4] and len({got[0]} | {got[1000 + k] for k in range(0, 700, 100)}) == 8
+    assert got == {r.doc_id: r.fingerprint for r in m.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_edited_texts_have_the_fingerprints_of_such_documents(spark):
+    rnd = random.Random(5)
+    rows = [(i, " ".join(rnd.choices(WORDS + ["lone%d" % i, "w", "wo", "wor", "word"], k=rnd.choice([3, 30, 150])))) for i in range(200)]
+    t = spark.createDataFrame(rows, "doc_id long, text string")
+    edits = plain(rows)
+    hashed = lambda ws: {r[0]: r[1] for r in spark.createDataFrame([(w,) for w in ws], "w string").select("w", F.xxhash64("w")).collect()}
+    every = hashed({w for _, e, _ in edits.values() for w in e.split()})
+    good = {r[0] for r in m.band(t).collect()}
+    for r in m.edited_and_next(t).collect():
+        own = {every[w] for w in edits[r.doc_id][1].split()} & good
+        body = r.edited_fingerprint.split(":")[-1]
+        if own:
+            assert [body[k * 4 : k * 4 + 4] != "----" for k in range(m.NESTED, m.NESTED + m.PARTS)] == [any((h % 2**64 >> 28) % m.PARTS == g for h in own) for g in range(m.PARTS)]
