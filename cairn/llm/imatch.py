@@ -8,6 +8,9 @@ bits. For every subset the document's terms in it are hashed as a set; that slot
 terms. A document uses ``RUNGS`` rungs, from the one where about ``2 * GROUPS`` of its terms are left, so long and
 short documents both have slots of one or two terms; the parting subsets hold whatever is in the band.
 
+The upper limit of the band counts groups of like texts, so that copies cannot push the terms they share over it; the lower
+one counts rows. A document without a term in the band takes its terms of two or more documents, or else all it has.
+
 Terms are not looked up one by one: those over the band are few (the mean number of terms over ``MAX_SHARE``) and are taken
 off in one array, those under it occur in one document and return to it alone.
 """
@@ -24,6 +27,10 @@ RUNGS = 3
 NESTED = RUNGS * GROUPS
 #: Subsets that part the band; few, as a slot of many terms says little but whether all are the same.
 PARTS = 4
+#: Texts are like if so many of as many keys, each of the lowest terms of its part of all hashes, are the same.
+KEYS, LIKE_KEYS = 8, 3
+#: The weight of one group, in whole numbers so that sums do not depend on their order.
+UNIT = 2**32
 #: The band: terms of at least so many documents, and of at most this share of all.
 MIN_DF = 2
 MAX_SHARE = 0.05
@@ -65,15 +72,17 @@ def with_marks(m: Column, more: Column) -> Column:
 def slots(kept: Column, m: Column, rung: Column) -> Column:
     """For each rung and group, then for each of ``marks``, the hash, below 65536, of the terms in it; EMPTY where there is none."""
 
-    def slot(s: Column) -> Column:
+    def subset(s: Column) -> Column:
         r = rung + F.floor(s / GROUPS).cast("int")
-        mask = F.pow(F.lit(2.0), r).cast("bigint") - 1
-        shift = F.pow(F.lit(8.0), r % 10).cast("bigint")  # the three bits that choose the group differ from rung to rung
-        own = F.filter(kept, lambda h: (h.bitwiseAND(mask) == 0) & (F.pmod(F.floor(F.shiftrightunsigned(h, 33) / shift), F.lit(GROUPS)) == s % GROUPS))
+        by = 33 + 3 * (r % 10)  # the bits that choose the group differ from rung to rung
+        return F.struct((F.pow(F.lit(2.0), r).cast("bigint") - 1).alias("mask"), by.cast("int").alias("by"), (s % GROUPS).cast("bigint").alias("group"))
+
+    def slot(x: Column) -> Column:
+        own = F.filter(kept, lambda h: (h.bitwiseAND(x["mask"]) == 0) & (F.call_function("shiftrightunsigned", h, x["by"]).bitwiseAND(F.lit(GROUPS - 1)) == x["group"]))
         return F.when(F.size(own) == 0, F.lit(EMPTY)).otherwise(F.pmod(F.xxhash64(F.sort_array(own)), F.lit(65536)).cast("int"))
 
     part = F.transform(m, lambda x: F.when(x == 0, F.lit(EMPTY)).otherwise(F.pmod(F.xxhash64(x), F.lit(65536)).cast("int")))
-    return F.concat(F.transform(F.sequence(F.lit(0), F.lit(NESTED - 1)), slot), part)
+    return F.concat(F.transform(F.transform(F.sequence(F.lit(0), F.lit(NESTED - 1)), subset), slot), part)
 
 
 def likeness(rung_a: Column, a: Column, rung_b: Column, b: Column) -> Column:
@@ -85,12 +94,18 @@ def likeness(rung_a: Column, a: Column, rung_b: Column, b: Column) -> Column:
     return F.when(F.size(pairs) > 0, F.size(same) / F.size(pairs)).otherwise(F.lit(0.0))
 
 
-def written(rung: Column, s: Column, text_hash: Column) -> Column:
-    """The fingerprint as text, after ``=`` if no rung has a term; a document without any has its whole text's hash instead."""
+def or_else(own: Column, every: Column, lone: Column) -> Column:
+    """The terms in the band; without any those of two or more documents, without these all."""
+    shared = F.array_except(every, lone)
+    return F.when(F.size(own) > 0, own).when(F.size(shared) > 0, shared).otherwise(every)
+
+
+def written(rung: Column, s: Column, text_hash: Column, bare: Column) -> Column:
+    """The fingerprint as text, after ``=`` if no rung has a term in the band; a document without a word has its whole text's hash instead."""
     hexed = F.array_join(F.transform(s, lambda x: F.when(x == EMPTY, F.lit("----")).otherwise(F.lower(F.lpad(F.hex(x), 4, "0")))), "")
     filled = lambda x: F.exists(x, lambda v: v != EMPTY)
     none = s.isNull() | ~filled(s)
-    lead = F.when(filled(F.slice(s, 1, NESTED)), F.lit("")).otherwise(F.lit("="))
+    lead = F.when(~bare & filled(F.slice(s, 1, NESTED)), F.lit("")).otherwise(F.lit("="))
     return F.when(none, F.concat(F.lit("="), F.lower(F.lpad(F.hex(text_hash), 16, "0")))).otherwise(F.concat(lead, F.lpad(rung.cast("string"), 2, "0"), F.lit(":"), hexed))
 
 
@@ -105,15 +120,49 @@ def vocabulary(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return src.select("id", F.xxhash64("t").alias("k"), F.explode(terms(F.col("t"))).alias("h")).groupBy("h").agg(F.count("*").alias("df"), F.min("id").alias("id"), F.min("k").alias("k"))
 
 
-def over(docs: DataFrame, vocab: DataFrame, max_share: float = MAX_SHARE) -> DataFrame:
-    """``(h)``: the terms over the band; at most the mean number of terms of a document over ``max_share``."""
-    return vocab.where(F.col("df") > max(MIN_DF, int(max_share * docs.count()))).select("h")
+def like_keys(all_terms: Column, wide: Column) -> Column:
+    """``(p, key)``: the hash of all terms at -1, and in each of ``KEYS`` parts (``wide`` neighbours together) that of its lowest, about log2 of the number of terms."""
+    some = F.ceil(F.log2(F.greatest(F.size(all_terms), F.lit(1)))).cast("int") + 2
+
+    def key(p: Column) -> Column:
+        own = F.slice(F.sort_array(F.filter(all_terms, lambda h: (F.shiftrightunsigned(h, 24) - p).bitwiseAND(F.lit(KEYS - 1)) < wide)), 1, some)
+        return F.struct(p.alias("p"), F.when(F.size(own) > 0, F.xxhash64(p, own)).alias("key"))
+
+    return F.concat(F.array(F.struct(F.lit(-1).cast("bigint").alias("p"), F.xxhash64(F.lit(-1), F.sort_array(all_terms)).alias("key"))), F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(KEYS - 1).cast("bigint")), key))
+
+
+def group_sizes(docs: DataFrame, text_col: str, stage: Stage) -> DataFrame:
+    """``(k, c)``: for texts (by their hash) like those of other rows the number of such rows.
+
+    That number is of the rows with the same terms, or as many as agree with the row in the third most frequent of its keys. Near
+    copies differ in a few keys and strangers agree in none or one, so each group adds about 1 to the sum of 1 / c.
+    """
+    src = held(docs.select(F.coalesce(text_col, F.lit("")).alias("t")), k=F.xxhash64("t"), ot=terms(F.col("t")))
+    src = held(src, wide=F.least(F.lit(KEYS // 2), F.greatest(F.lit(1), F.ceil(F.lit(20.0 * KEYS) / F.greatest(F.size("ot"), F.lit(1))))).cast("bigint"))  # some 20 terms to choose from
+    keys = src.where(F.size("ot") > 0).select("k", F.inline(like_keys(F.col("ot"), F.col("wide")))).where("key is not null").groupBy("k", "p", "key").agg(F.count("*").alias("n"))
+    keys = stage.put(keys)
+    many = stage.put(keys.groupBy("key").agg(F.sum("n").alias("c")).where("c > 1"))
+    met = keys.join(many, "key").groupBy("k").agg(F.max(F.when(F.col("p") < 0, F.col("c"))).alias("same"), F.collect_list(F.when(F.col("p") >= 0, F.col("c"))).alias("cs"))
+    like = F.coalesce(F.get(F.sort_array("cs", asc=False), F.lit(LIKE_KEYS - 1)), F.lit(1))
+    return stage.put(met.select("k", F.greatest(F.coalesce("same", F.lit(1)), like).alias("c")).where("c > 1"))
+
+
+def over(docs: DataFrame, vocab: DataFrame, text_col: str, stage: Stage, max_share: float = MAX_SHARE) -> DataFrame:
+    """``(h)``: the terms of more groups of like texts than the band has; at most the mean number of terms of a document over ``max_share``."""
+    limit = max(MIN_DF, int(max_share * docs.count()))
+    often = stage.put(vocab.where(F.col("df") > limit).select("h"))
+    if often.isEmpty():
+        return often
+    terms_of = held(docs.select(F.coalesce(text_col, F.lit("")).alias("t")).crossJoin(F.broadcast(often.agg(F.collect_list("h").alias("often")))), k=F.xxhash64("t"), own=F.array_intersect(terms(F.col("t")), "often"))
+    each = terms_of.select("k", "own").join(group_sizes(docs, text_col, stage), "k", "left").select(F.explode("own").alias("h"), F.floor(F.lit(UNIT) / F.coalesce("c", F.lit(1))).cast("bigint").alias("w"))
+    return stage.put(each.groupBy("h").agg(F.sum("w").alias("w")).where(F.col("w") > limit * UNIT).select("h"))
 
 
 def band(docs: DataFrame, text_col: str = "text", min_df: int = MIN_DF, max_share: float = MAX_SHARE) -> DataFrame:
-    """``(h)``: hashes of the terms in the band, from the document frequencies over all documents."""
-    vocab = vocabulary(docs.withColumn("__id", F.lit(0)), "__id", text_col)
-    return vocab.where(F.col("df") >= min_df).join(F.broadcast(over(docs, vocab, max_share)), "h", "left_anti").select("h")
+    """``(h)``: hashes of the terms in the band: of ``min_df`` rows at least, and of at most ``max_share`` as many groups of like texts as there are rows."""
+    stage = Stage(docs.sparkSession, "imatch")
+    vocab = stage.put(vocabulary(docs.withColumn("__id", F.lit(0)), "__id", text_col))
+    return vocab.where(F.col("df") >= min_df).join(F.broadcast(over(docs, vocab, text_col, stage, max_share)), "h", "left_anti").select("h")
 
 
 def in_order(docs: DataFrame, id_col: str, text_col: str, rare: DataFrame) -> DataFrame:
@@ -158,13 +207,13 @@ def edited_and_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ``(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)``, a row for every document. The
     last third of the code points is replaced by as many from the start of the next document in descending id. Null texts are
-    empty; a document without a term in the band is like another only if their texts are equal (1, else 0); equal
+    empty; a document without a word is like another only if their texts are equal (1, else 0); equal
     texts are always 1. Equal ids stay separate documents. A single document is its own next. Empty tables give no rows.
     """
     stage = Stage(docs.sparkSession, "imatch")
     none = F.array().cast("array<bigint>")
     vocab = stage.put(vocabulary(docs, id_col, text_col))
-    common = over(docs, vocab).agg(F.collect_list("h").alias("common"))
+    common = over(docs, vocab, text_col, stage).agg(F.collect_list("h").alias("common"))
     rare = vocab.where("df = 1").groupBy("id", "k").agg(F.collect_list("h").alias("s"))
     n = F.length("t")
     third = F.floor(n / 3).cast("int")
@@ -174,22 +223,26 @@ def edited_and_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = held(rows, ot=terms(F.col("t")), et=terms(F.col("e")), nt=terms(F.col("next_t")))
     rows = held(rows, cut=F.array_except("et", F.concat("common", "ot", "nt")))  # words that only the cut makes: two at most
     rows = held(rows, own=F.array_except("ot", F.concat("common", "s")), edit=F.array_except("et", F.concat("common", "s", "next_s", "cut")), orung=base_rung(F.size("ot")), erung=base_rung(F.size("et")))
+    rows = held(rows, obare=F.size("own") == 0, ebare=F.size("edit") == 0)
+    rows = held(rows, oall=or_else(F.col("own"), F.col("ot"), F.col("s")), eall=or_else(F.col("edit"), F.col("et"), F.concat("s", "next_s", "cut")))
     picked = stage.put(
-        rows.select("b", "rn", "id", "next_b", "next_rn", n.cast("bigint").alias("n_chars"), F.xxhash64("t").alias("hash"), F.xxhash64("next_t").alias("next_hash"), F.sha2(F.col("e").cast("binary"), 256).alias("edited_sha256"), F.xxhash64("e").alias("edited_hash"), "orung", "erung", "cut",
-                    candidates(F.col("own"), F.col("orung")).alias("oc"), marks(F.col("own")).alias("om"), candidates(F.col("edit"), F.col("erung")).alias("ec"), marks(F.col("edit")).alias("em"))
+        rows.select("b", "rn", "id", "next_b", "next_rn", n.cast("bigint").alias("n_chars"), F.xxhash64("t").alias("hash"), F.xxhash64("next_t").alias("next_hash"), F.sha2(F.col("e").cast("binary"), 256).alias("edited_sha256"), F.xxhash64("e").alias("edited_hash"), "orung", "erung", "cut", "obare", "ebare",
+                    candidates(F.col("oall"), F.col("orung")).alias("oc"), marks(F.col("oall")).alias("om"), candidates(F.col("eall"), F.col("erung")).alias("ec"), marks(F.col("eall")).alias("em"))
     )
     made = picked.select("b", "rn", F.explode("cut").alias("h")).join(vocab.where(F.col("df") >= MIN_DF).select("h"), "h").groupBy("b", "rn").agg(F.collect_list("h").alias("more"))
-    known = picked.select("b", "rn", "orung", "erung", "oc", "om", "ec", "em").join(made, ["b", "rn"], "left").withColumn("more", F.coalesce("more", none))
-    known = held(known, eh=F.concat("ec", candidates(F.col("more"), F.col("erung"))), ex=with_marks(F.col("em"), F.col("more")))
-    prints = stage.put(known.select("b", "rn", "orung", slots(F.col("oc"), F.col("om"), F.col("orung")).alias("os"), slots(F.col("eh"), F.col("ex"), F.col("erung")).alias("es")))
-    own = picked.drop("oc", "om", "ec", "em", "cut").join(prints.drop("orung"), ["b", "rn"], "left")
+    known = picked.select("b", "rn", "orung", "erung", "oc", "om", "ec", "em", "ebare").join(made, ["b", "rn"], "left").withColumn("more", F.coalesce("more", none))
+    only = F.col("ebare") & (F.size("more") > 0)  # then these are all it has in the band
+    known = held(known, ec0=F.when(only, none).otherwise(F.col("ec")), em0=F.when(only, marks(none)).otherwise(F.col("em")), ebare0=F.col("ebare") & ~only)
+    known = held(known, eh=F.concat("ec0", candidates(F.col("more"), F.col("erung"))), ex=with_marks(F.col("em0"), F.col("more")))
+    prints = stage.put(known.select("b", "rn", "orung", F.col("ebare0").alias("ebare"), slots(F.col("oc"), F.col("om"), F.col("orung")).alias("os"), slots(F.col("eh"), F.col("ex"), F.col("erung")).alias("es")))
+    own = picked.drop("oc", "om", "ec", "em", "cut", "ebare").join(prints.drop("orung"), ["b", "rn"], "left")
     after = prints.select(F.col("b").alias("next_b"), F.col("rn").alias("next_rn"), F.col("orung").alias("nrung"), F.col("os").alias("ns"))
     both = own.join(after, ["next_b", "next_rn"], "left")
     like = lambda same, rung, s: F.when(same, F.lit(1.0)).otherwise(F.coalesce(likeness(F.col("orung"), F.col("os"), F.col(rung), F.col(s)), F.lit(0.0)))
     return both.select(
         F.col("id").alias(id_col), "n_chars", "edited_sha256",
-        written(F.col("orung"), F.col("os"), F.col("hash")).alias("fingerprint"),
-        written(F.col("erung"), F.col("es"), F.col("edited_hash")).alias("edited_fingerprint"),
+        written(F.col("orung"), F.col("os"), F.col("hash"), F.col("obare")).alias("fingerprint"),
+        written(F.col("erung"), F.col("es"), F.col("edited_hash"), F.col("ebare")).alias("edited_fingerprint"),
         like(F.col("hash") == F.col("edited_hash"), "erung", "es").alias("near_edited"),
         like(F.col("hash") == F.col("next_hash"), "nrung", "ns").alias("near_next"),
     )
@@ -198,12 +251,17 @@ def edited_and_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, rung, slots, fingerprint)`` of each document, a row for every row: ``likeness`` compares two of them by rung and slots.
 
-    ``slots`` is null where no term is in the band. Rows of equal id and text have equal fingerprints and are worked on once.
+    ``slots`` is null where there is no word. Rows of equal id and text have equal fingerprints and are worked on once.
     """
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("t")).select("id", F.xxhash64("t").alias("hash"), terms(F.col("t")).alias("all"))
     src = src.withColumn("rung", base_rung(F.size("all")))
-    asked = src.select("hash", "rung", F.explode("all").alias("h")).distinct()
-    kept = asked.join(band(docs, text_col), "h").groupBy("hash", "rung").agg(F.collect_set("h").alias("kept"))
+    stage = Stage(docs.sparkSession, "imatch")
+    vocab = stage.put(vocabulary(docs, id_col, text_col))
+    inside = vocab.select("h", "df").join(F.broadcast(over(docs, vocab, text_col, stage).withColumn("over", F.lit(True))), "h", "left")
+    asked = src.select("hash", "rung", F.explode("all").alias("h")).distinct().join(inside, "h")
+    shared = F.col("df") >= MIN_DF
+    kept = asked.groupBy("hash", "rung").agg(F.collect_list(F.when(shared & F.col("over").isNull(), F.col("h"))).alias("own"), F.collect_list("h").alias("every"), F.collect_list(F.when(~shared, F.col("h"))).alias("lone"))
+    kept = held(kept, bare=F.size("own") == 0, kept=or_else(F.col("own"), F.col("every"), F.col("lone")))
     kept = held(kept, some=candidates(F.col("kept"), F.col("rung")), m=marks(F.col("kept")))
-    made = kept.select("hash", slots(F.col("some"), F.col("m"), F.col("rung")).alias("slots"))
-    return src.select("id", "hash", "rung").join(made, "hash", "left").select(F.col("id").alias(id_col), "rung", "slots", written(F.col("rung"), F.col("slots"), F.col("hash")).alias("fingerprint"))
+    made = kept.select("hash", "bare", slots(F.col("some"), F.col("m"), F.col("rung")).alias("slots"))
+    return src.select("id", "hash", "rung").join(made, "hash", "left").select(F.col("id").alias(id_col), "rung", "slots", written(F.col("rung"), F.col("slots"), F.col("hash"), F.col("bare")).alias("fingerprint"))

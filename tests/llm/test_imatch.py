@@ -125,3 +125,30 @@ def test_edited_texts_have_the_fingerprints_of_such_documents(spark):
         body = r.edited_fingerprint.split(":")[-1]
         if own:
             assert [body[k * 4 : k * 4 + 4] != "----" for k in range(m.NESTED, m.NESTED + m.PARTS)] == [any((h % 2**64 >> 28) % m.PARTS == g for h in own) for g in range(m.PARTS)]
+
+
+def test_near_copies_that_are_a_third_of_the_rows(spark):
+    rnd = random.Random(11)
+    base = rnd.sample([f"base{i}" for i in range(400)], 300)
+    copies = []
+    for i in range(100):
+        words = list(base)
+        for j in range(3):
+            words[rnd.randrange(300)] = f"own{i}x{j}"
+        copies.append((2 * i, " ".join(words)))
+    rows = copies + [(1001 + 2 * i, " ".join(rnd.choices(WORDS, k=60))) for i in range(200)]
+    t = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in m.edited_and_next(t).collect()}
+    mine = [got[i] for i, _ in copies]
+    assert not any(r.fingerprint.startswith("=") for r in mine)
+    assert sum(r.near_next for r in mine[1:]) / 99 > 0.6 and sum(r.near_edited for r in mine[1:]) / 99 > 0.4  # two thirds of its terms stay
+    assert {i: r.fingerprint for i, r in got.items()} == {r.doc_id: r.fingerprint for r in m.fingerprints(t).collect()}
+
+
+def test_texts_of_frequent_words_are_not_without_terms(spark):
+    rnd = random.Random(13)
+    few = [f"the{i}" for i in range(40)]
+    rows = [(i, " ".join(rnd.sample(few, 30))) for i in range(100)] + [(200, " ".join(few)), (201, " ".join(few[:-1] + ["odd"]))]
+    got = {r.doc_id: r for r in m.edited_and_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(r.fingerprint.startswith("=") and ":" in r.fingerprint for r in got.values())
+    assert 0.5 < got[201].near_next < 1
