@@ -181,3 +181,12 @@ def test_streamed_mixture_is_the_batch_one(spark, tmp_path):
     got = {r.rn: r.mixed for r in spark.table("mixed").collect()}
     want = {r.rn: r.mixed for r in prequential(spark.createDataFrame(rows, schema), "key", "member", "value", "evidence", 8.0).collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_registered_candidates_cover_every_series(spark):
+    from cairn.plans import domain
+
+    d = "/root/testdata/sf0.001"
+    want = {r.well for r in domain.paths(spark, d).select("well").distinct().collect()}
+    got = {r.well: r.n for r in domain.d04b_registered_candidates(spark, d).groupBy("well").agg(F.count_distinct("candidate").alias("n")).collect()}
+    assert len(want) > 4 and got.keys() == want and set(got.values()) == {40}
