@@ -18,7 +18,9 @@ import numpy as np
 
 _PLAIN = range(0xA1, 0x250)
 _ASCII = [chr(i) for i in range(0x20, 0x7F)]
-_CHARS = _ASCII + [chr(i) for i in _PLAIN if chr(i) != "İ" and unicodedata.normalize("NFC", chr(i)) == chr(i)]
+_STABLE = [chr(i) for i in _PLAIN if unicodedata.normalize("NFC", chr(i)) == chr(i)]
+#: A character counts only if its lower case is one character of the same range.
+_CHARS = _ASCII + [c for c in _STABLE if c.lower() in _STABLE]
 _LETTERS = "".join(c for c in _CHARS if unicodedata.category(c)[0] == "L")
 _NUMBERS = "".join(c for c in _CHARS if unicodedata.category(c)[0] == "N")
 #: Characters of which both ways of splitting and lower-casing are known to agree.
@@ -55,9 +57,12 @@ class WordEncoder:
         made = self.tokenizer.encode_batch_fast([" ".join(chunks)], add_special_tokens=False)[0]
         ids = np.array(made.ids, dtype=np.uint32)
         stops = np.concatenate([[0], np.flatnonzero(self.last[ids]) + 1])
-        if len(stops) - 1 != words.sum():
-            raise AssertionError("the tokenizer splits words in another way")
-        sizes = np.diff(stops[np.cumsum(words)], prepend=0)
+        if len(stops) - 1 == words.sum():
+            sizes = np.diff(stops[np.cumsum(words)], prepend=0)
+        else:  # another tokenizer's words: each chunk goes to it alone
+            alone = [m.ids for m in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, alone), np.int64, len(alone))
+            ids = np.fromiter(chain.from_iterable(alone), np.uint32, int(sizes.sum()))
         n, total = len(self.known), len(ids)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])

@@ -94,3 +94,26 @@ def test_empty_repeats_and_extra_columns(spark, plain):
     t = spark.createDataFrame([(5, "same"), (5, "same")], "doc_id long, text string").withColumn("bin", F.lit(1)).withColumn("length", F.lit("x"))
     assert packing.pack(t, PATH).count() == 2
     assert packing.pack(t.limit(0), PATH).count() == 0
+
+
+def test_ids_of_every_common_character_in_both_cases(plain):
+    e = tokens.WordEncoder(PATH)
+    chars = sorted({x for c in map(chr, range(1, 0x300)) for x in (c, *c.upper(), *c.lower())})
+    texts = [f(c) for c in chars for f in (lambda c: c, lambda c: c + "li", lambda c: f"ab{c}cd", lambda c: f"1{c}'s {c}{c} !{c}")]
+    rnd = random.Random(1)
+    texts += ["".join(rnd.choices(tokens._CHARS + [" "] * 80, k=60)) for _ in range(1000)]
+    for t, ids in zip(texts, e.encode(texts)):
+        assert plain(t) == ids.tolist(), repr(t)
+
+
+def test_chunks_that_split_in_another_way_go_to_the_tokenizer_alone(monkeypatch, plain):
+    import re
+
+    monkeypatch.setattr(tokens, "_WORDS", re.compile("[a-z]"))
+    texts = ["some words here", "don't stop 12", "more words"]
+    assert [i.tolist() for i in tokens.WordEncoder(PATH).encode(texts)] == [plain(t) for t in texts]
+
+
+def test_capitals_whose_lower_case_lies_elsewhere(spark, plain):
+    docs = [(i, c + "li and " + c) for i, c in enumerate("ƏƐƆƁƊƔƩƷȺ")]
+    check(rows_of(spark, docs), docs, plain)
