@@ -31,6 +31,17 @@ def map_text(df: DataFrame, keep: list[str], text: str, added: str, start: Calla
     return src.mapInArrow(run, f"{kept}, {added}" if keep else added)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes to be none of the columns of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def _split(ddl: str) -> list[str]:
     out, depth = [""], 0
     for c in ddl:

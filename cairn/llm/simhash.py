@@ -1,25 +1,30 @@
 """SimHash near-duplicates, verified through pivot distance tables.
 
-A pair within ``max_bits`` differing bits agrees on at least two of ``max_bits + 2`` blocks of the
-fingerprint, so a join on every pair of blocks brings all such pairs together. Within a bucket each
-fingerprint carries its Hamming distances to many fixed reference fingerprints (the pivots). By the triangle
-inequality two fingerprints whose distances to any pivot differ by more than ``max_bits`` cannot be near:
-those pairs go, and only survivors are compared bit by bit. The pivot tables alone would have to visit every
-pair of the corpus; the block keys are what makes them a distributed join.
+Each fingerprint has its Hamming distances to many fixed reference fingerprints (the pivots). By the triangle
+inequality two fingerprints whose distances to any pivot differ by more than ``max_bits`` cannot be near: rows are
+sorted by the first pivot's distance and swept in windows of it, pairs apart in any other coordinate go, and only
+survivors are compared bit by bit.
+
+Random fingerprints lie 32 +- 4 bits from any pivot, so that one coordinate parts only 43 of 100 pairs and no cell of a few
+coordinates is selective: tables alone would visit every pair of the corpus. What meets in one sweep is therefore chosen
+by exact keys. A pair within ``max_bits`` agrees on at least ``t`` of ``max_bits + t`` blocks of the fingerprint, so a join
+on every choice of ``t`` blocks brings all such pairs together; ``t`` grows with the number of fingerprints (``agreeing``),
+which keeps the partners that a fingerprint meets by chance level. Results are the same for any ``t``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm._rows import map_text
+from cairn.llm._rows import free_names, map_text
 from cairn.operators.graph import connected_components
 from cairn.plans.staging import Stage
 
@@ -29,6 +34,8 @@ SEED = 42
 PIVOTS = 24
 #: Rows of a bucket that one group holds; larger buckets are cut into chunks and each pair of chunks is a group.
 CHUNK = 1024
+#: A fingerprint is to meet about so many others by chance, over all keys.
+CHANCE = 32
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -48,8 +55,9 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``(id, fp)``; ``fp`` holds the 64 bits as a signed long. Null and wordless texts have fingerprint zero."""
+def fingerprints(docs: DataFrame, id_col: str | list[str] = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """``(id, fp)``, or all columns of a list in place of ``id``; ``fp`` holds the 64 bits as a signed long. Null and wordless
+    texts have fingerprint zero. A row for every row, an empty table gives none."""
 
     def start():
         def do(texts: list) -> list:
@@ -57,7 +65,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         return do
 
-    return map_text(docs, [id_col], text_col, "fp bigint", start)
+    return map_text(docs, [id_col] if isinstance(id_col, str) else id_col, text_col, "fp bigint", start)
+
+
+def agreeing(n: int, max_bits: int = MAX_BITS) -> int:
+    """The number of blocks that a key holds, for ``n`` distinct fingerprints."""
+    t = 2
+    while comb(max_bits + t, t) * n / 2 ** (64 * t / (max_bits + t)) > CHANCE and t < 8:
+        t += 1
+    return t
 
 
 def pivot_table(fps: np.ndarray, pivots: int = PIVOTS) -> np.ndarray:
@@ -69,16 +85,19 @@ def pivot_table(fps: np.ndarray, pivots: int = PIVOTS) -> np.ndarray:
 def _links(group: np.ndarray, fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     """Rows of equal ``group`` stand together. A spanning forest of each group's links, as row numbers."""
     dist, n, out = pivot_table(fps), len(fps), []
+    order = np.lexsort((dist[0], group))
+    dist, fps, group = dist[:, order], fps[order], group[order]
     root = np.arange(n)
     first = np.searchsorted(group, group, "left")
     last = np.searchsorted(group, group, "right")
     i = np.arange(n)
     for lag in range(1, n):
         i = i[i + lag < last[i]]
+        i = i[dist[0, i + lag] - dist[0, i] <= max_bits]  # in order: once out of the window, always out
         if not len(i):
             break
         c = i
-        for d in dist:
+        for d in dist[1:]:
             c = c[np.abs(d[c] - d[c + lag]) <= max_bits]
             if not len(c):
                 break
@@ -86,7 +105,7 @@ def _links(group: np.ndarray, fps: np.ndarray, max_bits: int) -> list[tuple[int,
         for x in c[root[c] != root[c + lag]].tolist():
             lo, hi = sorted((root[x], root[x + lag]))
             if lo != hi:
-                out.append((x, x + lag))
+                out.append((int(order[x]), int(order[x + lag])))
                 part = root[first[x] : last[x]]
                 part[part == hi] = lo
     return out
@@ -97,11 +116,12 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
     Not every link is listed: within a bucket only a spanning forest is, which has the same components.
     """
-    blocks = max_bits + 2
+    agree = agreeing(distinct.count(), max_bits)
+    blocks = max_bits + agree
     cuts = [64 * i // blocks for i in range(blocks + 1)]
     parts = [((1 << cuts[i + 1]) - 1) ^ ((1 << cuts[i]) - 1) for i in range(blocks)]
     signed = lambda m: m - (1 << 64) if m >> 63 else m
-    masks = [signed(parts[i] | parts[j]) for i, j in combinations(range(blocks), 2)]
+    masks = [signed(sum(parts[i] for i in chosen)) for chosen in combinations(range(blocks), agree)]
     keyed = distinct.select("fp", "node", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks))).alias("t", "k"))
     shared = keyed.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
@@ -136,6 +156,13 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(find, "src bigint, dst bigint")
 
 
+def classes(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """``(fp, class)`` for every distinct ``fp``; equal ``class``: joined by links of ``max_bits`` or fewer."""
+    distinct = Stage(fps.sparkSession, "simhash").put(fps.select("fp", F.col("fp").alias("node")).distinct())
+    comps = connected_components(links(distinct, max_bits))
+    return distinct.join(comps, "node", "left").select("fp", F.coalesce("component", "fp").alias("class"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """``(id, fp, component_id)`` for every document; components join fingerprints by links of ``max_bits`` or fewer.
 
@@ -149,3 +176,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comps = connected_components(links(distinct, max_bits))
     named = distinct.join(comps, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return fps.join(named, "fp", "left").select(id_col, "fp", F.when(F.col(id_col).isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each class of fingerprints the row with the smallest id, with all its columns.
+
+    Rows are told apart by id, text and the rest of their columns, never by the id alone: rows that share an id but not a text
+    are documents of their own. Null ids come after all others and are deduplicated like them; null and wordless texts are
+    one class. Of rows that are alike in every column one stays. An empty table gives no rows. ``docs`` may have any columns.
+    """
+    stage, own = Stage(docs.sparkSession, "simhash"), free_names(docs, "__id", "__text", "fp", "__rest")
+    key_id, key_text, fp, rest = own
+    keyed = docs.withColumns({key_id: F.col(id_col), key_text: F.sha2(F.coalesce(text_col, F.lit("")), 256), rest: F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))})
+    fps = stage.put(fingerprints(keyed, [key_id, key_text, rest], text_col, shingle).toDF("id", "t", "rest", "fp"))
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "t", "rest")
+    each = stage.put(fps.groupBy("fp").agg(F.min(place).alias("best")))
+    stay = each.join(classes(each, max_bits), "fp").groupBy("class").agg(F.min("best").alias("best")).select("best.*")
+    stay = stay.select(F.col("id").alias(key_id), F.col("t").alias(key_text), F.col("rest").alias(rest))
+    met = keyed.join(stay, keyed[key_id].eqNullSafe(stay[key_id]) & (keyed[key_text] == stay[key_text]) & (keyed[rest] == stay[rest]), "left_semi")
+    # what is left is one row for each class, or a few that are alike in every column
+    return met.withColumn(fp, F.row_number().over(Window.partitionBy(key_id, key_text, rest).orderBy(F.lit(1)))).where(F.col(fp) == 1).select(*(F.col(f"`{c}`") for c in docs.columns))

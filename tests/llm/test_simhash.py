@@ -96,3 +96,30 @@ def test_nulls_repeats_extra_columns_and_empty(spark):
     got = sorted(((r[0], r[2]) for r in simhash.near_duplicates(t).collect()), key=str)
     assert got == [(7, 7), (7, 7), (9, 7), (None, None)]
     assert simhash.near_duplicates(t.limit(0)).count() == 0
+
+
+def test_more_blocks_with_more_fingerprints_find_the_same():
+    assert [simhash.agreeing(n) for n in (10, 10**6, 10**8, 10**10)] == [2, 2, 3, 5]
+
+
+@pytest.mark.parametrize("t", [2, 3, 4])
+def test_links_do_not_depend_on_the_blocks(spark, monkeypatch, t):
+    monkeypatch.setattr(simhash, "agreeing", lambda n, bits=4: t)
+    test_planted_distances_link_up_to_four_bits(spark)
+
+
+def test_repeated_ids_with_other_texts_stay(spark):
+    rnd = random.Random(3)
+    text = lambda: " ".join(rnd.choices(WORDS, k=120))
+    known = text()
+    rows = [(1, known, "a")]
+    own = [text() for _ in range(10)]
+    for i, t in enumerate(own):
+        rows += [(10 + i, known, "b"), (10 + i, t, "c")]
+    rows += [(None, known, "d"), (None, own[0], "e"), (None, "quite another text", "f"), (50, None, "g"), (51, "", "h"), (10, own[0], "c")]
+    t = spark.createDataFrame(rows, "doc_id long, text string, fp string").withColumn("__id", F.lit(1)).withColumn("t", F.lit(2))
+    got = simhash.one_of_each(t)
+    assert got.columns == t.columns
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    assert sorted(kept, key=str) == sorted([(1, known), *((10 + i, x) for i, x in enumerate(own)), (None, "quite another text"), (50, None)], key=str)
+    assert simhash.one_of_each(t.limit(0)).count() == 0
