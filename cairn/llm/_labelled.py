@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: A sample has at most so many characters, besides its bound in texts.
+SAMPLE_CHARS = 30_000_000
 
-def sample(docs: DataFrame, labels: DataFrame, learn: Column, label: str, bound: int, id_col: str, text_col: str) -> list[tuple[str, int]]:
-    """At most ``bound`` ``(text, label)`` rows of those where ``learn`` (on the id) holds, chosen by a hash of the id.
 
-    Only the chosen ids, ``bound`` of them at most, are broadcast; texts of other documents stay where they are.
+def sample(docs: DataFrame, labels: DataFrame, learn: Column, label: str, bound: int, id_col: str, text_col: str, chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
+    """At most ``bound`` ``(text, label)`` rows of those where ``learn`` (on the id) holds: the lowest by a hash of the id.
+
+    Of these whole texts are taken in the order of that hash until they have ``chars`` characters together. An id counts once:
+    its label is left out where its rows disagree, its text is the first of its texts. Null ids and labels other than 0 and 1 are not
+    learned from; null texts are empty. Only the chosen ids, ``bound`` at most, are broadcast; other texts stay where they are.
     """
-    known = labels.where(learn & F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).select(id_col, F.col(label).cast("int").alias("label"))
-    n = known.count()
-    if not n:
-        return []
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("labelled")), F.lit(1_000_000))
-    chosen = known.where(draw < int(1e6 * min(1.0, 0.95 * bound / n)) + (n <= bound) * 1_000_000).limit(bound)
-    rows = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(chosen), id_col).select("text", "label")
+    known = labels.where(learn & F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y"))
+    one = known.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("top")).where("y = top").drop("top")
+    chosen = one.withColumn("draw", F.xxhash64("id", F.lit("labelled"))).orderBy("draw", "id").limit(bound)
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("t")).join(F.broadcast(chosen), "id").groupBy("id", "y", "draw").agg(F.min("t").alias("t"))
+    so_far = F.sum(F.length("t").cast("bigint")).over(Window.orderBy("draw", "id"))  # over the chosen texts alone
+    rows = texts.withColumn("so_far", so_far).where(F.col("so_far") <= chars).select("t", "y")
     return sorted((r[0], r[1]) for r in rows.collect())

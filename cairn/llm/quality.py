@@ -1,16 +1,17 @@
 """Quality classifier: random-indexing word vectors, pooled for each document, and a two-layer network.
 
-Every token has a sparse random index vector that follows from a hash of its text. A word's vector is the sum of
-its neighbours' index vectors over a bounded sample of labelled texts; each class of tokens (capitals, runs of one
-sign, immediate repeats and so on) gets a vector in the same way, which stands for words never seen. A document is the
-mean of its words' vectors and of its tokens' classes, with the extremes of the classes over its sections; a
-network of one hidden layer reads that, and its logit is divided by a temperature fitted on texts set aside.
+Every token has a sparse random index vector that follows from a hash of its text. A word's vector is the sum of its
+neighbours' index vectors over a bounded sample of labelled texts, each divided by the square root of how often that
+neighbour occurs, brought to length one. Words too rare in the sample, and words never seen, get the mean of their
+three-letter parts' vectors, which are sums over the words that hold them. A document is read whole, in sections of
+equal size; pooled are the mean of its word vectors, the smallest deviation of each dimension over its sections, and the
+products of neighbouring word vectors (mean, and largest and smallest mean of a section). A network of one hidden layer
+reads that, and its logit is divided by a temperature fitted on texts set aside.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -20,28 +21,22 @@ from pyspark.sql import Column, DataFrame
 from cairn.llm._labelled import sample
 from cairn.llm._rows import map_text
 
-#: At most so many labelled texts are learned from, and so many of their commonest words keep a vector.
+#: At most so many labelled texts are learned from.
 SAMPLE = 3000
-WORDS = 40_000
 DIM = 64
 NONZERO = 6
 WINDOW = 2
-SECTION = 64
+#: Words that occur less often in the sample are read by their parts.
+MIN_COUNT = 3
+PART = 3
+SECTION = 32
 HIDDEN = 32
 EPOCHS = 60
 LIMIT = 0.3
-TOKENS_KEPT = 300_000
+#: Characters of the tokens whose vectors a worker keeps between calls, and tokens pooled at a time.
+CHARS_KEPT = 4_000_000
+BLOCK = 32_768
 TOKEN = re.compile(r"[^\W_]+|(?:[^\w\s]|_)+")
-#: Token classes: five kinds of word, then runs of signs by first sign and by whether longer than one.
-SIGNS = 8
-CLASSES = 5 + 2 * SIGNS + 1
-REPEAT = CLASSES - 1
-
-
-def token_class(t: str) -> int:
-    if t[0].isalnum():
-        return 0 if t.islower() else 4 if any(c.isdigit() for c in t) else 2 if len(t) > 1 and t.isupper() else 1 if t[1:].islower() or len(t) == 1 else 3
-    return 5 + zlib.crc32(t[0].encode()) % SIGNS * 2 + (len(t) > 1)
 
 
 def index_vectors(tokens: list[str]) -> np.ndarray:
@@ -54,17 +49,27 @@ def index_vectors(tokens: list[str]) -> np.ndarray:
     return out
 
 
+def parts(token: str) -> list[str]:
+    t = f"<{token}>"
+    return [t[i : i + PART] for i in range(max(1, len(t) - PART + 1))]
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+
+
 class Vectors:
-    """Word and class vectors from a list of texts."""
+    """Vectors of words and of word parts from a list of texts, as rows of length one (or zero)."""
 
     def __init__(self, texts: list[str]):
         known: dict[str, int] = {}
         docs = [np.array([known.setdefault(t, len(known)) for t in TOKEN.findall(x)], dtype=np.int32) for x in texts]
-        n = len(known)
-        index = index_vectors(list(known))
+        names, n = list(known), len(known)
         flat = np.concatenate([*docs, np.zeros(0, np.int32)])
         place = np.repeat(np.arange(len(docs), dtype=np.int32), [len(d) for d in docs])
         count = np.bincount(flat, minlength=n)
+        index = index_vectors(names)
+        weight = (1 / np.sqrt(np.maximum(count, 1))).astype(np.float32)[:, None]
         context = np.zeros((n, DIM), np.float32)
         for at in range(0, len(flat), 50_000):  # bounded: the sums of so many places at a time
             here = np.arange(at, min(len(flat), at + 50_000))
@@ -72,58 +77,100 @@ class Vectors:
             for off in (*range(-WINDOW, 0), *range(1, WINDOW + 1)):
                 other = np.clip(here + off, 0, len(flat) - 1)
                 ok = (here + off == other) & (place[other] == place[here])
-                near[ok] += index[flat[other[ok]]]
+                near[ok] += index[flat[other[ok]]] * weight[flat[other[ok]]]
             order = np.argsort(flat[here], kind="stable")
             own, first = np.unique(flat[here][order], return_index=True)
             context[own] += np.add.reduceat(near[order], first, axis=0)
-        classes = np.array([token_class(t) for t in known], dtype=np.int64)
-        self.classes = np.zeros((CLASSES, DIM), np.float32)
-        np.add.at(self.classes, classes, context)
-        self.classes[REPEAT] = index_vectors(["\x00repeat"])[0]
-        self.classes /= np.maximum(np.linalg.norm(self.classes, axis=1, keepdims=True), 1e-9)
-        keep = np.lexsort((np.arange(n), -count))[:WORDS]
-        context /= np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-9)
-        names = list(known)
+        self.parts: dict[str, int] = {}
+        split = [[self.parts.setdefault(p, len(self.parts)) for p in parts(t)] for t in names]
+        self.part_table = np.zeros((len(self.parts), DIM), np.float32)
+        for at in range(0, n, 10_000):
+            some = split[at : at + 10_000]
+            np.add.at(self.part_table, np.fromiter((p for ps in some for p in ps), np.int64), np.repeat(context[at : at + 10_000], [len(ps) for ps in some], axis=0))
+        self.part_table = _unit(self.part_table)
+        keep = np.flatnonzero(count >= MIN_COUNT)
         self.words = {names[i]: k for k, i in enumerate(keep.tolist())}
-        self.table = np.concatenate([context[keep], self.classes])  # words without a vector have their class's
+        self.table = _unit(context[keep])
+
+    def of(self, tokens: list[str]) -> np.ndarray:
+        """A row for each token; zero where none of its parts is known."""
+        out = np.zeros((len(tokens), DIM), np.float32)
+        row = np.fromiter((self.words.get(t, -1) for t in tokens), np.int64, len(tokens))
+        out[row >= 0] = self.table[row[row >= 0]]
+        new = np.flatnonzero(row < 0)
+        own = [[p for p in map(self.parts.get, parts(tokens[i])) if p is not None] for i in new.tolist()]
+        size = np.fromiter(map(len, own), np.int64, len(own))
+        new, size = new[size > 0], size[size > 0]
+        if len(new):
+            flat = np.fromiter((p for ps in own for p in ps), np.int64, int(size.sum()))
+            out[new] = _unit(np.add.reduceat(self.part_table[flat], np.cumsum(size) - size, axis=0))
+        return out
 
 
 class Pooler:
-    """Features of texts, with what is known of the tokens met so far."""
+    """Pooled vectors of texts, with the vectors of tokens met so far."""
+
+    width = 2 * DIM + 3
 
     def __init__(self, v: Vectors):
         self.v = v
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.row, self.cls = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known: dict[str, int] = {"": 0}  # a row of zeros behind the end of a section
+        self.table, self.chars = np.zeros((1 << 12, DIM), np.float32), 0
+
+    def learn(self, tokens: list[str]) -> None:
+        n = len(self.known)
+        while n + len(tokens) > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        for at in range(0, len(tokens), 4096):
+            self.table[n + at : n + min(len(tokens), at + 4096)] = self.v.of(tokens[at : at + 4096])
+        self.known.update(zip(tokens, range(n, n + len(tokens))))
+        self.chars += sum(map(len, tokens)) + 8 * len(tokens)
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        if len(self.known) > TOKENS_KEPT:
+        """``[text, width]``; zeros for a text without a token."""
+        if self.chars > CHARS_KEPT:
             self.forget()
         split = [TOKEN.findall(t) for t in texts]
         if new := list({t for ts in split for t in ts} - self.known.keys()):
-            cls = np.array([token_class(t) for t in new], dtype=np.int64)
-            row = np.array([self.v.words.get(t, -1) for t in new], dtype=np.int64)
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            self.row = np.concatenate([self.row, np.where(row < 0, len(self.v.words) + cls, row)])
-            self.cls = np.concatenate([self.cls, cls])
-        out = np.zeros((len(texts), 2 * DIM + 2 * CLASSES), np.float32)
-        for i, ts in enumerate(split):
-            if not ts:
-                continue
-            k = np.fromiter(map(self.known.__getitem__, ts), np.int64, len(ts))
-            cls, again = self.cls[k], np.concatenate([[False], k[1:] == k[:-1]])
-            n_sections = -(-len(k) // SECTION)
-            part = np.arange(len(k)) * n_sections // len(k)
-            share = np.bincount(part * CLASSES + cls, minlength=n_sections * CLASSES).reshape(-1, CLASSES).astype(np.float32)
-            share[:, REPEAT] = np.bincount(part, again, n_sections)
-            size = np.bincount(part, minlength=n_sections)[:, None]
-            mean = share.sum(0) / len(k)
-            share /= size
-            words = self.v.table[self.row[k]].mean(0) if len(k) < 50_000 else np.bincount(self.row[k], minlength=len(self.v.table)) @ self.v.table / len(k)
-            out[i] = np.concatenate([words, mean @ self.v.classes, share.max(0), share.min(0)])
+            self.learn(new)
+        size = np.fromiter(map(len, split), np.int64, len(split))
+        ids = np.fromiter((self.known[t] for ts in split for t in ts), np.int64, int(size.sum()))
+        del split
+        n_sections = -(-size // SECTION)
+        own = np.repeat(np.arange(len(size)), n_sections)  # document of each section
+        k = np.arange(len(own)) - np.repeat(np.cumsum(n_sections) - n_sections, n_sections)
+        begin = (np.cumsum(size) - size)[own] - (-k * size[own] // n_sections[own])
+        ends = np.append(begin[1:], len(ids))
+        total, least = np.zeros((len(size), DIM)), np.full((len(size), DIM), np.inf)
+        pairs, most, few = np.zeros(len(size)), np.full(len(size), -np.inf), np.full(len(size), np.inf)
+        first = np.zeros(len(ids), bool)
+        first[(np.cumsum(size) - size)[size > 0]] = True
+        at = 0
+        while at < len(own):  # whole sections, up to BLOCK tokens or so
+            to = max(at + 1, int(np.searchsorted(ends, begin[at] + BLOCK, "right")))
+            lo, hi = int(begin[at]), int(ends[to - 1])
+            m = self.table[ids[lo:hi]]
+            before = self.table[ids[max(lo - 1, 0)]][None]
+            product = np.einsum("ij,ij->i", m, np.concatenate([before, m[:-1]]))
+            product[first[lo:hi]] = 0
+            cuts, n, doc = begin[at:to] - lo, (ends - begin)[at:to].astype(float), own[at:to]
+            held = np.arange(SECTION) < n[:, None]
+            place = np.where(held, cuts[:, None] + np.arange(SECTION), 0)
+            each = self.table[np.where(held, ids[lo:hi][place], 0)]  # [section, token, dimension]
+            s, q = each.sum(1, dtype=np.float32).astype(np.float64), np.einsum("skd,skd->sd", each, each).astype(np.float64)
+            p = np.where(held, product[place], 0).sum(1).astype(np.float64)
+            np.add.at(total, doc, s)
+            np.add.at(pairs, doc, p)
+            np.minimum.at(least, doc, np.sqrt(np.maximum(q / n[:, None] - np.square(s / n[:, None]), 0)))
+            np.maximum.at(most, doc, p / n)
+            np.minimum.at(few, doc, p / n)
+            at = to
+        out = np.zeros((len(size), self.width), np.float32)
+        has = size > 0
+        out[has] = np.concatenate([total[has] / size[has, None], least[has], (pairs[has] / size[has])[:, None], most[has, None], few[has, None]], axis=1)
         return out
 
 
@@ -184,7 +231,7 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
     ``learn`` says which ids of ``labels`` may be learned from; at most ``SAMPLE`` labelled texts are.
     """
     model = Model(sample(docs, labels, learn, label, SAMPLE, id_col, text_col))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by SAMPLE and WORDS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the words of a bounded sample
 
     def start():
         m = shared.value
@@ -193,8 +240,8 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
         def do(texts: list) -> list:
             if pool is None:
                 return [pa.array([m.constant if t and TOKEN.search(t) else 0.0 for t in texts], pa.float64())]
-            x = pool([t or "" for t in texts])
-            return [pa.array(np.where(x.any(1), m.network(x), 0.0), pa.float64())]
+            none = np.fromiter((not t or TOKEN.search(t) is None for t in texts), bool, len(texts))
+            return [pa.array(np.where(none, 0.0, m.network(pool([t or "" for t in texts]))), pa.float64())]
 
         return do
 

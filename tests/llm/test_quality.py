@@ -42,11 +42,94 @@ def test_pooling_covers_whole_texts():
     assert np.allclose(q.Pooler(v)(["bana coro"]), few)
 
 
+def context(texts, t):
+    """Sum of the neighbours' index vectors of a word, over the square root of their counts, one by one."""
+    count, out = {}, np.zeros(q.DIM)
+    for x in texts:
+        for w in q.TOKEN.findall(x):
+            count[w] = count.get(w, 0) + 1
+    for x in texts:
+        ws = q.TOKEN.findall(x)
+        for i, w in enumerate(ws):
+            if w == t:
+                for j in range(max(0, i - q.WINDOW), min(len(ws), i + q.WINDOW + 1)):
+                    if j != i:
+                        out += q.index_vectors([ws[j]])[0] / np.sqrt(count[ws[j]])
+    return out
+
+
 def test_words_have_the_sums_of_their_neighbours():
-    v = q.Vectors(["aa bb cc", "bb dd"])
-    index = dict(zip(["aa", "bb", "cc", "dd"], q.index_vectors(["aa", "bb", "cc", "dd"]).astype(float)))
-    want = index["aa"] + index["cc"] + index["dd"]
-    assert np.allclose(v.table[v.words["bb"]], want / np.linalg.norm(want), atol=1e-6)
+    texts = ["aa bb cc aa", "bb dd aa", "ee aa, bb!! dd bb"]
+    v = q.Vectors(texts)
+    assert set(v.words) == {"aa", "bb"}  # the others are too rare
+    for w in v.words:
+        want = context(texts, w)
+        assert np.allclose(v.table[v.words[w]], want / np.linalg.norm(want), atol=1e-6)
+    part = context(texts, "dd")
+    assert np.allclose(v.part_table[v.parts["dd>"]], part / np.linalg.norm(part), atol=1e-6)
+
+
+def test_rare_and_new_words_have_the_mean_of_their_parts():
+    v = q.Vectors(["aabb cc aabb dd", "bbcc dd ee"])
+    own = v.part_table[[v.parts[p] for p in ("<bb", "bbc", "bcc", "cc>")]].sum(0)
+    got = v.of(["bbcc", "bbcx", "zzzz"])
+    assert np.allclose(got[0], own / np.linalg.norm(own), atol=1e-6)
+    own = v.part_table[[v.parts[p] for p in ("<bb", "bbc")]].sum(0)
+    assert np.allclose(got[1], own / np.linalg.norm(own), atol=1e-6) and not got[2].any()
+
+
+def test_pooling_is_that_of_a_loop(monkeypatch):
+    texts = [t for _, t, _ in corpus(40)] + ["", "one", "### !!", "bana " * 33, "coro muse " * 400]
+    v = q.Vectors(texts[:30])
+    want = []
+    for t in texts:
+        m = v.of(q.TOKEN.findall(t)).astype(float)
+        if not len(m):
+            want.append(np.zeros(q.Pooler.width))
+            continue
+        n = -(-len(m) // q.SECTION)
+        cuts = [-(-k * len(m) // n) for k in range(n + 1)]
+        near = np.array([0.0] + [m[i] @ m[i - 1] for i in range(1, len(m))])
+        each = [near[a:b].mean() for a, b in zip(cuts, cuts[1:])]
+        want.append(np.concatenate([m.mean(0), np.min([m[a:b].std(0) for a, b in zip(cuts, cuts[1:])], axis=0), [near.mean(), max(each), min(each)]]))
+        assert max(b - a for a, b in zip(cuts, cuts[1:])) <= q.SECTION
+    assert np.allclose(q.Pooler(v)(texts), want, atol=2e-3)
+    assert np.allclose(np.array(q.Pooler(v)(texts))[:, : q.DIM], np.array(want)[:, : q.DIM], atol=1e-5)
+    monkeypatch.setattr(q, "BLOCK", 50)
+    monkeypatch.setattr(q, "CHARS_KEPT", 10)
+    pool = q.Pooler(v)
+    assert np.array_equal(np.concatenate([pool([t]) for t in texts]), q.Pooler(v)(texts))
+
+
+def test_network_and_temperature_are_those_of_a_loop():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 6))
+    y = (rng.random(300) < 1 / (1 + np.exp(-3 * x[:, 0] + x[:, 1]))).astype(int)
+    n = q.Network(x, y)
+
+    def logit(row):
+        hidden = [max(0.0, n.b1[k] + sum((row[i] - n.mean[i]) / n.std[i] * n.w1[i, k] for i in range(6))) for k in range(q.HIDDEN)]
+        return n.b2[0] + sum(h * w for h, w in zip(hidden, n.w2))
+
+    logits = [logit(r) for r in x]
+    assert np.allclose(n(x), [1 / (1 + np.exp(-v / n.temperature)) for v in logits])
+    loss = lambda t: sum(np.log(1 + np.exp(-v / t if c else v / t)) for i, (v, c) in enumerate(zip(logits, y)) if i % 5 == 0)
+    assert loss(n.temperature) <= min(loss(t) for t in np.geomspace(0.5, 20, 200)) + 0.05
+    right = np.mean([(v > 0) == bool(c) for v, c in zip(logits, y)])
+    assert right > 0.8
+
+
+def test_sample_is_bounded_and_counts_an_id_once(spark):
+    from cairn.llm import _labelled as lab
+
+    docs = spark.createDataFrame([(i, f"text {i:03d}") for i in range(100)] + [(5, "a"), (5, "b"), (None, "x"), (7, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)] + [(5, 1), (6, 1), (None, 1), (8, 0)], "doc_id long, quality int")
+    take = lambda bound, **kw: lab.sample(docs, labels, F.lit(True), "quality", bound, "doc_id", "text", **kw)
+    every = take(1000)
+    assert len(every) == 99 and ("a", 1) in every and not any("006" in t for t, _ in every) and ("", 1) in every
+    some = take(10)
+    assert len(some) == 10 and set(some) <= set(every) and set(some) <= set(take(20))
+    assert sum(len(t) for t, _ in take(1000, chars=80)) <= 80
 
 
 def test_temperature_calibrates():
