@@ -27,11 +27,12 @@ _NUMBERS = "".join(c for c in _CHARS if unicodedata.category(c)[0] == "N")
 _OTHER = re.compile(f"[^\t\n\r{re.escape(''.join(_CHARS))}]|<\\|")
 #: The word pattern of the public vocabulary file.
 _WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
-CHUNKS_KEPT = 500_000
+#: What a worker keeps of chunks and their ids between calls, in numbers and characters of 4 bytes or so.
+KEPT = 16_000_000
 
 
 class WordEncoder:
-    """``path``: a file of the ``tokenizers`` library. Holds the ids of at most ``CHUNKS_KEPT`` chunks and one call's.
+    """``path``: a file of the ``tokenizers`` library. Holds chunks and ids of the size ``KEPT`` and one call's.
 
     A chunk is what stands between white space; no word of the tokenizer crosses it. New chunks of a call go to the
     tokenizer as one text; in its vocabulary a word's last piece is marked, which tells whose ids are whose.
@@ -49,6 +50,7 @@ class WordEncoder:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.size = 0
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.at, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
@@ -72,11 +74,12 @@ class WordEncoder:
         self.at[n : n + len(chunks)] = self.used + np.cumsum(sizes) - sizes
         self.length[n : n + len(chunks)] = sizes
         self.used += total
+        self.size += total + 16 * len(chunks) + sum(map(len, chunks))
         self.known.update(zip(chunks, range(n, n + len(chunks))))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text as uint32; none for null or empty ones."""
-        if len(self.known) > CHUNKS_KEPT:
+        if self.size > KEPT:
             self.forget()
         odd = [i for i, t in enumerate(texts) if t and _OTHER.search(t)]
         whole = dict(zip(odd, self.tokenizer.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False)))

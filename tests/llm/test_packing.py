@@ -30,7 +30,7 @@ def test_ids_are_the_tokenizers(plain):
 
 
 def test_encoder_forgets_within_bounds(monkeypatch, plain):
-    monkeypatch.setattr(tokens, "CHUNKS_KEPT", 5)
+    monkeypatch.setattr(tokens, "KEPT", 100)
     e = tokens.WordEncoder(PATH)
     for i in range(10):
         t = f"some words {i} and {i * 7} more"
@@ -81,6 +81,59 @@ def test_rounds_merge_underfull_bins(spark):
     assert p.sequence_id.nunique() == 1
 
 
+def test_runs_are_the_bins_of_single_items():
+    rnd = random.Random(7)
+    for _ in range(60):
+        capacity = rnd.choice([7, 30, 200])
+        counts = {rnd.randint(1, capacity): rnd.randint(1, 40) for _ in range(rnd.randint(1, 25))}
+        runs = packing.best_fit_runs(counts, capacity)
+        single = packing.best_fit(np.array([s for s, n in counts.items() for _ in range(n)]), capacity)[2]
+        assert sorted(capacity - r.free for r in runs for _ in range(r.n)) == sorted(single.tolist())
+        used = {s: [] for s in counts}
+        for r in runs:
+            for b in range(r.n):
+                end = 0
+                for size, at, q, off in r.items:
+                    assert off == end
+                    used[size] += range(at + b * q, at + b * q + q)
+                    end += q * size
+                assert end == capacity - r.free
+        assert all(sorted(v) == list(range(counts[s])) for s, v in used.items())
+    many = packing.best_fit_runs({1100: 10**9, 900: 3 * 10**8, 7: 10**10})
+    assert sum(r.n for r in many) < 1.01e9 + 10**8 and len(many) < 50  # as quick as for ten bins
+
+
+def test_nodes_stay_small_when_every_bin_rises(spark, monkeypatch):
+    """Texts of which no two fit one bin: all bins rise through every round, but a node holds their counts only."""
+    rnd = random.Random(4)
+    size, calls = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    texts = [" ".join(["word"] * rnd.randint(1024, 1060)) for _ in range(1500)] + ["word " * rnd.randint(1, 300) for _ in range(1500)]
+    rnd.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(100)
+    merge = packing._merge
+
+    def watched(pdf, capacity, last):
+        calls.add(1)
+        size.add(max(0, len(pdf) - packing.FAN_IN * 400))
+        return merge(pdf, capacity, last)
+
+    monkeypatch.setattr(packing, "_merge", watched)
+    p = packing.pack(docs, PATH).toPandas()
+    assert calls.value == 13 + 2 + 1 and size.value == 0
+    for _, g in p.sort_values(["sequence_id", "offset"]).groupby("sequence_id"):
+        assert g.offset.tolist() == [0, *g.length.cumsum().tolist()[:-1]] and g.length.sum() <= 2048
+    best = len(packing.best_fit(p.length.to_numpy())[2])
+    assert best <= p.sequence_id.nunique() <= best + 100 / 8 + 1  # one loose bin for a node of the first round at most
+
+
+def test_flushes_of_one_partition_meet(spark, monkeypatch):
+    monkeypatch.setattr(packing, "HELD", 10)
+    docs = [(i, "one two three") for i in range(95)]
+    for parts in (1, 9):
+        p = packing.pack(spark.createDataFrame(docs, "doc_id long, text string").repartition(parts), PATH).toPandas()
+        assert p.sequence_id.nunique() == 1
+
+
 def test_sequences_hold_the_ids(spark, plain):
     docs = [(1, "alpha beta"), (2, None), (3, "gamma " * 3000)]
     packed = packing.pack(spark.createDataFrame(docs, "doc_id long, text string"), PATH, keep_ids=True)
