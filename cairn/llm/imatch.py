@@ -1,15 +1,15 @@
 """I-Match document fingerprints in DataFrame functions only.
 
-A document's terms are its distinct lower-cased words, as 64-bit hashes. Those whose document frequency over all
-documents lies in a band of inverse document frequencies stay. Lexicon subsets are random: ``PARTS`` subsets part the
-whole band, so each term of a document is in exactly one of them; beside them others are nested by rung, where a
-term belongs to rung ``l`` if the last ``l`` bits of its hash are zero, and in each rung to one of ``GROUPS`` by other
-bits. For every subset the document's terms in it are hashed as a set; that slot changes with any of its
-terms. A document uses ``RUNGS`` rungs, from the one where about ``2 * GROUPS`` of its terms are left, so long and
-short documents both have slots of one or two terms; the parting subsets hold whatever is in the band.
+A document's terms are its distinct lower-cased words, as 64-bit hashes. Those whose document frequency over all documents
+lies in a band of inverse document frequencies stay, are sorted, and are dealt by their leading bits to random subsets of the
+lexicon, which part the whole band: every term is in exactly one subset. Each subset that holds any of the document's terms is a
+slot: its number and the sum of its terms' hashes, so that a slot changes with any of its terms. The number of subsets is a power of
+two that follows from the number of the document's distinct words, so that a slot holds one term or two in short texts and in
+long ones; two documents are compared at the coarser of their numbers, to which the slots of the finer one add up.
 
 The upper limit of the band counts groups of like texts, so that copies cannot push the terms they share over it; the lower
-one counts rows. A document without a term in the band takes its terms of two or more documents, or else all it has.
+one counts rows. A text of few words keeps all of them; a longer one without a term in the band takes its terms of two or more
+documents, or else all it has.
 
 Terms are not looked up one by one: those over the band are few (the mean number of terms over ``MAX_SHARE``) and are taken
 off in one array, those under it occur in one document and return to it alone.
@@ -22,11 +22,12 @@ from pyspark.sql import functions as F
 
 from cairn.plans.staging import Stage
 
-GROUPS = 16
-RUNGS = 3
-NESTED = RUNGS * GROUPS
-#: Subsets that part the band; few, as a slot of many terms says little but whether all are the same.
-PARTS = 4
+#: Bits of the number of a slot, from and to, and of its hash; 31 together.
+MIN_BITS, MAX_BITS, HASH_BITS = 5, 22, 9
+#: Texts of fewer distinct words keep all of them.
+FEW = 16
+#: Terms of one subset are looked for so far ahead in the sorted array; a subset that goes on is read from the whole array.
+AHEAD = 16
 #: Texts are like if so many of as many keys, each of the lowest terms of its part of all hashes, are the same.
 KEYS, LIKE_KEYS = 8, 3
 #: The weight of one group, in whole numbers so that sums do not depend on their order.
@@ -36,7 +37,6 @@ MIN_DF = 2
 MAX_SHARE = 0.05
 #: Documents of neighbouring ids that are put in order together, about.
 NEIGHBOURS = 256
-EMPTY = -1
 
 
 def terms(text: Column) -> Column:
@@ -45,68 +45,85 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
-def base_rung(n_terms: Column) -> Column:
-    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(n_terms, F.lit(1)) / F.lit(2.0 * GROUPS)))).cast("int")
+def bits_for(n_terms: Column) -> Column:
+    """Bits of the number of subsets: as many subsets as words, or up to twice as many."""
+    return F.least(F.lit(MAX_BITS), F.greatest(F.lit(MIN_BITS), F.ceil(F.log2(F.greatest(n_terms, F.lit(1)))))).cast("int")
 
 
-def candidates(all_terms: Column, rung: Column) -> Column:
-    mask = F.pow(F.lit(2.0), rung).cast("bigint") - 1
-    return F.filter(all_terms, lambda h: h.bitwiseAND(mask) == 0)
+def _shr(x: Column, by: Column) -> Column:
+    return F.call_function("shiftright", x, by)
 
 
-def marks(kept: Column) -> Column:
-    """For each of the subsets that part the band the exclusive or of its terms' hashes; 0 where there is none."""
+def sorted_terms(kept: Column) -> Column:
+    """Terms as positive numbers in order, so that those of one subset, which share their leading bits, stand together."""
+    return F.sort_array(F.transform(kept, lambda h: F.shiftrightunsigned(h, 1)))
 
-    def mark(g: Column) -> Column:
-        own = F.filter(kept, lambda h: F.shiftrightunsigned(h, 28).bitwiseAND(F.lit(PARTS - 1)) == g)
-        return F.aggregate(own, F.lit(0).cast("bigint"), lambda x, h: x.bitwiseXOR(F.xxhash64(h)))
 
-    return F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(PARTS - 1).cast("bigint")), mark)
+def slots(terms_in_order: Column, bits: Column) -> Column:
+    """For each subset that holds any of the terms its number, and behind it the sum of their hashes; in order."""
+    u, most = terms_in_order, F.lit(2**HASH_BITS - 1)
+    subset = lambda x: _shr(x, F.lit(63) - bits)
 
+    def slot(x: Column, i: Column) -> Column:
+        alike = lambda y: subset(y) == subset(x)
+        total = lambda own: F.aggregate(own, F.lit(0), lambda s, y: (s + y.bitwiseAND(most).cast("int")).bitwiseAND(most))
+        here = F.filter(F.slice(u, i + 1, F.lit(AHEAD)), alike)
+        own = F.when(F.coalesce(alike(F.get(u, i + AHEAD)), F.lit(False)), F.filter(u, alike)).otherwise(here)
+        alone = ~F.coalesce(alike(F.get(u, i + 1)), F.lit(False))
+        value = F.when(alone, x.bitwiseAND(most).cast("int")).otherwise(total(own))
+        first = (i == 0) | (subset(F.get(u, i - 1)) != subset(x))
+        return F.when(first, (subset(x) * 2**HASH_BITS).cast("int") + value)
 
-def with_marks(m: Column, more: Column) -> Column:
-    """``m`` with a few more terms."""
-    return F.zip_with(m, marks(more), lambda a, b: a.bitwiseXOR(b))
+    return F.filter(F.transform(u, slot), lambda v: v.isNotNull())
 
 
-def slots(kept: Column, m: Column, rung: Column) -> Column:
-    """For each rung and group, then for each of ``marks``, the hash, below 65536, of the terms in it; EMPTY where there is none."""
+def with_terms(s: Column, bits: Column, more: Column) -> Column:
+    """``s`` with a few more terms."""
+    size, most = 2**HASH_BITS, F.lit(2**HASH_BITS - 1)
+    new = slots(sorted_terms(more), bits)
+    of = lambda v: F.shiftright(v, HASH_BITS)
+    added = lambda v: F.aggregate(F.filter(new, lambda w: of(w) == of(v)), F.lit(0), lambda a, w: a + w.bitwiseAND(most))
+    old = F.transform(s, lambda v: of(v) * size + (v.bitwiseAND(most) + added(v)).bitwiseAND(most))
+    return F.when(F.size(more) == 0, s).otherwise(F.sort_array(F.concat(old, F.filter(new, lambda w: ~F.exists(s, lambda v: of(v) == of(w))))))
 
-    def subset(s: Column) -> Column:
-        r = rung + F.floor(s / GROUPS).cast("int")
-        by = 33 + 3 * (r % 10)  # the bits that choose the group differ from rung to rung
-        return F.struct((F.pow(F.lit(2.0), r).cast("bigint") - 1).alias("mask"), by.cast("int").alias("by"), (s % GROUPS).cast("bigint").alias("group"))
 
-    def slot(x: Column) -> Column:
-        own = F.filter(kept, lambda h: (h.bitwiseAND(x["mask"]) == 0) & (F.call_function("shiftrightunsigned", h, x["by"]).bitwiseAND(F.lit(GROUPS - 1)) == x["group"]))
-        return F.when(F.size(own) == 0, F.lit(EMPTY)).otherwise(F.pmod(F.xxhash64(F.sort_array(own)), F.lit(65536)).cast("int"))
+def coarser(s: Column, by: Column) -> Column:
+    """The slots of 2 ** ``by`` neighbouring subsets added up."""
+    size, most = 2**HASH_BITS, F.lit(2**HASH_BITS - 1)
+    of = lambda v: _shr(v, by + HASH_BITS)
 
-    part = F.transform(m, lambda x: F.when(x == 0, F.lit(EMPTY)).otherwise(F.pmod(F.xxhash64(x), F.lit(65536)).cast("int")))
-    return F.concat(F.transform(F.transform(F.sequence(F.lit(0), F.lit(NESTED - 1)), subset), slot), part)
+    def slot(v: Column, i: Column) -> Column:
+        own = F.filter(F.slice(s, i + 1, _shl(F.lit(1), by)), lambda w: of(w) == of(v))
+        value = F.aggregate(own, F.lit(0), lambda a, w: (a + w.bitwiseAND(most)).bitwiseAND(most))
+        return F.when((i == 0) | (of(F.get(s, i - 1)) != of(v)), of(v) * size + value)
 
+    return F.when(by <= 0, s).otherwise(F.filter(F.transform(s, slot), lambda v: v.isNotNull()))
 
-def likeness(rung_a: Column, a: Column, rung_b: Column, b: Column) -> Column:
-    """Share of equal slots among those that both documents' rungs have and that are not empty in both."""
-    shift = (rung_a - rung_b) * GROUPS
-    other = lambda i: F.when(i >= NESTED, F.get(b, i)).when((i + shift).between(0, NESTED - 1), F.get(b, i + shift))
-    pairs = F.filter(F.sequence(F.lit(0), F.lit(NESTED + PARTS - 1)), lambda i: other(i).isNotNull() & ((F.get(a, i) != EMPTY) | (other(i) != EMPTY)))
-    same = F.filter(pairs, lambda i: F.get(a, i) == other(i))
-    return F.when(F.size(pairs) > 0, F.size(same) / F.size(pairs)).otherwise(F.lit(0.0))
+
+def _shl(x: Column, by: Column) -> Column:
+    return F.call_function("shiftleft", x, F.greatest(by, F.lit(0)))
+
+
+def likeness(bits_a: Column, a: Column, bits_b: Column, b: Column) -> Column:
+    """Share of equal slots among those that either document has, at the coarser of both numbers of subsets; 0 where there are none."""
+    pair = F.array(F.struct(coarser(a, bits_a - bits_b).alias("a"), coarser(b, bits_b - bits_a).alias("b")))
+    of = lambda x: F.transform(x, lambda v: F.shiftright(v, HASH_BITS))
+    share = F.transform(pair, lambda p: F.size(F.array_intersect(p["a"], p["b"])) / F.size(F.array_union(of(p["a"]), of(p["b"]))))
+    return F.when(F.size(a) + F.size(b) > 0, F.get(share, F.lit(0))).otherwise(F.lit(0.0))
 
 
 def or_else(own: Column, every: Column, lone: Column) -> Column:
-    """The terms in the band; without any those of two or more documents, without these all."""
+    """The terms in the band; of a text of few words all, without any in the band those of two or more documents, without these all."""
     shared = F.array_except(every, lone)
-    return F.when(F.size(own) > 0, own).when(F.size(shared) > 0, shared).otherwise(every)
+    return F.when(F.size(every) < FEW, every).when(F.size(own) > 0, own).when(F.size(shared) > 0, shared).otherwise(every)
 
 
-def written(rung: Column, s: Column, text_hash: Column, bare: Column) -> Column:
-    """The fingerprint as text, after ``=`` if no rung has a term in the band; a document without a word has its whole text's hash instead."""
-    hexed = F.array_join(F.transform(s, lambda x: F.when(x == EMPTY, F.lit("----")).otherwise(F.lower(F.lpad(F.hex(x), 4, "0")))), "")
-    filled = lambda x: F.exists(x, lambda v: v != EMPTY)
-    none = s.isNull() | ~filled(s)
-    lead = F.when(~bare & filled(F.slice(s, 1, NESTED)), F.lit("")).otherwise(F.lit("="))
-    return F.when(none, F.concat(F.lit("="), F.lower(F.lpad(F.hex(text_hash), 16, "0")))).otherwise(F.concat(lead, F.lpad(rung.cast("string"), 2, "0"), F.lit(":"), hexed))
+def written(bits: Column, s: Column, text_hash: Column, bare: Column) -> Column:
+    """The fingerprint as text, after ``=`` if no term is in the band; a document without a word has its whole text's hash instead."""
+    hexed = F.array_join(F.transform(s, lambda x: F.lower(F.hex(x))), ".")
+    lead = F.when(bare, F.lit("=")).otherwise(F.lit(""))
+    none = s.isNull() | (F.size(s) == 0)
+    return F.when(none, F.concat(F.lit("="), F.lower(F.lpad(F.hex(text_hash), 16, "0")))).otherwise(F.concat(lead, F.lpad(bits.cast("string"), 2, "0"), F.lit(":"), hexed))
 
 
 def held(df: DataFrame, **columns: Column) -> DataFrame:
@@ -222,46 +239,45 @@ def edited_and_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = rows.select("b", "rn", "id", "next_b", "next_rn", "t", "next_t", "common", F.coalesce("s", none).alias("s"), F.coalesce("next_s", none).alias("next_s"), edited.alias("e"))
     rows = held(rows, ot=terms(F.col("t")), et=terms(F.col("e")), nt=terms(F.col("next_t")))
     rows = held(rows, cut=F.array_except("et", F.concat("common", "ot", "nt")))  # words that only the cut makes: two at most
-    rows = held(rows, own=F.array_except("ot", F.concat("common", "s")), edit=F.array_except("et", F.concat("common", "s", "next_s", "cut")), orung=base_rung(F.size("ot")), erung=base_rung(F.size("et")))
-    rows = held(rows, obare=F.size("own") == 0, ebare=F.size("edit") == 0)
-    rows = held(rows, oall=or_else(F.col("own"), F.col("ot"), F.col("s")), eall=or_else(F.col("edit"), F.col("et"), F.concat("s", "next_s", "cut")))
+    rows = held(rows, own=F.array_except("ot", F.concat("common", "s")), edit=F.array_except("et", F.concat("common", "s", "next_s", "cut")), obits=bits_for(F.size("ot")), ebits=bits_for(F.size("et")))
+    rows = held(rows, obare=F.size("own") == 0, ebare=F.size("edit") == 0, few=F.size("et") < FEW)
+    rows = held(rows, oall=sorted_terms(or_else(F.col("own"), F.col("ot"), F.col("s"))), eall=sorted_terms(or_else(F.col("edit"), F.col("et"), F.concat("s", "next_s", "cut"))))
     picked = stage.put(
-        rows.select("b", "rn", "id", "next_b", "next_rn", n.cast("bigint").alias("n_chars"), F.xxhash64("t").alias("hash"), F.xxhash64("next_t").alias("next_hash"), F.sha2(F.col("e").cast("binary"), 256).alias("edited_sha256"), F.xxhash64("e").alias("edited_hash"), "orung", "erung", "cut", "obare", "ebare",
-                    candidates(F.col("oall"), F.col("orung")).alias("oc"), marks(F.col("oall")).alias("om"), candidates(F.col("eall"), F.col("erung")).alias("ec"), marks(F.col("eall")).alias("em"))
+        rows.select("b", "rn", "id", "next_b", "next_rn", n.cast("bigint").alias("n_chars"), F.xxhash64("t").alias("hash"), F.xxhash64("next_t").alias("next_hash"), F.sha2(F.col("e").cast("binary"), 256).alias("edited_sha256"), F.xxhash64("e").alias("edited_hash"),
+                    "obits", "ebits", "cut", "obare", "ebare", "few", slots(F.col("oall"), F.col("obits")).alias("os"), slots(F.col("eall"), F.col("ebits")).alias("es"))
     )
     made = picked.select("b", "rn", F.explode("cut").alias("h")).join(vocab.where(F.col("df") >= MIN_DF).select("h"), "h").groupBy("b", "rn").agg(F.collect_list("h").alias("more"))
-    known = picked.select("b", "rn", "orung", "erung", "oc", "om", "ec", "em", "ebare").join(made, ["b", "rn"], "left").withColumn("more", F.coalesce("more", none))
+    own = picked.drop("cut").join(made, ["b", "rn"], "left").withColumn("more", F.coalesce("more", none))
     only = F.col("ebare") & (F.size("more") > 0)  # then these are all it has in the band
-    known = held(known, ec0=F.when(only, none).otherwise(F.col("ec")), em0=F.when(only, marks(none)).otherwise(F.col("em")), ebare0=F.col("ebare") & ~only)
-    known = held(known, eh=F.concat("ec0", candidates(F.col("more"), F.col("erung"))), ex=with_marks(F.col("em0"), F.col("more")))
-    prints = stage.put(known.select("b", "rn", "orung", F.col("ebare0").alias("ebare"), slots(F.col("oc"), F.col("om"), F.col("orung")).alias("os"), slots(F.col("eh"), F.col("ex"), F.col("erung")).alias("es")))
-    own = picked.drop("oc", "om", "ec", "em", "cut", "ebare").join(prints.drop("orung"), ["b", "rn"], "left")
-    after = prints.select(F.col("b").alias("next_b"), F.col("rn").alias("next_rn"), F.col("orung").alias("nrung"), F.col("os").alias("ns"))
-    both = own.join(after, ["next_b", "next_rn"], "left")
-    like = lambda same, rung, s: F.when(same, F.lit(1.0)).otherwise(F.coalesce(likeness(F.col("orung"), F.col("os"), F.col(rung), F.col(s)), F.lit(0.0)))
+    ints = F.array().cast("array<int>")
+    own = own.withColumn("es", F.when(F.col("few"), F.col("es")).otherwise(with_terms(F.when(only, ints).otherwise(F.col("es")), F.col("ebits"), F.col("more")))).withColumn("ebare", F.col("ebare") & ~only)
+    after = picked.select(F.col("b").alias("next_b"), F.col("rn").alias("next_rn"), F.col("obits").alias("nbits"), F.col("os").alias("ns"))
+    both = held(own.join(after, ["next_b", "next_rn"], "left"), e_like=likeness(F.col("obits"), F.col("os"), F.col("ebits"), F.col("es")), n_like=likeness(F.col("obits"), F.col("os"), F.col("nbits"), F.col("ns")))
+    like = lambda same, found: F.when(same, F.lit(1.0)).otherwise(F.coalesce(found, F.lit(0.0)))
     return both.select(
         F.col("id").alias(id_col), "n_chars", "edited_sha256",
-        written(F.col("orung"), F.col("os"), F.col("hash"), F.col("obare")).alias("fingerprint"),
-        written(F.col("erung"), F.col("es"), F.col("edited_hash"), F.col("ebare")).alias("edited_fingerprint"),
-        like(F.col("hash") == F.col("edited_hash"), "erung", "es").alias("near_edited"),
-        like(F.col("hash") == F.col("next_hash"), "nrung", "ns").alias("near_next"),
+        written(F.col("obits"), F.col("os"), F.col("hash"), F.col("obare")).alias("fingerprint"),
+        written(F.col("ebits"), F.col("es"), F.col("edited_hash"), F.col("ebare")).alias("edited_fingerprint"),
+        like(F.col("hash") == F.col("edited_hash"), F.col("e_like")).alias("near_edited"),
+        like(F.col("hash") == F.col("next_hash"), F.col("n_like")).alias("near_next"),
     )
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, rung, slots, fingerprint)`` of each document, a row for every row: ``likeness`` compares two of them by rung and slots.
+    """``(id, bits, slots, fingerprint)`` of each document, a row for every row: ``likeness`` compares two of them by bits and slots.
 
-    ``slots`` is null where there is no word. Rows of equal id and text have equal fingerprints and are worked on once.
+    ``slots`` is null where there is no word (null and empty texts, and those of signs alone); then the fingerprint is of the whole
+    text. Rows of equal id and text have equal fingerprints and are worked on once; null ids stay. A text may be of any length. An
+    empty table gives no rows; other columns of ``docs``, whatever their names, are not read.
     """
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("t")).select("id", F.xxhash64("t").alias("hash"), terms(F.col("t")).alias("all"))
-    src = src.withColumn("rung", base_rung(F.size("all")))
+    src = src.withColumn("bits", bits_for(F.size("all")))
     stage = Stage(docs.sparkSession, "imatch")
     vocab = stage.put(vocabulary(docs, id_col, text_col))
     inside = vocab.select("h", "df").join(F.broadcast(over(docs, vocab, text_col, stage).withColumn("over", F.lit(True))), "h", "left")
-    asked = src.select("hash", "rung", F.explode("all").alias("h")).distinct().join(inside, "h")
+    asked = src.select("hash", "bits", F.explode("all").alias("h")).distinct().join(inside, "h")
     shared = F.col("df") >= MIN_DF
-    kept = asked.groupBy("hash", "rung").agg(F.collect_list(F.when(shared & F.col("over").isNull(), F.col("h"))).alias("own"), F.collect_list("h").alias("every"), F.collect_list(F.when(~shared, F.col("h"))).alias("lone"))
-    kept = held(kept, bare=F.size("own") == 0, kept=or_else(F.col("own"), F.col("every"), F.col("lone")))
-    kept = held(kept, some=candidates(F.col("kept"), F.col("rung")), m=marks(F.col("kept")))
-    made = kept.select("hash", "bare", slots(F.col("some"), F.col("m"), F.col("rung")).alias("slots"))
-    return src.select("id", "hash", "rung").join(made, "hash", "left").select(F.col("id").alias(id_col), "rung", "slots", written(F.col("rung"), F.col("slots"), F.col("hash"), F.col("bare")).alias("fingerprint"))
+    kept = asked.groupBy("hash", "bits").agg(F.collect_list(F.when(shared & F.col("over").isNull(), F.col("h"))).alias("own"), F.collect_list("h").alias("every"), F.collect_list(F.when(~shared, F.col("h"))).alias("lone"))
+    kept = held(kept, bare=F.size("own") == 0, kept=sorted_terms(or_else(F.col("own"), F.col("every"), F.col("lone"))))
+    made = kept.select("hash", "bare", slots(F.col("kept"), F.col("bits")).alias("slots"))
+    return src.select("id", "hash", "bits").join(made, "hash", "left").select(F.col("id").alias(id_col), "bits", "slots", written(F.col("bits"), F.col("slots"), F.col("hash"), F.col("bare")).alias("fingerprint"))

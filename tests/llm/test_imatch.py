@@ -36,31 +36,83 @@ def test_edits_are_the_contract(spark, monkeypatch):
         assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
 
 
-def test_fingerprints_match_a_plain_version(spark):
-    rows = docs_of(60, 2)
+def term_hashes(spark, words):
+    return {r[0]: r[1] % 2**64 for r in spark.createDataFrame([(w,) for w in sorted(words)], "w string").select("w", F.xxhash64("w")).collect()}
+
+
+def plain_slots(text, hashed, band, df):
+    """Bits, slots as ``{subset: sum}`` and whether no term is in the band, of a text of lower-case words."""
+    every = {hashed[w] for w in text.split()}
+    bits = m.MIN_BITS
+    while 2**bits < len(every) and bits < m.MAX_BITS:
+        bits += 1
+    own = every & band
+    kept = every if len(every) < m.FEW else own or {h for h in every if df.get(h, 0) > 1} or every
+    out = {}
+    for h in kept:
+        u = h >> 1
+        subset = u >> (63 - bits)
+        out[subset] = (out.get(subset, 0) + u % 2**m.HASH_BITS) % 2**m.HASH_BITS
+    return bits, out, not own
+
+
+def plain_likeness(a, b):
+    bits = min(a[0], b[0])
+    sums = []
+    for own, slots, _ in (a, b):
+        s = {}
+        for k, v in slots.items():
+            s[k >> (own - bits)] = (s.get(k >> (own - bits), 0) + v) % 2**m.HASH_BITS
+        sums.append(s)
+    both = set(sums[0]) | set(sums[1])
+    return sum(sums[0].get(k) == sums[1].get(k) for k in both) / len(both) if both else 0.0
+
+
+def plain_text(slots, bare_hash):
+    bits, own, bare = slots
+    body = ".".join(f"{v:x}" for v in sorted(k * 2**m.HASH_BITS + x for k, x in own.items()))
+    return f"{'=' * bare}{bits:02d}:{body}" if own else bare_hash
+
+
+def held_against_loops(spark, rows):
     t = spark.createDataFrame(rows, "doc_id long, text string")
-    hashed = {r[0]: r[1] for r in spark.createDataFrame([(w,) for w in WORDS], "w string").select("w", F.xxhash64("w")).collect()}
+    edits = plain(rows)
+    hashed = term_hashes(spark, {w for x in edits.values() for y in x for w in y.split()})
+    band = {r[0] % 2**64 for r in m.band(t).collect()}
     df = {}
     for _, x in rows:
-        for w in set(x.split()):
-            df[w] = df.get(w, 0) + 1
-    good = {hashed[w] for w, c in df.items() if m.MIN_DF <= c <= max(m.MIN_DF, int(m.MAX_SHARE * len(rows)))}
-    assert {r[0] for r in m.band(t).collect()} == good
-    got = {r.doc_id: r.fingerprint for r in m.edited_and_next(t).collect()}
-    for i, x in rows:
-        own = {hashed[w] for w in x.split()}
-        rung = 0
-        while len(own) / (2.0 * m.GROUPS) > 2**rung:
-            rung += 1
-        filled = []
-        for s in range(m.RUNGS * m.GROUPS):
-            r = rung + s // m.GROUPS
-            filled.append(any(h % 2**r == 0 and ((h % 2**64 >> 33) // 8 ** (r % 10)) % m.GROUPS == s % m.GROUPS for h in own & good))
-        if not any(filled):
-            assert got[i].startswith("=")
-        else:
-            head, body = got[i].split(":")
-            assert int(head) == rung and [body[k * 4 : k * 4 + 4] != "----" for k in range(len(filled))] == filled
+        for w in set((x or "").split()):
+            df[hashed[w]] = df.get(hashed[w], 0) + 1
+    got = {r.doc_id: r for r in m.edited_and_next(t).collect()}
+    assert len(got) == len(rows)
+    for i, (x, e, nxt) in edits.items():
+        a, b, c = (plain_slots(y, hashed, band, df) for y in (x, e, nxt))
+        assert got[i].fingerprint == plain_text(a, got[i].fingerprint) and got[i].edited_fingerprint == plain_text(b, got[i].edited_fingerprint)
+        assert got[i].near_edited == pytest.approx(1.0 if x == e else plain_likeness(a, b))
+        assert got[i].near_next == pytest.approx(1.0 if x == nxt else plain_likeness(a, c))
+    return df, band, got
+
+
+def test_slots_and_likeness_are_those_of_loops(spark):
+    rows = docs_of(150, 2) + [(90_000, None), (90_001, " "), (90_003, "word1 word2"), (90_006, "only these are here")]
+    df, band, _ = held_against_loops(spark, rows)
+    assert band == {h for h, c in df.items() if m.MIN_DF <= c <= max(m.MIN_DF, int(m.MAX_SHARE * len(rows)))}
+
+
+def test_loops_agree_on_crowded_subsets_and_cut_words(spark, monkeypatch):
+    monkeypatch.setattr(m, "MIN_BITS", 0)
+    monkeypatch.setattr(m, "MAX_BITS", 3)  # all of a text's terms in eight subsets
+    monkeypatch.setattr(m, "AHEAD", 2)
+    rnd = random.Random(5)
+    held_against_loops(spark, [(i, " ".join(rnd.choices(WORDS + ["lone%d" % i, "w", "wo", "wor", "word"], k=rnd.choice([3, 30, 150])))) for i in range(120)])
+
+
+def test_a_very_long_text(spark):
+    rnd = random.Random(9)
+    many = [f"t{i}" for i in range(30_000)]
+    rows = [(0, " ".join(many + rnd.choices(many, k=60_000))), (1, " ".join(rnd.choices(many, k=20_000)))] + [(2 + i, " ".join(rnd.choices(many, k=50))) for i in range(40)]
+    _, _, got = held_against_loops(spark, rows)
+    assert got[0].near_edited > 0.2
 
 
 def test_copies_edits_and_strangers(spark):
@@ -112,21 +164,6 @@ def test_every_term_in_the_band_counts(spark):
     assert got == {r.doc_id: r.fingerprint for r in m.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
 
 
-def test_edited_texts_have_the_fingerprints_of_such_documents(spark):
-    rnd = random.Random(5)
-    rows = [(i, " ".join(rnd.choices(WORDS + ["lone%d" % i, "w", "wo", "wor", "word"], k=rnd.choice([3, 30, 150])))) for i in range(200)]
-    t = spark.createDataFrame(rows, "doc_id long, text string")
-    edits = plain(rows)
-    hashed = lambda ws: {r[0]: r[1] for r in spark.createDataFrame([(w,) for w in ws], "w string").select("w", F.xxhash64("w")).collect()}
-    every = hashed({w for _, e, _ in edits.values() for w in e.split()})
-    good = {r[0] for r in m.band(t).collect()}
-    for r in m.edited_and_next(t).collect():
-        own = {every[w] for w in edits[r.doc_id][1].split()} & good
-        body = r.edited_fingerprint.split(":")[-1]
-        if own:
-            assert [body[k * 4 : k * 4 + 4] != "----" for k in range(m.NESTED, m.NESTED + m.PARTS)] == [any((h % 2**64 >> 28) % m.PARTS == g for h in own) for g in range(m.PARTS)]
-
-
 def test_near_copies_that_are_a_third_of_the_rows(spark):
     rnd = random.Random(11)
     base = rnd.sample([f"base{i}" for i in range(400)], 300)
