@@ -2,8 +2,8 @@
 
 For each language every piece of a fixed public vocabulary has a probability. The likelihood of a word is the sum,
 over all ways to cut it into pieces, of the products of their probabilities, found by a forward pass; a text's is the
-product over its words. Probabilities come from expectation maximisation on the commonest words of a bounded sample of
-labelled texts; scoring covers every word of every text.
+product over its words. Probabilities come from expectation maximisation on the words of a bounded sample of labelled
+texts; scoring covers every word of every text, words of any length in one sum: the forward values are scaled as they go.
 """
 
 from __future__ import annotations
@@ -13,23 +13,27 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.llm._rows import map_text
 
-#: About so many texts of each language are sampled to learn from, and so many of its commonest words kept.
+#: The sample: about so many texts of each of the commonest values of the language column, so many characters together.
 TEXTS_PER_LANGUAGE = 500
-WORDS_PER_LANGUAGE = 4000
+LANGUAGES = 256
+SAMPLE_CHARS = 30_000_000
 EM_ROUNDS = 3
 #: What every piece of the vocabulary counts in every language beforehand, and a character that is no piece.
 PRIOR = 0.05
 UNKNOWN = 1e-7
-#: Longer words are scored in runs of so many characters.
-RUN = 40
+#: Forward values are scaled anew after so many characters.
+SCALE = 16
+#: Characters of words that one lattice holds, padded to the longest; a longer word has its lattice in strips of so many.
+CELLS, STRIP = 60_000, 4096
 #: Log-likelihoods are divided by this before they become probabilities.
 TEMPERATURE = 4.0
-WORDS_KEPT = 300_000
+#: What a worker keeps of words between calls, in characters.
+CHARS_KEPT = 6_000_000
 MARK = "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -42,51 +46,82 @@ def vocabulary(path: str) -> list[str]:
 
 
 class Lattice:
-    """All pieces in a list of words: arrays of word, start, end and piece (-1: a character that is no piece), by end."""
+    """All pieces in a list of words: arrays of word, start, end and piece (-1: a character that is no piece), by end.
 
-    def __init__(self, words: list[str], index: dict[str, int], longest: int):
+    ``after``: pieces that end there or before are left out.
+    """
+
+    def __init__(self, words: list[str], index: dict[str, int], longest: int, after: int = 0):
         word, start, end, piece = [], [], [], []
         for k, w in enumerate(words):
-            w = MARK + w
             for s in range(len(w)):
-                if w[s] not in index:
+                if w[s] not in index and s >= after:
                     word.append(k), start.append(s), end.append(s + 1), piece.append(-1)
-                for e in range(s + 1, min(len(w), s + longest) + 1):
+                for e in range(max(s, after) + 1, min(len(w), s + longest) + 1):
                     p = index.get(w[s:e])
                     if p is not None:
                         word.append(k), start.append(s), end.append(e), piece.append(p)
-        self.n, self.length = len(words), np.array([len(w) + 1 for w in words], dtype=np.int64)
+        self.n, self.length, self.longest = len(words), np.array([len(w) for w in words], dtype=np.int64), longest
         order = np.argsort(np.array(end, dtype=np.int64), kind="stable")
         self.word, self.start, self.end, self.piece = (np.array(x, dtype=np.int64)[order] for x in (word, start, end, piece))
-        self.cuts = np.searchsorted(self.end, np.arange(int(self.length.max(initial=0)) + 2))
-
-    def forward(self, prob: np.ndarray) -> np.ndarray:
-        """``[word, position, language]``: probability of the text up to a position; row -1 of ``prob`` is for unknowns."""
-        f = np.zeros((self.n, len(self.cuts), prob.shape[1]))
-        f[:, 0] = 1
-        for e in range(1, len(self.cuts) - 1):
-            s = slice(self.cuts[e], self.cuts[e + 1])
-            w = self.word[s]
-            made = f[w, self.start[s]] * prob[self.piece[s]]
-            for k in range(prob.shape[1]):
-                f[:, e, k] = np.bincount(w, made[:, k], self.n)
-        return f
+        self.last = int(self.length.max(initial=0))
+
+    def mirrored(self) -> Lattice:
+        """The same words from their ends."""
+        out = object.__new__(Lattice)
+        start, end = self.length[self.word] - self.end, self.length[self.word] - self.start
+        order = np.argsort(end, kind="stable")
+        out.n, out.length, out.longest, out.last = self.n, self.length, self.longest, self.last
+        out.word, out.start, out.end, out.piece = self.word[order], start[order], end[order], self.piece[order]
+        return out
+
+    def forward(self, prob: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
+        """``[word, position, language]``: log-probability of the word up to a position; row -1 of ``prob`` is for unknowns.
+
+        ``known``: these of the first positions, where the word goes on from an earlier strip.
+        """
+        n_lang = prob.shape[1]
+        begin = 0 if known is None else known.shape[1] - 1
+        out = np.full((self.n, self.last + 1, n_lang), -np.inf)
+        out[:, 0] = 0.0
+        if known is not None:
+            out[:, : begin + 1] = known
+        cuts = np.searchsorted(self.end, np.arange(self.last + 2))
+        for low in range(begin, self.last, SCALE):  # within a stretch values are relative to the largest before it
+            back = max(0, low - self.longest + 1)
+            top = out[:, back : low + 1].max(1)
+            top = np.where(np.isfinite(top), top, 0.0)
+            high = min(low + SCALE, self.last)
+            f = np.zeros((self.n, high - back + 1, n_lang))
+            f[:, : low - back + 1] = np.exp(out[:, back : low + 1] - top[:, None])
+            for e in range(low + 1, high + 1):
+                s = slice(cuts[e], cuts[e + 1])
+                w = self.word[s]
+                made = f[w, self.start[s] - back] * prob[self.piece[s]]
+                for k in range(n_lang):
+                    f[:, e - back, k] = np.bincount(w, made[:, k], self.n)
+            with np.errstate(divide="ignore"):
+                out[:, low + 1 : high + 1] = np.log(f[:, low - back + 1 :]) + top[:, None]
+        return out
 
     def expected(self, prob: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Expected count of each piece under one language's ``prob``, words counted by ``weight``."""
-        f = self.forward(prob)[:, :, 0]
-        b = np.zeros_like(f)
-        b[np.arange(self.n), self.length] = 1
-        for e in range(len(self.cuts) - 2, 0, -1):
-            s = slice(self.cuts[e], self.cuts[e + 1])
-            np.add.at(b, (self.word[s], self.start[s]), b[self.word[s], e] * prob[self.piece[s], 0])
+        f, b = self.forward(prob)[:, :, 0], self.mirrored().forward(prob)[:, :, 0]
         total = f[np.arange(self.n), self.length]
-        share = f[self.word, self.start] * prob[self.piece, 0] * b[self.word, self.end] / total[self.word] * weight[self.word]
+        share = f[self.word, self.start] + np.log(prob[self.piece, 0]) + b[self.word, self.length[self.word] - self.end] - total[self.word]
+        share = np.exp(share) * weight[self.word]
         return np.bincount(self.piece[self.piece >= 0], share[self.piece >= 0], len(prob) - 1)
 
 
-def _runs(word: str) -> list[str]:
-    return [word[i : i + RUN] for i in range(0, len(word), RUN)]
+def batches(words: list[str]) -> list[list[str]]:
+    """The words by length, as many together as fit ``CELLS``."""
+    out: list[list[str]] = []
+    for w in sorted(words, key=len):
+        if out and (len(out[-1]) + 1) * (len(w) + 2) <= CELLS:
+            out[-1].append(w)
+        else:
+            out.append([w])
+    return out
 
 
 class Model:
@@ -97,29 +132,41 @@ class Model:
         self.index = {p: i for i, p in enumerate(pieces)}
         self.longest = max(map(len, pieces))
         self.known: dict[str, int] = {}
-        self.score = np.zeros((0, len(langs)))
+        self.score, self.chars = np.zeros((0, len(langs))), 0
 
     def __reduce__(self):
         return Model, (list(self.index), self.langs, self.prob)
 
     def words(self, words: list[str]) -> np.ndarray:
-        """Log-likelihood of each word, at most ``RUN`` characters long, in each language."""
-        lattice = Lattice(words, self.index, self.longest)
-        f = lattice.forward(self.prob)
-        return np.log(np.maximum(f[np.arange(len(words)), lattice.length], 1e-300))
+        """Log-likelihood of each word in each language."""
+        if any(len(w) > STRIP for w in words):
+            return np.stack([self.long_word(w) if len(w) > STRIP else self.words([w])[0] for w in words])
+        lattice = Lattice([MARK + w for w in words], self.index, self.longest)
+        return lattice.forward(self.prob)[np.arange(len(words)), lattice.length]
+
+    def long_word(self, word: str) -> np.ndarray:
+        """The same for a word of any length, a strip at a time: only the last positions of one are carried to the next."""
+        w, known, done = MARK + word, np.zeros((1, 1, len(self.langs))), 0
+        while done < len(w):
+            first = done - (known.shape[1] - 1)
+            lattice = Lattice([w[first : done + STRIP]], self.index, self.longest, known.shape[1] - 1)
+            made = lattice.forward(self.prob, known)
+            done = first + lattice.last
+            known = made[:, -self.longest :]
+        return known[0, -1]
 
     def texts(self, texts: list[str | None]) -> np.ndarray:
         """Log-likelihood of each text in each language; NaN where it has no letter."""
-        if len(self.known) > WORDS_KEPT:
-            self.known, self.score = {}, self.score[:0]
+        if self.chars > CHARS_KEPT:
+            self.known, self.score, self.chars = {}, self.score[:0], 0
         split = [LETTERS.findall(t.lower()) if t else [] for t in texts]
-        split = [ws if max(map(len, ws), default=0) <= RUN else [r for w in ws for r in _runs(w)] for ws in split]
-        new = list({w for ws in split for w in ws} - self.known.keys())
-        new.sort(key=len)
-        for at in range(0, len(new), 4000):
-            some = new[at : at + 4000]
-            self.score = np.concatenate([self.score, self.words(some)])
-            self.known.update(zip(some, range(len(self.known), len(self.known) + len(some))))
+        for some in batches(list({w for ws in split for w in ws} - self.known.keys())):
+            n, need = len(self.known), len(self.known) + len(some)
+            if need > len(self.score):
+                self.score = np.concatenate([self.score, np.zeros((max(need, 2 * len(self.score)) - len(self.score), len(self.langs)))])
+            self.score[n:need] = self.words(some)
+            self.known.update(zip(some, range(n, need)))
+            self.chars += sum(map(len, some)) + 8 * len(some)
         out = np.full((len(texts), len(self.langs)), np.nan)
         for i, ws in enumerate(split):
             if ws:
@@ -131,38 +178,38 @@ def fit(rows: list[tuple[str, str]], pieces: list[str]) -> Model:
     """From ``(text, lang)`` rows."""
     counts: dict[str, Counter] = {}
     for text, lang in rows:
-        counts.setdefault(lang, Counter()).update(r for w in LETTERS.findall((text or "").lower()) for r in _runs(w))
+        counts.setdefault(lang, Counter()).update(LETTERS.findall((text or "").lower()))
     langs = sorted(counts)
     index, longest = {p: i for i, p in enumerate(pieces)}, max(map(len, pieces))
     prob = np.full((len(pieces) + 1, len(langs)), UNKNOWN)
     for k, lang in enumerate(langs):
-        top = sorted(counts[lang].items(), key=lambda x: (-x[1], x[0]))[:WORDS_PER_LANGUAGE]
-        lattice, weight = Lattice([w for w, _ in top], index, longest), np.array([c for _, c in top], dtype=float)
+        made = [(Lattice([MARK + w for w in some], index, longest), np.array([counts[lang][w] for w in some], dtype=float)) for some in batches(list(counts[lang]))]
         p = np.full((len(pieces) + 1, 1), 1 / len(pieces))
         p[-1] = UNKNOWN
         for _ in range(EM_ROUNDS):
-            c = (lattice.expected(p, weight) if top else np.zeros(len(pieces))) + PRIOR
+            c = sum((lattice.expected(p, weight) for lattice, weight in made), np.zeros(len(pieces))) + PRIOR
             p[:-1, 0] = c / c.sum()
         prob[:, k] = p[:, 0]
     return Model(pieces, langs, prob)
 
 
 def sample(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """About ``TEXTS_PER_LANGUAGE`` rows of each language among those to learn from, chosen by a hash of the id."""
-    usable = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r[0]: r[1] for r in usable.groupBy(lang_col).count().collect()}
-    if not sizes:
-        return []
-    share = F.element_at(F.create_map(*(F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(1.0, TEXTS_PER_LANGUAGE / n)))), F.col(lang_col))
-    draw = F.pmod(F.xxhash64(id_col, F.lit("langid")), F.lit(1_000_000)) / 1e6
-    return sorted((r[0], r[1]) for r in usable.where(draw < share).select(text_col, lang_col).collect())
+    """About ``TEXTS_PER_LANGUAGE`` rows of each of the ``LANGUAGES`` commonest languages among those to learn from, by a hash of the
+    id, and of these, in the order of that hash, as many as have ``SAMPLE_CHARS`` characters together."""
+    usable = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES)
+    draw = F.pmod(F.xxhash64("id", F.lit("langid")), F.lit(1_000_000)) / 1e6
+    drawn = usable.withColumn("draw", draw).join(F.broadcast(sizes), "lang").where(F.col("draw") < TEXTS_PER_LANGUAGE / F.col("n"))
+    so_far = F.sum(F.length("text").cast("bigint")).over(Window.orderBy("draw", "id", "text"))  # over the drawn texts alone
+    return sorted((r[0], r[1]) for r in drawn.withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_CHARS).select("text", "lang").collect())
 
 
 def identify(docs: DataFrame, vocabulary_path: str, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``(id, lang_pred, score)``: the likeliest of the languages learned from rows where ``learn`` holds.
 
     ``und`` with score 0 where the text is null or has no letter, or nothing could be learned. ``score`` is the softmax of
-    the log-likelihoods at ``TEMPERATURE``. Ties go to the first language by name. Repeated rows and null ids are kept.
+    the log-likelihoods at ``TEMPERATURE``. Ties go to the first language by name. Repeated rows and null ids are kept, an empty
+    table gives no rows; words and texts may be of any length, other columns are not read.
     """
     model = fit(sample(docs, learn, id_col, text_col, lang_col), vocabulary(vocabulary_path))
     spark = docs.sparkSession

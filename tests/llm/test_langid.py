@@ -45,7 +45,7 @@ def test_forward_sums_all_segmentations():
 def test_expected_counts_are_those_of_all_segmentations():
     pieces, prob = ["▁", "a", "b", "ab", "▁a"], np.array([[0.2], [0.3], [0.1], [0.25], [0.15], [1e-7]])
     index = {p: i for i, p in enumerate(pieces)}
-    lattice = g.Lattice(["ab"], index, 2)
+    lattice = g.Lattice([g.MARK + "ab"], index, 2)
     ways = [(["▁", "a", "b"], 0.2 * 0.3 * 0.1), (["▁", "ab"], 0.2 * 0.25), (["▁a", "b"], 0.15 * 0.1)]
     total = sum(p for _, p in ways)
     want = [sum(p / total * w.count(x) for w, p in ways) * 7 for x in pieces]
@@ -78,3 +78,53 @@ def test_whole_texts_count():
     m = g.fit([(t, k) for _, t, k in corpus(60)], g.vocabulary(PATH))
     a, b = m.texts(["the and " * 2000 + "queión", "the and " * 2000])
     assert not np.allclose(a, b) and np.allclose(a - b, m.words(["queión"])[0])
+
+
+def by_position(word, index, prob):
+    """The same sum position by position, with logarithms throughout."""
+    w = g.MARK + word
+    f = np.full((len(w) + 1, prob.shape[1]), -np.inf)
+    f[0] = 0
+    for e in range(1, len(w) + 1):
+        ways = [f[s] + np.log(prob[index[w[s:e]]]) for s in range(max(0, e - 40), e) if w[s:e] in index]
+        if w[e - 1] not in index:
+            ways.append(f[e - 1] + np.log(prob[-1]))
+        for x in ways:
+            f[e] = np.logaddexp(f[e], x)
+    return f[-1]
+
+
+def test_words_of_any_length_are_one_sum(monkeypatch):
+    pieces = ["▁", "a", "b", "ab", "ba", "aba", "▁a", "▁ab", "bbbb"]
+    prob = np.random.default_rng(0).random((len(pieces) + 1, 3)) / 40
+    prob[-1] = 1e-7
+    m = g.Model(pieces, ["x", "y", "z"], prob)
+    rnd = random.Random(2)
+    words = ["".join(rnd.choices("aabbbz", k=n)) for n in (1, 39, 40, 41, 42, 700, 5000, 9001)]
+    want = [by_position(w, m.index, prob) for w in words]
+    assert np.allclose(m.words(words), want)
+    monkeypatch.setattr(g, "STRIP", 7)
+    assert np.allclose(m.words(words[:6]), want[:6])
+    assert np.isfinite(m.words(["z" * 3000])).all()
+
+
+def test_texts_and_scores_are_those_of_a_loop(spark):
+    rows = corpus(90) + [(500, "donau" * 30 + " und " + "漢字" * 50, None), (501, "und The 12 UNG", None)]
+    t = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learn = F.col("doc_id") < 60
+    m = g.fit(g.sample(t, learn, "doc_id", "text", "lang"), g.vocabulary(PATH))
+    got = {r.doc_id: r for r in g.identify(t, PATH, learn).collect()}
+    for i, text, _ in rows[::9] + rows[-2:]:
+        total = sum(by_position(w, m.index, m.prob) for w in g.LETTERS.findall(text.lower()))
+        p = np.exp((total - total.max()) / g.TEMPERATURE)
+        assert got[i].lang_pred == m.langs[int(total.argmax())] and got[i].score == pytest.approx(1 / p.sum())
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    t = spark.createDataFrame([(i, f"text {i}", f"l{i % 50 if i % 3 else 0}") for i in range(600)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(g, "LANGUAGES", 4)
+    monkeypatch.setattr(g, "TEXTS_PER_LANGUAGE", 5)
+    rows = g.sample(t, F.lit(True), "doc_id", "text", "lang")
+    assert "l0" in {k for _, k in rows} and len({k for _, k in rows}) <= 4 and len(rows) < 60
+    monkeypatch.setattr(g, "SAMPLE_CHARS", 30)
+    assert sum(len(x) for x, _ in g.sample(t, F.lit(True), "doc_id", "text", "lang")) <= 30
