@@ -9,7 +9,9 @@ through a logistic function fitted on the same sample.
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -25,11 +27,12 @@ LIMIT = 0.5
 STEMS = range(4, 9)
 MIN_TEXTS = 3
 MIN_WEIGHT = 3.0
-#: A term that no text needs is taken too if it is in this share of toxic texts, and in ten, and hardly in clean ones.
-COMMON, CLEAN_SHARE = 0.01, 0.02
 #: A beginning gives way to a longer one, or a word, that has nearly as many texts.
 SPECIFIC = 0.95
-MAX_TERMS = 2000
+#: A word that no text needs is a term too if chance does not explain its toxic texts: so many false ones are expected among all words.
+CHANCE = 0.05
+#: Words that are harmless in phrases only are in this share of toxic texts; outside of these clean texts hardly have them.
+COMMON, CLEAN_SHARE = 0.01, 0.02
 
 #: Letters of other scripts that look like Latin ones, and what digits and signs in words stand for.
 LOOKALIKES = dict(zip("аеорсухіјѕԁһӏкмтвнґзԛԝαβεικνορτυχγηωϲ", "aeopcyxijsdhlkmtbhr3qwabeiknoptuxynwc"))
@@ -112,6 +115,37 @@ def _log_odds(c1: int, c0: int, n1: int, n0: int) -> float:
     return float(np.log((c1 + 0.1) / (n1 + 0.2)) - np.log((c0 + 0.1) / (n0 + 0.2)))
 
 
+def _by_chance(c1: int, c0: int, share: float) -> float:
+    """The chance that of ``c1 + c0`` groups of texts so many or more are toxic, if a term had nothing to do with it."""
+    n = c1 + c0
+    logs = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(share) + (n - k) * math.log1p(-share) for k in range(c1, n + 1)]
+    return math.fsum(map(math.exp, logs))
+
+
+def _groups(texts: list[str], keys: int = 12) -> list[int]:
+    """A number for each text, the same for texts that share half of the ``keys`` lowest hashes of their words: copies count once."""
+    root, holders, out = list(range(len(texts))), {}, []
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, t in enumerate(texts):
+        own = sorted(zlib.crc32(w.encode()) for w in set(_WORD.findall(t)))[:keys]
+        met: Counter = Counter()
+        for h in own:
+            met.update({find(j) for j in holders.get(h, ())})
+        for j, n in met.items():
+            if 2 * n >= len(own) and find(j) != find(i):
+                root[find(i)] = find(j)
+        for h in own:  # a group stands by its first text
+            if find(i) == i:
+                holders.setdefault(h, []).append(i)
+    return [find(i) for i in range(len(texts))]
+
+
 def _phrases(words: list[str], k: int) -> list[str]:
     """The pairs of words that hold the word at ``k``."""
     return [f"{a} {b}" for a, b in zip(words[max(0, k - 1) : k + 1], words[max(0, k - 1) + 1 : k + 2])]
@@ -124,14 +158,14 @@ def _harmless_in_phrases(texts: list[tuple[str, int]], terms: dict[str, float],
     for words, y in split():
         count[y].update(set(words))
     stems = tuple(c[:-1] for c in terms if c.endswith("*"))
-    odd = {w for w, c in count[1].items() if len(w) > 3 and c >= max(10, COMMON * n1) and c / n1 > 1.3 * count[0][w] / n0 and w not in terms and not w.startswith(stems or ("\0",))}
+    odd = {w for w, c in count[1].items() if c >= max(10, COMMON * n1) and c / n1 > 1.3 * count[0][w] / n0 and w not in terms and not w.startswith(stems or ("\0",))}
     odd = {w for w in odd if count[0][w] > CLEAN_SHARE * count[1][w]}
     seen: list[dict[str, Counter]] = [{w: Counter() for w in odd} for _ in (0, 1)]
     for words, y in split():
         for w, ps in {(w, p) for k, w in enumerate(words) if w in odd for p in _phrases(words, k)}:
             seen[y][w][ps] += 1
     safe = {w: {p for p, c in seen[0][w].items() if c >= MIN_TEXTS and not seen[1][w][p]} for w in odd}
-    safe = {w: ps for w, ps in safe.items() if 0 < len(ps) <= 40}
+    safe = {w: ps for w, ps in safe.items() if ps}
     left: Counter = Counter()
     for words, y in split():
         if not y:
@@ -141,7 +175,8 @@ def _harmless_in_phrases(texts: list[tuple[str, int]], terms: dict[str, float],
 
 def learn(rows: list[tuple[str, int]]) -> Lexicon:
     """From ``(text, label)``, equal rows once: terms are taken one by one, each the one that accounts for most toxic texts not yet accounted
-    for, less those clean texts that hold it; ties go to the more specific. Then exceptions, then the curve."""
+    for, less those clean texts that hold it; ties go to the more specific. Then all other words that toxic texts, copies counted once,
+    have more often than chance explains. Then exceptions, then the curve."""
     rows = sorted(set(rows))
     texts = [(fold(t), y) for t, y in rows]
     n1 = sum(y for _, y in texts)
@@ -154,7 +189,7 @@ def learn(rows: list[tuple[str, int]]) -> Lexicon:
             for w in set(_WORD.findall(t)):
                 for c in (w, *(w[:k] + "*" for k in STEMS if k <= len(w))):
                     toxic.setdefault(c, set()).add(i)
-    toxic = {c: s for c, s in toxic.items() if len(s) >= MIN_TEXTS and len(c) > 3}
+    toxic = {c: s for c, s in toxic.items() if len(s) >= MIN_TEXTS}
     longer: dict[str, int] = {}  # the most texts of any more specific term
     for c, s in toxic.items():
         for k in STEMS:
@@ -168,7 +203,7 @@ def learn(rows: list[tuple[str, int]]) -> Lexicon:
     open_ = {c: _log_odds(len(s), clean[c], n1, n0) for c, s in toxic.items()}
     open_ = {c: w for c, w in open_.items() if w >= MIN_WEIGHT}
     terms, left = {}, {i for i, (_, y) in enumerate(texts) if y}
-    while open_ and len(terms) < MAX_TERMS:
+    while open_:
         gain = {c: len(toxic[c] & left) - clean[c] for c in open_}
         best = max(open_, key=lambda c: (gain[c], not c.endswith("*"), len(c), c))
         if gain[best] < MIN_TEXTS:
@@ -176,10 +211,14 @@ def learn(rows: list[tuple[str, int]]) -> Lexicon:
         terms[best] = open_[best]
         left -= toxic[best]
         open_ = {c: w for c, w in open_.items() if c != best and gain[c] > 0}
-    for c in sorted(toxic, key=lambda c: (c.rstrip("*"), not c.endswith("*"))):
-        covered = any(c.startswith(c[:k]) and c[:k] + "*" in terms for k in STEMS if k < len(c.rstrip("*")))
-        if len(toxic[c]) >= max(10, COMMON * n1) and clean[c] <= CLEAN_SHARE * len(toxic[c]) and not covered and len(terms) < MAX_TERMS:
-            terms[c] = _log_odds(len(toxic[c]), clean[c], n1, n0)
+    group = _groups([t for t, _ in texts])
+    kinds = [len({g for g, (_, y) in zip(group, texts) if y == k}) for k in (0, 1)]
+    words = [c for c in toxic if not c.endswith("*")]
+    for c in words:
+        if c not in terms and not any(c[:k] + "*" in terms for k in STEMS):
+            c1 = len({group[i] for i in toxic[c]})
+            if _log_odds(c1, clean[c], kinds[1], kinds[0]) >= MIN_WEIGHT and _by_chance(c1, clean[c], kinds[1] / sum(kinds)) * len(words) < CHANCE:
+                terms[c] = _log_odds(len(toxic[c]), clean[c], n1, n0)
     terms |= _harmless_in_phrases(texts, terms, n1, n0)
     first = Lexicon(terms)
     found = [[{q for q in (f"{a} {word}" * bool(a), f"{word} {b}" * bool(b)) if q} for _, word, a, b in first.hits(t)] for t, _ in texts]
@@ -204,13 +243,14 @@ def learn(rows: list[tuple[str, int]]) -> Lexicon:
 
 def score(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", carry: tuple[str, ...] = (), name: str = "score", lexicon: Lexicon | None = None) -> DataFrame:
     """``(id, *carry, name)`` for every row; higher: label 1 likelier. Texts without a hit, null and empty ones
-    too, get the curve's lowest value. Repeated rows and null ids are scored like any other; an empty table gives no rows.
+    too, get the curve's lowest value, so all of them tie. Of terms that stand at one place the heaviest counts once. Repeated rows
+    and null ids are scored like any other; an empty table gives no rows. Texts may be of any length.
 
     ``learn_from`` says which ids of ``labels`` may be learned from; at most ``SAMPLE`` labelled texts are. ``lexicon``: use
     this one instead.
     """
     lexicon = lexicon or learn(sample(docs, labels, learn_from, label, SAMPLE, id_col, text_col))
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # at most MAX_TERMS terms
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # terms of a bounded sample's toxic texts
 
     def start():
         known = shared.value
