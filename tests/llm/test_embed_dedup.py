@@ -25,9 +25,10 @@ def brute(rows, threshold=0.9):
     return {i: (links[i], find(i)) for i in links}
 
 
-def test_matches_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(e, "BLOCK_MIN", 40)
-    monkeypatch.setattr(e, "STRIP", 16)
+@pytest.mark.parametrize("block, home, look", [(40, 30, 100), (1000, 1000, 10**6), (25, 500, 10**6)])
+def test_matches_brute_force(spark, monkeypatch, block, home, look):
+    for name, value in {"BLOCK": block, "HOME": home, "STRIP": 16, "LOOK": look}.items():
+        monkeypatch.setattr(e, name, value)
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(12, 24))
     x = np.concatenate([centres[rng.integers(0, 12, 160)] + rng.normal(size=(160, 24)) * rng.choice([0.02, 0.3, 0.45], (160, 1)), rng.normal(size=(80, 24))])
@@ -44,15 +45,69 @@ def test_bounds_hold():
     rng = np.random.default_rng(2)
     u = rng.normal(size=(400, 64)) * np.exp(rng.normal(size=(400, 64)))
     u /= np.linalg.norm(u, axis=1)[:, None]
-    q, s, a, r = e.quantise(u)
-    exact, coded = u @ u.T, (q.astype(float) @ q.T.astype(float)) * s[:, None] * s
-    assert (np.abs(exact - coded) <= r[:, None] * a + a[:, None] * r + r[:, None] * r + 1e-12).all()
+    q, s, a, r, p, t, a2, r2 = e.quantise(u)
+    exact, first = u @ u.T, q * s[:, None]
+    both = first + p * t[:, None]
+    for c, near, miss in ((first, a, r), (both, a2, r2)):
+        assert (np.abs(exact - c @ c.T) <= miss[:, None] * near + near[:, None] * miss + miss[:, None] * miss + 1e-12).all()
+    assert r2.max() < 1e-3 * r.max() * 10 and (r2 < r).all()
+
+
+def block_of(y):
+    import pyarrow as pa
+
+    q, s, a, r, p, t, a2, r2 = e.quantise(y)
+    codes = [c.tobytes() for c in np.concatenate([q, p], axis=1)]
+    return e.Block(pa.table({"rep": np.arange(len(y)), "mult": np.ones(len(y), int), "codes": pa.array(codes, pa.binary()), "s": s, "a": a, "r": r, "t": t, "a2": a2, "r2": r2}))
 
 
 def test_pairs_at_the_threshold():
-    y = np.array([[1.0, 0.0], [0.9, np.sqrt(1 - 0.81)], [0.9 - 1e-9, np.sqrt(1 - (0.9 - 1e-9) ** 2)], [0.9 + 1e-9, np.sqrt(1 - (0.9 + 1e-9) ** 2)]])
-    found = {(int(i), int(j)) for a, b in e.tile_links(y, y, True) for i, j in zip(a, b)}
-    assert (0, 3) in found and (0, 2) not in found and ((0, 1) in found) == (y[0] @ y[1] / (np.linalg.norm(y[0]) * np.linalg.norm(y[1])) >= 0.9)
+    y = np.array([[1.0, 0.0]] + [[c, np.sqrt(1 - c * c)] for c in (0.9, 0.9 - 1e-9, 0.9 + 1e-9, 0.9 + 1e-3, 0.9 - 1e-3, 0.95, 0.85)])
+    b = block_of(y)
+    found = {(int(i), int(j)): bool(s) for i, j, sure in e.tile_links(b, b, True) for i, j, s in zip(i, j, sure)}
+    first = {j: s for (i, j), s in found.items() if i == 0}
+    assert first[6] and first[4] and 7 not in first and 5 not in first and first[1] is False and 3 in first and not first.get(2, False)
+
+
+def test_few_pairs_are_left_open():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=64) + 0.33 * rng.normal(size=(1500, 64))  # cosines around the threshold
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    b, exact = block_of(x), x @ x.T
+    found = [np.stack(f) for f in e.tile_links(b, b, True)]
+    i, j, sure = np.concatenate(found, axis=1)
+    assert (exact[i[sure == 1], j[sure == 1]] >= 0.9).all() and (sure == 0).sum() < 0.002 * len(x) ** 2 / 2
+    assert set(zip(*np.nonzero(np.triu(exact >= 0.9, 1)))) <= set(zip(i.tolist(), j.tolist()))
+
+
+def test_visits_meet_every_link():
+    rng = np.random.default_rng(4)
+    c = rng.normal(size=(30, 16))
+    x = c[rng.integers(0, 30, 600)] + 0.25 * rng.normal(size=(600, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    home, visits = e.homes(x, x[:25], float(np.arccos(0.9)))
+    for i, j in zip(*np.nonzero(x @ x.T >= 0.9)):
+        assert home[j] in visits[i]
+    assert np.mean([len(v) for v in visits]) < 25
+
+
+def test_roots_join_as_one_by_one():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        n = int(rng.integers(2, 60))
+        i, j = rng.integers(0, n, (2, int(rng.integers(0, 90))))
+        label = np.arange(n)
+        used = e.join_roots(label, i, j)
+        parent = list(range(n))
+
+        def find(x):
+            return x if parent[x] == x else find(parent[x])
+
+        for k in used:
+            assert find(i[k]) != find(j[k])  # a forest
+            parent[find(i[k])] = find(j[k])
+        assert all(find(a) == find(b) for a, b in zip(i, j)) and len({find(k) for k in range(n)}) == len(set(label.tolist()))
+        assert all((label[a] == label[b]) == (find(a) == find(b)) for a in range(n) for b in range(n))
 
 
 @pytest.mark.parametrize("rows", [[], [(None, [1.0, 0.0])], [(1, [1.0]), (1, [1.0])]])
