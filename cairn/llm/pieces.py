@@ -4,10 +4,11 @@ No piece of the vocabulary goes on past a space mark into another word, so the b
 marked words in order. A batch's distinct words are sorted, which is a depth-first walk of their trie: each word
 keeps the forward scores of the prefix it has in common with the word before and extends only the rest.
 
-The search maximises the sum of log-probabilities. A model file of unigram type has them as scores, and the ids are then
-those of the library's own search. In a file of BPE type the scores are merge ranks, which are no log-probabilities;
-merges are ordered by frequency, so ``-ln(1 + rank)`` (Zipf's law) stands for them. The library merges by rank there, so
-some words get other, equally decodable pieces; ``agreement`` in the tests measures how few.
+In a model file of unigram type the forward score of a prefix is the best sum of its pieces' log-probabilities. In one of BPE type
+pieces are merged by rank, and a segmentation is that of the merges if and only if each pair of neighbouring pieces is: merges
+inside a piece do not see what lies beyond its ends until one of them would cross an end, and a crossing shows in the pair alone.
+So there the forward score is nought for the one last piece that goes with the prefix's own before it, and impossible for others; the
+same walk of the trie finds it. The ids are the library's in both cases.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ from cairn.llm.tokens import crc32_of
 
 MARK = "▁"
 _MARKED = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-WORDS_KEPT = 300_000
+#: What a worker keeps of words and their ids between calls, and of pairs of pieces.
+KEPT, PAIRS_KEPT = 12_000_000, 1_000_000
 #: What an unknown character costs beyond the worst piece, as in the public library.
 UNKNOWN_PENALTY = 10.0
 
@@ -45,8 +47,8 @@ class Pieces:
         normal = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.unk = sp.unk_id()
         score = {i: sp.get_score(i) for i in normal}
-        if all(v <= 0 and v == int(v) for v in score.values()):  # merge ranks
-            score = {i: -math.log1p(-v) for i, v in score.items()}
+        #: Whether scores are merge ranks.
+        self.merged = all(v <= 0 and v == int(v) for v in score.values())
         self.known = {self.text[i]: (i, v) for i, v in score.items()}
         self.unknown_score = min(s for _, s in self.known.values()) - UNKNOWN_PENALTY
         self.trie: dict = {}
@@ -58,6 +60,50 @@ class Pieces:
         #: What each piece adds to a text; bytes over 127 mean something together only.
         self.plain = [chr(self.of_byte[i]) if self.of_byte.get(i, 128) < 128 else x for i, x in enumerate(self.text)]
         self.high = {i for i, b in self.of_byte.items() if b > 127}
+        self.goes: dict[int, bool] = {}
+        self.runs: dict[int, tuple[bool, list, list, str, str]] = {}
+
+    def run(self, pid: int) -> tuple[bool, list, list, str, str]:
+        """How merging goes inside a piece: whether it ends in the piece; the merges that lie before each change of the last symbol,
+        and of the first, as ``(score, symbol)`` for every merge in turn; and the last and first symbols at the start."""
+        if (found := self.runs.get(pid)) is None:
+            symbols, last, first = list(self.text[pid]), [], []
+            ends = symbols[-1], symbols[0]
+            while len(symbols) > 1:
+                joined = [self.known.get(x + y) for x, y in zip(symbols, symbols[1:])]
+                k = max((i for i, hit in enumerate(joined) if hit is not None), key=lambda i: (joined[i][1], -i), default=None)
+                if k is None:
+                    break
+                symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
+                last.append((joined[k][1], symbols[-1]))
+                first.append((joined[k][1], symbols[0]))
+            found = self.runs[pid] = (len(symbols) == 1, last, first, *ends)
+        return found
+
+    def neighbours(self, left: int, right: int) -> bool:
+        """Whether merging the text of two pieces ends in these two: both go their ways, unless a merge across comes first."""
+        key = left << 32 | right
+        if (known := self.goes.get(key)) is not None:
+            return known
+        _, a, _, x, _ = self.run(left)
+        _, _, b, _, y = self.run(right)
+        i = j = 0
+        none = (-math.inf, "")
+        while True:
+            mine, other = a[i] if i < len(a) else none, b[j] if j < len(b) else none
+            across = self.known.get(x + y)
+            if across is not None and across[1] > mine[0] and across[1] >= other[0]:  # of equal ones the leftmost goes first
+                made = False
+                break
+            if mine is none and other is none:
+                made = True
+                break
+            if mine[0] >= other[0]:
+                i, x = i + 1, mine[1]
+            else:
+                j, y = j + 1, other[1]
+        self.goes[key] = made
+        return made
 
     def unknown(self, c: str) -> list[int]:
         """Ids for a character that is no piece: its bytes."""
@@ -66,7 +112,7 @@ class Pieces:
 
     def segment(self, words: list[str]) -> dict[str, list[int]]:
         """Ids of each word of a sorted list of distinct words. Ties go to the longer last piece."""
-        known, root, out = self.known, self.trie, {}
+        known, root, out, merged = self.known, self.trie, {}, self.merged
         best, back, alive = [0.0], [(0, 0)], [[]]  # by depth; alive: (start, trie node) of every piece that may still go on
         before = ""
         for w in words:
@@ -81,7 +127,13 @@ class Pieces:
                 for s, node in [*alive[e], (e, root)]:
                     if (node := node.get(c)) is not None:
                         on.append((s, node))
-                        if (hit := node.get("")) is not None and (top is None or best[s] + hit[1] > top):
+                        if (hit := node.get("")) is None:
+                            continue
+                        if merged:
+                            before_it = back[s][1] if s else -1
+                            if top is None and (self.run(hit[0])[0] if before_it < 0 else self.neighbours(before_it, hit[0])):
+                                top, frm, pid = 0.0, s, hit[0]
+                        elif top is None or best[s] + hit[1] > top:
                             top, frm, pid = best[s] + hit[1], s, hit[0]
                 if c not in known and (top is None or best[e] + self.unknown_score > top):
                     top, frm, pid = best[e] + self.unknown_score, e, -1
@@ -113,7 +165,7 @@ class Pieces:
 
 
 class PieceEncoder:
-    """Encodes batches of texts; keeps the ids of at most ``WORDS_KEPT`` words and one batch's."""
+    """Encodes batches of texts; keeps words and ids of the size ``KEPT`` and one batch's."""
 
     def __init__(self, path: str):
         self.pieces = Pieces(path)
@@ -121,6 +173,7 @@ class PieceEncoder:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.size = 0
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
         self.at, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
@@ -137,12 +190,15 @@ class PieceEncoder:
         self.at[n : n + len(made)] = self.used + np.cumsum(sizes) - sizes
         self.length[n : n + len(made)] = sizes
         self.used += len(flat)
+        self.size += len(flat) + 16 * len(made) + sum(map(len, made))
         self.known.update(zip(made, range(n, n + len(made))))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; null and empty texts have none."""
-        if len(self.known) > WORDS_KEPT:
+        if self.size > KEPT:
             self.forget()
+        if len(self.pieces.goes) > PAIRS_KEPT:
+            self.pieces.goes.clear()
         words = [_MARKED.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         if new := {w for ws in words for w in ws} - self.known.keys():
             self.learn(list(new))
@@ -192,7 +248,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
 
 def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """``(id, text)`` from ids; null ids give a null text."""
+    """``(id, text)`` from ids; null ids give a null text, no ids an empty one. Repeated rows and null ids are kept, empty tables give no rows."""
 
     def start():
         pieces = Pieces(model_path)

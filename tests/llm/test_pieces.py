@@ -25,40 +25,27 @@ def brute(v, word):
     return memo[0]
 
 
-@pytest.fixture(scope="module")
-def vocab():
-    return p.Pieces(PATH)
-
-
-def total(v, word, ids):
-    byte, s, k = set(v.of_byte), 0.0, 0
-    while k < len(ids):
-        if ids[k] in byte:
-            raw = b""
-            while True:
-                raw += bytes([v.of_byte[ids[k]]])
-                k += 1
-                try:
-                    raw.decode()
-                    break
-                except UnicodeDecodeError:
-                    pass
-            s += v.unknown_score
-        else:
-            s += v.known[v.text[ids[k]]][1]
-            k += 1
-    return s
-
-
-def test_segments_are_best_and_shared_prefixes_agree(vocab):
+def test_segments_are_best_and_shared_prefixes_agree(tmp_path):
     rnd = random.Random(4)
-    words = {p.MARK + "".join(rnd.choices(["th", "e", "ion", "er", "qu", "ß", "漢", "z"], k=rnd.randint(1, 7))) for _ in range(300)}
-    words |= {w[:k] for w in list(words) for k in (2, 4)} | {"▁▁▁", "▁▁▁x", "▁"}
-    made = vocab.segment(sorted(words))
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), (p.MARK, -3.5, 1)]
+    pieces += [(m + t, -rnd.uniform(1, 9), 1) for t in sorted({"".join(rnd.choices("abc", k=k)) for k in (1, 1, 2, 3, 4) for _ in range(30)} | set("abc")) for m in ("", p.MARK)]
+    v = p.Pieces(unigram_file(tmp_path / "u.model", pieces))
+    assert not v.merged
+    words = {p.MARK + "".join(rnd.choices("abcz", (5, 5, 5, 1), k=rnd.randint(1, 12))) for _ in range(300)}
+    words |= {w[:k] for w in list(words) for k in (2, 4)}
+    made = v.segment(sorted(words))
     for w in words:
-        assert total(vocab, w, made[w]) == pytest.approx(brute(vocab, w)), w
-        assert made[w] == vocab.segment([w])[w]
-        assert vocab.decode(made[w]) == w.replace(p.MARK, " ")[1:] or not w.startswith(p.MARK)
+        got = sum(v.unknown_score if i == v.unk else v.known[v.text[i]][1] for i in made[w])
+        assert got == pytest.approx(brute(v, w)), w
+        assert made[w] == v.segment([w])[w]
+
+
+def test_words_that_share_prefixes_are_merged_alike():
+    v, rnd = p.Pieces(PATH), random.Random(4)
+    words = {p.MARK + "".join(rnd.choices(["th", "e", "ion", "er", "qu", "ß", "z"], k=rnd.randint(1, 7))) for _ in range(300)}
+    words |= {w[:k] for w in list(words) for k in (2, 4)} | {"▁▁▁", "▁▁▁x", "▁"}
+    for w, ids in v.segment(sorted(words)).items():
+        assert [v.text[i] for i in ids] == merged(v, w)
 
 
 def unigram_file(path, pieces):
@@ -91,13 +78,42 @@ def test_ids_are_the_librarys_for_a_unigram_model(tmp_path):
         assert e.encode([t])[0].tolist() == sp.encode(t), t
 
 
-def test_agreement_with_merges_by_rank():
+def test_ids_are_the_librarys_for_merges_by_rank():
     from sentencepiece import SentencePieceProcessor
 
     sp, e = SentencePieceProcessor(model_file=PATH), p.PieceEncoder(PATH)
-    text = "The quick brown fox jumps over the lazy dog while seventeen international researchers discuss statistical theories of language in a quiet library near the river"
-    a, b = sp.encode(text), e.encode([text])[0].tolist()
-    assert len(b) <= len(a) * 1.1 and len(set(a) & set(b)) / len(set(a)) > 0.8
+    rnd = random.Random(3)
+    some = [sp.id_to_piece(i) for i in range(300, 32_000)]
+    texts = ["".join(rnd.choices(some, k=rnd.randint(1, 8))).replace(p.MARK, " ") for _ in range(800)]
+    texts += ["".join(rnd.choices("abcdefghij therning01 é漢", k=rnd.randint(1, 60))) for _ in range(800)]
+    texts += ["x" * 500, "aaaa" * 100 + " " + "ab" * 200, "naïve café 12345 !!??"]
+    for t, ids in zip(texts, e.encode(texts)):
+        assert ids.tolist() == sp.encode(t), t
+
+
+def merged(v, text):
+    """Pieces by merging the best pair, the leftmost of equal ones, until none is left."""
+    out = list(text)
+    while pairs := [(v.known[a + b][1], -i) for i, (a, b) in enumerate(zip(out, out[1:])) if a + b in v.known]:
+        i = -max(pairs)[1]
+        out[i : i + 2] = [out[i] + out[i + 1]]
+    return out
+
+
+def test_neighbours_are_those_that_merging_leaves_apart():
+    v, rnd = p.Pieces(PATH), random.Random(4)
+    ids = [i for i, _ in v.known.values()]
+    near = rnd.sample(ids, 300) + [v.known[c][0] for c in "aeithnrs"]
+    for i in near:
+        assert v.run(i)[0] == (merged(v, v.text[i]) == [v.text[i]])
+    ends = [0, 0]
+    for _ in range(3000):
+        a, b = rnd.choice(near), rnd.choice(near)
+        if v.run(a)[0] and v.run(b)[0]:
+            want = merged(v, v.text[a] + v.text[b]) == [v.text[a], v.text[b]]
+            assert v.neighbours(a, b) == want
+            ends[want] += 1
+    assert min(ends) > 100
 
 
 def test_round_trip(spark):
@@ -125,7 +141,8 @@ def test_decoding_is_the_librarys():
 
 
 def test_cache_is_bounded(monkeypatch):
-    monkeypatch.setattr(p, "WORDS_KEPT", 3)
+    monkeypatch.setattr(p, "KEPT", 40)
+    monkeypatch.setattr(p, "PAIRS_KEPT", 3)
     e = p.PieceEncoder(PATH)
     for i in range(6):
         assert e.pieces.decode(e.encode([f"word{i} other{i}"])[0].tolist()) == f"word{i} other{i}"
