@@ -28,7 +28,7 @@ MIN_BITS, MAX_BITS, HASH_BITS = 5, 22, 9
 FEW = 16
 #: Terms of one subset are looked for so far ahead in the sorted array; a subset that goes on is read from the whole array.
 AHEAD = 16
-#: Texts are like if so many of as many keys, each of the lowest terms of its part of all hashes, are the same.
+#: Texts are like if so many of as many keys, each of a run of terms in the order of their hashes, are the same.
 KEYS, LIKE_KEYS = 8, 3
 #: The weight of one group, in whole numbers so that sums do not depend on their order.
 UNIT = 2**32
@@ -59,20 +59,17 @@ def sorted_terms(kept: Column) -> Column:
     return F.sort_array(F.transform(kept, lambda h: F.shiftrightunsigned(h, 1)))
 
 
-def slots(terms_in_order: Column, bits: Column) -> Column:
-    """For each subset that holds any of the terms its number, and behind it the sum of their hashes; in order."""
+def slots(terms_in_order: Column, shift: Column) -> Column:
+    """For each subset that holds any of the terms its number, and behind it the sum of their hashes; in order. ``shift``: 63 less the bits."""
     u, most = terms_in_order, F.lit(2**HASH_BITS - 1)
-    subset = lambda x: _shr(x, F.lit(63) - bits)
+    alike = lambda x, y: F.coalesce(_shr(x.bitwiseXOR(y), shift) == 0, F.lit(False))
 
     def slot(x: Column, i: Column) -> Column:
-        alike = lambda y: subset(y) == subset(x)
         total = lambda own: F.aggregate(own, F.lit(0), lambda s, y: (s + y.bitwiseAND(most).cast("int")).bitwiseAND(most))
-        here = F.filter(F.slice(u, i + 1, F.lit(AHEAD)), alike)
-        own = F.when(F.coalesce(alike(F.get(u, i + AHEAD)), F.lit(False)), F.filter(u, alike)).otherwise(here)
-        alone = ~F.coalesce(alike(F.get(u, i + 1)), F.lit(False))
-        value = F.when(alone, x.bitwiseAND(most).cast("int")).otherwise(total(own))
-        first = (i == 0) | (subset(F.get(u, i - 1)) != subset(x))
-        return F.when(first, (subset(x) * 2**HASH_BITS).cast("int") + value)
+        here = F.filter(F.slice(u, i + 1, F.lit(AHEAD)), lambda y: alike(x, y))
+        own = F.when(alike(x, F.get(u, i + AHEAD)), F.filter(u, lambda y: alike(x, y))).otherwise(here)
+        value = F.when(alike(x, F.get(u, i + 1)), total(own)).otherwise(x.bitwiseAND(most).cast("int"))
+        return F.when(~alike(x, F.get(u, i - 1)), (_shr(x, shift) * 2**HASH_BITS).cast("int") + value)
 
     return F.filter(F.transform(u, slot), lambda v: v.isNotNull())
 
@@ -80,7 +77,7 @@ def slots(terms_in_order: Column, bits: Column) -> Column:
 def with_terms(s: Column, bits: Column, more: Column) -> Column:
     """``s`` with a few more terms."""
     size, most = 2**HASH_BITS, F.lit(2**HASH_BITS - 1)
-    new = slots(sorted_terms(more), bits)
+    new = slots(sorted_terms(more), F.lit(63) - bits)
     of = lambda v: F.shiftright(v, HASH_BITS)
     added = lambda v: F.aggregate(F.filter(new, lambda w: of(w) == of(v)), F.lit(0), lambda a, w: a + w.bitwiseAND(most))
     old = F.transform(s, lambda v: of(v) * size + (v.bitwiseAND(most) + added(v)).bitwiseAND(most))
@@ -137,15 +134,11 @@ def vocabulary(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return src.select("id", F.xxhash64("t").alias("k"), F.explode(terms(F.col("t"))).alias("h")).groupBy("h").agg(F.count("*").alias("df"), F.min("id").alias("id"), F.min("k").alias("k"))
 
 
-def like_keys(all_terms: Column, wide: Column) -> Column:
-    """``(p, key)``: the hash of all terms at -1, and in each of ``KEYS`` parts (``wide`` neighbours together) that of its lowest, about log2 of the number of terms."""
-    some = F.ceil(F.log2(F.greatest(F.size(all_terms), F.lit(1)))).cast("int") + 2
-
-    def key(p: Column) -> Column:
-        own = F.slice(F.sort_array(F.filter(all_terms, lambda h: (F.shiftrightunsigned(h, 24) - p).bitwiseAND(F.lit(KEYS - 1)) < wide)), 1, some)
-        return F.struct(p.alias("p"), F.when(F.size(own) > 0, F.xxhash64(p, own)).alias("key"))
-
-    return F.concat(F.array(F.struct(F.lit(-1).cast("bigint").alias("p"), F.xxhash64(F.lit(-1), F.sort_array(all_terms)).alias("key"))), F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(KEYS - 1).cast("bigint")), key))
+def like_keys(in_order: Column, starts: Column, some: Column) -> Column:
+    """``(p, key)``: the hash of all terms at -1, and for each of ``KEYS`` places among all hashes that of the next ``some`` terms from there on."""
+    ring = F.concat(in_order, F.slice(in_order, F.lit(1), some))
+    keys = [F.struct(F.lit(p).alias("p"), F.xxhash64(F.lit(p), F.slice(ring, F.get(starts, F.lit(p)), some)).alias("key")) for p in range(KEYS)]
+    return F.array(F.struct(F.lit(-1).alias("p"), F.xxhash64(F.lit(-1), in_order).alias("key")), *keys)
 
 
 def group_sizes(docs: DataFrame, text_col: str, stage: Stage) -> DataFrame:
@@ -154,9 +147,12 @@ def group_sizes(docs: DataFrame, text_col: str, stage: Stage) -> DataFrame:
     That number is of the rows with the same terms, or as many as agree with the row in the third most frequent of its keys. Near
     copies differ in a few keys and strangers agree in none or one, so each group adds about 1 to the sum of 1 / c.
     """
-    src = held(docs.select(F.coalesce(text_col, F.lit("")).alias("t")), k=F.xxhash64("t"), ot=terms(F.col("t")))
-    src = held(src, wide=F.least(F.lit(KEYS // 2), F.greatest(F.lit(1), F.ceil(F.lit(20.0 * KEYS) / F.greatest(F.size("ot"), F.lit(1))))).cast("bigint"))  # some 20 terms to choose from
-    keys = src.where(F.size("ot") > 0).select("k", F.inline(like_keys(F.col("ot"), F.col("wide")))).where("key is not null").groupBy("k", "p", "key").agg(F.count("*").alias("n"))
+    src = held(docs.select(F.coalesce(text_col, F.lit("")).alias("t")), k=F.xxhash64("t"), ot=terms(F.col("t"))).where(F.size("ot") > 0)
+    places = [F.lit(-(2**63) + p * (2**64 // KEYS)).cast("bigint") for p in range(KEYS)]
+    src = held(src.select("k", "ot"), in_order=F.sort_array("ot"), marked=F.sort_array(F.concat("ot", F.array(*places))))
+    starts = F.array(*((F.array_position("marked", place) - p).cast("int") for p, place in enumerate(places)))  # less the places before
+    src = held(src.select("k", "in_order", "marked"), starts=starts, some=F.ceil(F.log2(F.size("in_order"))).cast("int") + 2)
+    keys = src.select("k", F.inline(like_keys(F.col("in_order"), F.col("starts"), F.col("some")))).groupBy("k", "p", "key").agg(F.count("*").alias("n"))
     keys = stage.put(keys)
     many = stage.put(keys.groupBy("key").agg(F.sum("n").alias("c")).where("c > 1"))
     met = keys.join(many, "key").groupBy("k").agg(F.max(F.when(F.col("p") < 0, F.col("c"))).alias("same"), F.collect_list(F.when(F.col("p") >= 0, F.col("c"))).alias("cs"))
@@ -240,19 +236,21 @@ def edited_and_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = held(rows, ot=terms(F.col("t")), et=terms(F.col("e")), nt=terms(F.col("next_t")))
     rows = held(rows, cut=F.array_except("et", F.concat("common", "ot", "nt")))  # words that only the cut makes: two at most
     rows = held(rows, own=F.array_except("ot", F.concat("common", "s")), edit=F.array_except("et", F.concat("common", "s", "next_s", "cut")), obits=bits_for(F.size("ot")), ebits=bits_for(F.size("et")))
-    rows = held(rows, obare=F.size("own") == 0, ebare=F.size("edit") == 0, few=F.size("et") < FEW)
+    rows = held(rows, obare=F.size("own") == 0, ebare=F.size("edit") == 0, few=F.size("et") < FEW, oshift=63 - F.col("obits"), eshift=63 - F.col("ebits"))
     rows = held(rows, oall=sorted_terms(or_else(F.col("own"), F.col("ot"), F.col("s"))), eall=sorted_terms(or_else(F.col("edit"), F.col("et"), F.concat("s", "next_s", "cut"))))
     picked = stage.put(
         rows.select("b", "rn", "id", "next_b", "next_rn", n.cast("bigint").alias("n_chars"), F.xxhash64("t").alias("hash"), F.xxhash64("next_t").alias("next_hash"), F.sha2(F.col("e").cast("binary"), 256).alias("edited_sha256"), F.xxhash64("e").alias("edited_hash"),
-                    "obits", "ebits", "cut", "obare", "ebare", "few", slots(F.col("oall"), F.col("obits")).alias("os"), slots(F.col("eall"), F.col("ebits")).alias("es"))
+                    "obits", "ebits", "cut", "obare", "ebare", "few", slots(F.col("oall"), F.col("oshift")).alias("os"), slots(F.col("eall"), F.col("eshift")).alias("es"))
     )
-    made = picked.select("b", "rn", F.explode("cut").alias("h")).join(vocab.where(F.col("df") >= MIN_DF).select("h"), "h").groupBy("b", "rn").agg(F.collect_list("h").alias("more"))
-    own = picked.drop("cut").join(made, ["b", "rn"], "left").withColumn("more", F.coalesce("more", none))
+    # a document's next is nobody else's next, so that one partitioning by it serves both joins
+    step = ["next_b", "next_rn"]
+    made = picked.select(*step, F.explode("cut").alias("h")).join(vocab.where(F.col("df") >= MIN_DF).select("h"), "h").groupBy(*step).agg(F.collect_list("h").alias("more"))
+    own = picked.drop("b", "rn", "cut").join(made, step, "left").withColumn("more", F.coalesce("more", none))
     only = F.col("ebare") & (F.size("more") > 0)  # then these are all it has in the band
     ints = F.array().cast("array<int>")
     own = own.withColumn("es", F.when(F.col("few"), F.col("es")).otherwise(with_terms(F.when(only, ints).otherwise(F.col("es")), F.col("ebits"), F.col("more")))).withColumn("ebare", F.col("ebare") & ~only)
     after = picked.select(F.col("b").alias("next_b"), F.col("rn").alias("next_rn"), F.col("obits").alias("nbits"), F.col("os").alias("ns"))
-    both = held(own.join(after, ["next_b", "next_rn"], "left"), e_like=likeness(F.col("obits"), F.col("os"), F.col("ebits"), F.col("es")), n_like=likeness(F.col("obits"), F.col("os"), F.col("nbits"), F.col("ns")))
+    both = held(own.join(after, step, "left"), e_like=likeness(F.col("obits"), F.col("os"), F.col("ebits"), F.col("es")), n_like=likeness(F.col("obits"), F.col("os"), F.col("nbits"), F.col("ns")))
     like = lambda same, found: F.when(same, F.lit(1.0)).otherwise(F.coalesce(found, F.lit(0.0)))
     return both.select(
         F.col("id").alias(id_col), "n_chars", "edited_sha256",
@@ -279,5 +277,5 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = F.col("df") >= MIN_DF
     kept = asked.groupBy("hash", "bits").agg(F.collect_list(F.when(shared & F.col("over").isNull(), F.col("h"))).alias("own"), F.collect_list("h").alias("every"), F.collect_list(F.when(~shared, F.col("h"))).alias("lone"))
     kept = held(kept, bare=F.size("own") == 0, kept=sorted_terms(or_else(F.col("own"), F.col("every"), F.col("lone"))))
-    made = kept.select("hash", "bare", slots(F.col("kept"), F.col("bits")).alias("slots"))
+    made = kept.select("hash", "bare", slots(F.col("kept"), 63 - F.col("bits")).alias("slots"))
     return src.select("id", "hash", "bits").join(made, "hash", "left").select(F.col("id").alias(id_col), "bits", "slots", written(F.col("bits"), F.col("slots"), F.col("hash"), F.col("bare")).alias("fingerprint"))
