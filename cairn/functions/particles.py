@@ -10,6 +10,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
+#: Rows whose noise is drawn together.
+BLOCK = 64
 RATE_KINDS = ("median", "endpoint", "least_squares")
 
 
@@ -73,10 +75,11 @@ def start_rate(md: np.ndarray, u: np.ndarray, window: int = 30, kind: str = "med
 
 @dataclass
 class Track:
-    """``path`` and ``evidence``: ``[seed, hidden row]``."""
+    """``path``, ``evidence`` and ``deviation`` of the weighted particles: ``[seed, hidden row]``."""
 
     path: np.ndarray
     evidence: np.ndarray
+    deviation: np.ndarray | None = None
 
 
 def track(frame: dict[str, np.ndarray], curve: Curve, seeds: list[int], settings: FilterSettings = FilterSettings(), rate: float | None = None) -> Track:
@@ -99,29 +102,39 @@ def track(frame: dict[str, np.ndarray], curve: Curve, seeds: list[int], settings
         keep, scale, spread = np.full(len(steps), s.memory), np.ones(len(steps)), np.ones(len(steps))
     n = s.particles
     draws = [np.random.default_rng(k) for k in seeds]
-    normal = lambda: np.stack([g.standard_normal(n) for g in draws])
-    u = seen[last] + z[last] + s.start_spread * normal()
-    v = rate + s.start_rate_spread * normal()
+    normal = lambda *shape: np.stack([g.standard_normal((*shape, n)) for g in draws], -2)  # noqa: E731  [..., seed, particle]
+    start, again = normal(2), [np.random.default_rng([k, 1]) for k in seeds]  # resampling has a stream of its own
+    u = seen[last] + z[last] + s.start_spread * start[0]
+    v = rate + s.start_rate_spread * start[1]
     w = np.full(u.shape, 1.0 / n)
-    path, evidence = np.empty((len(seeds), len(hidden))), np.empty((len(seeds), len(hidden)))
-    low, high = curve.at[0] - s.reach, curve.at[-1] + s.reach
+    path, evidence, deviation = (np.empty((len(seeds), len(hidden))) for _ in range(3))
+    low, high, even = curve.at[0] - s.reach, curve.at[-1] + s.reach, np.arange(n) / n
+    shift = np.arange(len(seeds))[:, None]
     for t, row in enumerate(hidden):
-        v = keep[t] * v + s.rate_noise * scale[t] * normal()
-        tvt = np.clip(u + v * steps[t] + s.level_noise * spread[t] * normal() - z[row], low, high)
+        if t % BLOCK == 0:
+            noise = normal(min(BLOCK, len(hidden) - t), 2)
+        v = keep[t] * v + s.rate_noise * scale[t] * noise[t % BLOCK, 0]
+        tvt = np.clip(u + v * steps[t] + s.level_noise * spread[t] * noise[t % BLOCK, 1] - z[row], low, high)
         miss = ((gr[row] - curve(tvt.ravel()).reshape(tvt.shape)) / sigma) ** 2
         w = w * np.maximum(np.exp(-0.5 * np.minimum(miss, s.distance_cap)), 1e-300)
         total = w.sum(1)
         evidence[:, t] = np.log(np.maximum(total, 1e-300))
         w = np.where(total[:, None] > 0, w / np.where(total > 0, total, 1)[:, None], 1.0 / n)
         u = tvt + z[row]
-        for k in np.flatnonzero((w * w).sum(1) * s.resample_share * n > 1):
-            marks = (draws[k].random() + np.arange(n)) / n
-            chosen = np.minimum(np.searchsorted(np.cumsum(w[k]), marks), n - 1)
-            u[k] = u[k, chosen] + s.jitter[0] * draws[k].standard_normal(n)
-            v[k] = v[k, chosen] + s.jitter[1] * draws[k].standard_normal(n)
-            w[k] = 1.0 / n
-        path[:, t] = (w * (u - z[row])).sum(1)
-    return Track(path, evidence)
+        worn = np.flatnonzero(np.einsum("ij,ij->i", w, w) * s.resample_share * n > 1)
+        if len(worn):  # all seeds whose weights are worn at once: one search over sums that are a seed's number apart
+            sums = np.minimum(np.cumsum(w[worn], axis=1), 1.0) + 2 * shift[: len(worn)]
+            marks = np.array([again[k].random() for k in worn])[:, None] / n + even + 2 * shift[: len(worn)]
+            chosen = np.searchsorted(sums.ravel(), marks.ravel()).reshape(marks.shape) - n * shift[: len(worn)]
+            chosen = np.minimum(chosen, n - 1)
+            fresh = np.stack([again[k].standard_normal((2, n)) for k in worn])
+            u[worn] = np.take_along_axis(u[worn], chosen, 1) + s.jitter[0] * fresh[:, 0]
+            v[worn] = np.take_along_axis(v[worn], chosen, 1) + s.jitter[1] * fresh[:, 1]
+            w[worn] = 1.0 / n
+        at = u - z[row]
+        path[:, t] = np.einsum("ij,ij->i", w, at)
+        deviation[:, t] = np.sqrt(np.einsum("ij,ij->i", w, (at - path[:, t, None]) ** 2))
+    return Track(path, evidence, deviation)
 
 
 def softmax(score: np.ndarray) -> np.ndarray:

@@ -1,8 +1,7 @@
 """Per-series estimators as grouped maps over ``cogroup(series, curve)``.
 
 A series table has ``well, row_number, MD, X, Y, Z, GR, TVT_input`` (null where hidden), a curve table ``well, TVT, GR``. One
-task holds one series and its curve. Seeds and arms are rows before the shuffle, so an ensemble runs as many tasks as
-it has members; what depends on the order of rows stays inside the map, everything after it is an aggregate.
+task holds one series and its curve, for a block of seeds and one arm; what depends on the order of rows stays inside the map, everything after it is an aggregate.
 """
 
 from __future__ import annotations
@@ -40,23 +39,38 @@ def curve_of(pdf: pd.DataFrame) -> pf.Curve:
     return pf.Curve(pdf["TVT"].to_numpy(float), pdf["GR"].to_numpy(float))
 
 
+#: Seeds that run in one task, side by side.
+SEEDS = 8
+
+
 def particle_paths(series: DataFrame, curves: DataFrame, seeds: Sequence[int], settings: pf.FilterSettings = pf.FilterSettings(), rates: DataFrame | None = None) -> DataFrame:
-    """``(well, arm, seed, row_number, tvt, evidence)`` for every hidden row and seed, and for every ``(well, arm, rate)`` of ``rates`` if given."""
+    """``(well, arm, seed, row_number, tvt, evidence)`` for every hidden row and seed, and for every ``(well, arm, rate)`` of ``rates`` if given.
+
+    A series goes to a task with up to ``SEEDS`` seeds, whose particles move as one array; more seeds, and arms, are further tasks.
+    """
     spark = series.sparkSession
-    members = spark.createDataFrame([(int(s),) for s in seeds], "seed int")
-    rows = observable(series).crossJoin(F.broadcast(members))  # the seeds are a parameter
+    seeds = [int(s) for s in seeds]
+    blocks = [seeds[k : k + SEEDS] for k in range(0, len(seeds), SEEDS)]
+    rows = observable(series).crossJoin(F.broadcast(spark.createDataFrame([(k,) for k in range(len(blocks))], "block int")))  # a parameter
     rows = rows.join(rates, "well") if rates is not None else rows.withColumns({"arm": F.lit("median"), "rate": F.lit(None).cast("double")})
-    keys = rows.select(F.col("well").alias("k_well"), F.col("arm").alias("k_arm"), F.col("seed").alias("k_seed")).distinct()
+    keys = rows.select(F.col("well").alias("k_well"), F.col("arm").alias("k_arm"), F.col("block").alias("k_block")).distinct()
     knots = keys.join(curves.select(F.col("well").alias("c_well"), "TVT", "GR"), F.col("k_well") == F.col("c_well"))
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         frame, at = frame_of(left)
-        rate = left["rate"].iloc[0]
-        t = pf.track(frame, curve_of(right), [int(key[2])], settings, None if pd.isna(rate) else float(rate))
-        hidden = ~np.isfinite(frame["TVT_input"])
-        return pd.DataFrame({"well": key[0], "arm": key[1], "seed": key[2], "row_number": at[hidden], "tvt": t.path[0], "evidence": t.evidence[0]})
+        rate, own = left["rate"].iloc[0], blocks[int(key[2])]
+        t = pf.track(frame, curve_of(right), own, settings, None if pd.isna(rate) else float(rate))
+        hidden = at[~np.isfinite(frame["TVT_input"])]
+        return pd.DataFrame({"well": key[0], "arm": key[1], "seed": np.repeat(own, len(hidden)), "row_number": np.tile(hidden, len(own)), "tvt": t.path.ravel(), "evidence": t.evidence.ravel()})
 
-    return rows.groupBy("well", "arm", "seed").cogroup(knots.groupBy("k_well", "k_arm", "k_seed")).applyInPandas(run, "well string, arm string, seed int, row_number int, tvt double, evidence double")
+    return rows.groupBy("well", "arm", "block").cogroup(knots.groupBy("k_well", "k_arm", "k_block")).applyInPandas(run, "well string, arm string, seed int, row_number int, tvt double, evidence double")
+
+
+def full_paths(series: DataFrame, curves: DataFrame, seeds: Sequence[int], settings: pf.FilterSettings = pf.FilterSettings(), temperature: float = 8.0) -> DataFrame:
+    """``(well, row_number, tvt, known)`` for every row: the visible level where there is one, else the likelihood-weighted mixture of the seeds."""
+    made = by_likelihood(particle_paths(series, curves, seeds, settings), temperature).select("well", "row_number", F.col("tvt").alias("_path"))
+    t = observable(series).select("well", "row_number", "TVT_input").join(made, ["well", "row_number"], "left")
+    return t.select("well", "row_number", F.coalesce("TVT_input", "_path").alias("tvt"), F.col("TVT_input").isNotNull().alias("known"))
 
 
 def start_rates(series: DataFrame, windows: Sequence[int] = (30, 50, 120, 200), kinds: Sequence[str] = pf.RATE_KINDS, shrinks: Sequence[float] = (0.0, 0.5, 1.0)) -> DataFrame:
@@ -139,6 +153,16 @@ def fused(rows: DataFrame, settings: states.FusionSettings = states.FusionSettin
     return _overlay(rows.select("well", "row_number", "horizon", "hgrg", "pf", "hmm", "structural", "prefix_cv"), "meta_state double, state double", run)
 
 
+def smoothed(rows: DataFrame, value: str, variance: float = 1.0, jerk: float = 0.05, stride: int = 20) -> DataFrame:
+    """``(well, row_number, smooth)``: ``value`` along ``horizon`` as a path of constant acceleration under white jerk."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("row_number")
+        return pd.DataFrame({"well": pdf["well"], "row_number": pdf["row_number"], "smooth": states.smooth(pdf["horizon"].to_numpy(float), pdf[value].to_numpy(float), variance, jerk, stride)})
+
+    return _overlay(rows.select("well", "row_number", "horizon", value), "smooth double", run)
+
+
 def switched(rows: DataFrame, settings: states.SwitchSettings = states.SwitchSettings()) -> DataFrame:
     """``(well, row_number, switching, offset, p_<regime> …)`` from the same columns as ``fused``."""
     names = [f"p_{r}" for r in states.REGIMES]
@@ -188,6 +212,30 @@ class Surface:
         return out
 
 
+def nearest_anchors(places: DataFrame, anchors: DataFrame, key: str, anchor: str, k: int, most: int = 100_000) -> DataFrame:
+    """``(key, anchor, k, dist)``: the ``k`` nearest of the anchors ``(anchor, x, y)`` to each place ``(key, x, y)``, ties to the smaller anchor.
+
+    The anchors are broadcast after a check of their number; places are read in strips.
+    """
+    if anchors.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} anchors")
+    rows = anchors.select(anchor, "x", "y").orderBy(anchor).toPandas()
+    shared = places.sparkSession.sparkContext.broadcast((rows[anchor].to_numpy(), rows[["x", "y"]].to_numpy(float)))
+    kind = dict(anchors.dtypes)[anchor]
+
+    def run(parts):
+        names, at = shared.value
+        for p in parts:
+            for low in range(0, len(p), max(1, 4_000_000 // max(1, len(at)))):
+                own = p.iloc[low : low + max(1, 4_000_000 // max(1, len(at)))]
+                d = np.hypot(*(own[["x", "y"]].to_numpy(float).T[:, :, None] - at.T[:, None, :]))
+                near = np.argsort(d, axis=1, kind="stable")[:, :k]
+                n = near.shape[1]
+                yield pd.DataFrame({key: np.repeat(own[key].to_numpy(), n), anchor: names[near.ravel()], "k": np.tile(np.arange(1, n + 1), len(own)), "dist": np.take_along_axis(d, near, 1).ravel()})
+
+    return places.select(key, "x", "y").mapInPandas(run, f"`{key}` {dict(places.dtypes)[key]}, `{anchor}` {kind}, k bigint, dist double")
+
+
 def anchors(series: DataFrame, truth: str = "TVT", top: str = "ASTNU") -> DataFrame:
     """``(well, x, y, level)``: a row for each training series; the level is that of the formation top, else of truth plus elevation."""
     has = top in series.columns

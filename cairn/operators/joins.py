@@ -40,13 +40,14 @@ def segments(knots: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame
 def interpolate(queries: DataFrame, knots: DataFrame, keys: Sequence[str], at: str, x: str, y: str, name: str = "value", width: float | None = None) -> DataFrame:
     """Adds ``name``: the piecewise linear curve through the knots of the same key, constant beyond its ends.
 
-    Segments are cut at multiples of ``width`` (by default a 64th of the knots' range, the same for all keys), so a query
+    Segments are cut at multiples of ``width`` (by default the knots' range by their mean number for a key, 64 at least), so a query
     meets by equal key only the segments of its own cell; a long segment is a row in each cell it crosses.
     """
-    lo, hi = knots.agg(F.min(x), F.max(x)).first()
+    per_key = F.count("*") / F.count_distinct(*keys) if keys else F.count("*")
+    lo, hi, n = knots.agg(F.min(x), F.max(x), per_key).first()
     if lo is None:
         return queries.withColumn(name, F.lit(None).cast("double"))
-    width = float(width or (hi - lo) / 64 or 1.0)
+    width = float(width or (hi - lo) / max(64, int(n or 0)) or 1.0)
     cell = lambda c: F.floor((c - F.lit(lo)) / F.lit(width))
     top = int((hi - lo) // width)
     inside = lambda c: F.least(F.greatest(cell(c), F.lit(0)), F.lit(top)).cast("int")
@@ -114,13 +115,37 @@ def similarity_edges(points: DataFrame, key: str, x: str, y: str, first: str, se
     return t.select("a", "b", "dist", "corr", reason.alias("reason")).where("reason <> 'none'")
 
 
+def numbered(t: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """Adds ``name``: the row's number from 0 in the order of these columns, over the whole table but in no single task: ranges are
+    numbered apart and begin where the rows before them end. Equal rows are numbered in any order."""
+    spark = t.sparkSession
+    staged = Stage(spark, "numbered").put(t.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = staged.groupBy("_range").agg(F.count("*").alias("_n"))  # one row for each range
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return staged.withColumn("_own", own).join(F.broadcast(before.select("_range", "_before")), "_range").withColumn(name, (F.col("_own") + F.col("_before")).cast("bigint")).drop("_range", "_own", "_before")
+
+
+def graph_grid(points: DataFrame, key: str, edges: DataFrame, settings: DataFrame) -> DataFrame:
+    """``(radius, threshold, components, largest, several)`` for each ``(radius, threshold, far)`` of ``settings``: how many components the
+    points have, the size of the largest, and how many have several points. ``edges``: ``(a, b, dist, corr)`` of the widest setting."""
+    kept = edges.crossJoin(F.broadcast(settings)).where((F.col("dist") <= F.col("radius")) | ((F.col("dist") <= F.col("far")) & (F.col("corr") >= F.col("threshold"))))
+    at = lambda c: F.struct("radius", "threshold", F.col(c).alias("node"))  # noqa: E731  a setting's nodes are nodes of their own
+    comps = connected_components(kept.select(at("a").alias("src"), at("b").alias("dst")))
+    sizes = comps.groupBy("component").agg(F.count("*").alias("n")).select("component.radius", "component.threshold", "n")
+    found = sizes.groupBy("radius", "threshold").agg(F.count("*").alias("several"), F.max("n").alias("most"), F.sum("n").alias("linked"))
+    total = settings.select("radius", "threshold").crossJoin(F.broadcast(points.agg(F.count(key).alias("points"))))
+    t = total.join(found, ["radius", "threshold"], "left").na.fill(0, ["several", "most", "linked"])
+    return t.select("radius", "threshold", (F.col("points") - F.col("linked") + F.col("several")).alias("components"), F.greatest("most", F.least(F.col("points"), F.lit(1))).alias("largest"), "several")
+
+
 def labelled_components(nodes: DataFrame, key: str, edges: DataFrame) -> DataFrame:
     """``(key, component, degree)``: every node with a label ``component_000`` and on, numbered by smallest key."""
     edges = Stage(nodes.sparkSession, "edges").put(edges.select("a", "b"))  # found once, used twice
     comps = connected_components(edges, "a", "b")
     degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
     t = nodes.select(key).join(comps, F.col(key) == F.col("node"), "left").select(key, F.coalesce("component", key).alias("_root"))
-    roots = t.select("_root").distinct().withColumn("_i", F.row_number().over(Window.orderBy("_root")) - 1)
+    roots = numbered(t.select("_root").distinct(), ["_root"], "_i")
     name = F.concat(F.lit("component_"), F.when(F.length(F.col("_i").cast("string")) < 3, F.lpad(F.col("_i").cast("string"), 3, "0")).otherwise(F.col("_i").cast("string")))
     return t.join(roots, "_root").join(degree.withColumnRenamed("node", key), key, "left").select(key, name.alias("component"), F.coalesce("degree", F.lit(0)).cast("bigint").alias("degree"))
 

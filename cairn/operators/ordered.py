@@ -248,3 +248,10 @@ def step_statistics(table: DataFrame, key: str, position: str, unit: float = 1.0
         F.count("*").alias("steps"), F.min("_d").alias("least"), F.max("_d").alias("most"),
         *(F.percentile("_d", q).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75, 0.95)), F.avg((F.abs(F.col("_d") - unit) > 1e-9).cast("double")).alias("off_unit"),
     )
+
+
+def shuffled(t: DataFrame, key: str, seed: int, name: str = "place") -> DataFrame:
+    """Adds ``name``: the place from 0 in an order that follows from seed and key alone, the same on any engine and partitioning."""
+    from cairn.operators.joins import numbered
+
+    return numbered(t.withColumn("_draw", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))), ["_draw", key], name).drop("_draw")

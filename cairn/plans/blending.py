@@ -76,23 +76,46 @@ def fit_stack(panel: DataFrame, arms: Sequence[str], parent: str, ridge: float,
     return Blend(parent, dict(zip(arms, solve_capped_simplex(g, c, ridge).tolist())))
 
 
-def fit_robust(panel: DataFrame, arms: Sequence[str], parent: str = "incumbent", macro: float = 0.5, tail: float = 0.5, ridge: float = 0.02, fraction: float = 0.1, group: str = "component", steps: int = 4000) -> Blend:
-    """Row, group and worst-group mean squares with a ridge: projected subgradients from several starts, the best point kept."""
+@dataclass(frozen=True)
+class Moments:
+    """What a blend's error needs to know of each group: rows, and means of ``(arm - parent)`` products, of their products with
+    ``truth - parent``, and of the latter's square. One small record for each group, whatever the rows."""
+
+    groups: tuple
+    n: np.ndarray
+    g: np.ndarray
+    c: np.ndarray
+    rr: np.ndarray
+
+    def take(self, keep: np.ndarray) -> Moments:
+        return Moments(tuple(x for x, k in zip(self.groups, keep) if k), self.n[keep], self.g[keep], self.c[keep], self.rr[keep])
+
+    def mse(self, w: np.ndarray) -> np.ndarray:
+        return np.maximum(np.einsum("i,gij,j->g", w, self.g, w) - 2 * self.c @ w + self.rr, 0)
+
+
+def group_moments(panel: DataFrame, arms: Sequence[str], parent: str, group: str = "component") -> Moments:
+    """Collects a record for each group of a panel; groups are few next to rows, and the solvers need them all."""
+    rows = metrics.moments(panel, arms, parent, [group]).orderBy(group).collect()
+    g, c, rr, n = (np.array(x, dtype=float) for x in zip(*(_unpack(r, arms) for r in rows)))
+    return Moments(tuple(r[group] for r in rows), n, g, c, rr)
+
+
+def solve_robust(m: Moments, macro: float = 0.5, tail: float = 0.5, ridge: float = 0.02, fraction: float = 0.1, steps: int = 4000) -> np.ndarray:
+    """Weights of least row, group and worst-group mean squares with a ridge: projected subgradients from several starts, the best point kept."""
     if not 0 < fraction <= 1:
         raise ValueError("fraction must lie in (0, 1]")
-    parts = [_unpack(r, arms) for r in metrics.moments(panel, arms, parent, [group]).collect()]  # a row for each group
-    g, c, r, n = (np.array(x, dtype=float) for x in zip(*parts))
-    worst = max(1, int(np.ceil(fraction * len(r))))
-    scale = max(float(np.abs(g).max()), 1e-12)
+    worst = max(1, int(np.ceil(fraction * len(m.n))))
+    scale = max(float(np.abs(m.g).max()), 1e-12)
 
     def at(w: np.ndarray) -> tuple[float, np.ndarray]:
-        mse, slope = np.einsum("i,gij,j->g", w, g, w) - 2 * c @ w + r, 2 * (g @ w - c)
+        mse, slope = np.einsum("i,gij,j->g", w, m.g, w) - 2 * m.c @ w + m.rr, 2 * (m.g @ w - m.c)
         bad = np.argsort(mse, kind="stable")[-worst:]
-        share = n / n.sum() + macro / len(r)
+        share = m.n / m.n.sum() + macro / len(m.n)
         share[bad] += tail / worst
         return float(share @ mse + ridge * w @ w), share @ slope + 2 * ridge * w
 
-    k = len(arms)
+    k = m.c.shape[1]
     best, least = np.zeros(k), at(np.zeros(k))[0]
     for start in [np.zeros(k), np.full(k, 1 / (k + 1)), *np.eye(k)]:
         w = start
@@ -101,7 +124,27 @@ def fit_robust(panel: DataFrame, arms: Sequence[str], parent: str = "incumbent",
             if v < least - 1e-15:
                 best, least = w, v
             w = project_capped_simplex(w - d / (2 * scale * (1 + macro + tail)) / np.sqrt(1 + t / 50))
-    return Blend(parent, dict(zip(arms, best.tolist())))
+    return best
+
+
+def fit_robust(panel: DataFrame, arms: Sequence[str], parent: str = "incumbent", macro: float = 0.5, tail: float = 0.5, ridge: float = 0.02, fraction: float = 0.1, group: str = "component", steps: int = 4000) -> Blend:
+    w = solve_robust(group_moments(panel, arms, parent, group), macro, tail, ridge, fraction, steps)
+    return Blend(parent, dict(zip(arms, w.tolist())))
+
+
+def solve_trust_region(m: Moments, cap: float = 0.1, macro: float = 0.25, tail: float = 0.25, l2: float = 0.01, step: float = 0.005, fraction: float = 0.1) -> float:
+    """The weight of one arm, on a grid up to ``cap``: shares of row, group and tail error relative to the parent's, and the squared weight."""
+    at = np.round(np.arange(0, cap + step / 2, step), 12)
+    base = scores(m, np.zeros(1), fraction, squares=True)
+    value = [(round((1 - macro - tail) * s[0] / base[0] + macro * s[1] / base[1] + tail * s[2] / base[2] + l2 * w * w, 14), w) for w in at for s in [scores(m, np.array([w]), fraction, squares=True)]]
+    return float(min(value)[1])
+
+
+def scores(m: Moments, w: np.ndarray | None = None, fraction: float = 0.1, squares: bool = False, mse: np.ndarray | None = None) -> tuple[float, float, float]:
+    """Row error, mean group error and that of the worst groups; ``squares``: the tail's root of the mean square, else its mean root."""
+    mse = m.mse(w) if mse is None else mse
+    worst = np.sort(mse)[-max(1, int(np.ceil(fraction * len(mse)))) :]
+    return float(np.sqrt(m.n @ mse / m.n.sum())), float(np.sqrt(mse).mean()), float(np.sqrt(worst.mean()) if squares else np.sqrt(worst).mean())
 
 
 def fit_trust_region(panel: DataFrame, arm: str = "ridge", parent: str = "sequential_final", cap: float = 0.1, step: float = 0.005, **kw) -> Blend:
@@ -125,6 +168,23 @@ def balanced(sizes: dict[str, int], folds: int, tie: Callable[[str], object] = l
     return out
 
 
+#: How groups of equal size are ordered: by name, by a draw for each name in order, or by a draw for each in order of size.
+TIES = ("name", "draw", "draw_by_size")
+
+
+def assign(sizes: dict, folds: int, rule: str = "name", seed: int = 0) -> dict:
+    """``balanced`` under one of the registered tie rules."""
+    names = sorted(sizes, key=str)
+    if rule == "name":
+        return balanced(sizes, folds, str)
+    if rule == "draw_by_size":
+        names = sorted(names, key=lambda g: -sizes[g])
+    elif rule != "draw":
+        raise ValueError(f"unknown rule {rule!r}")
+    drawn = dict(zip(names, np.random.default_rng(seed).random(len(names))))
+    return balanced(sizes, folds, drawn.__getitem__)
+
+
 def _shuffled(groups: Sequence[str], seed: int) -> list[str]:
     return [sorted(groups)[i] for i in np.random.default_rng(seed).permutation(len(groups))]
 

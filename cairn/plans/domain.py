@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 from cairn.functions.grid import GridSettings
 from cairn.functions.particles import FilterSettings
 from cairn.operators import experts, metrics, overlays
-from cairn.plans import blending, evaluation, features, historical
+from cairn.plans import blending, evaluation, features, historical, studies
 from cairn.plans.relational import ARMS, BOUNDS, SERIES, panel, rounded, series
 from cairn.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-SMALL_FILTER, SMALL_GRID = FilterSettings(particles=64), GridSettings(step=2.0, slopes=9, margin=10.0)
+#: The ensemble of the recorded runs.
+SEEDS = range(8)
 
 
 def query(sql: str | None = None):
@@ -46,7 +47,7 @@ def logs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def paths(spark: SparkSession, d: str) -> DataFrame:
     t, c = logs(spark, d)
-    return experts.particle_paths(t, c, range(4), SMALL_FILTER)
+    return experts.particle_paths(t, c, SEEDS, FilterSettings())
 
 
 @query()
@@ -56,7 +57,7 @@ def d02_particle_paths(spark, d):
 
 @query()
 def d03_likelihood_mixture(spark, d):
-    return experts.by_likelihood(paths(spark, d), 8.0, 2.0)
+    return experts.by_likelihood(paths(spark, d), 8.0, 4.0)
 
 
 @query()
@@ -67,12 +68,12 @@ def d04_robust_mixtures(spark, d):
 @query()
 def d04b_registered_candidates(spark, d):
     t, c = logs(spark, d)
-    return experts.candidate_paths(experts.particle_paths(t, c, range(8), SMALL_FILTER))
+    return experts.candidate_paths(experts.particle_paths(t, c, SEEDS, FilterSettings()))
 
 
 @query()
 def d05_grid_paths(spark, d):
-    return experts.grid_paths(*logs(spark, d), SMALL_GRID)
+    return experts.grid_paths(*logs(spark, d), GridSettings())
 
 
 def _arms(spark, d) -> DataFrame:
@@ -94,7 +95,7 @@ def d07_features(spark, d):
 @query()
 def d08_historical_features(spark, d):
     t, c = logs(spark, d)
-    return historical.build(t, c, features.NAMES, particles=64)
+    return historical.build(t, c, features.NAMES)
 
 
 @query()
@@ -257,12 +258,97 @@ def d34_refits(spark, d):
     return rounded(each)
 
 
-@query()
+@query("""""" + "WITH " + SERIES + """, k AS (SELECT user_id, rn, 10050 + 12 * sin(rn / 15.0::DOUBLE + user_id % 7) + (-9800 - 0.02::DOUBLE * rn) AS u, row_number() OVER (PARTITION BY user_id ORDER BY rn DESC) AS back, count(*) OVER (PARTITION BY user_id) AS m FROM s WHERE rn < cut),
+    x AS (SELECT *, least(w, m) AS size FROM (SELECT *, u - lag(u) OVER (PARTITION BY user_id ORDER BY rn) AS d FROM k), (VALUES (30), (50), (120), (200)) t(w) WHERE back <= w),
+    g AS (SELECT user_id, w, any_value(size) AS size, median(d) FILTER (back < size) AS med, (arg_min(u, back) - arg_max(u, back)) / (max(rn) - min(rn)) AS en, regr_slope(u, rn) AS ls, count(d) FILTER (back < size) AS steps FROM x GROUP BY ALL),
+    r AS (SELECT user_id, w, kind, CASE WHEN size < 3 THEN 0 WHEN kind = 'median' THEN CASE WHEN steps >= 3 THEN med ELSE 0 END WHEN kind = 'endpoint' THEN en ELSE ls END AS rate FROM g, (VALUES ('median'), ('endpoint'), ('least_squares')) q(kind))
+    SELECT user_id::VARCHAR AS well, 'zero' AS arm, 0.0::DOUBLE AS rate FROM (SELECT DISTINCT user_id FROM s) UNION ALL
+    SELECT user_id::VARCHAR, 'w' || lpad(w::VARCHAR, 3, '0') || '_' || kind || '_s' || sh, round(sh::DOUBLE * rate, 6) + 0.0 FROM r, (VALUES ('0.5'), ('1.0')) z(sh)""")
 def d35_start_rates(spark, d):
-    return experts.start_rates(logs(spark, d)[0])
+    return rounded(experts.start_rates(logs(spark, d)[0]), 6).withColumn("rate", F.col("rate") + F.lit(0.0))
 
 
 @query()
 def d37_chord_filter(spark, d):
     t, c = logs(spark, d)
-    return experts.particle_paths(t, c, range(2), FilterSettings(particles=64, chord=True))
+    return experts.particle_paths(t, c, SEEDS, FilterSettings(chord=True))
+
+
+@query()
+def d06_reference_filter(spark, d):
+    t, c = logs(spark, d)
+    return experts.full_paths(t, c, SEEDS)
+
+
+def _sizes(spark, d) -> dict:
+    return blending.group_sizes(table(spark, d, "supplier").select(F.col("s_nationkey").alias("component")))
+
+
+@query()
+def d28_balanced_folds(spark, d):
+    sizes = _sizes(spark, d)
+    rows = [(rule, g, k, sizes[g]) for rule in blending.TIES for g, k in blending.assign(sizes, 5, rule, 3101).items()]
+    return spark.createDataFrame(rows, "rule string, component int, fold int, size long")
+
+
+def _panels(spark, d) -> tuple[DataFrame, DataFrame]:
+    p = panel(spark, d)
+    return p.where("component < 13"), p.where("component >= 13")
+
+
+def _transfers(spark, d, arms, kind) -> DataFrame:
+    rows = []
+    for name, (t, _) in studies.both_ways(*_panels(spark, d), arms, "incumbent", kind).items():
+        for place, (setting, mean, std) in enumerate(t.grid):
+            rows.append((name, place, str(setting), mean, std, *t.parent, *t.frozen, sum(t.weights.values())))
+    return spark.createDataFrame(rows, "direction string, place int, setting string, mean double, std double, parent_row double, parent_macro double, parent_tail double, frozen_row double, frozen_macro double, frozen_tail double, moved double")
+
+
+@query()
+def d39_robust_transfer(spark, d):
+    return _transfers(spark, d, ["candidate", "blend"], studies.GROUP_ROBUST)
+
+
+@query()
+def d39b_trust_region_transfer(spark, d):
+    return _transfers(spark, d, ["candidate"], studies.TRUST_REGION)
+
+
+@query()
+def d25b_nested_router(spark, d):
+    arms, p = ["candidate", "blend"], panel(spark, d)
+    units = metrics.unit_features(p, arms, "incumbent", ["l_orderkey", "l_linenumber", "l_partkey", "truth", "incumbent", "candidate"]).join(studies.unit_moments(p, arms, "incumbent"), "well").orderBy("well").toPandas()  # a row for each unit
+    names = [c for c in units if c not in ("well", "component", "fallback_mse", "n", "rr") and not c.startswith(("gain_", "c_", "g_"))]
+    made = studies.nested_router(units, (units["component"] >= 18).to_numpy(), arms, names)
+    rows = [(q, b, v, (q, b) == (made.quantile, made.blend), made.holdout, made.fallback) for (q, b), v in made.grid.items()]
+    return spark.createDataFrame(rows, "quantile double, blend double, rmse double, chosen boolean, holdout double, fallback double")
+
+
+@query()
+def d36_frozen_arm(spark, d):
+    t, c = logs(spark, d)
+    truth = t.where("TVT_input is null").select("well", "row_number", "truth")
+    chosen = "w120_least_squares_s0.5"
+    scored, gain = studies.frozen_arm(t.drop("truth"), c, truth, chosen, chosen, SEEDS)
+    return gain.crossJoin(F.broadcast(scored.agg(metrics.rmse("truth", "candidate").alias("candidate"), metrics.rmse("truth", "reference").alias("reference"), F.count("*").alias("rows"))))
+
+
+@query()
+def d40_physics(spark, d):
+    from cairn.plans import experiment
+
+    t, c = logs(spark, d)
+    return experiment.physics(t.drop("truth"), c, experiment.Config())
+
+
+@query()
+def d17_smoothed(spark, d):
+    return experts.smoothed(_experts(spark, d), "pf")
+
+
+@query()
+def d16_expert_weights(spark, d):
+    from cairn.functions import states
+
+    rows = [(float(cv), bool(simplex), *states.expert_weights(float(cv), states.FusionSettings(pair_correlation=pair, on_simplex=simplex))[0].tolist(), pair) for cv in range(0, 40, 4) for simplex in (False, True) for pair in (0.2, 0.95)]
+    return spark.createDataFrame(rows, "prefix_cv double, on_simplex boolean, pf double, hmm double, structural double, correlation double")

@@ -46,7 +46,7 @@ def curve_arrays(typewell: DataFrame, key: str, at: str = "tvt", value: str = "g
 
 
 def look_up(x: Column, tx: Column, ty: Column) -> Column:
-    """The curve at ``x`` by a binary search over its knots, twelve halvings (4096 knots), constant beyond the ends."""
+    """The curve at ``x`` by a binary search over its knots, however many, constant beyond the ends."""
     span = F.size(tx)
     start = F.struct(F.lit(0).alias("lo"), (span - 1).alias("hi"))
 
@@ -60,7 +60,8 @@ def look_up(x: Column, tx: Column, ty: Column) -> Column:
         x1, y1 = F.get(tx, s["hi"]), F.get(ty, s["hi"])
         return F.when(x <= x0, y0).when(x >= x1, y1).otherwise(y0 + (y1 - y0) * (x - x0) / (x1 - x0))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(12)), start, halve, line)
+    halvings = F.greatest(F.lit(1), F.ceil(F.log2(F.greatest(span, F.lit(2)))).cast("int"))
+    return F.when(span > 0, F.aggregate(F.sequence(F.lit(1), halvings), start, halve, line))
 
 
 def series_constants(rows: DataFrame, key: str) -> DataFrame:

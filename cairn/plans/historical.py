@@ -51,7 +51,7 @@ def one_series(well: str, frame: dict[str, np.ndarray], curve: pf.Curve, base_se
     line = t0 + slp["slp_all"] * h
     miss = lambda path: gr[hidden] - curve(path)
     d = {k: frame[k][hidden] - frame[k][last] for k in "XYZ"}
-    out = {"last_known_tvt": t0, "pf_ancc": level, "pf_ancc_std": t.path.std(0), "pf_ancc_delta": level - t0, "pf_z": velocity, "pf_z_delta": velocity - t0, "pf_vs_z": level - velocity}
+    out = {"last_known_tvt": t0, "pf_ancc": level, "pf_ancc_std": t.deviation[0], "pf_ancc_delta": level - t0, "pf_z": velocity, "pf_z_delta": velocity - t0, "pf_vs_z": level - velocity}
     out |= {f"beam_{k}_d": paths[f"beam_{k}"] - t0 for k in m.BEAMS} | {"beam_mean_d": beams.mean(1) - t0, "beam_std_d": beams.std(1), "beam_med_d": np.median(beams, 1) - t0}
     out |= {f"sc{k}_d": paths[f"sc{k}"] - t0 for k in m.SCALES} | {f"sc{k}_sc": paths[f"sc{k}_sc"] for k in m.SCALES}
     out |= {"sc_cons_d": np.mean([paths[f"sc{k}"] for k in m.SCALES], 0) - t0, "sc_ens_d": ens - t0, "sc_trust": trust, "hyb_d": (1 - trust) * ref + trust * ens - t0, "sc_vs_beam": ens - paths["beam_cons"]}

@@ -223,23 +223,23 @@ def j04_radius_join(spark, d):
     return edges(spark, d).select("a", "b", r("dist", 6).alias("dist"), r("corr", 6).alias("corr"), "reason")
 
 
-CURVE = "k AS (SELECT p_size::DOUBLE AS x, avg(p_retailprice) AS y FROM part WHERE p_size % 3 = 0 GROUP BY p_size), g AS (SELECT x AS x0, y AS y0, lead(x) OVER (ORDER BY x) AS x1, lead(y) OVER (ORDER BY x) AS y1, row_number() OVER (ORDER BY x) AS i FROM k)"
+CURVE = "k AS (SELECT p_size::DOUBLE AS x, avg(p_retailprice) AS y FROM part GROUP BY p_size), g AS (SELECT x AS x0, y AS y0, lead(x) OVER (ORDER BY x) AS x1, lead(y) OVER (ORDER BY x) AS y1, row_number() OVER (ORDER BY x) AS i FROM k)"
 
 
 def curve(spark, d):
-    return table(spark, d, "part").where("p_size % 3 = 0").groupBy(F.col("p_size").cast("double").alias("x")).agg(F.avg("p_retailprice").alias("y"))
+    return table(spark, d, "part").groupBy(F.col("p_size").cast("double").alias("x")).agg(F.avg("p_retailprice").alias("y"))
 
 
-@query(f"WITH {CURVE} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, round(CASE WHEN x1 IS NULL OR l_quantity <= x0 THEN y0 ELSE y0 + (y1 - y0) * (l_quantity - x0) / (x1 - x0) END, 4) AS value FROM lineitem JOIN g ON (i = 1 OR l_quantity >= x0) AND (x1 IS NULL OR l_quantity < x1)")
+@query(f"WITH {CURVE} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, round(CASE WHEN x1 IS NULL OR l_quantity - 0.3::DOUBLE <= x0 THEN y0 ELSE y0 + (y1 - y0) * (l_quantity - 0.3::DOUBLE - x0) / (x1 - x0) END, 4) AS value FROM lineitem JOIN g ON (i = 1 OR l_quantity - 0.3::DOUBLE >= x0) AND (x1 IS NULL OR l_quantity - 0.3::DOUBLE < x1)")
 def j05_interpolate(spark, d):
-    q = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    return rounded(joins.interpolate(q, curve(spark, d), [], "l_quantity", "x", "y"))
+    q = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", (F.col("l_quantity") - 0.3).alias("at"))
+    return rounded(joins.interpolate(q, curve(spark, d), [], "at", "x", "y").drop("at"))
 
 
-@query(f"WITH {CURVE} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, CASE WHEN x1 IS NULL OR l_quantity <= x0 OR l_quantity - x0 <= x1 - l_quantity THEN x0 ELSE x1 END AS nearest FROM lineitem JOIN g ON (i = 1 OR l_quantity >= x0) AND (x1 IS NULL OR l_quantity < x1)")
+@query(f"WITH {CURVE} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, CASE WHEN x1 IS NULL OR l_quantity - 0.3::DOUBLE <= x0 OR l_quantity - 0.3::DOUBLE - x0 <= x1 - (l_quantity - 0.3::DOUBLE) THEN x0 ELSE x1 END AS nearest FROM lineitem JOIN g ON (i = 1 OR l_quantity - 0.3::DOUBLE >= x0) AND (x1 IS NULL OR l_quantity - 0.3::DOUBLE < x1)")
 def j06_nearest(spark, d):
-    q = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    return joins.nearest(q, curve(spark, d), "l_quantity", "x")
+    q = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", (F.col("l_quantity") - 0.3).alias("at"))
+    return joins.nearest(q, curve(spark, d), "at", "x").drop("at")
 
 
 @query("SELECT e.event_id, (SELECT arg_max(p.value, p.event_id) FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'purchase' AND p.ts <= e.ts) AS last_purchase FROM events e WHERE e.event_type <> 'purchase'")
@@ -747,7 +747,7 @@ def k04_submission_checks(spark, d):
     from cairn.sources.files import submission_checks
 
     docs = table(spark, d, "documents")
-    order = docs.select(F.col("doc_id").alias("id"), F.row_number().over(Window.orderBy("doc_id")).alias("ord"))
+    order = joins.numbered(docs.select(F.col("doc_id").alias("id")), ["id"], "ord")
     made = order.where("id % 2 = 0").join(docs.select(F.col("doc_id").alias("id"), F.col("n_chars").cast("double").alias("tvt")), "id")
     return submission_checks(made, order)
 
@@ -786,5 +786,45 @@ def q02_ordered_report(spark, d):
     return table(spark, d, "nation").select(F.col("n_nationkey").alias("position"), F.col("n_name").alias("contract"), F.col("n_regionkey").alias("order")).orderBy("position")
 
 
+@query("SELECT s_suppkey AS position, s_name AS fold_label, s_nationkey AS panel, s_suppkey AS outer_fold, s_acctbal AS gain FROM supplier ORDER BY s_suppkey")
+def q03_fold_report(spark, d):
+    t = table(spark, d, "supplier").select(F.col("s_suppkey").alias("position"), F.col("s_name").alias("fold_label"), F.col("s_nationkey").alias("panel"), F.col("s_suppkey").alias("outer_fold"), F.col("s_acctbal").alias("gain"))
+    return t.orderBy("position")
+
+
+@query("SELECT r_name AS stage, 'rule' AS role, r_regionkey * 0.5::DOUBLE AS rms_budget, r_regionkey + 10.0::DOUBLE AS row_cap, concat('no ', r_name) AS failure_mode, r_regionkey AS \"order\" FROM region ORDER BY \"order\"")
+def q04_constraint_ledger(spark, d):
+    table(spark, d, "region").createOrReplaceTempView("cairn_constraints")
+    return spark.sql("SELECT r_name AS stage, 'rule' AS role, r_regionkey * 0.5D AS rms_budget, r_regionkey + 10.0D AS row_cap, concat('no ', r_name) AS failure_mode, r_regionkey AS `order` FROM cairn_constraints ORDER BY `order`")
+
+
+SETTINGS = [(radius, threshold, 0.2) for radius in (0.001, 0.002, 0.004) for threshold in (0.35, 0.4, 0.5)]
+
+
+@query(f"WITH RECURSIVE {EDGES}" + f""", st AS (SELECT * FROM (VALUES {", ".join(f"({a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)" for a, b, c in SETTINGS)}) t(radius, threshold, far)), ks AS (SELECT radius, threshold, a, b FROM p, st WHERE dist <= radius OR (dist <= far AND corr >= threshold)), bi AS (SELECT * FROM ks UNION ALL SELECT radius, threshold, b, a FROM ks),
+    reach AS (SELECT radius, threshold, vec_id AS a, vec_id AS b FROM embeddings, st UNION SELECT reach.radius, reach.threshold, reach.a, bi.b FROM reach JOIN bi ON reach.b = bi.a AND reach.radius = bi.radius AND reach.threshold = bi.threshold),
+    root AS (SELECT radius, threshold, a, min(b) AS r FROM reach GROUP BY ALL), sz AS (SELECT radius, threshold, r, count(*) AS n FROM root GROUP BY ALL)
+    SELECT radius, threshold, count(*) AS components, max(n) AS largest, count(*) FILTER (n > 1) AS several FROM sz GROUP BY ALL""")
+def a34_graph_grid(spark, d):
+    widest = edges(spark, d, max(r for r, _, _ in SETTINGS), 0.2, min(t for _, t, _ in SETTINGS))
+    return joins.graph_grid(table(spark, d, "embeddings"), "vec_id", widest, spark.createDataFrame(SETTINGS, "radius double, threshold double, far double"))
+
+
+@query("SELECT p_partkey, row_number() OVER (ORDER BY md5('7:' || p_partkey), p_partkey) - 1 AS place FROM part")
+def o07_seeded_shuffle(spark, d):
+    return ordered.shuffled(table(spark, d, "part").select("p_partkey"), "p_partkey", 7)
+
+
+@query("""WITH n AS (SELECT s_nationkey AS anchor, avg(s_acctbal) AS ax, avg(s_suppkey)::DOUBLE AS ay FROM supplier GROUP BY 1), r AS (SELECT s_suppkey AS place, anchor, sqrt((s_acctbal - ax) ** 2 + (s_suppkey - ay) ** 2) AS dist FROM supplier, n)
+    SELECT place, anchor, k, round(dist, 6) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY place ORDER BY dist, anchor) AS k FROM r) WHERE k <= 3""")
+def j11_nearest_anchors(spark, d):
+    from cairn.operators.experts import nearest_anchors
+
+    s = table(spark, d, "supplier")
+    known = s.groupBy(F.col("s_nationkey").alias("anchor")).agg(F.avg("s_acctbal").alias("x"), F.avg("s_suppkey").alias("y"))
+    places = s.select(F.col("s_suppkey").alias("place"), F.col("s_acctbal").alias("x"), F.col("s_suppkey").cast("double").alias("y"))
+    return rounded(nearest_anchors(places, known, "place", "anchor", 3), 6)
+
+
 def entry(spark: SparkSession, d: str) -> DataFrame:
     return a04_model_metrics(spark, d)

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from cairn.functions.expr import finite, number
 from cairn.operators.checks import CheckFailure
+from cairn.operators.joins import numbered
+from cairn.plans.staging import Stage
 
 #: Column names and file-name endings of the paired logs.
 HORIZONTAL = ("MD", "X", "Y", "Z", "GR", "TVT_input")
@@ -145,12 +147,16 @@ def to_json(value: Any) -> str:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
+    write_bytes(spark, path, text.encode())
+
+
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
     """Writes a small file to any file system that Spark's session knows."""
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
     try:
-        out.write(text.encode())
+        out.write(content)
     finally:
         out.close()
 
@@ -190,7 +196,7 @@ def pinned_csv(spark: SparkSession, path: str, sha256: str, schema: str, key: st
 def submission_checks(made: DataFrame, template: DataFrame, key: str = "id", value: str = "tvt", order: str = "ord") -> DataFrame:
     """``(check_name, violations)`` of a submission ``(ord, id, tvt)`` against the template's ids and their order."""
     ids, asked = made.select(key), template.select(key)
-    shifted = made.select(key, F.row_number().over(Window.orderBy(order)).alias("_a")).join(template.join(ids, key, "left_semi").select(key, F.row_number().over(Window.orderBy(order)).alias("_b")), key)
+    shifted = numbered(made.select(key, order), [order], "_a").select(key, "_a").join(numbered(template.join(ids, key, "left_semi").select(key, order), [order], "_b").select(key, "_b"), key)
     count = lambda t, name, what: t.agg(F.coalesce(what, F.lit(0)).cast("bigint").alias("violations")).select(F.lit(name).alias("check_name"), "violations")
     parts = [
         count(ids.subtract(asked), "extra_ids", F.count("*")), count(asked.subtract(ids), "missing_ids", F.count("*")), count(made, "repeated_ids", F.count("*") - F.count_distinct(key)),
@@ -202,12 +208,14 @@ def submission_checks(made: DataFrame, template: DataFrame, key: str = "id", val
     return out
 
 
-def write_submission(made: DataFrame, template: DataFrame, path: str, key: str = "id", value: str = "tvt", order: str = "ord") -> DataFrame:
-    """Writes ``id,tvt`` in template order as one CSV after every check passed; returns the inventory of what was written."""
+def write_submission(made: DataFrame, template: DataFrame, path: str, key: str = "id", value: str = "tvt", order: str = "ord", single: bool = False) -> DataFrame:
+    """Writes ``id,tvt`` in template order as CSV after every check passed; returns the inventory of what was written. Files follow one
+    another in order of name; ``single`` asks for one file, which one task writes."""
     failed = [r.check_name for r in submission_checks(made, template, key, value, order).where("violations > 0").collect()]
     if failed:
         raise CheckFailure("submission: " + ", ".join(failed))
-    made.select(order, F.col(key).alias(SUBMISSION[0]), F.col(value).alias(SUBMISSION[1])).orderBy(order).drop(order).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    rows = made.select(order, F.col(key).alias(SUBMISSION[0]), F.col(value).alias(SUBMISSION[1])).orderBy(order).drop(order)
+    (rows.coalesce(1) if single else rows).write.mode("overwrite").option("header", True).csv(path)
     return inventory(made.sparkSession, path, "*.csv")
 
 
@@ -249,18 +257,51 @@ def row_order_free_hash(t: DataFrame) -> DataFrame:
 
 
 def ordered_matrix_hash(t: DataFrame, key: str, order: str, columns: Sequence[str]) -> str:
-    """SHA-256 of length-prefixed ids and then the float32 matrix, rows in order; for tables that fit the driver."""
+    """SHA-256 of length-prefixed ids and then the float32 matrix, rows in order. The sorted rows pass the driver a partition at a time."""
     import hashlib
 
-    rows = t.select(order, key, *columns).orderBy(order).toPandas()
+    rows = Stage(t.sparkSession, "matrix").put(t.select(order, F.col(key).cast("string").alias("_key"), F.array(*(F.col(c).cast("float") for c in columns)).alias("_row")).orderBy(order))
     h = hashlib.sha256()
-    for k in rows[key].astype(str):
+    for (k,) in rows.orderBy(order).select("_key").toLocalIterator():
         raw = k.encode()
         h.update(len(raw).to_bytes(8, "little") + raw)
-    h.update(np.ascontiguousarray(rows[list(columns)].to_numpy("<f4")).tobytes())
+    for (v,) in rows.orderBy(order).select("_row").toLocalIterator():
+        h.update(np.array(v, "<f4").tobytes())
     return h.hexdigest()
 
 
+def write_npz(t: DataFrame, path: str) -> int:
+    """Writes a panel below a folder as NumPy archives of one-dimensional arrays, one for each partition; returns their number.
+
+    Archives are made where the rows are and pass the driver one by one. ``panel_from_npz`` reads them back, all or one.
+    """
+    names = t.columns
+
+    def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [p for p in parts if len(p)]
+        if held:
+            out, whole = io.BytesIO(), pd.concat(held)
+            np.savez_compressed(out, **{c: whole[c].to_numpy(str if whole[c].dtype == object else None) for c in names})
+            yield pd.DataFrame({"content": [out.getvalue()]})
+
+    made = 0
+    for (content,) in t.mapInPandas(pack, "content binary").toLocalIterator():
+        write_bytes(t.sparkSession, f"{path.rstrip('/')}/panel-{made:05d}.npz", bytes(content))
+        made += 1
+    return made
+
+
+def write_logs(horizontal: DataFrame, typewell: DataFrame, root: str, endings: dict[str, str] = ENDINGS) -> None:
+    """Paired CSV logs below a folder, as ``LogStore`` reads them: rows by ``row_number``, texts made where the rows are."""
+    for kind, t in (("horizontal", horizontal), ("typewell", typewell)):
+        names = [c for c in t.columns if c not in ("well", "row_number")]
+        line = F.concat_ws(",", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names))
+        lines = t.groupBy("well").agg(F.sort_array(F.collect_list(F.struct("row_number", line.alias("line")))).alias("rows"))
+        texts = lines.select("well", F.concat(F.lit(",".join(names) + "\n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), F.lit("\n")).alias("text"))
+        for well, text in texts.toLocalIterator():
+            write_text(t.sparkSession, f"{root.rstrip('/')}/{well}{endings[kind]}", text)
+
+
 def synthetic_logs(spark: SparkSession, wells: int, rows: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Deterministic horizontal and typewell tables, two wells to a place; noise by Box-Muller on hashes, so it does not depend on
     partitions."""

@@ -6,11 +6,11 @@ import os
 import duckdb
 import pytest
 
-from cairn.plans import domain, relational
+from cairn.plans import domain, relational, storage
 
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES, SQL = relational.QUERIES | domain.QUERIES, relational.SQL | domain.SQL
+QUERIES, SQL = relational.QUERIES | domain.QUERIES | storage.QUERIES, relational.SQL | domain.SQL | storage.SQL
 
 
 @pytest.fixture(scope="module")
@@ -41,7 +41,7 @@ def test_equals_duckdb(spark, duck, name):
     assert same([tuple(r) for r in got.collect()], got.columns) == same(cur.fetchall(), columns)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"d07_features"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_gives_rows(spark, name):
     t = QUERIES[name](spark, DIR)
     rows = t.collect()
