@@ -37,7 +37,7 @@ class Kind:
     rule: str
 
 
-GROUP_ROBUST = Kind(ROBUST, lambda m, s: blending.solve_robust(m, *s), (0.5, 0.25, 0.25), lambda s: (-s[1], -s[0], s[2]), False, "draw")
+GROUP_ROBUST = Kind(ROBUST, lambda m, s: blending.solve_robust(m, *s, steps=1500), (0.5, 0.25, 0.25), lambda s: (-s[1], -s[0], s[2]), False, "draw")
 TRUST_REGION = Kind(TRUST, lambda m, s: np.array([blending.solve_trust_region(m, *s)]), (0.6, 0.2, 0.2), lambda s: (s[0], s[2]), True, "draw_by_size")
 
 
@@ -63,15 +63,30 @@ def cross_fitted(m: blending.Moments, kind: Kind, setting: tuple, seed: int, fol
     return out
 
 
-def transfer(source: blending.Moments, target: blending.Moments, arms: Sequence[str], kind: Kind, seeds: Sequence[int] = SEEDS, folds: int = FOLDS) -> Transfer:
+def _tried(spark: SparkSession, m: blending.Moments, kind: Kind, seeds: Sequence[int], folds: int, shares_of: tuple[float, float, float]) -> dict[tuple[int, int], float]:
+    """Score of each setting and seed, by their numbers: a row each, solved in tasks from the moments, which are broadcast."""
+    shared = spark.sparkContext.broadcast((m, tuple(seeds)))  # a record for each group
+    cases = [(i, j) for i in range(len(kind.settings)) for j in range(len(seeds))]
+
+    def run(parts):
+        own, drawn = shared.value
+        for p in parts:
+            value = []
+            for i, j in zip(p["i"], p["j"]):
+                s = blending.scores(own, mse=cross_fitted(own, kind, kind.settings[i], drawn[j], folds), squares=kind.squares)
+                value.append(sum(share * a / b for share, a, b in zip(kind.shares, s, shares_of)))
+            yield p.assign(value=value)
+
+    table = spark.createDataFrame(cases, "i int, j int").repartition(len(cases), "i", "j")
+    return {(r.i, r.j): r.value for r in table.mapInPandas(run, "i int, j int, value double").collect()}
+
+
+def transfer(spark: SparkSession, source: blending.Moments, target: blending.Moments, arms: Sequence[str], kind: Kind, seeds: Sequence[int] = SEEDS, folds: int = FOLDS) -> Transfer:
     """Chooses a setting by cross-fitted scores on the source, fits it there once more and scores it frozen on the target."""
     base = blending.scores(source, np.zeros(len(arms)), squares=kind.squares)
-    grid = []
-    for setting in kind.settings:
-        made = [blending.scores(source, mse=cross_fitted(source, kind, setting, seed, folds), squares=kind.squares) for seed in seeds]
-        total = [sum(share * a / b for share, a, b in zip(kind.shares, s, base)) for s in made]
-        grid.append((setting, float(np.mean(total)), float(np.std(total))))
-    grid.sort(key=lambda row: (row[1], row[2], kind.tie(row[0])))
+    tried = _tried(spark, source, kind, seeds, folds, base)
+    each = {s: [tried[i, j] for j in range(len(seeds))] for i, s in enumerate(kind.settings)}
+    grid = sorted(((s, float(np.mean(v)), float(np.std(v))) for s, v in each.items()), key=lambda row: (row[1], row[2], kind.tie(row[0])))
     setting = grid[0][0]
     w = kind.solve(source, setting)
     return Transfer(setting, grid, dict(zip(arms, w.tolist())), base, blending.scores(target, np.zeros(len(arms)), squares=kind.squares), blending.scores(target, w, squares=kind.squares))
@@ -83,7 +98,7 @@ def both_ways(a: DataFrame, b: DataFrame, arms: Sequence[str], parent: str, kind
     moments = {n: blending.group_moments(p, arms, parent) for n, p in (("a", a), ("b", b))}
     out = {}
     for s, t, panel in (("a", "b", b), ("b", "a", a)):
-        made = transfer(moments[s], moments[t], arms, kind, folds=min(FOLDS, len(moments[s].n)))
+        made = transfer(a.sparkSession, moments[s], moments[t], arms, kind, folds=min(FOLDS, len(moments[s].n)))
         gain = metrics.bootstrap(overlays.fixed_blend(panel, parent, made.weights, "frozen"), "component", parent, "frozen", draws) if draws else None
         out[f"{s}_to_{t}"] = (made, gain)
     return out

@@ -39,7 +39,7 @@ def test_transfer_is_that_of_rows(two, kind, arms):
     a, c, sa, sc = two
     small = studies.Kind(kind.settings[:3], kind.solve, kind.shares, kind.tie, kind.squares, kind.rule)
     ma, mc = b.group_moments(sa, arms, "incumbent"), b.group_moments(sc, arms, "incumbent")
-    made = studies.transfer(ma, mc, arms, small, seeds=(1, 2), folds=4)
+    made = studies.transfer(sa.sparkSession, ma, mc, arms, small, seeds=(1, 2), folds=4)
     blend = lambda p, w: p["incumbent"] + sum(v * (p[k] - p["incumbent"]) for k, v in w.items())
     assert made.parent == pytest.approx(direct(c, c["incumbent"], kind.squares)) and made.frozen == pytest.approx(direct(c, blend(c, made.weights), kind.squares))
     base, totals = direct(a, a["incumbent"], kind.squares), {}
