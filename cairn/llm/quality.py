@@ -34,7 +34,7 @@ HIDDEN = 32
 EPOCHS = 60
 LIMIT = 0.3
 #: Characters of the tokens whose vectors a worker keeps between calls, and tokens pooled at a time.
-CHARS_KEPT = 4_000_000
+CHARS_KEPT = 3_000_000
 BLOCK = 32_768
 TOKEN = re.compile(r"[^\W_]+|(?:[^\w\s]|_)+")
 
@@ -221,7 +221,15 @@ class Model:
         self.constant = 1.0 if not rows else float(labels[0]) if len(set(labels.tolist())) < 2 else None
         if self.constant is None:
             self.vectors = Vectors([t for t, _ in rows])
-            self.network = Network(Pooler(self.vectors)([t for t, _ in rows]), labels)
+            pool = Pooler(self.vectors)
+            self.network = Network(np.concatenate([pool([t for t, _ in rows[at : at + 200]]) for at in range(0, len(rows), 200)]), labels)
+
+    @property
+    def pool(self) -> Pooler:
+        """One for each Python worker, so that a task finds the vectors that earlier tasks looked up."""
+        if "_pool" not in self.__dict__:
+            self._pool = Pooler(self.vectors)
+        return self._pool
 
 
 def score(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", carry: tuple[str, ...] = (), name: str = "score") -> DataFrame:
@@ -235,7 +243,7 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
 
     def start():
         m = shared.value
-        pool = None if m.constant is not None else Pooler(m.vectors)
+        pool = None if m.constant is not None else m.pool
 
         def do(texts: list) -> list:
             if pool is None:
