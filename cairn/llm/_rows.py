@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SLICE = 1000
 
@@ -14,9 +15,11 @@ def map_text(df: DataFrame, keep: list[str], text: str, added: str, start: Calla
     """The columns ``keep`` and those of the DDL string ``added``.
 
     ``start()`` runs once in a task and returns the function from a list of texts (None for null) to one
-    Arrow array, or list, for each added column. Other columns of ``df`` are neither read nor returned.
+    Arrow array, or list, for each added column. Other columns of ``df`` are neither read nor returned; a text that is
+    kept crosses once.
     """
-    src = df.select(*keep, text)
+    src = df.select(*(F.col(f"`{c}`") for c in keep), *([] if text in keep else [text]))
+    at = keep.index(text) if text in keep else len(keep)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[: len(keep)])
     names = [*keep, *(x.split()[0].strip("`") for x in _split(added))]
 
@@ -25,7 +28,7 @@ def map_text(df: DataFrame, keep: list[str], text: str, added: str, start: Calla
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                made = do(part.column(len(keep)).to_pylist())
+                made = do(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *(x if isinstance(x, pa.Array) else pa.array(x) for x in made)], names=names)
 
     return src.mapInArrow(run, f"{kept}, {added}" if keep else added)
