@@ -19,7 +19,7 @@ def map_text(df: DataFrame, keep: list[str], text: str, added: str, start: Calla
     kept crosses once.
     """
     src = df.select(*(F.col(f"`{c}`") for c in keep), *([] if text in keep else [text]))
-    at = keep.index(text) if text in keep else len(keep)
+    place = keep.index(text) if text in keep else len(keep)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[: len(keep)])
     names = [*keep, *(x.split()[0].strip("`") for x in _split(added))]
 
@@ -28,7 +28,7 @@ def map_text(df: DataFrame, keep: list[str], text: str, added: str, start: Calla
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                made = do(part.column(at).to_pylist())
+                made = do(part.column(place).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *(x if isinstance(x, pa.Array) else pa.array(x) for x in made)], names=names)
 
     return src.mapInArrow(run, f"{kept}, {added}" if keep else added)
