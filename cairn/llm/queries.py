@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import embed_dedup, imatch, langid, packing, pieces, quality, simhash, toxicity, url_filter, warc
+from cairn.llm import alignment, embed_dedup, imatch, langid, lexical, packing, pieces, quality, simhash, token_counts, toxicity, url_filter, warc
 from cairn.sources.tables import table
 
 
@@ -71,8 +71,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_url_filter, op2_simhash, op3_sentencepiece, op4_quality, op5_toxicity, op6_embedding_dedup, op7_imatch, op8_packing, op9_warc, op10_language_id]
+    found = [op1_url_filter, op2_simhash, op3_sentencepiece, op4_quality, op5_toxicity, op6_embedding_dedup, op7_imatch, op8_packing, op9_warc, op10_language_id, op11_token_counts, op12_alignment, op13_lexical_search]
     return {f.__name__: f for f in found}
 
 
@@ -85,6 +97,15 @@ ORACLE_SQL: dict[str, str] = {
         FROM (SELECT page_id, html, CASE WHEN octet_length(encode(coalesce(html, ''))) >= 100
                      THEN min(page_id) OVER (PARTITION BY sha256(coalesce(html, ''))) END AS f FROM pages)
     """,
+    "op13_lexical_search": r"""
+        WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+        size AS (SELECT doc_id, count(*) AS n FROM t GROUP BY 1), total AS (SELECT count(*) AS nn, sum(n)::BIGINT AS ll FROM size),
+        post AS (SELECT term, doc_id, count(*) AS tf FROM t GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
+        q AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        s AS (SELECT item_id, doc_id, sum(floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * df + 1)))::BIGINT * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nn) // ll))))::BIGINT AS score
+              FROM q JOIN df USING (term) JOIN post USING (term) JOIN size USING (doc_id), total GROUP BY 1, 2)
+        SELECT item_id, rank::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 20
+    """,
     "op6_embedding_dedup": """
         WITH RECURSIVE good AS (
             SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
