@@ -10,17 +10,19 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.llm._labelled import fitting
 from cairn.llm._rows import map_text
+from cairn.plans.staging import Stage
 
-#: The sample: about so many texts of each of the commonest values of the language column, so many characters together.
+#: The sample: about so many texts of each value of the language column, so many characters together, the same share for each.
 TEXTS_PER_LANGUAGE = 500
-LANGUAGES = 256
 SAMPLE_CHARS = 30_000_000
 EM_ROUNDS = 3
 #: What every piece of the vocabulary counts in every language beforehand, and a character that is no piece.
@@ -174,46 +176,75 @@ class Model:
         return out
 
 
+def probabilities(counts: Counter, pieces: list[str]) -> np.ndarray:
+    """Of each piece, and of an unknown character at the end, in a language with these words."""
+    index, longest = {p: i for i, p in enumerate(pieces)}, max(map(len, pieces))
+    made = [(Lattice([MARK + w for w in some], index, longest), np.array([counts[w] for w in some], dtype=float)) for some in batches(list(counts))]
+    p = np.full((len(pieces) + 1, 1), 1 / len(pieces))
+    p[-1] = UNKNOWN
+    for _ in range(EM_ROUNDS):
+        c = sum((lattice.expected(p, weight) for lattice, weight in made), np.zeros(len(pieces))) + PRIOR
+        p[:-1, 0] = c / c.sum()
+    return p[:, 0]
+
+
 def fit(rows: list[tuple[str, str]], pieces: list[str]) -> Model:
     """From ``(text, lang)`` rows."""
     counts: dict[str, Counter] = {}
     for text, lang in rows:
         counts.setdefault(lang, Counter()).update(LETTERS.findall((text or "").lower()))
     langs = sorted(counts)
-    index, longest = {p: i for i, p in enumerate(pieces)}, max(map(len, pieces))
-    prob = np.full((len(pieces) + 1, len(langs)), UNKNOWN)
-    for k, lang in enumerate(langs):
-        made = [(Lattice([MARK + w for w in some], index, longest), np.array([counts[lang][w] for w in some], dtype=float)) for some in batches(list(counts[lang]))]
-        p = np.full((len(pieces) + 1, 1), 1 / len(pieces))
-        p[-1] = UNKNOWN
-        for _ in range(EM_ROUNDS):
-            c = sum((lattice.expected(p, weight) for lattice, weight in made), np.zeros(len(pieces))) + PRIOR
-            p[:-1, 0] = c / c.sum()
-        prob[:, k] = p[:, 0]
-    return Model(pieces, langs, prob)
-
-
-def sample(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """About ``TEXTS_PER_LANGUAGE`` rows of each of the ``LANGUAGES`` commonest languages among those to learn from, by a hash of the
-    id, and of these, in the order of that hash, as many as have ``SAMPLE_CHARS`` characters together."""
-    usable = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES)
+    return Model(pieces, langs, np.stack([probabilities(counts[lang], pieces) for lang in langs], axis=1) if langs else np.full((len(pieces) + 1, 0), UNKNOWN))
+
+
+def fit_in_tasks(rows: DataFrame, vocabulary_path: str) -> Model:
+    """The same from a table ``(lang, text)`` of bounded size, each language in a task of its own."""
+
+    def one(key: tuple, t: pa.Table) -> pa.Table:
+        counts: Counter = Counter()
+        for text in t.column("text").to_pylist():
+            counts.update(LETTERS.findall((text or "").lower()))
+        return pa.Table.from_arrays([pa.array([key[0].as_py()]), pa.array([probabilities(counts, _vocabulary(vocabulary_path)).tobytes()])], names=["lang", "prob"])
+
+    made = sorted((lang, np.frombuffer(p)) for lang, p in rows.groupBy("lang").applyInArrow(one, "lang string, prob binary").collect())  # the model itself
+    pieces = vocabulary(vocabulary_path)
+    return Model(pieces, [lang for lang, _ in made], np.stack([p for _, p in made], axis=1) if made else np.full((len(pieces) + 1, 0), UNKNOWN))
+
+
+@lru_cache(maxsize=1)
+def _vocabulary(path: str) -> list[str]:
+    """One for each Python worker."""
+    return vocabulary(path)
+
+
+def sample(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str, chars: int = SAMPLE_CHARS) -> DataFrame:
+    """``(lang, text)``: about ``TEXTS_PER_LANGUAGE`` rows of each language among those to learn from, by a hash of the id.
+
+    Every language has the same share of ``chars`` and draws of its own, so that a rare one keeps its texts beside a common one. Of
+    its texts those are taken, in the order of the hash, that have its share of characters together; very long ones come last, and
+    a language keeps one text at least.
+    """
+    spark = docs.sparkSession
+    usable = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    sizes = usable.groupBy("lang").count().collect()  # a row for each language, as the model has
+    rates = spark.createDataFrame([(lang, TEXTS_PER_LANGUAGE / n) for lang, n in sizes], "lang string, rate double")
     draw = F.pmod(F.xxhash64("id", F.lit("langid")), F.lit(1_000_000)) / 1e6
-    drawn = usable.withColumn("draw", draw).join(F.broadcast(sizes), "lang").where(F.col("draw") < TEXTS_PER_LANGUAGE / F.col("n"))
-    so_far = F.sum(F.length("text").cast("bigint")).over(Window.orderBy("draw", "id", "text"))  # over the drawn texts alone
-    return sorted((r[0], r[1]) for r in drawn.withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_CHARS).select("text", "lang").collect())
+    drawn = usable.withColumn("draw", draw).join(rates, "lang").where(F.col("draw") < F.col("rate")).withColumn("row", F.monotonically_increasing_id())
+    drawn = Stage(spark, "langid").put(drawn.select("row", "lang", "id", "draw", "text"))
+    kept = fitting(drawn.select("row", "lang", "id", "draw", F.length("text").cast("bigint").alias("n")), "lang", chars // max(1, len(sizes)), ["draw", "id", "row"])
+    return drawn.join(kept.select("row"), "row").select("lang", "text")
 
 
 def identify(docs: DataFrame, vocabulary_path: str, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``(id, lang_pred, score)``: the likeliest of the languages learned from rows where ``learn`` holds.
+    """``(id, lang_pred, score)``: the likeliest of the languages, all of those in rows where ``learn`` holds.
 
     ``und`` with score 0 where the text is null or has no letter, or nothing could be learned. ``score`` is the softmax of
     the log-likelihoods at ``TEMPERATURE``. Ties go to the first language by name. Repeated rows and null ids are kept, an empty
     table gives no rows; words and texts may be of any length, other columns are not read.
     """
-    model = fit(sample(docs, learn, id_col, text_col, lang_col), vocabulary(vocabulary_path))
+    model = fit_in_tasks(sample(docs, learn, id_col, text_col, lang_col), vocabulary_path)
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # pieces times languages, whatever the data
+    shared = spark.sparkContext.broadcast(model)  # pieces of the vocabulary times languages
 
     def start():
         m = shared.value

@@ -112,7 +112,7 @@ def test_texts_and_scores_are_those_of_a_loop(spark):
     rows = corpus(90) + [(500, "donau" * 30 + " und " + "漢字" * 50, None), (501, "und The 12 UNG", None)]
     t = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     learn = F.col("doc_id") < 60
-    m = g.fit(g.sample(t, learn, "doc_id", "text", "lang"), g.vocabulary(PATH))
+    m = g.fit([(r.text, r.lang) for r in g.sample(t, learn, "doc_id", "text", "lang").collect()], g.vocabulary(PATH))
     got = {r.doc_id: r for r in g.identify(t, PATH, learn).collect()}
     for i, text, _ in rows[::9] + rows[-2:]:
         total = sum(by_position(w, m.index, m.prob) for w in g.LETTERS.findall(text.lower()))
@@ -121,10 +121,41 @@ def test_texts_and_scores_are_those_of_a_loop(spark):
 
 
 def test_sample_is_bounded(spark, monkeypatch):
-    t = spark.createDataFrame([(i, f"text {i}", f"l{i % 50 if i % 3 else 0}") for i in range(600)], "doc_id long, text string, lang string")
-    monkeypatch.setattr(g, "LANGUAGES", 4)
+    t = spark.createDataFrame([(i, f"text {i:03d}", f"l{i % 50 if i % 3 else 0}") for i in range(600)], "doc_id long, text string, lang string")
     monkeypatch.setattr(g, "TEXTS_PER_LANGUAGE", 5)
-    rows = g.sample(t, F.lit(True), "doc_id", "text", "lang")
-    assert "l0" in {k for _, k in rows} and len({k for _, k in rows}) <= 4 and len(rows) < 60
-    monkeypatch.setattr(g, "SAMPLE_CHARS", 30)
-    assert sum(len(x) for x, _ in g.sample(t, F.lit(True), "doc_id", "text", "lang")) <= 30
+    rows = g.sample(t, F.lit(True), "doc_id", "text", "lang").collect()
+    langs = {r.lang for r in rows}
+    assert "l0" in langs and len(langs) > 40 and len(rows) < 350
+    few = g.sample(t, F.lit(True), "doc_id", "text", "lang", chars=50 * 16).collect()
+    assert {r.lang for r in few} == langs and max(sum(len(r.text) for r in few if r.lang == k) for k in langs) <= 16
+
+
+def test_rare_language_and_long_text_under_the_bound(spark, monkeypatch):
+    """Common languages and one giant text first in the order leave a rare language and the other texts their share."""
+    rows = [(i, f"der text {i:06d} ung", f"c{i % 3}") for i in range(30_000)] + [(100_000 + i, f"rare zz{i}", "rare") for i in range(30)]
+    t = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(g, "SAMPLE_CHARS", 8_000)
+    drawn = g.sample(t, F.lit(True), "doc_id", "text", "lang", chars=8_000)
+    n = {r.lang: r["count"] for r in drawn.groupBy("lang").count().collect()}
+    assert set(n) == {"c0", "c1", "c2", "rare"} and n["rare"] == 30
+    long = t.withColumn("text", F.when(F.col("doc_id") == 100_003, F.repeat(F.lit("giant "), 5_000)).otherwise(F.col("text")))
+    left = g.sample(long, F.lit(True), "doc_id", "text", "lang", chars=8_000)
+    assert left.where("lang = 'rare'").count() == 29 and left.where("length(text) > 1000").count() == 0
+    only = t.where("doc_id = 1").withColumn("text", F.repeat(F.lit("giant "), 5_000))
+    assert g.sample(only, F.lit(True), "doc_id", "text", "lang", chars=100).count() == 1  # a language keeps one
+
+
+def test_any_number_of_languages(spark):
+    names = [f"l{i:03d}" for i in range(300)]
+    own = [p[1:] for p in g.vocabulary(PATH) if p[0] == g.MARK and len(p) > 6 and p[1:].isalpha() and p[1:].islower()][:300]  # a word of its own, among common ones
+    t = spark.createDataFrame([(3 * i + j, f"the {own[i]} and {own[i]}", k) for i, k in enumerate(names) for j in range(2)], "doc_id long, text string, lang string")
+    got = g.identify(t, PATH, F.lit(True)).collect()
+    assert len(got) == 600 and all(r.lang_pred == names[r.doc_id // 3] for r in got)
+
+
+def test_fit_in_tasks_is_the_same(spark):
+    rows = corpus(30)
+    t = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    a, b = g.fit([(t, k) for _, t, k in rows], g.vocabulary(PATH)), g.fit_in_tasks(t.select("lang", "text"), PATH)
+    assert a.langs == b.langs and np.allclose(a.prob, b.prob)
+    assert g.fit_in_tasks(t.limit(0).select("lang", "text"), PATH).langs == []

@@ -132,6 +132,23 @@ def test_sample_is_bounded_and_counts_an_id_once(spark):
     assert sum(len(t) for t, _ in take(1000, chars=80)) <= 80
 
 
+@pytest.mark.parametrize("where", ["first", "middle"])
+def test_a_giant_text_displaces_no_other(spark, where):
+    """The labelled text that comes first, or half way, in the order of the sample is longer than all it may read."""
+    from cairn.llm import _labelled as lab
+
+    docs = spark.createDataFrame([(i, f"text {i:03d}") for i in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, quality int")
+    order = [r[0] for r in docs.orderBy(F.xxhash64("doc_id", F.lit("labelled")), "doc_id").collect()]
+    giant = order[0 if where == "first" else 50]
+    long = docs.withColumn("text", F.when(F.col("doc_id") == giant, F.repeat(F.lit("long "), 7_000_000)).otherwise(F.col("text")))
+    take = lambda t: lab.sample(t, labels, F.lit(True), "quality", 1000, "doc_id", "text")
+    assert set(take(docs)) - set(take(long)) == {(f"text {giant:03d}", giant % 2)} and len(take(long)) == 99
+    only = labels.where(F.col("doc_id") == giant)
+    found = lab.sample(long, only, F.lit(True), "quality", 1000, "doc_id", "text")
+    assert [(len(t), y) for t, y in found] == [(35_000_000, giant % 2)]  # a label keeps one text
+
+
 def test_temperature_calibrates():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 5))
