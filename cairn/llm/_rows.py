@@ -5,23 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SLICE = 1000
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly that name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def map_text(df: DataFrame, keep: list[str], text: str, added: str, start: Callable[[], Callable[[list], list]]) -> DataFrame:
     """The columns ``keep`` and those of the DDL string ``added``.
 
     ``start()`` runs once in a task and returns the function from a list of texts (None for null) to one
     Arrow array, or list, for each added column. Other columns of ``df`` are neither read nor returned; a text that is
-    kept crosses once.
+    kept crosses once. Columns travel under plain names, so they may have any name and type that Arrow knows.
     """
-    src = df.select(*(F.col(f"`{c}`") for c in keep), *([] if text in keep else [text]))
-    place = keep.index(text) if text in keep else len(keep)
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[: len(keep)])
-    names = [*keep, *(x.split()[0].strip("`") for x in _split(added))]
+    read = [*keep, *([] if text in keep else [text])]
+    src = df.select(*(quoted(c).alias(f"c{i}") for i, c in enumerate(read)))
+    place, new = read.index(text), T.StructType.fromDDL(added)
+    schema = T.StructType([*src.schema.fields[: len(keep)], *(T.StructField(f"n{i}", f.dataType) for i, f in enumerate(new.fields))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         do = start()
@@ -29,9 +35,9 @@ def map_text(df: DataFrame, keep: list[str], text: str, added: str, start: Calla
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 made = do(part.column(place).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *(x if isinstance(x, pa.Array) else pa.array(x) for x in made)], names=names)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *(x if isinstance(x, pa.Array) else pa.array(x) for x in made)], names=schema.names)
 
-    return src.mapInArrow(run, f"{kept}, {added}" if keep else added)
+    return src.mapInArrow(run, schema).toDF(*keep, *new.names)
 
 
 def free_names(df: DataFrame, *names: str) -> list[str]:
@@ -43,14 +49,3 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
         taken.add(n.lower())
         out.append(n)
     return out
-
-
-def _split(ddl: str) -> list[str]:
-    out, depth = [""], 0
-    for c in ddl:
-        depth += (c in "<(") - (c in ">)")
-        if c == "," and not depth:
-            out.append("")
-        else:
-            out[-1] += c
-    return [x.strip() for x in out]

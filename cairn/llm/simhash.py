@@ -21,10 +21,11 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cairn.llm._rows import free_names, map_text
+from cairn.llm._rows import free_names, map_text, quoted
 from cairn.operators.graph import connected_components
 from cairn.plans.staging import Stage
 
@@ -178,6 +179,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, "fp", "left").select(id_col, "fp", F.when(F.col(id_col).isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def _hashable(field: T.StructField) -> Column:
+    """The column, as JSON where it holds what has no hash (maps, variants)."""
+    kind = field.dataType.simpleString()
+    return F.to_json(F.struct(quoted(field.name).alias("c"))) if "map<" in kind or "variant" in kind else quoted(field.name)
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each class of fingerprints the row with the smallest id, with all its columns.
 
@@ -187,7 +194,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     stage, own = Stage(docs.sparkSession, "simhash"), free_names(docs, "__id", "__text", "fp", "__rest")
     key_id, key_text, fp, rest = own
-    keyed = docs.withColumns({key_id: F.col(id_col), key_text: F.sha2(F.coalesce(text_col, F.lit("")), 256), rest: F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))})
+    keyed = docs.withColumns({key_id: F.col(id_col), key_text: F.sha2(F.coalesce(text_col, F.lit("")), 256), rest: F.xxhash64(*map(_hashable, docs.schema.fields))})
     fps = stage.put(fingerprints(keyed, [key_id, key_text, rest], text_col, shingle).toDF("id", "t", "rest", "fp"))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "t", "rest")
     each = stage.put(fps.groupBy("fp").agg(F.min(place).alias("best")))
@@ -195,4 +202,4 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stay = stay.select(F.col("id").alias(key_id), F.col("t").alias(key_text), F.col("rest").alias(rest))
     met = keyed.join(stay, keyed[key_id].eqNullSafe(stay[key_id]) & (keyed[key_text] == stay[key_text]) & (keyed[rest] == stay[rest]), "left_semi")
     # what is left is one row for each class, or a few that are alike in every column
-    return met.withColumn(fp, F.row_number().over(Window.partitionBy(key_id, key_text, rest).orderBy(F.lit(1)))).where(F.col(fp) == 1).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return met.withColumn(fp, F.row_number().over(Window.partitionBy(key_id, key_text, rest).orderBy(F.lit(1)))).where(F.col(fp) == 1).select(*(quoted(c) for c in docs.columns))

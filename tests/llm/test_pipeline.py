@@ -72,5 +72,26 @@ def test_extra_and_clashing_columns(spark, folder):
         assert f(spark, t.limit(0), d).count() == 0
 
 
+def test_columns_of_any_name_and_type_stay_as_they_are(spark, folder):
+    from pyspark.sql import functions as F
+
+    d, *_ = folder
+    t = spark.read.parquet(f"{d}/documents.parquet").limit(60)
+    t = t.withColumns({
+        "a.b": F.lit("dotted"), "tick`s": F.lit(1.5), "c0": F.lit("plain"), "n0": F.lit(1), "sp ace": F.lit(None).cast("date"),
+        "m": F.create_map(F.lit("k"), F.col("doc_id"), F.lit("l"), F.lit(None).cast("long")),
+        "odd": F.struct(F.lit(1).alias("a-b"), F.array(F.create_map(F.lit("x.y"), F.lit(2))).alias("in `side"), F.col("source").alias("SELECT")),
+    })
+    whole = {str(r.doc_id): r for r in t.dropDuplicates(["doc_id"]).collect()}
+    for _, f in pipeline.STAGES[:-1]:
+        got = f(spark, t, d)
+        assert got.columns == t.columns and [x.dataType.simpleString() for x in got.schema] == [x.dataType.simpleString() for x in t.schema]
+        rows = got.collect()
+        assert rows and all(tuple(r) == tuple(whole[str(r.doc_id)]) for r in rows)
+    assert pipeline.STAGES[-1][1](spark, t, d).count() >= 60
+    one = pipeline.drop_near_duplicates(spark, t.unionAll(t), d)
+    assert sorted(map(str, one.collect())) == sorted(map(str, pipeline.drop_near_duplicates(spark, t, d).collect()))
+
+
 def test_limits_are_those_of_the_contract():
     assert (quality.LIMIT, toxicity.LIMIT, simhash.MAX_BITS, simhash.SHINGLE) == (0.3, 0.5, 4, 4)
