@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import packing, quality, simhash, toxicity
-from cairn.llm._rows import free_names
+from cairn.llm._rows import free_names, quoted
 from cairn.llm.queries import fold, tokenizer_file
 from cairn.plans.staging import Stage
 from cairn.sources.tables import table
@@ -24,7 +24,7 @@ def _judged(operator, spark: SparkSession, docs: DataFrame, sf_dir: str, keep) -
     (name,) = free_names(docs, "__score")
     rest = tuple(c for c in docs.columns if c != "doc_id")
     scored = operator.score(docs, table(spark, sf_dir, "labels"), _learn(), carry=rest, name=name)
-    return scored.where(keep(F.col(name))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return scored.where(keep(F.col(name))).select(*(quoted(c) for c in docs.columns))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
