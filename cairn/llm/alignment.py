@@ -1,9 +1,9 @@
 """Which tokens of two tokenizers cover the same bytes, and how often the corpus holds each pair.
 
-A link is a pair of tokens, one of each tokenizer, whose byte ranges overlap. Pairs are packed into one int64, the second
-tokenizer's id in the upper half. Each input partition counts its own pairs (``np.unique``); the partial counts are
-sorted over the whole corpus by ranges of the key, and each range adds up its runs of equal keys and writes two flat files, keys and
-counts, into the shared folder. Documents then look their pairs up in these shards, which are mapped into memory, by
+A link is a pair of tokens, one of each tokenizer, whose byte ranges overlap. Documents are aligned once and their links staged. Pairs
+are packed into one int64, the second tokenizer's id in the upper half. Each partition counts its own pairs (``np.unique``); the
+partial counts are sorted over the whole corpus by ranges of the key, and each range adds up its runs of equal keys and writes two flat
+files, keys and counts, into the shared folder. Documents then look their pairs up in these shards, which are mapped into memory, by
 ``searchsorted``. What passes the driver is a row for each shard and one number for each id of the second vocabulary.
 
 Both tokenizers end a token at every safe place (``chunks``), so a document is the sum of its stretches between them, and a
@@ -13,6 +13,7 @@ worker aligns each distinct stretch once.
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,10 +24,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairn.llm._rows import SLICE
-from cairn.llm.chunks import SAFE, json_layout, json_tokenizer, piece_layout, piece_processor
+from cairn.llm.chunks import json_layout, json_tokenizer, piece_layout, piece_processor, stretches
 from cairn.llm.token_counts import balanced
 from cairn.plans.staging import Stage
 
@@ -35,6 +36,8 @@ BATCH_CHARS = 2_000_000
 KEPT = 80_000_000
 #: Distinct pairs that a task counts before it hands them on.
 HELD = 4_000_000
+#: Fixed value: the word pattern of byte-level vocabularies.
+WORDS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def byte_decoder() -> dict[str, int]:
@@ -57,6 +60,39 @@ class Grown:
         self.n += len(more)
 
 
+class ByteTokens:
+    """Tokens of a byte-level ``.json`` file. Where its merges stand in the order of their ids, and the bytes come first, ids are ranks, and the
+    quicker of the two public libraries reads many texts as one; otherwise each text goes to the file's own library."""
+
+    def __init__(self, path: str):
+        self.own = json_tokenizer(path)
+        self.own.encode_special_tokens = True  # their strings in a text are ordinary text
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        decoder, vocab = byte_decoder(), self.own.get_vocab()
+        self.bytes = [b""] * (max(vocab.values()) + 1)
+        for piece, i in vocab.items():
+            self.bytes[i] = bytes(decoder[c] for c in piece) if all(c in decoder for c in piece) else piece.encode()
+        merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        ranked = all(len(self.bytes[i]) == 1 for i in range(256)) and [model["vocab"].get(m) for m in merged] == list(range(256, 256 + len(merged)))
+        self.fast = None
+        if json_layout(path) == "bytes" and ranked:
+            import tiktoken
+
+            self.fast = tiktoken.Encoding("ranks", pat_str=WORDS, mergeable_ranks={self.bytes[i]: i for i in range(256 + len(merged))}, special_tokens={})
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, each of which begins with a space, one after the other, and how many each has."""
+        if self.fast is None or any(t[-1].isspace() for t in texts):
+            ids = [self.fast.encode_ordinary(t) if self.fast else self.own.encode(t, add_special_tokens=False).ids for t in texts]
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            return np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum())), n
+        ids = np.array(self.fast.encode_ordinary("".join(texts)), np.int64)  # a word begins where a text does
+        size = np.fromiter(map(len, self.bytes), np.int64, len(self.bytes))
+        ends = np.cumsum(np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts)))
+        return ids, np.diff(np.searchsorted(np.cumsum(size[ids]), ends) + 1, prepend=0)
+
+
 class Aligner:
     """Alignments of stretches: token numbers, groups as text and packed links, under a number for each distinct stretch.
 
@@ -65,69 +101,78 @@ class Aligner:
     """
 
     def __init__(self, a_path: str, b_path: str):
-        self.a, self.b = json_tokenizer(a_path), piece_processor(b_path)
-        self.a.encode_special_tokens = True
+        self.a, self.b = ByteTokens(a_path), piece_processor(b_path)
         self.cut = json_layout(a_path) == "bytes" and piece_layout(b_path)
-        decoder, vocab = byte_decoder(), self.a.get_vocab()
-        self.a_bytes = [b""] * (max(vocab.values()) + 1)
-        for piece, i in vocab.items():
-            self.a_bytes[i] = bytes(decoder[c] for c in piece) if all(c in decoder for c in piece) else piece.encode()
+        self.a_bytes = self.a.bytes
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.a_size, self.b_size = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.a_bytes, self.b_bytes))
-        self.a_name, self.b_name = ([str(i) for i in range(len(x))] for x in (self.a_bytes, self.b_bytes))
+        # an id as it is written within its group, and at the end of its side of the group
+        self.names = [[f"{i}{end}" for i in range(len(x))] for x, last in ((self.a_bytes, "|"), (self.b_bytes, ";")) for end in (",", last)]
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.size = 0
-        self.groups: list[str | None] = []  # None marks a stretch whose bytes differ
+        self.groups: list[str | None] = []  # each group with a semicolon behind it; None marks a stretch whose bytes differ
         self.counts = Grown(np.dtype((np.int32, 4)))  # tokens of each side, groups, links
         self.keys, self.at = Grown(np.int64), Grown(np.int64)  # links of all stretches, and where each one's begin
 
     def split(self, text: str) -> list[str]:
-        return SAFE.split(text) if self.cut else [text]
+        return stretches(text) if self.cut else [text]
 
-    def numbers(self, stretches: list[str]) -> np.ndarray:
+    def numbers(self, own: list[str]) -> np.ndarray:
         """Number of each stretch; new ones are aligned."""
-        k = np.fromiter(map(self.known.get, stretches, repeat(-1)), np.int64, len(stretches))
+        k = np.fromiter(map(self.known.get, own, repeat(-1)), np.int64, len(own))
         missed = np.flatnonzero(k < 0).tolist()
         if missed:
-            new = list(dict.fromkeys(stretches[i] for i in missed))
-            for i, j in balanced([len(s) for s in new], BATCH_CHARS):
-                self.learn(new[i:j])
-            k[missed] = [self.known[stretches[i]] for i in missed]
+            new = list(dict.fromkeys(own[i] for i in missed))
+            loose = [s for s in new if not s or s[-1].isspace()]  # they cannot stand before others
+            if loose:
+                new = [s for s in new if s and not s[-1].isspace()]
+            for some in (new, loose):
+                for i, j in balanced([len(s) for s in some], BATCH_CHARS):
+                    self.learn(some[i:j])
+            k[missed] = [self.known[own[i]] for i in missed]
         return k
 
     def learn(self, new: list[str]) -> None:
         spaced = [" " + s for s in new]
-        ids = [[e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)], self.b.encode(new, num_threads=1)]
         raw = [s.encode() for s in spaced]
-        good = [True] * len(new)
-        for side, table in zip(ids, (self.a_bytes, self.b_bytes)):
-            if b"".join(map(table.__getitem__, chain.from_iterable(side))) != b"".join(raw) or not self.cut:
-                good = [ok and b"".join(map(table.__getitem__, s)) == r for ok, s, r in zip(good, side, raw)]
-        ids = [[s if ok else [] for ok, s in zip(good, side)] for side in ids]
-        n_a, n_b = (np.fromiter(map(len, side), np.int64, len(new)) for side in ids)
-        a, b = (np.fromiter(chain.from_iterable(side), np.int64, int(n.sum())) for side, n in zip(ids, (n_a, n_b)))
-        # all stretches as one long text: ends of tokens in bytes; each stretch of bytes between ends is one link
+        a, n_a = self.a(spaced)
+        ids = self.b.encode(new, num_threads=1)
+        n_b = np.fromiter(map(len, ids), np.int64, len(new))
+        b = np.fromiter(chain.from_iterable(ids), np.int64, int(n_b.sum()))
+        good = np.ones(len(new), bool)
+        for own, n, table in ((a, n_a, self.a_bytes), (b, n_b, self.b_bytes)):
+            parts = [table[i] for i in own.tolist()]
+            if b"".join(parts) != b"".join(raw) or not self.cut:
+                ends = np.cumsum(n).tolist()
+                good &= [b"".join(parts[i:j]) == r for i, j, r in zip([0, *ends], ends, raw)]
+        if not good.all():
+            a, b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)]
+            n_a, n_b = n_a * good, n_b * good
+        # all stretches as one long text: ends of tokens in bytes; each piece of bytes between ends is one link
         a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
         ends = np.union1d(a_end, b_end)
         ia, ib = np.searchsorted(a_end, ends), np.searchsorted(b_end, ends)
-        both = np.flatnonzero((a_end[ia] == ends) & (b_end[ib] == ends)) if len(ends) else np.zeros(0, np.int64)
+        shared = np.flatnonzero((a_end[ia] == ends) & (b_end[ib] == ends)) if len(ends) else np.zeros(0, np.int64)
         owner = np.repeat(np.arange(len(new)), n_a)[ia] if len(ends) else ia
-        n_links, n_groups = np.bincount(owner, minlength=len(new)), np.bincount(owner[both], minlength=len(new))
+        n_links, n_groups = np.bincount(owner, minlength=len(new)), np.bincount(owner[shared], minlength=len(new))
         first = len(self.groups)
         self.at.add(self.keys.n + np.cumsum(n_links) - n_links)
         self.keys.add(b[ib] << 32 | a[ia])
         self.counts.add(np.stack([n_a, n_b, n_groups, n_links], axis=1))
-        a_name, b_name = [self.a_name[i] for i in a.tolist()], [self.b_name[i] for i in b.tolist()]
-        a_to, b_to = (ia[both] + 1).tolist(), (ib[both] + 1).tolist()
-        texts = [f"{','.join(a_name[i:j])}|{','.join(b_name[m:n])}" for i, j, m, n in zip([0, *a_to], a_to, [0, *b_to], b_to)]
-        cuts = np.cumsum(n_groups).tolist()
-        self.groups += [";".join(texts[i:j]) if ok else None for ok, i, j in zip(good, [0, *cuts], cuts)]
+        # tokens in the order they are written: by group, the first side before the second
+        group = [np.searchsorted(x[shared], np.arange(len(y))) for x, y in ((ia, a), (ib, b))]
+        last = [np.isin(np.arange(len(y)), x[shared]) for x, y in ((ia, a), (ib, b))]
+        order = np.argsort(np.concatenate([2 * group[0], 2 * group[1] + 1]), kind="stable").tolist()
+        made = [self.names[2 * side + end][i] for side, x in enumerate((a, b)) for i, end in zip(x.tolist(), last[side].tolist())]
+        made = [made[i] for i in order]
+        cuts = np.cumsum(n_a + n_b).tolist()
+        self.groups += ["".join(made[i:j]) if ok else None for ok, i, j in zip(good.tolist(), [0, *cuts], cuts)]
         self.known.update(zip(new, range(first, first + len(new))))
-        self.size += sum(map(len, new)) + 30 * len(new) + 2 * len(ends) + 4 * sum(map(len, texts)) // 4
+        self.size += sum(map(len, new)) + 30 * len(new) + 2 * len(ends) + 6 * len(made)
 
     def links(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Packed links of these stretches one after the other, and how many each has."""
@@ -149,8 +194,8 @@ def numbered_texts(of: Aligner, texts: list[str | None]) -> Iterator[tuple[int,
         split = [of.split(t) if t else [] for t in texts[i:j]]
         numbers = of.numbers(list(chain.from_iterable(split)))
         owners = np.repeat(np.arange(j - i), [len(s) for s in split])
-        bad = np.fromiter((of.groups[k] is None for k in numbers.tolist()), bool, len(numbers))
-        if bad.any():
+        if None in (groups := of.groups):
+            bad = np.fromiter((groups[k] is None for k in numbers.tolist()), bool, len(numbers))
             fine = ~np.isin(owners, owners[bad])
             numbers, owners = numbers[fine], owners[fine]
         yield i, j, numbers, owners
@@ -168,39 +213,63 @@ def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.add.reduceat(n[order], first) if len(keys) else n
 
 
-def partial_counts(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """``(key, n)``: links of each pair in each partition of ``docs (text)``."""
+def packed(a_ids: int, b_ids: int) -> np.dtype:
+    """How a staged link is written: two unsigned numbers, the first id and the second."""
+    return np.dtype(("<u2" if max(a_ids, b_ids) <= 1 << 16 else "<u4", 2))
+
+
+def aligned(docs: DataFrame, a_path: str, b_path: str, groups: bool) -> DataFrame:
+    """``(id, n_a, n_b, n_groups, n_links, groups_sha256, links[, groups])`` of ``docs (id, text)``; ``links``: packed pairs in order."""
+    names = ["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links", *(["groups"] if groups else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = aligner(a_path, b_path)
-        times = np.zeros(1 << 12, np.int64)  # by stretch
-        held = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        kind = packed(len(of.a_bytes), len(of.b_bytes))
+        for part in slices(batches):
+            if of.size > KEPT:
+                of.forget()
+            texts = part.column(1).to_pylist()
+            for i, j, numbers, owners in numbered_texts(of, texts):
+                made = np.zeros((j - i, 4), np.int64)
+                for c, values in enumerate(of.counts.data[numbers].T):
+                    made[:, c] = np.bincount(owners, values, minlength=j - i)
+                bounds, own = np.searchsorted(owners, np.arange(j - i + 1)).tolist(), numbers.tolist()
+                written = ["".join([of.groups[k] for k in own[a:b]])[:-1] for a, b in zip(bounds, bounds[1:])]
+                sha = [hashlib.sha256(w.encode()).hexdigest() if w else "" for w in written]
+                keys = of.links(numbers)[0]
+                raw = np.stack([keys & 0xFFFFFFFF, keys >> 32], axis=1).astype(kind.base).tobytes()
+                ends = (np.cumsum(made[:, 3]) * kind.itemsize).tolist()
+                links = pa.array([raw[a:b] for a, b in zip([0, *ends], ends)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(i, j - i), *(pa.array(np.ascontiguousarray(c)) for c in made.T), pa.array(sha, pa.string()), links, *([pa.array(written, pa.string())] if groups else [])], names=["id", *names])
+
+    kinds = ["bigint"] * 4 + ["string", "binary", "string"]
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, " + ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))
 
-        def settle() -> None:
-            nonlocal held
-            used = np.flatnonzero(times)
-            keys, n = of.links(used)
-            held = summed(np.concatenate([held[0], keys]), np.concatenate([held[1], np.repeat(times[used], n)]))
-            times[:] = 0
+
+def keys_of(column: pa.Array, kind: np.dtype) -> np.ndarray:
+    """Packed int64 keys of the staged links of a batch of rows, one after the other."""
+    ids = np.frombuffer(b"".join(column.to_pylist()), kind.base).reshape(-1, 2).astype(np.int64)
+    return ids[:, 1] << 32 | ids[:, 0]
+
+
+def partial_counts(links: DataFrame, kind: np.dtype) -> DataFrame:
+    """``(key, n)``: links of each pair in each partition of ``links (links)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["key", "n"])
 
         for part in slices(batches):
-            for _, _, numbers, _ in numbered_texts(of, part.column(0).to_pylist()):
-                if len(of.groups) > len(times):
-                    times = np.concatenate([times, np.zeros(max(len(times), len(of.groups)), np.int64)])
-                times += np.bincount(numbers, minlength=len(times))
-            if of.size > KEPT:
-                settle()
-                of.forget()
-                if len(held[0]) > HELD:
-                    yield out()
-                    held = (held[0][:0], held[1][:0])
-        settle()
+            keys, n = np.unique(keys_of(part.column(0), kind), return_counts=True)
+            held = summed(np.concatenate([held[0], keys]), np.concatenate([held[1], n.astype(np.int64)]))
+            if len(held[0]) > HELD:
+                yield out()
+                held = (held[0][:0], held[1][:0])
         yield out()
 
-    return docs.mapInArrow(run, "key bigint, n bigint")
+    return links.mapInArrow(run, "key bigint, n bigint")
 
 
 class Shared:
@@ -312,15 +381,6 @@ class PairCounts:
         return spark.range(0, len(self.names), numPartitions=max(1, len(self.names))).mapInArrow(run, "a bigint, b bigint, n bigint")
 
 
-def count_pairs(docs: DataFrame, a_path: str, b_path: str, text_col: str = "text") -> PairCounts:
-    """Counts of all linked pairs of ids over the whole table."""
-    stage = Stage(docs.sparkSession, "alignment")
-    partial = stage.put(partial_counts(docs.select(docs[f"`{text_col}`"].alias("text")), a_path, b_path))
-    found = PairCounts(partial, f"{stage.root}/shards", piece_processor(b_path).vocab_size())
-    stage.drop(partial)
-    return found
-
-
 def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", groups: bool = False) -> DataFrame:
     """``(id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256)`` for every row, and ``groups`` itself if wished.
 
@@ -333,42 +393,36 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     any length are aligned whole. Repeated rows and ids count each, null ids stay. An empty table gives no rows; other columns
     of ``docs`` are not read, whatever their names.
     """
-    counts = count_pairs(docs, a_path, b_path, text_col)
-    src = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text"))
-    names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", *(["groups"] if groups else [])]
+    return Alignment(docs, a_path, b_path, id_col, text_col, groups).table()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = aligner(a_path, b_path)
-        if of.size > KEPT:
-            of.forget()
-        counts.open()
-        scores = np.full((1 << 12, 2), -1, np.int64)  # by stretch: links with the best pair, sum of counts; -1 where not looked up
-        for part in slices(batches):
-            texts = part.column(1).to_pylist()
-            made, written = np.zeros((len(texts), 6), np.int64), [""] * len(texts)
-            for i, j, numbers, owners in numbered_texts(of, texts):
-                if len(of.groups) > len(scores):
-                    scores = np.concatenate([scores, np.full((max(len(scores), len(of.groups)), 2), -1, np.int64)])
-                new = np.unique(numbers)
-                new = new[scores[new, 1] < 0]
-                if len(new):
-                    keys, n = of.links(new)
-                    distinct, back = np.unique(keys, return_inverse=True)
-                    count = counts.of(distinct)
-                    best = (count == counts.top[distinct >> 32])[back].astype(np.int64)
-                    first = np.cumsum(n) - n  # a stretch has a link at least
-                    scores[new] = np.stack([np.add.reduceat(best, first), np.add.reduceat(count[back], first)], axis=1)
-                for c, values in enumerate([*of.counts.data[numbers].T, *scores[numbers].T]):
-                    np.add.at(made[i:j, c], owners, values)
-                bounds = np.searchsorted(owners, np.arange(j - i + 1)).tolist()
-                own = numbers.tolist()
-                written[i:j] = [";".join([of.groups[k] for k in own[a:b]]) for a, b in zip(bounds, bounds[1:])]
-            sha = [hashlib.sha256(w.encode()).hexdigest() if w else "" for w in written]
-            columns = [pa.array(np.ascontiguousarray(c)) for c in made.T]
-            yield pa.RecordBatch.from_arrays([part.column(0), *columns, pa.array(sha, pa.string()), *([pa.array(written, pa.string())] if groups else [])], names=["id", *names])
-            if of.size > KEPT:
-                of.forget()
-                scores[:] = -1
 
-    kind = src.schema["id"].dataType.simpleString()
-    return src.mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} bigint" for n in names[:6]) + "".join(f", {n} string" for n in names[6:])).toDF(id_col, *names)
+class Alignment:
+    """An aligned table and the counts of its pairs; both are in the shared folder."""
+
+    def __init__(self, docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", groups: bool = False):
+        self.id_col, self.groups = id_col, groups
+        self.kind = packed(max(json_tokenizer(a_path).get_vocab().values()) + 1, b_ids := piece_processor(b_path).vocab_size())
+        stage = Stage(docs.sparkSession, "alignment")
+        self.rows = stage.put(aligned(docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text")), a_path, b_path, groups))
+        partial = stage.put(partial_counts(self.rows.select("links"), self.kind))
+        self.counts = PairCounts(partial, f"{stage.root}/shards", b_ids)
+        stage.drop(partial)
+
+    def table(self) -> DataFrame:
+        counts, kind = self.counts, self.kind
+        kept = [f for f in self.rows.schema.fields if f.name != "links"]
+        src = self.rows.select(*(f.name for f in kept), "links")
+        names = [f.name for f in kept]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts.open()
+            for part in slices(batches):
+                distinct, back = np.unique(keys_of(part.column("links"), kind), return_inverse=True)
+                count = counts.of(distinct)
+                best = count == counts.top[distinct >> 32]
+                ends = np.concatenate([[0], np.cumsum(part.column("n_links").to_numpy())])
+                sums = [np.concatenate([[0], np.cumsum(x[back].astype(np.int64))]) for x in (best, count)]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *(pa.array(x[ends[1:]] - x[ends[:-1]]) for x in sums)], names=[*names, "n_best", "count_sum"])
+
+        made = src.mapInArrow(run, T.StructType([*kept, *T.StructType.fromDDL("n_best bigint, count_sum bigint").fields]))
+        return made.select("id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", *(["groups"] if self.groups else [])).withColumnRenamed("id", self.id_col)

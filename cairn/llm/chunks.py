@@ -15,6 +15,12 @@ import re
 SAFE = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
 
 
+def stretches(text: str) -> list[str]:
+    """The text cut at all its safe places."""
+    plain = text.replace("\n", "").isprintable() and not any(x in text for x in ("▁", "  ", " \n", "\n "))  # white space is blanks and line ends
+    return text.split(" ") if plain and text[:1] != " " and text[-1:] != " " else SAFE.split(text)
+
+
 def sections(text: str, size: int) -> list[str]:
     """The text cut at safe places, which are dropped, into sections of about ``size`` characters; longer where no place is found."""
     out, at = [], 0

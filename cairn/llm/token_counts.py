@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from cairn.llm.chunks import SAFE, json_layout, json_tokenizer, piece_layout, piece_processor, sections
+from cairn.llm.chunks import json_layout, json_tokenizer, piece_layout, piece_processor, sections, stretches
 
 BATCH_BYTES = 1 << 20
 #: Characters of a section of a long text.
@@ -52,7 +52,7 @@ class Counter:
             return np.fromiter(self.library(texts), np.int64, len(texts))
         if self.size > KEPT:
             self.known, self.size = {}, 0
-        split = [SAFE.split(t) for t in texts]
+        split = [stretches(t) for t in texts]
         if self.lead:
             split = [[first, *(self.lead + s for s in rest)] for first, *rest in split]
         flat = list(chain.from_iterable(split))
