@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from cairn.functions import particles as pf
 from cairn.functions import states
 from cairn.functions.grid import GridSettings, GridSmoother
+from cairn.operators import neighbours
 
 COLUMNS = ("MD", "X", "Y", "Z", "GR", "TVT_input")
 
@@ -190,7 +191,8 @@ def nearest_within(rows: DataFrame, base: str, proposed: str, rms_cap: float, ro
 
 
 class Surface:
-    """Linear radial functions with a plane, through the ``neighbours`` anchors nearest to each place."""
+    """Linear radial functions with a plane, through the ``neighbours`` anchors nearest to each place; the solution does not hang on where
+    the coordinates begin."""
 
     def __init__(self, xy: np.ndarray, level: np.ndarray, scale: float = 10_000.0, neighbours: int = 80):
         if len(xy) < 4:
@@ -212,30 +214,6 @@ class Surface:
         return out
 
 
-def nearest_anchors(places: DataFrame, anchors: DataFrame, key: str, anchor: str, k: int, most: int = 100_000) -> DataFrame:
-    """``(key, anchor, k, dist)``: the ``k`` nearest of the anchors ``(anchor, x, y)`` to each place ``(key, x, y)``, ties to the smaller anchor.
-
-    The anchors are broadcast after a check of their number; places are read in strips.
-    """
-    if anchors.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} anchors")
-    rows = anchors.select(anchor, "x", "y").orderBy(anchor).toPandas()
-    shared = places.sparkSession.sparkContext.broadcast((rows[anchor].to_numpy(), rows[["x", "y"]].to_numpy(float)))
-    kind = dict(anchors.dtypes)[anchor]
-
-    def run(parts):
-        names, at = shared.value
-        for p in parts:
-            for low in range(0, len(p), max(1, 4_000_000 // max(1, len(at)))):
-                own = p.iloc[low : low + max(1, 4_000_000 // max(1, len(at)))]
-                d = np.hypot(*(own[["x", "y"]].to_numpy(float).T[:, :, None] - at.T[:, None, :]))
-                near = np.argsort(d, axis=1, kind="stable")[:, :k]
-                n = near.shape[1]
-                yield pd.DataFrame({key: np.repeat(own[key].to_numpy(), n), anchor: names[near.ravel()], "k": np.tile(np.arange(1, n + 1), len(own)), "dist": np.take_along_axis(d, near, 1).ravel()})
-
-    return places.select(key, "x", "y").mapInPandas(run, f"`{key}` {dict(places.dtypes)[key]}, `{anchor}` {kind}, k bigint, dist double")
-
-
 def anchors(series: DataFrame, truth: str = "TVT", top: str = "ASTNU") -> DataFrame:
     """``(well, x, y, level)``: a row for each training series; the level is that of the formation top, else of truth plus elevation."""
     has = top in series.columns
@@ -243,17 +221,25 @@ def anchors(series: DataFrame, truth: str = "TVT", top: str = "ASTNU") -> DataFr
     return series.groupBy("well").agg(F.median("X").alias("x"), F.median("Y").alias("y"), level.alias("level"))
 
 
-def structural_paths(series: DataFrame, table: DataFrame, fractions: Sequence[float] = (0.40, 0.55, 0.70, 0.85)) -> DataFrame:
+def structural_paths(series: DataFrame, table: DataFrame, fractions: Sequence[float] = (0.40, 0.55, 0.70, 0.85), count: int = 80) -> DataFrame:
     """``(well, row_number, structural, prefix_cv)`` of hidden rows: the surface shifted by its median misfit on the visible part,
-    and its rolling-origin error there. ``table``: anchors, one small row for each training series."""
-    rows = table.orderBy("well").toPandas()
-    surface = Surface(rows[["x", "y"]].to_numpy(float), rows["level"].to_numpy(float))
-    shared = series.sparkSession.sparkContext.broadcast(surface)
+    and its rolling-origin error there. ``table``: anchors ``(well, x, y, level)``.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    Each row's surface is through its ``count`` nearest anchors. A series' task gets only the anchors that are near one of its rows.
+    """
+    places = observable(series).select(F.struct("well", "row_number").alias("place"), F.col("X").alias("x"), F.col("Y").alias("y"))
+    named = table.select(F.col("well").alias("anchor"), "x", "y", "level")
+    close = neighbours.nearest(places, named.select("anchor", "x", "y"), "place", "anchor", count)
+    own = close.select(F.col("place.well").alias("well"), "anchor").distinct().join(named, "anchor")
+
+    def run(pdf: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame({"well": [], "row_number": [], "structural": [], "prefix_cv": []})
+        near = near.sort_values("anchor")
+        surface = Surface(near[["x", "y"]].to_numpy(float), near["level"].to_numpy(float), neighbours=count)
         frame, at = frame_of(pdf)
         known = np.isfinite(frame["TVT_input"])
-        level = shared.value(np.c_[frame["X"], frame["Y"]]) - frame["Z"]
+        level = surface(np.c_[frame["X"], frame["Y"]]) - frame["Z"]
         miss = (frame["TVT_input"] - level)[known]
         n, errors = len(miss), []
         for f in fractions:
@@ -262,4 +248,4 @@ def structural_paths(series: DataFrame, table: DataFrame, fractions: Sequence[fl
         cv = float(np.sqrt(np.mean(np.concatenate(errors) ** 2)))
         return pd.DataFrame({"well": pdf["well"].iloc[0], "row_number": at[~known], "structural": level[~known] + np.median(miss), "prefix_cv": cv})
 
-    return observable(series).groupBy("well").applyInPandas(run, "well string, row_number int, structural double, prefix_cv double")
+    return observable(series).groupBy("well").cogroup(own.groupBy("well")).applyInPandas(run, "well string, row_number int, structural double, prefix_cv double")

@@ -6,11 +6,11 @@ None of them plans a nested loop over two large tables: range and radius conditi
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.operators import tiles
 from cairn.operators.graph import connected_components
 from cairn.plans.staging import Stage
 
@@ -87,7 +87,8 @@ def as_of(queries: DataFrame, facts: DataFrame, keys: Sequence[str], at: str, wh
 
 def radius_pairs(points: DataFrame, key: str, x: str, y: str, radius: float) -> DataFrame:
     """``(a, b, dist)`` for ``a < b`` within the radius: points meet by grid cell, each being in the cells next to its own."""
-    cell = lambda c: F.floor(F.col(c) / F.lit(radius)).cast("bigint")
+    width = radius if radius > 0 else 2.0**-20
+    cell = lambda c: F.floor(F.col(c) / F.lit(width)).cast("bigint")
     home = points.select(F.col(key).alias("b"), F.col(x).alias("bx"), F.col(y).alias("by"), cell(x).alias("cx"), cell(y).alias("cy"))
     around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
     probe = points.select(F.col(key).alias("a"), F.col(x).alias("ax"), F.col(y).alias("ay"), cell(x).alias("px"), cell(y).alias("py"), F.explode(around).alias("o"))
@@ -96,23 +97,31 @@ def radius_pairs(points: DataFrame, key: str, x: str, y: str, radius: float) ->
     return probe.join(home, ["cx", "cy"]).where("a < b").withColumn("dist", dist).where(F.col("dist") <= radius).select("a", "b", "dist")
 
 
-def dot(a: Column, b: Column, size: int | None = None) -> Column:
-    """Product of two arrays in double precision; with ``size`` known, as one expression that is compiled."""
-    if size:
-        return reduce(lambda s, i: s + F.get(a, i).cast("double") * F.get(b, i).cast("double"), range(size), F.lit(0.0))
-    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+def product(a: Column, b: Column, size: int) -> Column:
+    """Of two arrays of ``size`` numbers; null where one is null, of another length, or not finite."""
+    dot = F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    return F.when((F.size(a) == size) & (F.size(b) == size) & ((dot - dot) == 0), dot)
 
 
-def similarity_edges(points: DataFrame, key: str, x: str, y: str, first: str, second: str, near: float, far: float, threshold: float, size: int | None = None) -> DataFrame:
-    """``(a, b, dist, corr, reason)``: pairs within ``near``, or within ``far`` with a fingerprint product of at least the threshold."""
-    pairs = radius_pairs(points, key, x, y, max(near, far))
+def similarity_edges(points: DataFrame, key: str, x: str, y: str, first: str, second: str, near: float, far: float, threshold: float, size: int | None = None, forests: bool = False) -> DataFrame:
+    """``(a, b, dist, corr, reason)``: pairs within ``near``, or within ``far`` with a fingerprint product of at least the threshold.
+
+    ``corr`` is the larger of the products of ``first`` and of ``second``, null where neither fingerprint has one. ``size``: numbers of a fingerprint,
+    by default those of the longest. Near pairs meet in cells as wide as ``near`` and all of them are links; the others go by
+    bounded tiles (``tiles.similar_pairs``, there also ``forests``).
+    """
     both = [first] if first == second else [first, second]
+    if size is None:
+        size = points.agg(F.max(F.greatest(*(F.size(c) for c in both)) if len(both) > 1 else F.size(first))).first()[0]
+    size = max(1, size or 1)
     side = lambda s: points.select(F.col(key).alias(s), *(F.col(c).alias(f"{s}_{i}") for i, c in enumerate(both)))
-    products = [dot(F.col(f"a_{i}"), F.col(f"b_{i}"), size) for i in range(len(both))]
-    t = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("corr", F.greatest(*products) if len(both) > 1 else products[0])
+    products = [product(F.col(f"a_{i}"), F.col(f"b_{i}"), size) for i in range(len(both))]
+    close = radius_pairs(points, key, x, y, near).join(side("a"), "a").join(side("b"), "b")
+    close = close.select("a", "b", "dist", (F.greatest(*products) if len(both) > 1 else products[0]).alias("corr"))
+    found = close if far <= near else close.unionAll(tiles.similar_pairs(points, key, x, y, both, near, far, threshold, size, forests))
     spatial, similar = F.col("dist") <= near, (F.col("dist") <= far) & (F.col("corr") >= threshold)
-    reason = F.when(spatial & similar, "spatial+similar").when(spatial, "spatial").when(similar, "similar").otherwise("none")
-    return t.select("a", "b", "dist", "corr", reason.alias("reason")).where("reason <> 'none'")
+    reason = F.when(spatial & similar, "spatial+similar").when(spatial, "spatial").when(similar, "similar")
+    return found.select("a", "b", "dist", "corr", reason.alias("reason"))
 
 
 def numbered(t: DataFrame, order: Sequence[str], name: str) -> DataFrame:
@@ -128,15 +137,29 @@ def numbered(t: DataFrame, order: Sequence[str], name: str) -> DataFrame:
 
 def graph_grid(points: DataFrame, key: str, edges: DataFrame, settings: DataFrame) -> DataFrame:
     """``(radius, threshold, components, largest, several)`` for each ``(radius, threshold, far)`` of ``settings``: how many components the
-    points have, the size of the largest, and how many have several points. ``edges``: ``(a, b, dist, corr)`` of the widest setting."""
-    kept = edges.crossJoin(F.broadcast(settings)).where((F.col("dist") <= F.col("radius")) | ((F.col("dist") <= F.col("far")) & (F.col("corr") >= F.col("threshold"))))
+    points have, the size of the largest, and how many have several points.
+
+    ``edges``: ``(a, b, dist, corr)`` of the widest setting, or only their spanning forests by distance and by product if all settings have one
+    ``far``. Links that every setting keeps are contracted once, so that a setting costs only the links that it adds.
+    """
+    stage = Stage(points.sparkSession, "grid")
+    edges, settings = stage.put(edges.select("a", "b", "dist", "corr")), settings.select("radius", "threshold", "far")
+    kept = lambda radius, threshold, far: (F.col("dist") <= radius) | ((F.col("dist") <= far) & (F.col("corr") >= threshold))
+    always = kept(*(F.lit(v) for v in settings.agg(F.min("radius"), F.max("threshold"), F.min("far")).first() or (None,) * 3))
+    base = stage.put(connected_components(edges.where(always), "a", "b"))
+    to = lambda s: base.select(F.col("node").alias(s), F.col("component").alias(f"_{s}"))
+    rest = edges.where(~F.coalesce(always, F.lit(False))).join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"), "dist", "corr").where("a <> b")
+    added = stage.put(rest).crossJoin(F.broadcast(settings)).where(kept(F.col("radius"), F.col("threshold"), F.col("far")))
     at = lambda c: F.struct("radius", "threshold", F.col(c).alias("node"))  # noqa: E731  a setting's nodes are nodes of their own
-    comps = connected_components(kept.select(at("a").alias("src"), at("b").alias("dst")))
-    sizes = comps.groupBy("component").agg(F.count("*").alias("n")).select("component.radius", "component.threshold", "n")
-    found = sizes.groupBy("radius", "threshold").agg(F.count("*").alias("several"), F.max("n").alias("most"), F.sum("n").alias("linked"))
-    total = settings.select("radius", "threshold").crossJoin(F.broadcast(points.agg(F.count(key).alias("points"))))
-    t = total.join(found, ["radius", "threshold"], "left").na.fill(0, ["several", "most", "linked"])
-    return t.select("radius", "threshold", (F.col("points") - F.col("linked") + F.col("several")).alias("components"), F.greatest("most", F.least(F.col("points"), F.lit(1))).alias("largest"), "several")
+    comps = connected_components(added.select(at("a").alias("src"), at("b").alias("dst")).distinct())
+    sizes = base.groupBy(F.col("component").alias("own")).agg(F.count("*").alias("points"))
+    joined = comps.join(sizes, comps["node.node"] == sizes["own"], "left")
+    groups = joined.groupBy("component").agg(F.sum(F.coalesce("points", F.lit(1))).alias("points"), F.count("*").alias("members"), F.count("points").alias("based")).select("component.radius", "component.threshold", "points", "members", "based")
+    found = groups.groupBy("radius", "threshold").agg(F.count("*").alias("groups"), F.max("points").alias("most"), F.sum(F.col("members") - 1).alias("joined"), F.sum("based").alias("based"))
+    alone = sizes.agg(F.count("*").alias("bases"), F.coalesce(F.max("points"), F.lit(0)).alias("base_most"), F.coalesce(F.sum(F.col("points") - 1), F.lit(0)).alias("base_joined"))
+    total = settings.select("radius", "threshold").crossJoin(F.broadcast(points.agg(F.count(key).alias("all")))).crossJoin(F.broadcast(alone))
+    t = total.join(found, ["radius", "threshold"], "left").na.fill(0, ["groups", "most", "joined", "based"])
+    return t.select("radius", "threshold", (F.col("all") - F.col("base_joined") - F.col("joined")).alias("components"), F.greatest("most", "base_most", F.least(F.col("all"), F.lit(1))).alias("largest"), (F.col("groups") + F.col("bases") - F.col("based")).alias("several"))
 
 
 def labelled_components(nodes: DataFrame, key: str, edges: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import expr as X
-from cairn.operators import checks, joins, metrics, ordered
+from cairn.operators import checks, joins, matching, metrics, neighbours, ordered
 from cairn.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,9 +142,9 @@ EDGES = """e AS (SELECT vec_id, embedding::DOUBLE[] AS e, embedding[1]::DOUBLE A
     kept AS (SELECT * FROM edges WHERE reason <> 'none')"""
 
 
-def edges(spark, d, near=0.002, far=0.2, threshold=0.4):
+def edges(spark, d, near=0.002, far=0.2, threshold=0.4, forests=False):
     e = table(spark, d, "embeddings").select("vec_id", "embedding", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
-    return joins.similarity_edges(e, "vec_id", "x", "y", "embedding", "embedding", near, far, threshold, 64)
+    return joins.similarity_edges(e, "vec_id", "x", "y", "embedding", "embedding", near, far, threshold, 64, forests)
 
 
 @query(f"WITH {EDGES} SELECT reason, count(*) AS n FROM kept GROUP BY reason")
@@ -806,7 +806,7 @@ SETTINGS = [(radius, threshold, 0.2) for radius in (0.001, 0.002, 0.004) for thr
     root AS (SELECT radius, threshold, a, min(b) AS r FROM reach GROUP BY ALL), sz AS (SELECT radius, threshold, r, count(*) AS n FROM root GROUP BY ALL)
     SELECT radius, threshold, count(*) AS components, max(n) AS largest, count(*) FILTER (n > 1) AS several FROM sz GROUP BY ALL""")
 def a34_graph_grid(spark, d):
-    widest = edges(spark, d, max(r for r, _, _ in SETTINGS), 0.2, min(t for _, t, _ in SETTINGS))
+    widest = edges(spark, d, max(r for r, _, _ in SETTINGS), 0.2, min(t for _, t, _ in SETTINGS), forests=True)
     return joins.graph_grid(table(spark, d, "embeddings"), "vec_id", widest, spark.createDataFrame(SETTINGS, "radius double, threshold double, far double"))
 
 
@@ -818,12 +818,43 @@ def o07_seeded_shuffle(spark, d):
 @query("""WITH n AS (SELECT s_nationkey AS anchor, avg(s_acctbal) AS ax, avg(s_suppkey)::DOUBLE AS ay FROM supplier GROUP BY 1), r AS (SELECT s_suppkey AS place, anchor, sqrt((s_acctbal - ax) ** 2 + (s_suppkey - ay) ** 2) AS dist FROM supplier, n)
     SELECT place, anchor, k, round(dist, 6) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY place ORDER BY dist, anchor) AS k FROM r) WHERE k <= 3""")
 def j11_nearest_anchors(spark, d):
-    from cairn.operators.experts import nearest_anchors
-
     s = table(spark, d, "supplier")
     known = s.groupBy(F.col("s_nationkey").alias("anchor")).agg(F.avg("s_acctbal").alias("x"), F.avg("s_suppkey").alias("y"))
     places = s.select(F.col("s_suppkey").alias("place"), F.col("s_acctbal").alias("x"), F.col("s_suppkey").cast("double").alias("y"))
-    return rounded(nearest_anchors(places, known, "place", "anchor", 3), 6)
+    return rounded(neighbours.nearest(places, known, "place", "anchor", 3).select("place", "anchor", F.col("k").cast("bigint").alias("k"), "dist"), 6)
+
+
+_HALF, _SIZE = 8, 17
+MATCHED = FILLED + f""", sm AS (SELECT user_id, rn, cut, n, rn >= cut AS hidden, value, CASE WHEN rn < cut THEN rn ELSE rn - cut END AS i, CASE WHEN rn < cut THEN cut ELSE n - cut END AS m, avg(fill) OVER (PARTITION BY user_id, rn >= cut ORDER BY rn ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS v FROM f),
+    aw AS (SELECT a.user_id, a.i AS start, any_value(a.m) AS m, list(b.v ORDER BY b.i) AS w, max(CASE WHEN b.i = a.i + {_HALF} THEN b.value END) AS level FROM sm a JOIN sm b ON a.user_id = b.user_id AND NOT a.hidden AND NOT b.hidden AND b.i BETWEEN a.i AND a.i + {_SIZE - 1} WHERE a.i % 3 = 0 AND a.i + {_SIZE} <= a.m AND a.m > {_SIZE} GROUP BY 1, 2),
+    bw AS (SELECT a.user_id, a.i, list(b.v ORDER BY o) AS w FROM sm a, range(-{_HALF}, {_HALF} + 1) t(o) JOIN sm b ON b.user_id = a.user_id AND b.hidden AND b.i = least(greatest(a.i + o, 0), a.m - 1) WHERE a.hidden GROUP BY 1, 2),
+    az AS (SELECT user_id, start, level, list_transform(w, lambda x: (x - list_avg(w)) / (list_stddev_pop(w) + 1e-6)) AS z FROM aw), bz AS (SELECT user_id, i, list_transform(w, lambda x: (x - list_avg(w)) / (list_stddev_pop(w) + 1e-6)) AS z FROM bw),
+    mt AS (SELECT user_id, i, start, level, list_dot_product(az.z, bz.z) / {_SIZE} AS r FROM bz JOIN az USING (user_id)), top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, i ORDER BY r DESC, start) AS k FROM mt) WHERE k = 1),
+    lastv AS (SELECT user_id, arg_max(value, rn) AS last FROM sm WHERE NOT hidden GROUP BY 1)"""
+
+
+def sides(spark, d) -> DataFrame:
+    """Filled series with each row's side and its number there."""
+    t = ordered.fill_linear(series(spark, d), "user_id", "gr", "fill")
+    return t.withColumn("i", F.when(F.col("known"), F.col("rn")).otherwise(F.col("rn") - F.col("cut")).cast("bigint"))
+
+
+@query(f"WITH {MATCHED} SELECT s.user_id, s.i::BIGINT AS i, start::BIGINT AS start, round(coalesce(level, last), 4) AS level, round(coalesce(r, 0), 6) AS r FROM sm s LEFT JOIN top USING (user_id, i) LEFT JOIN lastv USING (user_id) WHERE s.hidden")
+def j12_window_match(spark, d):
+    t = sides(spark, d)
+    found = matching.window_match(t.where("known").select("user_id", "i", F.col("fill").alias("v"), F.col("value").alias("level")), t.where("NOT known").select("user_id", "i", F.col("fill").alias("v")), ["user_id"], _HALF)
+    return found.select("user_id", "i", "start", r("level").alias("level"), r("r", 6).alias("r"))
+
+
+@query()
+def o08_beam_search(spark, d):
+    near = Window.partitionBy("user_id").orderBy("i").rowsBetween(-2, 2)
+    t = sides(spark, d).where("NOT known").withColumn("v", F.avg("fill").over(near))
+    c = curve(spark, d)
+    span = c.agg(F.min("y").alias("low"), F.max("y").alias("high"))
+    knots = c.crossJoin(F.broadcast(span)).select(F.sort_array(F.collect_list(F.struct("x", (100 * (F.col("y") - F.col("low")) / (F.col("high") - F.col("low"))).alias("y")))).alias("k"))  # one row
+    t = t.join(F.broadcast(knots)).select("user_id", "i", "v", (F.col("user_id") % F.size("k")).alias("start"), F.when(F.col("i") == 0, F.col("k.y")).alias("curve"))
+    return matching.beam_paths(t, "user_id", 10, 20.0, 144.0)
 
 
 def entry(spark: SparkSession, d: str) -> DataFrame:
