@@ -10,7 +10,6 @@ from dataclasses import dataclass
 from itertools import chain, combinations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -185,35 +184,7 @@ def assign(sizes: dict, folds: int, rule: str = "name", seed: int = 0) -> dict:
     return balanced(sizes, folds, drawn.__getitem__)
 
 
-def _shuffled(groups: Sequence[str], seed: int) -> list[str]:
-    return [sorted(groups)[i] for i in np.random.default_rng(seed).permutation(len(groups))]
-
-
-def split_groups(sizes: dict[str, int], holdout: float, folds: int, seed: int) -> tuple[set[str], dict[str, int]]:
-    """Shuffled groups go to the holdout until it has its share of rows; the others to balanced folds."""
-    out, rows, total = set(), 0, sum(sizes.values())
-    for g in _shuffled(list(sizes), seed):
-        if rows >= holdout * total or len(sizes) - len(out) <= folds:
-            break
-        out.add(g)
-        rows += sizes[g]
-    return out, balanced({g: n for g, n in sizes.items() if g not in out}, folds)
-
-
-def sample_groups(members: dict[str, list[str]], most: int, seed: int) -> list[str]:
-    """Members of shuffled whole groups; one that would pass ``most`` is skipped, not split."""
-    out: list[str] = []
-    for g in _shuffled(list(members), seed):
-        if len(out) + len(members[g]) <= most:
-            out += sorted(members[g])
-    return sorted(out)
-
-
-def group_sizes(table: DataFrame, group: str = "component", rows: str | None = None) -> dict[str, int]:
-    return {r[0]: int(r[1]) for r in table.groupBy(group).agg((F.sum(rows) if rows else F.count("*")).alias("n")).collect()}
-
-
-# --- weighted ridge and routing ---------------------------------------------------------------------------------------------
+# --- weighted ridge ---------------------------------------------------------------------------------------------
 
 
 @dataclass(frozen=True)
@@ -261,53 +232,3 @@ def ridge_column(model: Ridge, features: Sequence[str]):
     """The model as a column expression."""
     b = model.coef / model.scale
     return sum((float(v) * F.col(c) for c, v in zip(features, b)), F.lit(float(model.intercept - model.mean @ b)))
-
-
-def _quantile(v: np.ndarray, w: np.ndarray, q: float) -> float:
-    order = np.argsort(v, kind="stable")
-    at = np.searchsorted(np.cumsum(w[order]) / w.sum(), q)
-    return float(v[order][min(at, len(v) - 1)])
-
-
-def _unit_weight(groups: np.ndarray) -> np.ndarray:
-    _, inv, n = np.unique(groups, return_inverse=True, return_counts=True)
-    w = 1 / n[inv]
-    return w / w.mean()
-
-
-@dataclass
-class Router:
-    """Cross-fitted gain models with margins; a unit takes the arm of largest lower bound, or stays if none is positive."""
-
-    arms: list[str]
-    features: list[str]
-    quantiles: tuple[float, ...] = (0.5, 0.7, 0.8, 0.9)
-    folds: int = 4
-    seed: int = 0
-
-    def _folds(self, units: pd.DataFrame) -> np.ndarray:
-        draw = np.random.default_rng(self.seed)
-        sizes = units["component"].value_counts().sort_index().to_dict()
-        tie = {g: draw.random() for g in sizes}
-        return units["component"].map(balanced(sizes, self.folds, tie.__getitem__)).to_numpy()
-
-    def fit(self, units: pd.DataFrame) -> Router:
-        x, groups, fold = units[self.features].to_numpy(float), units["component"].to_numpy(), self._folds(units)
-        self.models, self.margins = {}, {}
-        for arm in self.arms:
-            y, out = units[f"gain_{arm}"].to_numpy(float), np.empty(len(units))
-            for k in range(self.folds):
-                train = fold != k
-                out[~train] = Ridge.fit(x[train], y[train], _unit_weight(groups[train])).predict(x[~train])
-            for q in self.quantiles:
-                self.margins[q, arm] = _quantile(np.abs(y - out), _unit_weight(groups), q)
-            self.models[arm] = Ridge.fit(x, y, _unit_weight(groups))
-        return self
-
-    def route(self, units: pd.DataFrame, q: float) -> pd.DataFrame:
-        x = units[self.features].to_numpy(float)
-        bound = np.stack([self.models[a].predict(x) - self.margins[q, a] for a in self.arms], 1)
-        best = bound.argmax(1)
-        top = bound[np.arange(len(x)), best]
-        arm = np.where(top > 0, np.array(self.arms, dtype=object)[best], "fallback")
-        return pd.DataFrame({"well": units["well"], "component": units["component"], "arm": arm, "bound": np.maximum(top, 0), "abstained": top <= 0})

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from cairn.functions.grid import GridSettings
 from cairn.functions.particles import FilterSettings
-from cairn.operators import experts, metrics, overlays
-from cairn.plans import blending, evaluation, features, historical, studies
+from cairn.operators import experts, groups, metrics, overlays
+from cairn.plans import blending, boosting, evaluation, features, historical, routing, studies
 from cairn.plans.relational import ARMS, BOUNDS, SERIES, panel, rounded, series
 from cairn.sources.tables import table
 
@@ -106,6 +106,13 @@ def d10_ridge_scores(spark, d):
     return p.withColumn("ridge", blending.ridge_column(m, names)).groupBy("component").agg(F.round(metrics.rmse("truth", "ridge"), 4).alias("rmse"))
 
 
+@query()
+def d10b_boosted_scores(spark, d):
+    p, names = panel(spark, d), ["horizon", "incumbent", "candidate"]
+    m = boosting.fit(p, names, "truth", trees=4, leaves=31, rate=0.3, l2=1.0, least=30)
+    return p.withColumn("boosted", m.column(names)).groupBy("component").agg(F.round(metrics.rmse("truth", "boosted"), 4).alias("rmse"))
+
+
 @query(f"""WITH {ARM}, b AS (SELECT *, 0.3 * ridge + 0.7 * pf AS b, nonlinear - (0.3 * ridge + 0.7 * pf) AS dl FROM a), q AS (SELECT *, quantile_cont(abs(dl), 0.95) OVER (PARTITION BY user_id) AS p FROM b)
     SELECT event_id, round(b + CASE WHEN p <= 25 THEN 0.00425 / (1 + (abs(dl) / 6) ** 2) * dl ELSE 0 END, 6) AS incumbent FROM q""")
 def d11_parent_blend(spark, d):
@@ -194,29 +201,33 @@ def d23_robust_blend(spark, d):
     return _weights(spark, blending.fit_robust(panel(spark, d), ["candidate", "blend"]))
 
 
+ROUTED = ["candidate", "blend"]
+
+
+def _units(spark, d) -> tuple[DataFrame, list[str]]:
+    u = metrics.unit_features(panel(spark, d), ROUTED, "incumbent", ["l_orderkey", "l_linenumber", "l_partkey", "truth", "incumbent", "candidate"])
+    return u, [c for c in u.columns if c not in ("well", "component", "fallback_mse") and not c.startswith("gain_")]
+
+
 @query()
 def d25_regret_router(spark, d):
-    arms = ["candidate", "blend"]
-    units = metrics.unit_features(panel(spark, d), arms, "incumbent", ["l_orderkey", "l_linenumber", "l_partkey", "truth", "incumbent", "candidate"]).orderBy("well").toPandas()  # a row for each unit
-    names = [c for c in units if c not in ("well", "component", "fallback_mse") and not c.startswith("gain_")]
-    router = blending.Router(arms, names, folds=2).fit(units)
-    choice = spark.createDataFrame(router.route(units, 0.7)[["well", "component", "arm", "bound", "abstained"]], "well bigint, component int, arm string, bound double, abstained boolean")
-    t = overlays.routed(panel(spark, d), choice, "well", "incumbent", arms, 0.5, "routed")
+    units, names = _units(spark, d)
+    choice = routing.fit(units, ROUTED, names, folds=2).route(units, 0.7, ["well", "component"])
+    t = overlays.routed(panel(spark, d), choice, "well", "incumbent", ROUTED, 0.5, "routed")
     return t.groupBy("well").agg(F.round(metrics.rmse("truth", "routed"), 4).alias("routed"), F.round(metrics.rmse("truth", "incumbent"), 4).alias("incumbent"))
 
 
 @query()
 def d27_group_split(spark, d):
-    out, fold = blending.split_groups({str(k): n for k, n in blending.group_sizes(panel(spark, d)).items()}, 0.2, 3, 7)
-    return spark.createDataFrame(sorted([(g, -1) for g in out] + list(fold.items())), "component string, fold int")
+    sizes = panel(spark, d).groupBy(F.col("component").cast("string").alias("component")).agg(F.count("*").alias("n"))
+    return groups.holdout_and_folds(sizes, "component", "n", 0.2, 3, 7).select("component", "fold")
 
 
 @query()
 def d29_group_sample(spark, d):
-    members: dict[str, list[str]] = {}
-    for r in table(spark, d, "supplier").select("s_nationkey", "s_suppkey").collect():  # a row for each unit
-        members.setdefault(str(r[0]), []).append(str(r[1]))
-    return spark.createDataFrame([(m,) for m in blending.sample_groups(members, 40, 3)], "well string")
+    units = table(spark, d, "supplier").select(F.col("s_nationkey").alias("component"), F.col("s_suppkey").cast("string").alias("well"))
+    chosen = groups.whole_groups(units.groupBy("component").agg(F.count("*").alias("n")), "component", "n", 40, 3)
+    return units.join(chosen, "component", "left_semi").select("well")
 
 
 def _registry() -> evaluation.Registry:
@@ -280,28 +291,12 @@ def d06_reference_filter(spark, d):
     return experts.full_paths(t, c, SEEDS)
 
 
-def _sizes(spark, d) -> dict:
-    return blending.group_sizes(table(spark, d, "supplier").select(F.col("s_nationkey").alias("component")))
-
-
 @query()
 def d28_balanced_folds(spark, d):
-    sizes = _sizes(spark, d)
-    rows = [(rule, g, k, sizes[g]) for rule in blending.TIES for g, k in blending.assign(sizes, 5, rule, 3101).items()]
-    return spark.createDataFrame(rows, "rule string, component int, fold int, size long")
-
-
-def _panels(spark, d) -> tuple[DataFrame, DataFrame]:
-    p = panel(spark, d)
-    return p.where("component < 13"), p.where("component >= 13")
-
-
-def _transfers(spark, d, arms, kind) -> DataFrame:
-    rows = []
-    for name, (t, _) in studies.both_ways(*_panels(spark, d), arms, "incumbent", kind).items():
-        for place, (setting, mean, std) in enumerate(t.grid):
-            rows.append((name, place, str(setting), mean, std, *t.parent, *t.frozen, sum(t.weights.values())))
-    return spark.createDataFrame(rows, "direction string, place int, setting string, mean double, std double, parent_row double, parent_macro double, parent_tail double, frozen_row double, frozen_macro double, frozen_tail double, moved double")
+    sizes = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("component")).agg(F.count("*").alias("size"))
+    ties = {"name": None, "draw": groups.draw(3101, "component"), "draw_back": F.reverse(groups.draw(3101, "component"))}
+    made = [groups.balanced_folds(sizes, "component", "size", 5, tie).select(F.lit(rule).alias("rule"), "component", "fold", "size") for rule, tie in ties.items()]
+    return made[0].unionAll(made[1]).unionAll(made[2])
 
 
 @query()
@@ -316,11 +311,9 @@ def d39b_trust_region_transfer(spark, d):
 
 @query()
 def d25b_nested_router(spark, d):
-    arms, p = ["candidate", "blend"], panel(spark, d)
-    units = metrics.unit_features(p, arms, "incumbent", ["l_orderkey", "l_linenumber", "l_partkey", "truth", "incumbent", "candidate"]).join(studies.unit_moments(p, arms, "incumbent"), "well").orderBy("well").toPandas()  # a row for each unit
-    names = [c for c in units if c not in ("well", "component", "fallback_mse", "n", "rr") and not c.startswith(("gain_", "c_", "g_"))]
-    made = studies.nested_router(units, (units["component"] >= 18).to_numpy(), arms, names)
-    rows = [(q, b, v, (q, b) == (made.quantile, made.blend), made.holdout, made.fallback) for (q, b), v in made.grid.items()]
+    units, names = _units(spark, d)
+    made = routing.nested(units.join(studies.unit_moments(panel(spark, d), ROUTED, "incumbent"), "well"), F.col("component") >= 18, ROUTED, names)
+    rows = [(q, b, v, (q, b) == (made.quantile, made.blend), made.holdout, made.fallback) for (q, b), v in made.grid.items()]  # the grid of settings
     return spark.createDataFrame(rows, "quantile double, blend double, rmse double, chosen boolean, holdout double, fallback double")
 
 

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from cairn.functions.grid import GridSettings
 from cairn.functions.particles import FilterSettings
 from cairn.operators import experts, joins, metrics, ordered, overlays
-from cairn.plans import blending, features
+from cairn.operators import groups as whole
+from cairn.plans import blending, boosting, features
 from cairn.plans.staging import Stage
 
 #: Arms in their order, and those the stack may mix.
@@ -36,7 +37,10 @@ class Config:
     spatial_radius: float = 250.0
     similarity_radius: float = 2500.0
     similarity: float = 0.995
-    trees: int = 20
+    trees: int = 80
+    leaves: int = 31
+    rate: float = 0.05
+    l2: float = 1.0
     grid: GridSettings = field(default_factory=GridSettings)
 
     def __post_init__(self) -> None:
@@ -78,20 +82,17 @@ def prepare(series: DataFrame, curves: DataFrame, c: Config) -> DataFrame:
 @dataclass
 class Models:
     ridge: blending.Ridge
-    trees: object
+    trees: boosting.Boosted
     names: list[str]
 
 
 def fit(rows: DataFrame, truth: DataFrame, c: Config) -> Models:
-    """Ridge and boosted trees on ``truth - pf``. The trees are Spark's, grown by depth; they stand for another kind of booster and
-    have at most 0.425 % of the weight."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
+    """Ridge and boosted trees on ``truth - pf``."""
     names = [k for k in rows.columns if k.startswith("f_")]
     t = rows.where("tvt is null").join(truth, ["well", "rn"]).withColumn("residual", F.col("truth") - F.col("pf")).persist()
     try:
-        trees = GBTRegressor(featuresCol="_v", labelCol="residual", maxIter=c.trees, maxDepth=3, stepSize=0.1, seed=0).fit(VectorAssembler(inputCols=names, outputCol="_v").transform(t))
+        least = max(8, min(30, t.count() // 20))
+        trees = boosting.fit(t, names, "residual", c.trees, c.leaves, c.rate, c.l2, least)
         return Models(blending.ridge_by_moments(t, names, "residual"), trees, names)
     finally:
         t.unpersist()
@@ -99,10 +100,7 @@ def fit(rows: DataFrame, truth: DataFrame, c: Config) -> Models:
 
 def predict(rows: DataFrame, models: Models, table: DataFrame) -> DataFrame:
     """``(well, rn, horizon, <arms>)`` for hidden rows. ``table``: anchors of the training series."""
-    from pyspark.ml.feature import VectorAssembler
-
-    t = VectorAssembler(inputCols=models.names, outputCol="_v", handleInvalid="keep").transform(rows.where("tvt is null"))
-    t = models.trees.transform(t).withColumns({"ridge": F.col("pf") + blending.ridge_column(models.ridge, models.names), "nonlinear": F.col("pf") + F.col("prediction")})
+    t = rows.where("tvt is null").withColumns({"ridge": F.col("pf") + blending.ridge_column(models.ridge, models.names), "nonlinear": F.col("pf") + models.trees.column(models.names)})
     t = t.select("well", "rn", "x", "y", "z", "md", F.col("f_md_since").alias("horizon"), "pf", "hmm", "ridge", "nonlinear")
     t = overlays.parent_blend(t, "well", "ridge", "pf", "nonlinear")
     t = overlays.bridge(t, "well", "incumbent", "ridge", "pf", "hmm", "horizon")
@@ -134,12 +132,10 @@ def run(series: DataFrame, curves: DataFrame, truth: DataFrame, c: Config = Conf
     rows = stage.put(prepare(series, curves, c).join(groups.select("well", "component"), "well"))
     truth = truth.withColumnRenamed("row_number", "rn")
     levels = experts.anchors(series)
-    sizes = blending.group_sizes(groups, rows="rows")
-    out, fold = blending.split_groups(sizes, c.holdout, c.folds, c.split_seed)
-    if not out.isdisjoint(fold):
-        raise AssertionError("holdout and folds share a group")
-    of = spark.createDataFrame([(g, k) for g, k in fold.items()] + [(g, -1) for g in out], "component string, fold int")
-    rows = rows.join(F.broadcast(of), "component")  # one row for each group
+    sizes = groups.groupBy("component").agg(F.sum("rows").alias("rows"))
+    of = stage.put(whole.holdout_and_folds(sizes, "component", "rows", c.holdout, c.folds, c.split_seed).select("component", "fold"))
+    out = of.where("fold = -1").limit(1).count()
+    rows = rows.join(of, "component")
     placed = levels.join(groups.select("well", "component"), "well").join(of, "component")
 
     def part(train, test) -> DataFrame:

@@ -10,13 +10,13 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.operators import experts, metrics, overlays
+from cairn.operators import experts, groups, metrics, overlays
 from cairn.operators.checks import CheckFailure
 from cairn.plans import blending
+from cairn.plans.staging import Stage
 from cairn.sources import files
 
 #: Seeds, folds and settings of the registered studies.
@@ -104,47 +104,6 @@ def both_ways(a: DataFrame, b: DataFrame, arms: Sequence[str], parent: str, kind
     return out
 
 
-# --- nested routing -------------------------------------------------------------------------------------------------------
-
-
-@dataclass
-class Routed:
-    quantile: float
-    blend: float
-    grid: dict[tuple[float, float], float]
-    development: float
-    holdout: float
-    fallback: float
-    decisions: pd.DataFrame
-
-
-def _unit_mse(units: pd.DataFrame, arm: np.ndarray, blend: float) -> np.ndarray:
-    """A unit's mean square when it moves by ``blend`` towards its arm: from ``rr``, ``c_<arm>`` and ``g_<arm>``."""
-    out = units["rr"].to_numpy(float).copy()
-    for name in set(arm) - {"fallback"}:
-        own = arm == name
-        out[own] += blend * blend * units[f"g_{name}"].to_numpy(float)[own] - 2 * blend * units[f"c_{name}"].to_numpy(float)[own]
-    return np.maximum(out, 0)
-
-
-def nested_router(units: pd.DataFrame, held_out: np.ndarray, arms: Sequence[str], features: Sequence[str], quantiles: Sequence[float] = (0.5, 0.7, 0.8, 0.9), blends: Sequence[float] = (0.25, 0.5, 0.75, 1.0), folds: int = 3, seed: int = 0) -> Routed:
-    """Quantile and blend are chosen on development units routed by models that saw neither the unit's group nor its fold, then frozen for
-    the holdout. ``units``: a row for each, with ``gain_<arm>``, ``n``, ``rr``, ``c_<arm>``, ``g_<arm>`` and the features."""
-    dev, hold = units[~held_out].reset_index(drop=True), units[held_out].reset_index(drop=True)
-    root = lambda u, mse: float(np.sqrt(np.average(mse, weights=u["n"])))
-    router = lambda s: blending.Router(list(arms), list(features), tuple(quantiles), folds, s)
-    fold = router(seed)._folds(dev)
-    chosen = {q: np.full(len(dev), "fallback", dtype=object) for q in quantiles}
-    for k in range(folds):
-        fitted = router(seed + 1009 * k).fit(dev[fold != k].reset_index(drop=True))
-        for q in quantiles:
-            chosen[q][fold == k] = fitted.route(dev[fold == k], q)["arm"].to_numpy()
-    grid = {(q, b): root(dev, _unit_mse(dev, chosen[q], b)) for q in quantiles for b in blends}
-    q, b = min(grid, key=lambda k: (grid[k], k))
-    decisions = router(seed + 99991).fit(dev).route(hold, q)
-    return Routed(q, b, grid, grid[q, b], root(hold, _unit_mse(hold, decisions["arm"].to_numpy(), b)), root(hold, hold["rr"].to_numpy(float)), decisions)
-
-
 def unit_moments(panel: DataFrame, arms: Sequence[str], fallback: str, unit: str = "well") -> DataFrame:
     """``(unit, n, rr, c_<arm>, g_<arm>)``: what the error of any blend of one arm needs, by unit."""
     left = F.col("truth") - F.col(fallback)
@@ -170,6 +129,11 @@ def frozen_arm(series: DataFrame, curves: DataFrame, truth: DataFrame, chosen: s
     return scored, metrics.bootstrap(scored, "well", "reference", "candidate", draws)
 
 
+def _whole_groups(units: DataFrame, most: int, seed: int, how: str) -> DataFrame:
+    chosen = groups.whole_groups(units.groupBy("component").agg(F.count("*").alias("n")), "component", "n", most, seed)
+    return units.join(chosen, "component", how).select(units.columns)
+
+
 def register_panel(universe: DataFrame, prior: DataFrame, most: int, seed: int, root: str, data_digest: str, least_groups: int = 10) -> dict:
     """Registers, before any scoring, a panel of whole groups that hold no unit of ``prior``; ``universe``: ``(well, component)``.
 
@@ -182,15 +146,11 @@ def register_panel(universe: DataFrame, prior: DataFrame, most: int, seed: int,
         return verified_registration(spark, root, data_digest)
     touched = universe.join(prior.select("well"), "well", "left_semi").select("component").distinct()
     eligible = universe.join(touched, "component", "left_anti")
-    members: dict[str, list[str]] = {}
-    for r in eligible.select("component", "well").toLocalIterator():
-        members.setdefault(str(r[0]), []).append(str(r[1]))
-    picked = blending.sample_groups(members, most, seed)
-    panel = eligible.join(F.broadcast(spark.createDataFrame([(w,) for w in picked], "well string")), "well", "left_semi")
-    groups = panel.select("component").distinct().count()
-    if groups < least_groups:
-        raise CheckFailure(f"the panel has {groups} groups only")
-    summary = {"status": "REGISTERED_BEFORE_SCORING", "data_sha256": data_digest, "seed": seed, "units": len(picked), "groups": groups, "selection_uses_target_columns": False}
+    panel = Stage(spark, "register").put(_whole_groups(eligible, most, seed, "left_semi"))
+    units, n = panel.agg(F.count("*"), F.count_distinct("component")).first()
+    if n < least_groups:
+        raise CheckFailure(f"the panel has {n} groups only")
+    summary = {"status": "REGISTERED_BEFORE_SCORING", "data_sha256": data_digest, "seed": seed, "units": units, "groups": n, "selection_uses_target_columns": False}
     files.write_result({"universe": universe.select("well", "component"), "panel": panel.select("well", "component")}, summary, at)
     return summary
 
@@ -233,12 +193,7 @@ def subset(universe: DataFrame, most: int | None, role: str, seed: int) -> DataF
         raise ValueError(f"unknown subset {role!r}")
     if most is None or role == "all":
         return universe
-    members: dict[str, list[str]] = {}
-    for r in universe.select("component", "well").toLocalIterator():
-        members.setdefault(str(r[0]), []).append(str(r[1]))
-    picked = blending.sample_groups(members, most, seed)
-    chosen = universe.sparkSession.createDataFrame([(w,) for w in picked], "well string")
-    return universe.join(chosen, "well", "left_semi" if role == "primary" else "left_anti")
+    return _whole_groups(universe, most, seed, "left_semi" if role == "primary" else "left_anti")
 
 
 def dispatch(spark: SparkSession, mode: str, run: Callable[[DataFrame, DataFrame, DataFrame], object], data: tuple[DataFrame, DataFrame, DataFrame] | None = None, universe: DataFrame | None = None, most: int | None = None, role: str = "all", seed: int = 0, wells: int = 18, rows: int = 180) -> object:

@@ -194,16 +194,11 @@ def test_stack_weights_are_optimal():
             assert value(w) <= value(x) + 1e-9
 
 
-def test_folds_balance_and_samples_keep_groups_whole():
+def test_folds_balance():
     sizes = {f"g{i}": n for i, n in enumerate([9, 7, 6, 5, 5, 4, 2, 1])}
     fold = b.balanced(sizes, 3)
     load = [sum(n for g, n in sizes.items() if fold[g] == k) for k in range(3)]
     assert max(load) - min(load) <= 2
-    out, rest = b.split_groups(sizes, 0.3, 3, 0)
-    assert out.isdisjoint(rest) and out | set(rest) == set(sizes) and sum(sizes[g] for g in out) >= 0.3 * 39 - max(sizes.values())
-    members = {g: [f"{g}_{k}" for k in range(n)] for g, n in sizes.items()}
-    picked = b.sample_groups(members, 15, 1)
-    assert len(picked) <= 15 and all(len({p for p in picked if p.startswith(g + "_")}) in (0, n) for g, n in sizes.items())
     with pytest.raises(ValueError):
         b.balanced({"a": 1}, 2)
 

@@ -141,14 +141,6 @@ def test_trust_region_goes_to_its_cap(spark):
     assert blending.fit_trust_region(t, cap=0.05).weights == {"ridge": pytest.approx(0.05)}
 
 
-def test_router_learns_and_abstains():
-    rng = np.random.default_rng(0)
-    x = rng.uniform(-1, 1, 200)
-    units = pd.DataFrame({"well": range(200), "component": [f"c{i % 40}" for i in range(200)], "f": x, "gain_a": 5 * x, "gain_b": -np.ones(200)})
-    out = blending.Router(["a", "b"], ["f"]).fit(units).route(units, 0.9)
-    assert (out.arm[x > 0.5] == "a").all() and (out.arm[x < -0.2] == "fallback").all() and (out.arm != "b").all()
-
-
 def test_evaluation_fails_closed_and_unions(spark):
     rows = [(f"w{w}_{i}", f"w{w}", i, f"c{w // 2}", float(i), float(i % 5), float(i % 5) + 1.0 + w * 0.1, float(i % 5) - 0.5, w // 2 % 2) for w in range(8) for i in range(10)]
     t = spark.createDataFrame(rows, "row_id string, well string, row_number int, component string, horizon double, truth double, incumbent double, candidate double, fold int")

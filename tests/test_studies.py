@@ -79,25 +79,6 @@ def test_tie_rules():
         b.assign(sizes, 3, "other")
 
 
-def test_nested_router_scores_are_those_of_rows(spark):
-    p = panel(5, 20)
-    units = p.groupby(["well", "component"]).size().rename("rows").reset_index()
-    units["size"] = units["rows"].astype(float)
-    units["spread"] = p.groupby("well")["incumbent"].std().fillna(0).reindex(units["well"]).to_numpy()
-    se = lambda c: ((p["truth"] - p[c]) ** 2).groupby(p["well"]).mean().reindex(units["well"]).to_numpy()
-    for arm in ("x", "y"):
-        units[f"gain_{arm}"] = se("incumbent") - se(arm)
-    units = units.merge(studies.unit_moments(spark.createDataFrame(p), ["x", "y"], "incumbent").toPandas(), on="well")
-    held = (units["component"] >= 15).to_numpy()
-    made = studies.nested_router(units, held, ["x", "y"], ["size", "spread"], folds=3, seed=1)
-    arm = dict(zip(made.decisions["well"], made.decisions["arm"]))
-    own = p[p["component"] >= 15]
-    routed = [r.incumbent + (0 if arm[r.well] == "fallback" else made.blend * (getattr(r, arm[r.well]) - r.incumbent)) for r in own.itertuples()]
-    assert made.holdout == pytest.approx(np.sqrt(np.mean((own["truth"] - routed) ** 2)))
-    assert made.fallback == pytest.approx(np.sqrt(np.mean((own["truth"] - own["incumbent"]) ** 2)))
-    assert made.development == min(made.grid.values()) and len(made.grid) == 16
-
-
 def test_registered_panels_and_runs(spark, tmp_path):
     universe = spark.createDataFrame([(f"w{i:03d}", f"c{i // 3:02d}") for i in range(90)], "well string, component string")
     prior = spark.createDataFrame([("w000",), ("w031",)], "well string")
