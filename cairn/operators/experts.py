@@ -249,3 +249,21 @@ def structural_paths(series: DataFrame, table: DataFrame, fractions: Sequence[fl
         return pd.DataFrame({"well": pdf["well"].iloc[0], "row_number": at[~known], "structural": level[~known] + np.median(miss), "prefix_cv": cv})
 
     return observable(series).groupBy("well").cogroup(own.groupBy("well")).applyInPandas(run, "well string, row_number int, structural double, prefix_cv double")
+
+
+def weights(series: DataFrame, error: str, settings: Sequence[tuple[float, bool]]) -> DataFrame:
+    """``(*columns, correlation, on_simplex, pf, hmm, structural)``: the experts' weights for each row's prefix error ``error``, under each ``(correlation,
+    on_simplex)``."""
+
+    def run(parts):
+        for t in parts:
+            for pair, simplex in settings:
+                made = [states.expert_weights(float(v), states.FusionSettings(pair_correlation=pair, on_simplex=simplex))[0] for v in t[error]]
+                out = t.copy()
+                out["correlation"], out["on_simplex"] = pair, simplex
+                for i, name in enumerate(("pf", "hmm", "structural")):
+                    out[name] = [float(w[i]) for w in made]
+                yield out
+
+    kinds = ", ".join(f"`{c}` {k}" for c, k in series.dtypes)
+    return series.mapInPandas(run, f"{kinds}, correlation double, on_simplex boolean, pf double, hmm double, structural double")

@@ -123,19 +123,19 @@ def _histograms(rows: DataFrame, trees: list[Tree], tree: Tree, wanted: list[int
     place = {leaf: k for k, leaf in enumerate(wanted)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = len(wanted) * width * 256
-        g, n = np.zeros(size), np.zeros(size, np.int64)
+        g, n = np.zeros((len(wanted), width, 256)), np.zeros((len(wanted), width, 256), np.int64)
         for batch in batches:
             bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(-1, width)
             gradient = batch.column("gradient").to_numpy() + sum((t(bins) for t in trees), np.zeros(len(bins)))
             leaf = np.array([place.get(k, -1) for k in range(len(tree.feature))])[tree.leaves(bins)]
             own = np.flatnonzero(leaf >= 0)
+            base, weight = leaf[own] * 256, gradient[own]
             for j in range(width):
-                at = (leaf[own] * width + j) * 256 + bins[own, j]
-                g += np.bincount(at, gradient[own], minlength=size)
-                n += np.bincount(at, minlength=size)
+                at = base + bins[own, j]
+                g[:, j] += np.bincount(at, weight, minlength=len(wanted) * 256).reshape(-1, 256)
+                n[:, j] += np.bincount(at, minlength=len(wanted) * 256).reshape(-1, 256)
         used = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(g[used]), pa.array(n[used])], names=["at", "g", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(g.ravel()[used]), pa.array(n.ravel()[used])], names=["at", "g", "n"])
 
     made = rows.select("bins", "gradient").mapInArrow(run, "at bigint, g double, n bigint").groupBy("at").agg(F.sum("g").alias("g"), F.sum("n").alias("n")).toPandas()  # leaves x features x bins
     g, n = np.zeros(len(wanted) * width * 256), np.zeros(len(wanted) * width * 256, np.int64)

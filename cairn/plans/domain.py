@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.grid import GridSettings
@@ -341,7 +341,8 @@ def d17_smoothed(spark, d):
 
 @query()
 def d16_expert_weights(spark, d):
-    from cairn.functions import states
-
-    rows = [(float(cv), bool(simplex), *states.expert_weights(float(cv), states.FusionSettings(pair_correlation=pair, on_simplex=simplex))[0].tolist(), pair) for cv in range(0, 40, 4) for simplex in (False, True) for pair in (0.2, 0.95)]
-    return spark.createDataFrame(rows, "prefix_cv double, on_simplex boolean, pf double, hmm double, structural double, correlation double")
+    """Weights of the experts for each series, from the deviation of its visible part's second half about the mean of the first."""
+    first = F.avg(F.when(F.col("rn") < F.col("cut") / 2, F.col("value"))).over(Window.partitionBy("user_id"))
+    late = F.col("known") & (F.col("rn") >= F.col("cut") / 2)
+    cv = series(spark, d).withColumn("first", first).groupBy("user_id").agg(F.sqrt(F.avg(F.when(late, F.pow(F.col("value") - F.col("first"), 2)))).alias("prefix_cv"))
+    return experts.weights(cv, "prefix_cv", [(pair, simplex) for pair in (0.2, 0.95) for simplex in (False, True)])

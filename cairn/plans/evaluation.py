@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.expr import finite
@@ -49,6 +49,15 @@ class Registry:
         return cls(tuple(Contract(c["id"], c["panel"], c["split"], tuple(c["models"]), c["baseline"]) for c in d["contracts"]), tuple(map(float, d["bounds"])), float(d.get("fraction", 0.1)), int(d.get("draws", 200)))
 
 
+def contract_violations(contracts: DataFrame) -> DataFrame:
+    """``(key, rule)`` of a table of contracts ``(key, id, models, baseline)``: ids that repeat, models that repeat or are none, and baselines that are
+    no model of their contract."""
+    n = F.count("*").over(Window.partitionBy("id"))
+    rules = {"id_repeats": n > 1, "models_repeat": F.size(F.array_distinct("models")) < F.size("models"), "no_models": F.coalesce(F.size("models"), F.lit(0)) < 1, "baseline_is_no_model": ~F.coalesce(F.array_contains("models", F.col("baseline")), F.lit(False))}
+    broken = F.array_compact(F.array(*(F.when(bad, F.lit(name)) for name, bad in rules.items())))
+    return contracts.withColumn("_broken", broken).select("key", F.explode("_broken").alias("rule"))
+
+
 def panel_checks(panel: DataFrame, c: Contract) -> DataFrame:
     """``panel``: ``row_id, well, row_number, component, horizon, truth, <models>`` and for ``oof`` a ``fold``."""
     bad = sum((F.count_if(~finite(F.col(m))) for m in (*c.models, "truth")), F.lit(0))

@@ -52,6 +52,18 @@ class Config:
             raise ValueError("configuration out of range")
 
 
+#: The ranges that ``Config`` holds its values to, as conditions on a table of settings.
+RANGES = {"seeds": "seeds >= 2", "particles": "particles >= 8", "folds": "folds >= 2", "holdout": "holdout >= 0 AND holdout < 1", "stack_ridge": "stack_ridge >= 0", "spatial_radius": "spatial_radius >= 0", "similarity_radius": "similarity_radius >= 0", "seed_offset": "seed_offset >= 0 AND seed_offset + seeds <= 4294967295"}
+
+
+def config_violations(settings: DataFrame) -> DataFrame:
+    """A row ``(*columns, rule)`` for each range that a row of settings is out of or has no value for; columns that are not there keep their default."""
+    kinds = {f.name: f.default for f in fields(Config)}
+    t = settings.withColumns({k: F.lit(v) for k, v in kinds.items() if k in RANGES and k not in settings.columns})
+    broken = F.array_compact(F.array(*(F.when(~F.coalesce(F.expr(rule), F.lit(False)), F.lit(name)) for name, rule in RANGES.items())))
+    return t.withColumn("rule", F.explode(broken)).select(*settings.columns, "rule")
+
+
 def components(series: DataFrame, curves: DataFrame, c: Config) -> DataFrame:
     """``(well, component, degree)``: series that lie close, or less close with alike signals or curves, belong together."""
     rows = series.withColumnRenamed("row_number", "rn")

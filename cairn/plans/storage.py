@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.plans import domain, evaluation, experiment
+from cairn.operators import metrics
+from cairn.plans import domain, evaluation, experiment, studies
 from cairn.plans.relational import rounded
 from cairn.plans.staging import shared_dir
 from cairn.sources import files
@@ -83,9 +84,9 @@ def k05_npz_panel(spark, d):
     return files.panel_from_npz(spark, f"{path}/*.npz")
 
 
-@query("SELECT 'syn_' || lpad(w::VARCHAR, 3, '0') AS well, k AS row_number, 10000.0::DOUBLE + k AS \"MD\", round(floor(w / 2) * 8000.0::DOUBLE + w % 2 * 70 + k * 0.9::DOUBLE, 6) AS \"X\", k >= 112 AS hidden FROM range(20) a(w), range(180) b(k)")
+@query("SELECT 'syn_' || lpad(w::VARCHAR, 3, '0') AS well, k AS row_number, 10000.0::DOUBLE + k AS \"MD\", round(floor(w / 2) * 8000.0::DOUBLE + w % 2 * 70 + k * 0.9::DOUBLE, 6) AS \"X\", k >= 112 AS hidden FROM (SELECT unnest(range(count(*))) AS w FROM nation), range(180) b(k)")
 def s07_synthetic_logs(spark, d):
-    t, _ = files.synthetic_logs(spark, 20, 180, 3)
+    t, _ = files.synthetic_logs(spark, table(spark, d, "nation").count(), 180, 3)  # one log for each nation
     return rounded(t.select("well", F.col("row_number").cast("bigint").alias("row_number"), "MD", "X", F.col("TVT_input").isNull().alias("hidden")), 6)
 
 
@@ -154,30 +155,44 @@ def k09_release_report(spark, d):
     return spark.createDataFrame([(n, r["status"], len(r["missing"]), len(r["broken"])) for n, r in rows], "release string, status string, missing int, broken int")
 
 
-def _verdicts(spark, cases: dict[str, Callable[[], object]]) -> DataFrame:
-    def refused(f) -> bool:
-        try:
-            f()
-        except (ValueError, TypeError):
-            return True
-        return False
-
-    return spark.createDataFrame([(n, refused(f)) for n, f in cases.items()], "case string, refused boolean")
-
-
-@query("SELECT * FROM (VALUES ('right', false), ('falling bounds', true), ('two of one name', true), ('no baseline', true)) t(\"case\", refused)")
+@query("""WITH c AS (SELECT n_nationkey AS key, 'c' || (n_nationkey // 2 * 2 + n_regionkey % 2) AS id, CASE n_nationkey % 4 WHEN 0 THEN ['x', 'y'] WHEN 1 THEN ['x', 'x'] WHEN 2 THEN [] ELSE ['y'] END AS models, CASE WHEN n_nationkey % 3 = 0 THEN 'y' ELSE 'x' END AS baseline FROM nation)
+    SELECT key, 'id_repeats' AS rule FROM c WHERE id IN (SELECT id FROM c GROUP BY id HAVING count(*) > 1) UNION ALL SELECT key, 'models_repeat' FROM c WHERE len(list_distinct(models)) < len(models)
+    UNION ALL SELECT key, 'no_models' FROM c WHERE len(models) = 0 UNION ALL SELECT key, 'baseline_is_no_model' FROM c WHERE NOT list_contains(models, baseline)""")
 def p12_registry_rules(spark, d):
-    own = lambda baseline="x": evaluation.Contract("a", "p", "oof", ("x", "y"), baseline)
-    make = lambda contracts, bounds=(1.0, 2.0): evaluation.Registry(tuple(contracts), bounds, 0.1, 10)
-    return _verdicts(spark, {"right": lambda: make([own()]), "falling bounds": lambda: make([own()], (2.0, 1.0)), "two of one name": lambda: make([own(), own()]), "no baseline": lambda: make([own("z")])})
+    k = F.col("n_nationkey")
+    models = F.when(k % 4 == 0, F.array(F.lit("x"), F.lit("y"))).when(k % 4 == 1, F.array(F.lit("x"), F.lit("x"))).when(k % 4 == 2, F.array().cast("array<string>")).otherwise(F.array(F.lit("y")))
+    contracts = table(spark, d, "nation").select(k.alias("key"), F.concat(F.lit("c"), (F.floor(k / 2) * 2 + F.col("n_regionkey") % 2).cast("string")).alias("id"), models.alias("models"), F.when(k % 3 == 0, "y").otherwise("x").alias("baseline"))
+    return evaluation.contract_violations(contracts)
 
 
-@query("SELECT * FROM (VALUES ('a/b.csv', false), ('a/../b', false), ('../b', true), ('a/../../b', true), ('/etc/passwd', true), ('s3://x/y', true)) t(\"case\", refused)")
+@query(r"""WITH p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN repeat('../', page_id % 3) || coalesce(regexp_extract(url, '://[^/]*/(.*)$', 1), '') WHEN 1 THEN 'a/./b//' || repeat('../', page_id % 5) || 'c' WHEN 2 THEN '/' || page_id ELSE coalesce(url, 'u') END AS path FROM pages),
+    s AS (SELECT page_id, path, list_transform(list_filter(string_split(path, '/'), lambda x: x NOT IN ('', '.')), lambda x: CASE WHEN x = '..' THEN -1 ELSE 1 END) AS l FROM p)
+    SELECT page_id, path, starts_with(path, '/') OR contains(path, '://') OR coalesce(list_min(list_transform(range(1, len(l) + 1), lambda i: list_sum(l[1:i]))) < 0, false) AS refused FROM s""")
 def p13_paths(spark, d):
-    return _verdicts(spark, {p: lambda p=p: files.below("/data", p) for p in ("a/b.csv", "a/../b", "../b", "a/../../b", "/etc/passwd", "s3://x/y")})
+    k = F.col("page_id")
+    up = lambda n: F.expr(f"repeat('../', cast(page_id % {n} as int))")
+    path = F.when(k % 4 == 0, F.concat(up(3), F.coalesce(F.regexp_extract("url", "://[^/]*/(.*)$", 1), F.lit("")))).when(k % 4 == 1, F.concat(F.lit("a/./b//"), up(5), F.lit("c"))).when(k % 4 == 2, F.concat(F.lit("/"), k.cast("string"))).otherwise(F.coalesce("url", F.lit("u")))
+    return table(spark, d, "pages").select("page_id", path.alias("path")).withColumn("refused", files.leaves_root(F.col("path")))
 
 
-@query("SELECT * FROM (VALUES ('defaults', false), ('a truth value for a number', true), ('one seed', true), ('a text for a number', true), ('holdout of one', true)) t(\"case\", refused)")
+@query("""WITH c AS (SELECT p_partkey, p_size % 4 AS seeds, p_size AS particles, 1 + p_size % 3 AS folds, round((p_size % 13 - 1) / 10.0::DOUBLE, 6) AS holdout FROM part)
+    SELECT p_partkey, rule FROM (SELECT p_partkey, unnest([CASE WHEN seeds < 2 THEN 'seeds' END, CASE WHEN particles < 8 THEN 'particles' END, CASE WHEN folds < 2 THEN 'folds' END, CASE WHEN holdout < 0 OR holdout >= 1 THEN 'holdout' END]) AS rule FROM c) WHERE rule IS NOT NULL""")
 def p14_config_rules(spark, d):
-    c = experiment.Config
-    return _verdicts(spark, {"defaults": c, "a truth value for a number": lambda: c(seeds=True), "one seed": lambda: c(seeds=1), "a text for a number": lambda: c(holdout="0.2"), "holdout of one": lambda: c(holdout=1.0)})
+    size = F.col("p_size")
+    settings = table(spark, d, "part").select("p_partkey", (size % 4).alias("seeds"), size.alias("particles"), (1 + size % 3).alias("folds"), F.round((size % 13 - 1) / 10.0, 6).alias("holdout"))
+    return experiment.config_violations(settings).select("p_partkey", "rule")
+
+
+@query("""WITH c AS (SELECT s_nationkey AS component, s_suppkey AS well FROM supplier), p AS (SELECT l_suppkey AS well, s_nationkey % 3 AS seed, (l_extendedprice - l_extendedprice * (1 + l_tax)) ** 2 AS se FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)
+    SELECT seed::INT AS seed, 'made' AS first_run, CASE WHEN seed = 1 THEN 'made' ELSE 'kept' END AS second_run, round(sqrt(avg(se)), 4) AS rmse FROM p GROUP BY seed""")
+def d38_resumed_runs(spark, d):
+    """Runs registered beforehand, one of which is lost and made again; the others are kept as they are."""
+    root, p = folder(spark, "d38"), domain.panel(spark, d)
+    universe = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("well"), F.col("s_nationkey").cast("string").alias("component"))
+    studies.register_panel(universe, universe.limit(0), table(spark, d, "supplier").count(), 7, root, "panel", 1)
+    run = lambda seed: ({"score": p.where(F.col("fold") == seed).agg(metrics.rmse("truth", "candidate").alias("rmse"))}, {"fold": seed})
+    first = dict(studies.resumable_runs(spark, root, "panel", [0, 1, 2], run))
+    files.remove(spark, f"{root}/seed-1/manifest.json")
+    second = dict(studies.resumable_runs(spark, root, "panel", [0, 1, 2], run))
+    scores = {k: files.typed_csv(spark, f"{root}/seed-{k}/score", "rmse double").first().rmse for k in first}
+    return rounded(spark.createDataFrame([(k, first[k], second[k], scores[k]) for k in first], "seed int, first_run string, second_run string, rmse double"))

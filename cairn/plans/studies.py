@@ -182,6 +182,7 @@ def resumable_runs(spark: SparkSession, root: str, data_digest: str, seeds: Sequ
             out.append((seed, "kept"))
             continue
         tables, summary = run(seed)
+        files.remove(spark, at)  # what a lost run has left
         files.write_result(tables, {**summary, "seed": seed}, at)
         out.append((seed, "made"))
     return out

@@ -16,13 +16,15 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.expr import finite, number
 from cairn.operators.checks import CheckFailure
 from cairn.operators.joins import numbered
 from cairn.plans.staging import Stage
+from cairn.sources import file_set
 
 #: Column names and file-name endings of the paired logs.
 HORIZONTAL = ("MD", "X", "Y", "Z", "GR", "TVT_input")
@@ -161,6 +163,12 @@ def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
         out.close()
 
 
+def remove(spark: SparkSession, path: str) -> bool:
+    """Deletes a file or folder, if it is there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True))
+
+
 def inventory(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """``(name, bytes, sha256)`` of every file below a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
@@ -271,9 +279,9 @@ def ordered_matrix_hash(t: DataFrame, key: str, order: str, columns: Sequence[st
 
 
 def write_npz(t: DataFrame, path: str) -> int:
-    """Writes a panel below a folder as NumPy archives of one-dimensional arrays, one for each partition; returns their number.
+    """Writes a panel below a folder as NumPy archives of one-dimensional arrays, one for each partition that has rows; returns their number.
 
-    Archives are made where the rows are and pass the driver one by one. ``panel_from_npz`` reads them back, all or one.
+    Archives are made and written where the rows are (``file_set``). ``panel_from_npz`` reads them back, all or one.
     """
     names = t.columns
 
@@ -282,24 +290,20 @@ def write_npz(t: DataFrame, path: str) -> int:
         if held:
             out, whole = io.BytesIO(), pd.concat(held)
             np.savez_compressed(out, **{c: whole[c].to_numpy(str if whole[c].dtype == object else None) for c in names})
-            yield pd.DataFrame({"content": [out.getvalue()]})
+            yield pd.DataFrame({"name": [f"panel-{TaskContext.get().partitionId():05d}.npz"], "content": [out.getvalue()]})
 
-    made = 0
-    for (content,) in t.mapInPandas(pack, "content binary").toLocalIterator():
-        write_bytes(t.sparkSession, f"{path.rstrip('/')}/panel-{made:05d}.npz", bytes(content))
-        made += 1
-    return made
+    file_set.write_files(t.mapInPandas(pack, "name string, content binary"), path)
+    return file_set.committed(t.sparkSession, path) or 0
 
 
 def write_logs(horizontal: DataFrame, typewell: DataFrame, root: str, endings: dict[str, str] = ENDINGS) -> None:
-    """Paired CSV logs below a folder, as ``LogStore`` reads them: rows by ``row_number``, texts made where the rows are."""
+    """Paired CSV logs below a folder, as ``LogStore`` reads them: rows by ``row_number``, texts made and written where the rows are."""
     for kind, t in (("horizontal", horizontal), ("typewell", typewell)):
         names = [c for c in t.columns if c not in ("well", "row_number")]
         line = F.concat_ws(",", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names))
         lines = t.groupBy("well").agg(F.sort_array(F.collect_list(F.struct("row_number", line.alias("line")))).alias("rows"))
-        texts = lines.select("well", F.concat(F.lit(",".join(names) + "\n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), F.lit("\n")).alias("text"))
-        for well, text in texts.toLocalIterator():
-            write_text(t.sparkSession, f"{root.rstrip('/')}/{well}{endings[kind]}", text)
+        text = F.concat(F.lit(",".join(names) + "\n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), F.lit("\n"))
+        file_set.write_files(lines.select(F.concat("well", F.lit(endings[kind])).alias("name"), text.alias("content")), root)
 
 
 def synthetic_logs(spark: SparkSession, wells: int, rows: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -337,6 +341,18 @@ def below(root: str, relative: str) -> str:
     return f"{root.rstrip('/')}/{'/'.join(parts)}"
 
 
+def leaves_root(path: Column) -> Column:
+    """Whether ``below`` refuses the relative path in this column: one that is absolute, has a scheme or climbs above its root."""
+    parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("left"))
+
+    def step(s: Column, p: Column) -> Column:
+        depth = s["depth"] + F.when(p == "..", -1).otherwise(1)
+        return F.struct(depth.alias("depth"), (s["left"] | (depth < 0)).alias("left"))
+
+    return path.startswith("/") | path.contains("://") | F.aggregate(parts, start, step, lambda s: s["left"])
+
+
 def release_report(spark: SparkSession, root: str, required: Sequence[str], manifests: Sequence[str] = ("manifest.json",)) -> dict[str, Any]:
     """Gates of a release below ``root``: required files are there and every listed file has its digest. ``status`` is PASS only if
     nothing failed; each manifest lists files relative to its own folder."""
