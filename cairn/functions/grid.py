@@ -1,8 +1,9 @@
 """Forward-backward smoothing of a curve coordinate on a grid of values by slopes.
 
-The density is a matrix ``[slope, value]``. A step moves each slope's row by its own fractional distance (two gathers), blurs
-values, and mixes slopes with a pull to their prior; the backward step is its transpose. Forward matrices are kept at
-segment starts only and the rest of a segment is computed again when the backward pass reaches it.
+The density is a matrix ``[slope, value]``. A step moves each slope's row by its own fractional distance, blurs values, and mixes
+slopes with a pull to their prior; the backward step is its transpose. What a step does follows from its length and rise alone, so
+places, shares and the slopes' mixing matrix are worked out once for each distinct step. Forward matrices are kept at segment
+starts only and the rest of a segment is computed again when the backward pass reaches it; emissions are made a segment at a time.
 """
 
 from __future__ import annotations
@@ -86,51 +87,81 @@ class GridSmoother:
         self.prior = prior / prior.sum()
         raw, filled = frame["GR"][self.rows], _inner_fill(frame["GR"], c.gap)[self.rows]
         self.gr = filled
+        self._padded = np.zeros((c.slopes, len(self.values) + 2))
+        self._steps: dict[tuple[float, float, int], tuple] = {}
+        self._emitted: dict[int, np.ndarray] = {}
         self.weight = np.where(np.isfinite(raw), 1.0, np.where(np.isfinite(filled), c.gap_weight, 0.0))
 
     def emission(self, t: int) -> np.ndarray:
-        c, out = self.c, np.ones(len(self.values))
-        if self.weight[t] > 0:
-            feet = self.d_md[t - 1] if t else 1.0
-            d = self.weight[t] * min(feet / self.memory, 1.0) * ((self.gr[t] - self.reference) / self.scale) ** 2
-            out = c.floor + (1 - c.floor) * np.exp(-0.5 * np.minimum(d, c.distance_cap))
+        low = t // self.c.segment * self.c.segment
+        if low not in self._emitted:
+            if len(self._emitted) > 1:
+                self._emitted.pop(next(iter(self._emitted)))
+            self._emitted[low] = self._emissions(np.arange(low, min(low + self.c.segment, len(self.rows))))
+        return self._emitted[low][t - low]
+
+    def _emissions(self, t: np.ndarray) -> np.ndarray:
+        c = self.c
+        feet = np.where(t > 0, self.d_md[np.maximum(t - 1, 0)] if len(self.d_md) else 1.0, 1.0)
+        share = self.weight[t] * np.minimum(feet / self.memory, 1.0)
+        d = share[:, None] * ((np.nan_to_num(self.gr[t])[:, None] - self.reference) / self.scale) ** 2
+        out = np.where(self.weight[t][:, None] > 0, c.floor + (1 - c.floor) * np.exp(-0.5 * np.minimum(d, c.distance_cap)), 1.0)
         tvt = self.frame["TVT_input"][self.rows[t]]
-        if np.isfinite(tvt):
-            out = out * np.exp(-0.5 * ((self.values - tvt) / c.clamp) ** 2)
+        seen = np.flatnonzero(np.isfinite(tvt))
+        out[seen] *= np.exp(-0.5 * ((self.values - tvt[seen, None]) / c.clamp) ** 2)
         return out
 
-    def _move(self, m: np.ndarray, t: int, sign: int) -> np.ndarray:
-        bins = sign * (self.slopes * self.d_md[t - 1] - self.d_z[t - 1]) / self.c.step
-        whole = np.floor(bins).astype(int)
-        part = (bins - whole)[:, None]
-        n = len(self.values)
-        padded = np.zeros((m.shape[0], n + 2))
-        padded[:, 1:-1] = m
-        source = np.clip(np.arange(n)[None, :] - whole[:, None] + 1, 0, n + 1)
-        take = lambda at: np.take_along_axis(padded, np.clip(at, 0, n + 1), 1)
-        return (1 - part) * take(source) + part * take(np.arange(n)[None, :] - whole[:, None])
-
-    def _blur(self, m: np.ndarray, t: int) -> np.ndarray:
-        k = min(self.c.blur * self.d_md[t - 1], 0.24)
-        out = (1 - 2 * k) * m
-        out[:, 1:] += k * m[:, :-1]
-        out[:, :-1] += k * m[:, 1:]
+    def _step(self, t: int, sign: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float, np.ndarray]:
+        """Of the step to row ``t``: flat places that each cell takes from in a padded matrix, their shares, blur, and mixing matrix."""
+        d_md, d_z = float(self.d_md[t - 1]), float(self.d_z[t - 1])
+        key = (d_md, d_z, sign)
+        if key not in self._steps:
+            if len(self._steps) >= 64:
+                self._steps.clear()
+            bins = sign * (self.slopes * d_md - d_z) / self.c.step
+            whole = np.floor(bins).astype(int)
+            part = (bins - whole)[:, None]
+            n, rows = len(self.values), np.arange(len(self.slopes))[:, None] * (len(self.values) + 2)
+            source = np.clip(np.arange(n)[None, :] - whole[:, None] + 1, 0, n + 1)
+            behind = np.clip(np.arange(n)[None, :] - whole[:, None], 0, n + 1)
+            k, pull = min(self.c.slope_walk * d_md, 0.45), min(self.c.slope_pull * d_md, 0.1)
+            s = len(self.slopes)
+            mix = (1 - 2 * k - pull) * np.eye(s) + k * (np.eye(s, k=1) + np.eye(s, k=-1)) + pull * self.prior[:, None]
+            mix[0, 0] += k  # the outermost slopes stand for what lies beyond them
+            mix[-1, -1] += k
+            self._steps[key] = (source + rows, behind + rows, 1 - part, part, min(self.c.blur * d_md, 0.24), mix)
+        return self._steps[key]
+
+    def _move(self, m: np.ndarray, source: np.ndarray, behind: np.ndarray, stay: np.ndarray, part: np.ndarray) -> np.ndarray:
+        self._padded[:, 1:-1] = m
+        flat = self._padded.ravel()
+        out = flat.take(source)
+        out *= stay
+        late = flat.take(behind)
+        late *= part
+        out += late
         return out
 
-    def _mix(self, m: np.ndarray, t: int) -> np.ndarray:
-        k, pull = min(self.c.slope_walk * self.d_md[t - 1], 0.45), min(self.c.slope_pull * self.d_md[t - 1], 0.1)
-        edge = np.vstack([m[:1], m, m[-1:]])
-        return (1 - 2 * k - pull) * m + k * (edge[:-2] + edge[2:]) + pull * self.prior[:, None] * m.sum(0)
+    def _blur(self, m: np.ndarray, k: float) -> np.ndarray:
+        out = (1 - 2 * k) * m
+        side = k * m
+        out[:, 1:] += side[:, :-1]
+        out[:, :-1] += side[:, 1:]
+        return out
 
     def _normal(self, m: np.ndarray) -> tuple[np.ndarray, float]:
         total = float(m.sum())
         return (m / total, total) if total > 0 and np.isfinite(total) else (np.full_like(m, 1 / m.size), 1e-300)
 
     def ahead(self, m: np.ndarray, t: int) -> tuple[np.ndarray, float]:
-        return self._normal(self._mix(self._blur(self._move(m, t, 1), t), t) * self.emission(t))
+        *places, k, mix = self._step(t, 1)
+        m = mix @ self._blur(self._move(m, *places), k)
+        m *= self.emission(t)
+        return self._normal(m)
 
     def back(self, m: np.ndarray, t: int) -> np.ndarray:
-        return self._normal(self._move(self._blur(self._mix(m * self.emission(t), t), t), t, -1))[0]
+        *places, k, mix = self._step(t, -1)
+        return self._normal(self._move(self._blur(mix @ (m * self.emission(t)), k), *places))[0]
 
     def run(self) -> tuple[np.ndarray, np.ndarray, float]:
         """Mean and standard deviation at every hidden row, and the log-likelihood."""

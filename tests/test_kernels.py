@@ -71,7 +71,8 @@ def dense(g):
     f /= f.sum()
     forward, steps = [f], []
     for t in range(1, n):
-        m = np.stack([g._mix(g._blur(g._move(u, t, 1), t), t).ravel() for u in unit])
+        *places, k, mix = g._step(t, 1)
+        m = np.stack([(mix @ g._blur(g._move(u, *places), k)).ravel() for u in unit])
         steps.append(m)
         f = f @ m * np.tile(g.emission(t), s)
         f /= f.sum()
