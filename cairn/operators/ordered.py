@@ -79,6 +79,19 @@ def fill_linear(table: DataFrame, key: str, value: str, name: str) -> DataFrame:
     return t.withColumn(name, F.when(F.col(value).isNotNull(), F.col(value)).when(F.col("_a").isNull(), F.col("_b")).when(F.col("_b").isNull(), F.col("_a")).otherwise(line)).drop("_a", "_i", "_b", "_j")
 
 
+def curve_inputs(curves: DataFrame, key: str, at: str, value: str) -> DataFrame:
+    """What the kernels make of reference logs, ``(key, i, at, mean_filled, line_filled, known, noise)``: knots with a finite place, numbered in order of it;
+    gaps of the value set to the series' mean for the particle kernel, and to straight lines by number for the grid kernel; how
+    many values are known, and their deviation, 30 if fewer than 20 are."""
+    finite = lambda c: F.when((c - c) == 0, c)
+    t = curves.select(key, finite(F.col(at).cast("double")).alias(at), finite(F.col(value).cast("double")).alias("_v")).where(F.col(at).isNotNull())
+    t = t.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(at, "_v")) - 1)
+    whole = Window.partitionBy(key)
+    known = F.count("_v").over(whole)
+    t = t.withColumns({"known": known, "noise": F.when(known >= 20, F.stddev_pop("_v").over(whole)).otherwise(30.0), "mean_filled": F.coalesce("_v", F.avg("_v").over(whole), F.lit(0.0))})
+    return fill_linear(t, key, "_v", "line_filled").select(key, F.col("rn").alias("i"), at, "mean_filled", F.coalesce("line_filled", F.lit(0.0)).alias("line_filled"), "known", "noise")
+
+
 def fill_inner(table: DataFrame, key: str, value: str, name: str, limit: int) -> DataFrame:
     """Only gaps between two values, and only their first ``limit`` rows; ``<name>_weight`` is 1 for observed, 0.5 for filled, else 0."""
     low, i, high, j = _neighbours(value, key)

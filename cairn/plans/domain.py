@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.grid import GridSettings
 from cairn.functions.particles import FilterSettings
-from cairn.operators import experts, groups, metrics, overlays
+from cairn.operators import experts, groups, metrics, ordered, overlays
 from cairn.plans import blending, boosting, evaluation, features, historical, routing, studies
 from cairn.plans.relational import ARMS, BOUNDS, SERIES, panel, rounded, series
 from cairn.sources.tables import table
@@ -50,6 +50,24 @@ def paths(spark: SparkSession, d: str) -> DataFrame:
     return experts.particle_paths(t, c, SEEDS, FilterSettings())
 
 
+@query()
+def d01_single_trace(spark, d):
+    """The path of one seed."""
+    t, c = logs(spark, d)
+    return experts.particle_paths(t, c, [0], FilterSettings()).select("well", "row_number", "tvt", "evidence")
+
+
+@query("""WITH c AS (SELECT user_id, value::DOUBLE AS knot, CASE WHEN event_id % 7 <> 0 THEN (event_id % 101)::DOUBLE END AS v FROM events WHERE event_id % 11 <> 0), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY knot, v NULLS FIRST) - 1 AS i, avg(v) OVER (PARTITION BY user_id) AS m, count(v) OVER (PARTITION BY user_id) AS known, stddev_pop(v) OVER (PARTITION BY user_id) AS sd FROM c),
+    g AS (SELECT *, last_value(v IGNORE NULLS) OVER w AS a, max(CASE WHEN v IS NOT NULL THEN i END) OVER w AS ai, first_value(v IGNORE NULLS) OVER z AS b, min(CASE WHEN v IS NOT NULL THEN i END) OVER z AS bi FROM n WINDOW w AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), z AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+    SELECT user_id, i, round(knot, 6) AS knot, round(coalesce(v, m, 0), 6) AS mean_filled, round(CASE WHEN v IS NOT NULL THEN v WHEN a IS NULL THEN coalesce(b, 0) WHEN b IS NULL THEN a ELSE a + (b - a) * (i - ai) / (bi - ai) END, 6) AS line_filled, known, round(CASE WHEN known >= 20 THEN sd ELSE 30 END, 6) AS noise FROM g""")
+def d41_kernel_inputs(spark, d):
+    e = F.col("event_id")
+    at = F.when(e % 11 != 0, F.col("value")).otherwise(F.when(e % 2 == 0, F.lit(float("nan"))))  # knots without a place are left out
+    curves = table(spark, d, "events").select("user_id", at.alias("knot"), F.when(e % 7 != 0, (e % 101).cast("double")).alias("v"))
+    t = ordered.curve_inputs(curves, "user_id", "knot", "v")
+    return rounded(t.select("user_id", F.col("i").cast("bigint").alias("i"), "knot", "mean_filled", "line_filled", "known", "noise"), 6)
+
+
 @query()
 def d02_particle_paths(spark, d):
     return paths(spark, d)
