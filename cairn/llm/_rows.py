@@ -24,6 +24,8 @@ def map_text(df: DataFrame, keep: list[str], text: str, added: str, start: Calla
     Arrow array, or list, for each added column. Other columns of ``df`` are neither read nor returned; a text that is
     kept crosses once. Columns travel under plain names, so they may have any name and type that Arrow knows.
     """
+    if clash := {c.lower() for c in keep} & {f.lower() for f in T.StructType.fromDDL(added).names}:
+        raise ValueError(f"columns both kept and added: {', '.join(sorted(clash))}")
     read = [*keep, *([] if text in keep else [text])]
     src = df.select(*(quoted(c).alias(f"c{i}") for i, c in enumerate(read)))
     place, new = read.index(text), T.StructType.fromDDL(added)

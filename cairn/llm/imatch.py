@@ -221,7 +221,8 @@ def edited_and_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)``, a row for every document. The
     last third of the code points is replaced by as many from the start of the next document in descending id. Null texts are
     empty; a document without a word is like another only if their texts are equal (1, else 0); equal
-    texts are always 1. Equal ids stay separate documents. A single document is its own next. Empty tables give no rows.
+    texts are always 1. Equal ids stay separate documents. A single document is its own next. Empty tables give no rows. Texts of
+    any length are read whole; other columns of ``docs`` are not read, whatever their names.
     """
     stage = Stage(docs.sparkSession, "imatch")
     none = F.array().cast("array<bigint>")

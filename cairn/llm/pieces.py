@@ -223,7 +223,8 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
     The ids are decoded again in the task: ``decoded_sha256`` is of that text and ``exact`` says whether it is the
     document's (it is not where a text holds the space mark itself, which decodes to a space; null: null text, no
-    ids, exact). Empty tables give no rows; repeated rows and null ids are kept.
+    ids, exact). Empty tables give no rows; repeated rows and null ids are kept. Texts and words may be of any length; of
+    equally good cuts of a word the library's is taken. Other columns of ``docs`` are not read, whatever their names.
     """
 
     def start():

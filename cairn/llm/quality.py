@@ -236,7 +236,8 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
     """``(id, *carry, name)`` for every row; higher: label 1 likelier. Texts without a token (null and empty ones
     too) score 0. Repeated rows and null ids are scored like any other; an empty table gives no rows.
 
-    ``learn`` says which ids of ``labels`` may be learned from; at most ``SAMPLE`` labelled texts are.
+    ``learn`` says which ids of ``labels`` may be learned from; at most ``SAMPLE`` labelled texts are. Texts of any length are read whole,
+    equal texts score alike. A carried column called like ``name`` is an error; other columns are not read, whatever their names.
     """
     model = Model(sample(docs, labels, learn, label, SAMPLE, id_col, text_col))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the words of a bounded sample

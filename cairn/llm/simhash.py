@@ -169,7 +169,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Wordless and null texts share fingerprint zero and link like any other. Rows with a null id get a
     fingerprint but take no part in links; their component is null. Repeated ids are kept row by row. An
-    empty table gives no rows. Exact copies meet in one aggregate and are never expanded into pairs.
+    empty table gives no rows. Exact copies meet in one aggregate and are never expanded into pairs. Texts of any length are
+    read whole, a bit set in just half of the hashes is 0, and other columns of ``docs`` are not read, whatever their names.
     """
     stage = Stage(docs.sparkSession, "simhash")
     fps = stage.put(fingerprints(docs, id_col, text_col, shingle))

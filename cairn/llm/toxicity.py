@@ -247,7 +247,7 @@ def score(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str =
     and null ids are scored like any other; an empty table gives no rows. Texts may be of any length.
 
     ``learn_from`` says which ids of ``labels`` may be learned from; at most ``SAMPLE`` labelled texts are. ``lexicon``: use
-    this one instead.
+    this one instead. A carried column called like ``name`` is an error; other columns are not read, whatever their names.
     """
     lexicon = lexicon or learn(sample(docs, labels, learn_from, label, SAMPLE, id_col, text_col))
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # terms of a bounded sample's toxic texts

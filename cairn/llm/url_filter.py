@@ -116,7 +116,9 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
 
     Null urls and those without ``://`` have empty host and path; no rule fits and the model's bias decides.
     Repeated rows and null ids are judged like any other; an empty table gives no rows. ``score`` is the model's
-    probability of block, also where a rule decides.
+    probability of block, also where a rule decides; a score equal to ``limit`` blocks. Of rules of one length that fit a
+    URL, which then are the same text, the last one given counts. URLs of any length are read whole; other columns of
+    ``pages`` are not read, whatever their names.
     """
     model, book = UrlModel(labelled_urls() if labelled is None else labelled), Rules(rules)
 

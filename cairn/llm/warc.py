@@ -208,7 +208,8 @@ def archive(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", u
     """Writes pages as monolithic archives, normalises them, and returns the staged ``(archive, content, index)``.
 
     A null html is an empty payload; a null url leaves the target out; repeated rows are separate records; a null id
-    gets a record id of its own. An empty table gives no archive.
+    gets a record id of its own. An empty table gives no archive. Payloads of any length are written whole, each within one
+    archive; of equal payloads the smallest id is the response, of equal ids any one. Other columns are not read.
     """
     stage = Stage(pages.sparkSession, "warc")
     whole = stage.put(write_monolithic(deduplicated(pages, id_col, html_col, url_col)))

@@ -44,6 +44,40 @@ def test_query_rows(spark):
     assert u.judge(t.limit(0)).count() == 0
 
 
+def test_long_urls_a_score_at_the_limit_and_other_columns(spark):
+    long = "https://www." + "spam." * 20_000 + "example.net/" + "a/" * 50_000
+    t = spark.createDataFrame([(1, long), (2, "http://th.example.io/x")], "page_id long, url string").withColumn("a.b", F.lit(1)).withColumn("verdict", F.create_map(F.lit("k"), F.lit(1)))
+    got = {r.page_id: r for r in u.judge(t).collect()}
+    assert (got[1].host, got[1].path) == parts(long)
+    at = {r.page_id: r.verdict for r in u.judge(t, limit=got[2].score).collect()}
+    assert at[2] == "block" and {r.page_id: r.verdict for r in u.judge(t, limit=got[2].score * 1.0001).collect()}[2] == "allow"
+
+
+def test_model_is_that_of_a_plain_loop():
+    """The same gradient steps, one URL and one n-gram at a time."""
+    rows = u.labelled_urls()[::9]
+
+    def grams(url):
+        host, path = parts(url)
+        return sorted({zlib.crc32(s[i : i + n], zlib.crc32(m)) % (1 << u.BITS) for m, s in ((b"h", f"^{host}$".encode()), (b"p", f"{path}$".encode())) for n in u.SIZES for i in range(len(s) - n + 1)})
+
+    found, w, b = [grams(url) for url, _ in rows], {}, 0.0
+    for _ in range(40):
+        miss = [1 / (1 + 2.718281828459045 ** -(b + sum(w.get(g, 0.0) for g in gs) / len(gs) ** 0.5)) - y for gs, (_, y) in zip(found, rows)]
+        step = {}
+        for gs, m in zip(found, miss):
+            for g in gs:
+                step[g] = step.get(g, 0.0) + m / len(gs) ** 0.5 / len(rows)
+        for g in step:
+            w[g] = w.get(g, 0.0) - 3.0 * (step[g] + 1e-4 * w.get(g, 0.0))
+        b -= 3.0 * sum(miss) / len(rows)
+    model = u.UrlModel(rows, steps=40)
+    for url in (*[r[0] for r in rows[:10]], "http://therha.example.com/fr/1", "http://casino.example.org/en/9"):
+        gs = grams(url)
+        plain = 1 / (1 + 2.718281828459045 ** -(b + sum(w.get(g, 0.0) for g in gs) / len(gs) ** 0.5))
+        assert model.block(*parts(url)) == pytest.approx(plain, abs=1e-3)
+
+
 def test_model_tells_hosts_apart():
     m = u.UrlModel(u.labelled_urls())
     for host in ("www.spam-farm.example.org", "blog.casino-win.example.net", "m.ads-track.example.com", "free-bets.example.net", "cheap-pills.example.com", "adult-x.example.com"):
