@@ -17,7 +17,7 @@ def logs(spark):
     return h.persist(), t.persist()
 
 
-SMALL = experiment.Config(seeds=2, particles=32, folds=2, holdout=0.2, trees=2, draws=20, grid=GridSettings(step=4.0, slopes=5, stride=8))
+SMALL = experiment.Config(seeds=2, particles=32, folds=2, holdout=0.2, trees=2, leaves=4, draws=20, grid=GridSettings(step=4.0, slopes=5, stride=8))
 
 
 def test_configuration_is_checked():
