@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.expr import EPS, average_rank, close, interval_label, tail_size, uniform_index
+from cairn.operators.joins import numbered
 
 
 def squared(truth: str, arm: str) -> Column:
@@ -152,7 +153,7 @@ def moments(panel: DataFrame, arms: Sequence[str], parent: str, by: Sequence[str
 def group_stats(panel: DataFrame, group: str, reference: str, candidate: str, truth: str = "truth") -> DataFrame:
     """``(pos, n, ref, cand)`` for each group in order of its name: what resampling needs of the panel."""
     t = panel.groupBy(group).agg(F.count("*").alias("n"), F.sum(squared(truth, reference)).alias("ref"), F.sum(squared(truth, candidate)).alias("cand"))
-    return t.select(F.row_number().over(Window.orderBy(group)).alias("pos"), "n", "ref", "cand").withColumn("pos", F.col("pos") - 1)
+    return numbered(t, [group], "pos").select("pos", "n", "ref", "cand")
 
 
 def _draws(spark, draws: int, slots: DataFrame) -> DataFrame:
@@ -179,15 +180,16 @@ def bootstrap_ranks(groups: DataFrame, arms: Sequence[str], baseline: str, draws
 
     ``groups``: one row for each group with each arm's root error.
     """
-    placed = groups.select((F.row_number().over(Window.orderBy(group)) - 1).alias("pos"), *arms)
+    placed = numbered(groups.select(group, *arms), [group], "pos").select("pos", *arms)
     means = _draws(groups.sparkSession, draws, placed).join(placed, "pos").groupBy("draw").agg(*(F.avg(a).alias(a) for a in arms))
     return rank_units(long(means, ["draw"], arms, "rmse"), ["draw"], baseline)
 
 
 def crossed_bootstrap(stats: DataFrame, draws: int, first: str = "seed", second: str = "component") -> DataFrame:
     """``(draw, gain)`` with two crossed factors resampled independently; ``stats``: ``(first, second, n, ref, cand)``."""
-    rank = lambda c: F.dense_rank().over(Window.orderBy(c)) - 1
-    placed = stats.select(rank(first).alias("i"), rank(second).alias("j"), "n", "ref", "cand")
+    code = lambda c, name: numbered(stats.select(F.col(c).alias(f"_{name}")).distinct(), [f"_{name}"], name)
+    i, j = code(first, "i"), code(second, "j")
+    placed = stats.join(i, F.col(first).eqNullSafe(F.col("_i"))).join(j, F.col(second).eqNullSafe(F.col("_j"))).select("i", "j", "n", "ref", "cand")
     size = placed.agg((F.max("i") + 1).alias("a"), (F.max("j") + 1).alias("b"))
     spark = stats.sparkSession
     base = spark.range(draws).withColumnRenamed("id", "draw").crossJoin(F.broadcast(size))
