@@ -33,7 +33,7 @@ from cairn.plans.staging import Stage
 
 BATCH_CHARS = 2_000_000
 #: Stretches are forgotten beyond so many characters and numbers of 4 bytes.
-KEPT = 80_000_000
+KEPT = 40_000_000
 #: Distinct pairs that a task counts before it hands them on.
 HELD = 4_000_000
 #: Fixed value: the word pattern of byte-level vocabularies.
