@@ -161,10 +161,16 @@ def _draws(spark, draws: int, slots: DataFrame) -> DataFrame:
     return spark.range(draws).withColumnRenamed("id", "draw").crossJoin(F.broadcast(slots.agg(F.count("*").alias("g")))).select("draw", "g", F.explode(F.sequence(F.lit(0), F.col("g").cast("int") - 1)).alias("slot")).select("draw", "slot", uniform_index(F.col("draw"), F.col("slot"), F.col("g")).alias("pos"))
 
 
+def _drawn(slots: DataFrame, draws: int) -> DataFrame:
+    """The rows of ``slots`` that each draw takes. The draws are the larger side by far, though Spark's estimate, which knows nothing of the
+    sequences in them, is a few rows: left to it they would be broadcast."""
+    return _draws(slots.sparkSession, draws, slots).join(slots.hint("shuffle_hash"), "pos")
+
+
 def bootstrap_draws(stats: DataFrame, draws: int) -> DataFrame:
     """``(draw, gain)``: difference of pooled root errors over resampled whole groups."""
     root = lambda c: F.sqrt(F.sum(c) / F.sum("n"))
-    return _draws(stats.sparkSession, draws, stats).join(stats, "pos").groupBy("draw").agg((root("ref") - root("cand")).alias("gain"))
+    return _drawn(stats, draws).groupBy("draw").agg((root("ref") - root("cand")).alias("gain"))
 
 
 def interval(gains: DataFrame, value: str = "gain") -> DataFrame:
@@ -181,7 +187,7 @@ def bootstrap_ranks(groups: DataFrame, arms: Sequence[str], baseline: str, draws
     ``groups``: one row for each group with each arm's root error.
     """
     placed = numbered(groups.select(group, *arms), [group], "pos").select("pos", *arms)
-    means = _draws(groups.sparkSession, draws, placed).join(placed, "pos").groupBy("draw").agg(*(F.avg(a).alias(a) for a in arms))
+    means = _drawn(placed, draws).groupBy("draw").agg(*(F.avg(a).alias(a) for a in arms))
     return rank_units(long(means, ["draw"], arms, "rmse"), ["draw"], baseline)
 
 
@@ -198,7 +204,7 @@ def crossed_bootstrap(stats: DataFrame, draws: int, first: str = "seed", second:
         rows = base.select("draw", n, F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1)).alias("slot"))
         return rows.select("draw", uniform_index(F.concat(F.lit(tag), F.col("draw").cast("string")), F.col("slot"), F.col(n)).alias(name)).groupBy("draw", name).agg(F.count("*").alias(f"{name}_times"))
 
-    both = chosen("a", "s", "i").join(chosen("b", "c", "j"), "draw").join(placed, ["i", "j"])
+    both = chosen("a", "s", "i").hint("merge").join(chosen("b", "c", "j"), "draw").join(placed.hint("merge"), ["i", "j"])  # estimated as few rows, not to be broadcast
     times = F.col("i_times") * F.col("j_times")
     root = lambda c: F.sqrt(F.sum(times * F.col(c)) / F.sum(times * F.col("n")))
     return both.groupBy("draw").agg((root("ref") - root("cand")).alias("gain"))

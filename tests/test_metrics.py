@@ -84,3 +84,14 @@ def test_blend_grid_is_the_direct_error(spark, panel):
 def test_promotion(spark, panel):
     assert m.promotion(m.refit_metrics(panel, "incumbent", "candidate")).first().decision == "HOLD"
     assert m.promotion(m.refit_metrics(panel, "candidate", "truth")).first().decision == "PROMOTE"
+
+
+def test_draws_are_never_broadcast(spark):
+    """Their estimated size is that of a few rows, whatever the number of groups."""
+    stats = spark.range(50).selectExpr("id AS pos", "1L AS n", "1.0D AS ref", "2.0D AS cand")
+    by_draw = m.bootstrap_draws(stats, 20)
+    ranks = m.bootstrap_ranks(spark.range(50).selectExpr("id AS component", "1.0D AS a", "2.0D AS b"), ["a", "b"], "a", 20)
+    for t in (by_draw, ranks):
+        assert t.count() == 20 * (1 if t is by_draw else 2)
+        joins = [line for line in t._jdf.queryExecution().executedPlan().toString().split("\n") if "Join" in line and "[pos#" in line]
+        assert joins and not any("Broadcast" in line for line in joins)
