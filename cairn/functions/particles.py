@@ -7,11 +7,12 @@ particle]``; every seed draws from a generator of its own, so a seed's path does
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
-#: Rows whose noise is drawn together.
-BLOCK = 64
+#: Bytes of noise that a set of seeds keeps for the series that come after; later rows are drawn anew.
+KEPT = 1 << 23
 RATE_KINDS = ("median", "endpoint", "least_squares")
 
 
@@ -73,6 +74,57 @@ def start_rate(md: np.ndarray, u: np.ndarray, window: int = 30, kind: str = "med
     return float(shrink * rate) if np.isfinite(rate) else 0.0
 
 
+class Draws:
+    """What each seed draws, ``[seed, particle]``: a start, noise row by row, and marks and jitter for each time that it resamples, which has
+    a stream of its own. All series draw the same from the same seed, so the first rows are kept for the next one."""
+
+    def __init__(self, seeds: tuple[int, ...], n: int):
+        self.seeds, self.n, self.most = seeds, n, max(1, KEPT // (16 * n * len(seeds)))
+        self.moves = [np.random.default_rng(k) for k in seeds]
+        self.start = self._next()
+        self.rows: list[np.ndarray] = []
+        self.again = [np.random.default_rng([k, 1]) for k in seeds]
+        self.picks: list[list[tuple[float, np.ndarray]]] = [[] for _ in seeds]
+
+    def _next(self, of: list[np.random.Generator] | None = None) -> np.ndarray:
+        return np.stack([g.standard_normal((2, self.n)) for g in of or self.moves], -2)
+
+    def noise(self, rows: int):
+        """``[level or rate, seed, particle]`` for so many rows."""
+        while len(self.rows) < min(rows, self.most):
+            self.rows.append(self._next())
+        yield from self.rows[:rows]
+        if rows > self.most:
+            own = [_copy(g) for g in self.moves]
+            for _ in range(rows - self.most):
+                yield self._next(own)
+
+    def pick(self, place: int, nth: int, own: dict[int, np.random.Generator]) -> tuple[float, np.ndarray]:
+        """Mark and jitter of a seed's ``nth`` resampling; ``own`` keeps a series' generators beyond what is kept."""
+        kept = self.picks[place]
+        if nth < len(kept):
+            return kept[nth]
+        if nth < self.most:
+            g = self.again[place]
+        else:
+            g = own.setdefault(place, _copy(self.again[place]))
+        made = float(g.random()), g.standard_normal((2, self.n))
+        if nth < self.most:
+            kept.append(made)
+        return made
+
+
+def _copy(g: np.random.Generator) -> np.random.Generator:
+    made = np.random.default_rng()
+    made.bit_generator.state = g.bit_generator.state
+    return made
+
+
+@lru_cache(4)
+def draws_of(seeds: tuple[int, ...], n: int) -> Draws:
+    return Draws(seeds, n)
+
+
 @dataclass
 class Track:
     """``path``, ``evidence`` and ``deviation`` of the weighted particles: ``[seed, hidden row]``."""
@@ -101,39 +153,50 @@ def track(frame: dict[str, np.ndarray], curve: Curve, seeds: list[int], settings
         steps = np.maximum(md[hidden] - md[np.r_[last, hidden[:-1]]], 1.0)
         keep, scale, spread = np.full(len(steps), s.memory), np.ones(len(steps)), np.ones(len(steps))
     n = s.particles
-    draws = [np.random.default_rng(k) for k in seeds]
-    normal = lambda *shape: np.stack([g.standard_normal((*shape, n)) for g in draws], -2)  # noqa: E731  [..., seed, particle]
-    start, again = normal(2), [np.random.default_rng([k, 1]) for k in seeds]  # resampling has a stream of its own
+    draws = draws_of(tuple(seeds), n)
+    start, own, times = draws.start, {}, [0] * len(seeds)
     u = seen[last] + z[last] + s.start_spread * start[0]
     v = rate + s.start_rate_spread * start[1]
     w = np.full(u.shape, 1.0 / n)
     path, evidence, deviation = (np.empty((len(seeds), len(hidden))) for _ in range(3))
     low, high, even = curve.at[0] - s.reach, curve.at[-1] + s.reach, np.arange(n) / n
     shift = np.arange(len(seeds))[:, None]
-    for t, row in enumerate(hidden):
-        if t % BLOCK == 0:
-            noise = normal(min(BLOCK, len(hidden) - t), 2)
-        v = keep[t] * v + s.rate_noise * scale[t] * noise[t % BLOCK, 0]
-        tvt = np.clip(u + v * steps[t] + s.level_noise * spread[t] * noise[t % BLOCK, 1] - z[row], low, high)
-        miss = ((gr[row] - curve(tvt.ravel()).reshape(tvt.shape)) / sigma) ** 2
-        w = w * np.maximum(np.exp(-0.5 * np.minimum(miss, s.distance_cap)), 1e-300)
+    for t, (row, noise) in enumerate(zip(hidden, draws.noise(len(hidden)))):
+        v = keep[t] * v + s.rate_noise * scale[t] * noise[0]
+        tvt = u + v * steps[t]
+        tvt += s.level_noise * spread[t] * noise[1]
+        tvt -= z[row]
+        np.clip(tvt, low, high, out=tvt)
+        miss = gr[row] - curve(tvt.ravel()).reshape(tvt.shape)
+        miss /= sigma
+        miss *= miss
+        np.minimum(miss, s.distance_cap, out=miss)
+        miss *= -0.5
+        w *= np.maximum(np.exp(miss, out=miss), 1e-300, out=miss)
         total = w.sum(1)
         evidence[:, t] = np.log(np.maximum(total, 1e-300))
-        w = np.where(total[:, None] > 0, w / np.where(total > 0, total, 1)[:, None], 1.0 / n)
+        if (total > 0).all():
+            w /= total[:, None]
+        else:
+            w = np.where(total[:, None] > 0, w / np.where(total > 0, total, 1)[:, None], 1.0 / n)
         u = tvt + z[row]
         worn = np.flatnonzero(np.einsum("ij,ij->i", w, w) * s.resample_share * n > 1)
         if len(worn):  # all seeds whose weights are worn at once: one search over sums that are a seed's number apart
+            picks = [draws.pick(k, times[k], own) for k in worn.tolist()]
+            for k in worn.tolist():
+                times[k] += 1
             sums = np.minimum(np.cumsum(w[worn], axis=1), 1.0) + 2 * shift[: len(worn)]
-            marks = np.array([again[k].random() for k in worn])[:, None] / n + even + 2 * shift[: len(worn)]
+            marks = np.array([m for m, _ in picks])[:, None] / n + even + 2 * shift[: len(worn)]
             chosen = np.searchsorted(sums.ravel(), marks.ravel()).reshape(marks.shape) - n * shift[: len(worn)]
             chosen = np.minimum(chosen, n - 1)
-            fresh = np.stack([again[k].standard_normal((2, n)) for k in worn])
+            fresh = np.stack([f for _, f in picks])
             u[worn] = np.take_along_axis(u[worn], chosen, 1) + s.jitter[0] * fresh[:, 0]
             v[worn] = np.take_along_axis(v[worn], chosen, 1) + s.jitter[1] * fresh[:, 1]
             w[worn] = 1.0 / n
         at = u - z[row]
         path[:, t] = np.einsum("ij,ij->i", w, at)
-        deviation[:, t] = np.sqrt(np.einsum("ij,ij->i", w, (at - path[:, t, None]) ** 2))
+        at -= path[:, t, None]
+        deviation[:, t] = np.sqrt(np.einsum("ij,ij->i", w, at * at))
     return Track(path, evidence, deviation)
 
 
@@ -161,16 +224,35 @@ def by_likelihood(t: Track, temperature: float = 8.0, least: float | None = None
     return (w if least is None else with_effective_size(w, least)) @ t.path
 
 
-def prequential(t: Track, temperature: float, least: float | None = None, decay: float = 1.0) -> np.ndarray:
-    """Row by row with what was seen strictly before; older evidence fades with ``decay``."""
-    score, out = np.zeros(len(t.path)), np.empty(t.path.shape[1])
-    for k in range(len(out)):
-        w = softmax(score / temperature)
-        out[k] = (w if least is None else with_effective_size(w, least)) @ t.path[:, k]
-        score = decay * score + t.evidence[:, k]
+def _floored(w: np.ndarray, least: float | np.ndarray) -> np.ndarray:
+    """``with_effective_size`` of each column of weights that sum to one."""
+    d = w - 1 / len(w)
+    size = (d * d).sum(0)
+    room = 1 / least - 1 / len(w)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        rho = np.where(size <= room + 1e-15, 1.0, np.sqrt(np.maximum(0.0, room) / size))
+    return 1 / len(w) + np.minimum(1.0, rho) * d
+
+
+def seen_before(evidence: np.ndarray, decay: float = 1.0) -> np.ndarray:
+    """For every row the evidence of the rows strictly before it, which fades with ``decay``: ``[seed, row]``."""
+    out, score = np.zeros(evidence.shape), np.zeros(len(evidence))
+    for k in range(evidence.shape[1] - 1):
+        score = decay * score + evidence[:, k]
+        out[:, k + 1] = score
     return out
 
 
+def prequential(t: Track, temperature: float, least: float | None = None, decay: float = 1.0, before: np.ndarray | None = None) -> np.ndarray:
+    """Row by row with what was seen strictly before; older evidence fades with ``decay``. ``before``: ``seen_before``, if it is at hand."""
+    if least is not None and not 1 <= least <= len(t.path):
+        raise ValueError("the effective number must lie between one and the number of members")
+    score = (seen_before(t.evidence, decay) if before is None else before) / temperature
+    e = np.exp(np.clip(score - score.max(0), -700, 0))
+    w = e / e.sum(0)
+    return ((w if least is None else _floored(w, least)) * t.path).sum(0)
+
+
 def robust(t: Track, kind: str) -> np.ndarray:
     if kind == "uniform":
         return t.path.mean(0)
@@ -195,8 +277,9 @@ def candidates(t: Track) -> dict[str, np.ndarray]:
     out = {k: robust(t, k) for k in ("uniform", "median", "trim1")}
     out |= {f"lik_t{h}": by_likelihood(t, h) for h in LIKELIHOOD}
     out |= {f"ess{e}_t{h}": by_likelihood(t, h, e) for h, e in FLOORED}
-    out |= {f"preq_t{h}_e6_{tag}": prequential(t, h, 6, d) for h, d, tag in FADING}
-    out |= {f"pbma_t{h}": prequential(t, h) for h in PROGRESSIVE}
+    before = {d: seen_before(t.evidence, d) for d in {1.0, *(d for _, d, _ in FADING)}}
+    out |= {f"preq_t{h}_e6_{tag}": prequential(t, h, 6, d, before[d]) for h, d, tag in FADING}
+    out |= {f"pbma_t{h}": prequential(t, h, before=before[1.0]) for h in PROGRESSIVE}
     base = out["lik_t8"]
     out |= {f"pbma16_blend{p:03d}": base + p / 100 * (out["pbma_t16"] - base) for p in BLENDS}
     return out | {name: share * out[kind] + (1 - share) * base for name, (kind, share) in SHRINKAGES.items()}

@@ -1,4 +1,4 @@
-"""Per-series estimators as grouped maps over ``cogroup(series, curve)``.
+"""Per-series estimators as maps over streams of whole series and their curves (``runs``).
 
 A series table has ``well, row_number, MD, X, Y, Z, GR, TVT_input`` (null where hidden), a curve table ``well, TVT, GR``. One
 task holds one series and its curve, for a block of seeds and one arm; what depends on the order of rows stays inside the map, everything after it is an aggregate.
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from cairn.functions import particles as pf
 from cairn.functions import states
 from cairn.functions.grid import GridSettings, GridSmoother
-from cairn.operators import neighbours
+from cairn.operators import neighbours, runs
 
 COLUMNS = ("MD", "X", "Y", "Z", "GR", "TVT_input")
 
@@ -24,11 +24,16 @@ COLUMNS = ("MD", "X", "Y", "Z", "GR", "TVT_input")
 def frame_of(pdf: pd.DataFrame) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """Columns as arrays in row order, and the row numbers; refuses a record without a leading visible part and a hidden rest."""
     pdf = pdf.sort_values("row_number", kind="stable")
-    out = {c: pdf[c].to_numpy(float) for c in COLUMNS if c in pdf}
+    return checked({c: pdf[c].to_numpy(float) for c in COLUMNS if c in pdf}, pdf["well"].iloc[0]), pdf["row_number"].to_numpy()
+
+
+def checked(frame: dict[str, np.ndarray], well: str) -> dict[str, np.ndarray]:
+    """The columns that estimators see, of rows in order; refuses what ``frame_of`` refuses."""
+    out = {c: np.asarray(frame[c], float) for c in COLUMNS if c in frame}
     known = np.isfinite(out["TVT_input"])
     if known.all() or not known.any() or not known[: int(known.sum())].all():
-        raise ValueError(f"{pdf['well'].iloc[0]}: the visible rows must be a leading run with hidden rows after it")
-    return out, pdf["row_number"].to_numpy()
+        raise ValueError(f"{well}: the visible rows must be a leading run with hidden rows after it")
+    return out
 
 
 def observable(series: DataFrame) -> DataFrame:
@@ -36,10 +41,6 @@ def observable(series: DataFrame) -> DataFrame:
     return series.select("well", "row_number", *(F.col(c).cast("double").alias(c) for c in COLUMNS if c in series.columns))
 
 
-def curve_of(pdf: pd.DataFrame) -> pf.Curve:
-    return pf.Curve(pdf["TVT"].to_numpy(float), pdf["GR"].to_numpy(float))
-
-
 #: Seeds that run in one task, side by side.
 SEEDS = 8
 
@@ -52,19 +53,18 @@ def particle_paths(series: DataFrame, curves: DataFrame, seeds: Sequence[int], s
     spark = series.sparkSession
     seeds = [int(s) for s in seeds]
     blocks = [seeds[k : k + SEEDS] for k in range(0, len(seeds), SEEDS)]
-    rows = observable(series).crossJoin(F.broadcast(spark.createDataFrame([(k,) for k in range(len(blocks))], "block int")))  # a parameter
+    rows = runs.with_curves(observable(series), curves).crossJoin(F.broadcast(spark.createDataFrame([(k,) for k in range(len(blocks))], "block int")))  # a parameter
     rows = rows.join(rates, "well") if rates is not None else rows.withColumns({"arm": F.lit("median"), "rate": F.lit(None).cast("double")})
-    keys = rows.select(F.col("well").alias("k_well"), F.col("arm").alias("k_arm"), F.col("block").alias("k_block")).distinct()
-    knots = keys.join(curves.select(F.col("well").alias("c_well"), "TVT", "GR"), F.col("k_well") == F.col("c_well"))
 
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        frame, at = frame_of(left)
-        rate, own = left["rate"].iloc[0], blocks[int(key[2])]
-        t = pf.track(frame, curve_of(right), own, settings, None if pd.isna(rate) else float(rate))
-        hidden = at[~np.isfinite(frame["TVT_input"])]
-        return pd.DataFrame({"well": key[0], "arm": key[1], "seed": np.repeat(own, len(hidden)), "row_number": np.tile(hidden, len(own)), "tvt": t.path.ravel(), "evidence": t.evidence.ravel()})
+    def run(key, own, at, value) -> runs.Columns:
+        frame, seeds = checked(own, key[0]), blocks[key[2]]
+        rate = float(own["rate"][0])
+        t = pf.track(frame, pf.Curve(at, value), seeds, settings, None if np.isnan(rate) else rate)
+        hidden = own["row_number"][~np.isfinite(frame["TVT_input"])]
+        return {"seed": np.repeat(seeds, len(hidden)), "row_number": np.tile(hidden, len(seeds)), "tvt": t.path.ravel(), "evidence": t.evidence.ravel()}
 
-    return rows.groupBy("well", "arm", "block").cogroup(knots.groupBy("k_well", "k_arm", "k_block")).applyInPandas(run, "well string, arm string, seed int, row_number int, tvt double, evidence double")
+    made = runs.by_series(rows, ["well", "arm", "block"], run, "well string, arm string, block int, seed int, row_number int, tvt double, evidence double")
+    return made.drop("block")
 
 
 def full_paths(series: DataFrame, curves: DataFrame, seeds: Sequence[int], settings: pf.FilterSettings = pf.FilterSettings(), temperature: float = 8.0) -> DataFrame:
@@ -77,15 +77,15 @@ def full_paths(series: DataFrame, curves: DataFrame, seeds: Sequence[int], setti
 def start_rates(series: DataFrame, windows: Sequence[int] = (30, 50, 120, 200), kinds: Sequence[str] = pf.RATE_KINDS, shrinks: Sequence[float] = (0.0, 0.5, 1.0)) -> DataFrame:
     """``(well, arm, rate)``: every registered initial rate, arms of shrink zero (which are the same) once, as ``zero``."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        frame, _ = frame_of(pdf)
+    def run(key, own) -> runs.Columns:
+        frame = checked(own, key[0])
         known = np.isfinite(frame["TVT_input"])
         md, u = frame["MD"][known], (frame["TVT_input"] + frame["Z"])[known]
         rows = [("zero", 0.0)] if 0.0 in shrinks else []
         rows += [(f"w{w:03d}_{k}_s{s:.1f}", pf.start_rate(md, u, w, k, s)) for w in windows for k in kinds for s in shrinks if s]
-        return pd.DataFrame([(pdf["well"].iloc[0], *r) for r in rows], columns=["well", "arm", "rate"])
+        return {"arm": np.array([a for a, _ in rows], object), "rate": np.array([r for _, r in rows], float)}
 
-    return observable(series).groupBy("well").applyInPandas(run, "well string, arm string, rate double")
+    return runs.by_group(observable(series), ["well"], ["row_number"], run, "well string, arm string, rate double")
 
 
 def by_likelihood(paths: DataFrame, temperature: float = 8.0, least: float | None = None) -> DataFrame:
@@ -115,25 +115,27 @@ def robust(paths: DataFrame) -> DataFrame:
 def candidate_paths(paths: DataFrame) -> DataFrame:
     """``(well, arm, row_number, candidate, tvt)``: all registered aggregates, in one map for each series over its seeds."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        path, ev = (pdf.pivot(index="seed", columns="row_number", values=c).sort_index() for c in ("tvt", "evidence"))
-        made = pf.candidates(pf.Track(path.to_numpy(), ev.to_numpy()))
-        return pd.concat([pd.DataFrame({"well": key[0], "arm": key[1], "row_number": path.columns, "candidate": k, "tvt": v}) for k, v in made.items()])
+    def run(key, own) -> runs.Columns:
+        seeds = np.count_nonzero(own["row_number"] == own["row_number"][0])
+        path, ev = (own[c].reshape(seeds, -1) for c in ("tvt", "evidence"))
+        made = pf.candidates(pf.Track(path, ev))
+        rows = own["row_number"][: path.shape[1]]
+        return {"row_number": np.tile(rows, len(made)), "candidate": np.repeat(np.array(list(made), object), len(rows)), "tvt": np.concatenate(list(made.values()))}
 
-    return paths.groupBy("well", "arm").applyInPandas(run, "well string, arm string, row_number int, candidate string, tvt double")
+    t = paths.select("well", "arm", "seed", "row_number", "tvt", "evidence")
+    return runs.by_group(t, ["well", "arm"], ["seed", "row_number"], run, "well string, arm string, row_number int, candidate string, tvt double")
 
 
 def grid_paths(series: DataFrame, curves: DataFrame, settings: GridSettings = GridSettings()) -> DataFrame:
     """``(well, row_number, tvt, spread, log_likelihood)`` by forward-backward smoothing on a grid."""
 
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        frame, at = frame_of(left)
-        mean, std, logl = GridSmoother(frame, curve_of(right), settings).run()
-        return pd.DataFrame({"well": key[0], "row_number": at[~np.isfinite(frame["TVT_input"])], "tvt": mean, "spread": std, "log_likelihood": logl})
+    def run(key, own, at, value) -> runs.Columns:
+        frame = checked(own, key[0])
+        mean, std, logl = GridSmoother(frame, pf.Curve(at, value), settings).run()
+        hidden = own["row_number"][~np.isfinite(frame["TVT_input"])]
+        return {"row_number": hidden, "tvt": mean, "spread": std, "log_likelihood": np.full(len(hidden), logl)}
 
-    known = series.select(F.col("well").alias("k_well")).distinct()
-    knots = known.join(curves.select("well", "TVT", "GR"), F.col("k_well") == F.col("well")).select("k_well", "TVT", "GR")
-    return observable(series).groupBy("well").cogroup(knots.groupBy("k_well")).applyInPandas(run, "well string, row_number int, tvt double, spread double, log_likelihood double")
+    return runs.by_series(runs.with_curves(observable(series), curves), ["well"], run, "well string, row_number int, tvt double, spread double, log_likelihood double")
 
 
 # --- overlays that need a recursion -------------------------------------------------------------------------------------

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from cairn.functions import matching as m
 from cairn.functions import particles as pf
-from cairn.operators.experts import curve_of, frame_of, observable
+from cairn.operators import runs
+from cairn.operators.experts import checked, observable
 from cairn.plans.features import FAMILIES, MIDDLE, NARROW, SHIFTS, WIDE, WINDOWS
 
 LEVEL = pf.FilterSettings(particles=600, start_spread=0.3, reach=50.0)
@@ -75,16 +76,15 @@ def build(series: DataFrame, curves: DataFrame, names: list[str], base_seed: int
     """``(well, id, <121 features>)`` of hidden rows; ``names`` is the frozen list, and any difference from it is an error. Series with
     fewer than ten visible rows or three knots are left out."""
 
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        frame, at = frame_of(left)
-        made = one_series(key[0], frame, curve_of(right), base_seed, particles)
+    def run(key, own, at, value) -> runs.Columns:
+        frame = checked(own, key[0])
+        made = one_series(key[0], frame, pf.Curve(at, value), base_seed, particles)
         if list(made) != sorted(names):
             raise ValueError(f"features differ: {sorted(set(made) ^ set(names))}")
-        hidden = at[~np.isfinite(frame["TVT_input"])]
-        return pd.DataFrame({"well": key[0], "id": [f"{key[0]}_{i}" for i in hidden], **made})
+        hidden = own["row_number"][~np.isfinite(frame["TVT_input"])]
+        return {"id": np.array([f"{key[0]}_{i}" for i in hidden.tolist()], object), **made}
 
     enough = series.groupBy("well").agg(F.count("TVT_input").alias("k"), F.count("*").alias("n")).where("k >= 10 and n > k").select(F.col("well").alias("k_well"))
     enough = enough.join(curves.groupBy("well").count().where("count >= 3").select(F.col("well").alias("c_well")), F.col("k_well") == F.col("c_well")).select("k_well")
     rows = observable(series).join(enough, F.col("well") == F.col("k_well"), "left_semi")
-    knots = enough.join(curves.select("well", "TVT", "GR"), F.col("k_well") == F.col("well")).select("k_well", "TVT", "GR")
-    return rows.groupBy("well").cogroup(knots.groupBy("k_well")).applyInPandas(run, "well string, id string, " + ", ".join(f"`{n}` float" for n in sorted(names)))
+    return runs.by_series(runs.with_curves(rows, curves), ["well"], run, "well string, id string, " + ", ".join(f"`{n}` float" for n in sorted(names)))
