@@ -107,18 +107,20 @@ def similarity_edges(points: DataFrame, key: str, x: str, y: str, first: str, se
     """``(a, b, dist, corr, reason)``: pairs within ``near``, or within ``far`` with a fingerprint product of at least the threshold.
 
     ``corr`` is the larger of the products of ``first`` and of ``second``, null where neither fingerprint has one. ``size``: numbers of a fingerprint,
-    by default those of the longest. Near pairs meet in cells as wide as ``near`` and all of them are links; the others go by
-    bounded tiles (``tiles.similar_pairs``, there also ``forests``).
+    by default those of the longest. Pairs go by bounded tiles (``tiles.similar_pairs``, there also ``forests``); where ``far`` is no more
+    than ``near`` they meet in cells as wide as ``near``, and all of them are links.
     """
     both = [first] if first == second else [first, second]
     if size is None:
         size = points.agg(F.max(F.greatest(*(F.size(c) for c in both)) if len(both) > 1 else F.size(first))).first()[0]
     size = max(1, size or 1)
-    side = lambda s: points.select(F.col(key).alias(s), *(F.col(c).alias(f"{s}_{i}") for i, c in enumerate(both)))
-    products = [product(F.col(f"a_{i}"), F.col(f"b_{i}"), size) for i in range(len(both))]
-    close = radius_pairs(points, key, x, y, near).join(side("a"), "a").join(side("b"), "b")
-    close = close.select("a", "b", "dist", (F.greatest(*products) if len(both) > 1 else products[0]).alias("corr"))
-    found = close if far <= near else close.unionAll(tiles.similar_pairs(points, key, x, y, both, near, far, threshold, size, forests))
+    if far <= near:
+        side = lambda s: points.select(F.col(key).alias(s), *(F.col(c).alias(f"{s}_{i}") for i, c in enumerate(both)))
+        products = [product(F.col(f"a_{i}"), F.col(f"b_{i}"), size) for i in range(len(both))]
+        close = radius_pairs(points, key, x, y, near).join(side("a"), "a").join(side("b"), "b")
+        found = close.select("a", "b", "dist", (F.greatest(*products) if len(both) > 1 else products[0]).alias("corr"))
+    else:
+        found = tiles.similar_pairs(points, key, x, y, both, near, far, threshold, size, forests)
     spatial, similar = F.col("dist") <= near, (F.col("dist") <= far) & (F.col("corr") >= threshold)
     reason = F.when(spatial & similar, "spatial+similar").when(spatial, "spatial").when(similar, "similar")
     return found.select("a", "b", "dist", "corr", reason.alias("reason"))

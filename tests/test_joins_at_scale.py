@@ -152,3 +152,29 @@ def test_nearest_of_few_or_no_anchors(spark):
     empty = neighbours.nearest(p, a.limit(0), "place", "anchor", 5)
     assert empty.count() == 0 and empty.columns == ["place", "anchor", "x", "y", "k", "dist"]
     assert neighbours.nearest(p.limit(0), a, "place", "anchor", 5).count() == 0
+
+
+def test_blocks_travel_by_bands_of_bounded_size(spark, monkeypatch):
+    """All blocks of one crowded cell meet each other; each is sent once for each band, not once for each block."""
+    monkeypatch.setattr(tiles, "BLOCK", 8)
+    monkeypatch.setattr(tiles, "BANDS", 4)
+    rng = np.random.default_rng(9)
+    rows = [(i, *map(float, rng.random(2)), [float(v) for v in rng.normal(size=4)]) for i in range(300)]
+    t = spark.createDataFrame(rows, "k long, x double, y double, f array<double>")
+    found = tiles.blocks(t, "k", "x", "y", ["f"], 2.0, 4)
+    made = found.join(tiles.bands(found, 4), "block").select("band", "n").collect()
+    assert len(made) == found.count() > 30 and sum(r.n for r in made) == 300
+    sizes = {b: [r.n for r in made if r.band == b] for b in {r.band for r in made}}
+    assert 3 <= len(sizes) <= 5 and all(sum(n) <= 75 + max(n) for n in sizes.values())
+    edges = joins.similarity_edges(t, "k", "x", "y", "f", "f", 0.05, 2.0, 3.0)
+    assert {(r.a, r.b) for r in edges.collect()} == set(loop4(rows, 0.05, 2.0, 3.0))
+    dealt = tiles.similar_pairs(t, "k", "x", "y", ["f"], 0.05, 2.0, 3.0, 4)._jdf.queryExecution().executedPlan().toString()
+    assert dealt.index("Union") > dealt.index("MapInArrow") and "keys_b" not in dealt
+
+
+def loop4(rows, near, far, threshold):
+    for i, (a, ax, ay, p) in enumerate(rows):
+        for b, bx, by, q in rows[i + 1 :]:
+            d = np.hypot(ax - bx, ay - by)
+            if d <= near or (d <= far and np.dot(p, q) >= threshold):
+                yield a, b
