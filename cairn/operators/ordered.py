@@ -257,10 +257,33 @@ def rolling_origin(table: DataFrame, key: str, predictor: str, target: str, frac
 def step_statistics(table: DataFrame, key: str, position: str, unit: float = 1.0) -> DataFrame:
     """Over all steps of all series: number, extremes, quartiles, and the share that differs from ``unit``."""
     d = F.col(position) - F.lag(position).over(ordered(key))
-    return table.select(d.alias("_d")).where("_d is not null").agg(
-        F.count("*").alias("steps"), F.min("_d").alias("least"), F.max("_d").alias("most"),
-        *(F.percentile("_d", q).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75, 0.95)), F.avg((F.abs(F.col("_d") - unit) > 1e-9).cast("double")).alias("off_unit"),
-    )
+    counts = value_counts(table.select(d.alias("_d")).where("_d is not null"), "_d")
+    n = F.coalesce(F.sum("n"), F.lit(0))
+    t = counts.agg(n.alias("steps"), F.min("_d").alias("least"), F.max("_d").alias("most"), F.try_divide(F.sum(F.when(F.abs(F.col("_d") - unit) > 1e-9, F.col("n")).otherwise(0)), n).alias("off_unit"))
+    return t.crossJoin(F.broadcast(quantiles(counts, "_d", {f"q{int(q * 100)}": q for q in (0.25, 0.5, 0.75, 0.95)}))).select("steps", "least", "most", "q25", "q50", "q75", "q95", "off_unit")  # two single rows
+
+
+def value_counts(table: DataFrame, value: str) -> DataFrame:
+    """``(value, n, upto)``: rows of each value, and of all values up to it, numbered by ranges: no task holds all values."""
+    from cairn.plans.staging import Stage
+
+    stage = Stage(table.sparkSession, "values")
+    counts = stage.put(table.groupBy(value).agg(F.count("*").alias("n")))
+    ranged = stage.put(counts.repartitionByRange(value).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.sum("n").alias("_sum"))  # one row for each range
+    before = sizes.select("_range", (F.sum("_sum").over(Window.orderBy("_range")) - F.col("_sum")).alias("_before"))
+    own = F.sum("n").over(Window.partitionBy("_range").orderBy(value))
+    return ranged.withColumn("_own", own).join(F.broadcast(before), "_range").select(value, "n", (F.col("_own") + F.col("_before")).alias("upto"))
+
+
+def quantiles(counts: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
+    """One row: the exact quantiles of ``value_counts``, by straight lines between the two values next to each place."""
+    place = {k: F.lit(q) * (F.col("_n") - 1) for k, q in shares.items()}
+    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col(value)))
+    t = counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("_n"))))  # one row
+    ends = t.agg(F.first("_n").alias("_n"), *(at(f(p)).alias(f"_{k}_{n}") for k, p in place.items() for n, f in (("low", F.floor), ("high", F.ceil))))
+    line = lambda k, p: F.when(F.floor(p) == F.ceil(p), F.col(f"_{k}_low")).otherwise((F.ceil(p) - p) * F.col(f"_{k}_low") + (p - F.floor(p)) * F.col(f"_{k}_high"))
+    return ends.select(*(line(k, p).alias(k) for k, p in place.items()))
 
 
 def shuffled(t: DataFrame, key: str, seed: int, name: str = "place") -> DataFrame:

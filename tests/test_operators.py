@@ -143,3 +143,15 @@ def test_checks_fail_closed(spark):
     checks.require(good)
     with pytest.raises(checks.CheckFailure, match="t/key"):
         checks.require(checks.log(good, bad))
+
+
+def test_step_quantiles_are_exact_and_by_ranges(spark):
+    """As Spark's own exact percentile gives them, which holds every value in one task; without steps there are none."""
+    from cairn.operators import ordered
+
+    t = spark.range(3000).selectExpr("id % 7 AS k", "id DIV 7 AS rn", "CAST((id * id) % 97 AS DOUBLE) / 3 AS md")
+    got = ordered.step_statistics(t, "k", "md")
+    assert "percentile(" not in got._jdf.queryExecution().executedPlan().toString()
+    want = t.selectExpr("md - lag(md) OVER (PARTITION BY k ORDER BY rn) AS d").where("d IS NOT NULL").selectExpr("count(*)", "min(d)", "max(d)", "percentile(d, 0.25)", "percentile(d, 0.5)", "percentile(d, 0.75)", "percentile(d, 0.95)", "avg(CAST(abs(d - 1) > 1e-9 AS DOUBLE))")
+    assert list(got.first()) == pytest.approx(list(want.first()))
+    assert list(ordered.step_statistics(t.limit(1), "k", "md").first()) == [0] + [None] * 7
