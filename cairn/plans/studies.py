@@ -125,7 +125,7 @@ def frozen_arm(series: DataFrame, curves: DataFrame, truth: DataFrame, chosen: s
     more = {} if settings is None else {"settings": settings}
     made = experts.by_likelihood(experts.particle_paths(series, curves, seeds, rates=own, **more)).select("well", "row_number", F.col("tvt").alias("candidate"))
     base = experts.by_likelihood(experts.particle_paths(series, curves, seeds, **more)).select("well", "row_number", F.col("tvt").alias("reference"))
-    scored = made.join(base, ["well", "row_number"]).join(truth, ["well", "row_number"])
+    scored = Stage(series.sparkSession, "frozen").put(made.join(base, ["well", "row_number"]).join(truth, ["well", "row_number"]))  # read for the gain and by the caller
     return scored, metrics.bootstrap(scored, "well", "reference", "candidate", draws)
 
 
