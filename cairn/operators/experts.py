@@ -41,6 +41,8 @@ def observable(series: DataFrame) -> DataFrame:
     return series.select("well", "row_number", *(F.col(c).cast("double").alias(c) for c in COLUMNS if c in series.columns))
 
 
+#: Rows of a series that look for their anchors together.
+STRETCH = 128
 #: Seeds that run in one task, side by side.
 SEEDS = 8
 
@@ -205,7 +207,7 @@ class Surface:
     def __call__(self, places: np.ndarray) -> np.ndarray:
         p, out = (places - self.centre) / self.scale, np.empty(len(places))
         d = np.linalg.norm(p[:, None] - self.xy[None], axis=2)
-        near = np.sort(np.argpartition(d, self.k - 1, axis=1)[:, : self.k], axis=1)
+        near = np.sort(np.argsort(d, axis=1, kind="stable")[:, : self.k], axis=1)  # ties to the first anchor
         for own in np.unique(near, axis=0):  # places with the same neighbours share a system
             rows = np.flatnonzero((near == own).all(1))
             a = self.xy[own]
@@ -229,9 +231,10 @@ def structural_paths(series: DataFrame, table: DataFrame, fractions: Sequence[fl
 
     Each row's surface is through its ``count`` nearest anchors. A series' task gets only the anchors that are near one of its rows.
     """
-    places = observable(series).select(F.struct("well", "row_number").alias("place"), F.col("X").alias("x"), F.col("Y").alias("y"))
+    rows = observable(series).where("X - X = 0 AND Y - Y = 0")
+    boxes = rows.groupBy("well", F.floor(F.col("row_number") / STRETCH).alias("stretch")).agg(F.min("X").alias("left"), F.max("X").alias("right"), F.min("Y").alias("low"), F.max("Y").alias("high"))
     named = table.select(F.col("well").alias("anchor"), "x", "y", "level")
-    close = neighbours.nearest(places, named.select("anchor", "x", "y"), "place", "anchor", count)
+    close = neighbours.around(boxes.withColumn("place", F.struct("well", "stretch")), named.select("anchor", "x", "y"), "place", "anchor", count)
     own = close.select(F.col("place.well").alias("well"), "anchor").distinct().join(named, "anchor")
 
     def run(pdf: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:

@@ -178,3 +178,24 @@ def loop4(rows, near, far, threshold):
             d = np.hypot(ax - bx, ay - by)
             if d <= near or (d <= far and np.dot(p, q) >= threshold):
                 yield a, b
+
+
+@pytest.mark.parametrize("leaf", [6, 32])
+def test_anchors_around_a_box_hold_the_nearest_of_its_points(spark, leaf):
+    rng = np.random.default_rng(11)
+    anchors = [(i, *map(float, 300 * rng.random(2))) for i in range(300)] + [(1000 + i, 50.0, 50.0) for i in range(30)]
+    boxes, points = [], []
+    for i in range(25):
+        x, y, w, h = *(300 * rng.random(2)), *(20 * rng.random(2))
+        boxes.append((i, float(x), float(x + w), float(y), float(y + h)))
+        points += [(i, float(x + w * p), float(y + h * q)) for p, q in [(0, 0), (1, 1), (0, 1), (1, 0), *rng.random((6, 2))]]
+    a = spark.createDataFrame([*anchors, (5000, None, 1.0)], "anchor long, x double, y double")
+    b = spark.createDataFrame(boxes, "box long, left double, right double, low double, high double")
+    found = {}
+    for r in neighbours.around(b, a, "box", "anchor", 7, leaf).collect():
+        found.setdefault(r.box, []).append(r.anchor)
+    assert all(len(v) == len(set(v)) for v in found.values()) and sum(map(len, found.values())) < 25 * 330 / 3
+    kept = [x for x in anchors if x[0] < 1007]  # of anchors at one spot the seven smallest take part
+    for box, x, y in points:
+        assert set(nearest_loop([(0, x, y)], kept, 7)[0]) <= set(found[box])
+    assert neighbours.around(b, a.limit(0), "box", "anchor", 7).count() == 0
