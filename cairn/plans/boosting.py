@@ -92,6 +92,21 @@ def binned(x: np.ndarray, edges: Sequence[np.ndarray]) -> np.ndarray:
     return out
 
 
+def packed(bins: np.ndarray) -> pa.Array:
+    """Rows of ``bins [row, feature]`` as binary values, without an object for each."""
+    n, width = bins.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(bins))])
+
+
+def unpacked(column: pa.Array, width: int) -> np.ndarray:
+    """``bins [row, feature]`` of a column of ``packed`` rows, read in place."""
+    if not len(column):
+        return np.empty((0, width), np.uint8)
+    _, offsets, data = column.buffers()
+    start = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset]
+    return np.frombuffer(data, np.uint8, len(column) * width, int(start)).reshape(-1, width)
+
+
 def bin_edges(rows: DataFrame, features: Sequence[str], bins: int = 255) -> list[np.ndarray]:
     """Upper ends of all bins but the last, by quantiles of each feature's values; a feature of few values has a bin for each."""
     share = [k / bins for k in range(1, bins + 1)]
@@ -125,7 +140,7 @@ def _histograms(rows: DataFrame, trees: list[Tree], tree: Tree, wanted: list[int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, n = np.zeros((len(wanted), width, 256)), np.zeros((len(wanted), width, 256), np.int64)
         for batch in batches:
-            bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(-1, width)
+            bins = unpacked(batch.column("bins"), width)
             gradient = batch.column("gradient").to_numpy() + sum((t(bins) for t in trees), np.zeros(len(bins)))
             leaf = np.array([place.get(k, -1) for k in range(len(tree.feature))])[tree.leaves(bins)]
             own = np.flatnonzero(leaf >= 0)
@@ -198,8 +213,7 @@ def fit(rows: DataFrame, features: Sequence[str], target: str, trees: int = 120,
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[:width]])
-            raw = binned(x, edges).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([raw[i * width : (i + 1) * width] for i in range(len(x))], pa.binary()), pa.array(base - batch.column(width).to_numpy())], names=["bins", "gradient"])
+            yield pa.RecordBatch.from_arrays([packed(binned(x, edges)), pa.array(base - batch.column(width).to_numpy())], names=["bins", "gradient"])
 
     now = stage.put(rows.mapInArrow(pack, "bins binary, gradient double"))
     made: list[Tree] = []
@@ -218,7 +232,7 @@ def fit(rows: DataFrame, features: Sequence[str], target: str, trees: int = 120,
 def _moved(stage: Stage, rows: DataFrame, trees: list[Tree], width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(-1, width)
+            bins = unpacked(batch.column("bins"), width)
             yield pa.RecordBatch.from_arrays([batch.column("bins"), pa.array(batch.column("gradient").to_numpy() + sum(t(bins) for t in trees))], names=["bins", "gradient"])
 
     out = stage.put(rows.mapInArrow(run, "bins binary, gradient double"))

@@ -73,3 +73,13 @@ def test_few_values_have_a_bin_each_and_empty_or_constant_tables_no_tree(spark):
     m = bo.fit(t, ["a", "b"], "y", trees=2)
     assert m.trees == [] and m.base == 1.0 and m.predict(np.array([[1.0, np.nan]])).tolist() == [1.0]
     assert bo.fit(t.limit(0), ["a"], "y", trees=2).predict(np.array([[1.0]])).tolist() == [0.0]
+
+
+def test_packed_rows_are_read_in_place():
+    import pyarrow as pa
+
+    bins = np.random.default_rng(4).integers(0, 256, (50, 3)).astype(np.uint8)
+    column = bo.packed(bins)
+    assert column.to_pylist() == [row.tobytes() for row in bins]
+    for part, rows in ((column, bins), (column.slice(7, 20), bins[7:27]), (column.slice(50), bins[:0]), (column.cast(pa.large_binary()).slice(3), bins[3:])):
+        assert np.array_equal(bo.unpacked(part, 3), rows)
