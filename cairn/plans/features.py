@@ -6,8 +6,14 @@ where hidden) and expert columns ``pf``, ``pf_std``, ``hmm``. Nothing reads a tr
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairn.functions.expr import clip, or_zero
 from cairn.operators import ordered as o
@@ -42,11 +48,12 @@ def curve_arrays(typewell: DataFrame, key: str, at: str = "tvt", value: str = "g
     t = o.number_rows(typewell.where(F.col(at).isNotNull()).select(key, F.col(at).alias("_x"), F.col(value).alias("_y")), key, ["_x"])
     t = o.fill_linear(t, key, "_y", "_f").withColumn("_f", F.coalesce("_f", F.lit(0.0)))
     g = t.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_x", "_f"))).alias("_c"), (F.max("_x") - F.min("_x")).alias("tw_range"), F.avg("_f").alias("tw_gr_mean"))
-    return g.select(key, F.transform("_c", lambda r: r["_x"]).alias("_tx"), F.transform("_c", lambda r: r["_f"]).alias("_ty"), "tw_range", "tw_gr_mean")
+    return g.select(key, F.transform("_c", lambda r: r["_x"].cast("double")).alias("_tx"), F.transform("_c", lambda r: r["_f"].cast("double")).alias("_ty"), "tw_range", "tw_gr_mean")
 
 
 def look_up(x: Column, tx: Column, ty: Column) -> Column:
-    """The curve at ``x`` by a binary search over its knots, however many, constant beyond the ends."""
+    """The curve at ``x`` by a binary search over its knots, however many, constant beyond the ends. Lambdas are interpreted: for many places
+    of a row use ``at_places``, which gives the same values."""
     span = F.size(tx)
     start = F.struct(F.lit(0).alias("lo"), (span - 1).alias("hi"))
 
@@ -64,6 +71,47 @@ def look_up(x: Column, tx: Column, ty: Column) -> Column:
     return F.when(span > 0, F.aggregate(F.sequence(F.lit(1), halvings), start, halve, line))
 
 
+def _values(x: np.ndarray, tx: np.ndarray, ty: np.ndarray) -> np.ndarray:
+    """``look_up`` over arrays. As in Spark, NaN is above all numbers."""
+    lo = np.clip(np.searchsorted(tx, x, "right") - 1, 0, max(len(tx) - 2, 0))
+    hi = np.minimum(lo + 1, len(tx) - 1)
+    x0, y0, x1, y1 = tx[lo], ty[lo], tx[hi], ty[hi]
+    with np.errstate(all="ignore"):
+        line = y0 + (y1 - y0) * (x - x0) / (x1 - x0)
+    return np.where((x <= x0) | np.isnan(x0), y0, np.where((x >= x1) | np.isnan(x), y1, line))
+
+
+def at_places(rows: DataFrame, curves: DataFrame, key: str, places: Sequence[tuple[str, Sequence[float]]], name: str) -> DataFrame:
+    """Rows of series with a curve of ``curve_arrays``, in order of ``rn`` within their series, and the array ``name`` of the curve's values at
+    each column of ``places`` plus each of its offsets. A curve goes with the first row of its series, not with each, and is never broadcast."""
+    t = rows.withColumn("_first", F.row_number().over(o.ordered(key)) == 1).join(curves.select(key, "_tx", "_ty").hint("merge"), key)
+    t = t.withColumns({c: F.when(F.col("_first"), F.col(c)) for c in ("_tx", "_ty")}).drop("_first").sortWithinPartitions(key, "rn")
+    kept = [c for c in t.columns if c not in ("_tx", "_ty")]
+    kind = T.StructType([t.schema[c] for c in kept] + [T.StructField(name, T.ArrayType(T.DoubleType()))])
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tx, ty = None, None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys, curve = b.column(key), (b.column("_tx"), b.column("_ty"))
+            new = (np.flatnonzero(pc.not_equal(keys.slice(1), keys.slice(0, b.num_rows - 1)).to_numpy(zero_copy_only=False)) + 1).tolist()
+            x = np.concatenate([b.column(c).to_numpy(zero_copy_only=False)[:, None] + np.asarray(offsets, float) for c, offsets in places], 1)
+            none = np.concatenate([np.repeat(b.column(c).is_null().to_numpy(zero_copy_only=False)[:, None], len(offsets), 1) for c, offsets in places], 1)
+            made = np.empty(x.shape)
+            for i, j in zip([0, *new], [*new, b.num_rows]):
+                if i or keys[0].as_py() != now:
+                    if not curve[0][i].is_valid:
+                        raise RuntimeError(f"series {keys[i]} does not begin with its curve")
+                    tx, ty = (c[i].values.to_numpy() for c in curve)
+                made[i:j] = _values(x[i:j], tx, ty)
+            now = keys[b.num_rows - 1].as_py()
+            ends = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * x.shape[1])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.ListArray.from_arrays(ends, pa.array(made.ravel(), mask=none.ravel()))], names=kind.names)
+
+    return t.mapInArrow(stream, kind)
+
+
 def series_constants(rows: DataFrame, key: str) -> DataFrame:
     """One row for each series: what its visible part says."""
     known = rows.where("tvt is not null")
@@ -80,11 +128,11 @@ def series_constants(rows: DataFrame, key: str) -> DataFrame:
     )
 
 
-def calibration(known: DataFrame, key: str) -> DataFrame:
+def calibration(known: DataFrame, curves: DataFrame, key: str) -> DataFrame:
     """``(key, cal_a, cal_b, pfx_rmse)`` of the filled signal on the curve at the visible level; 1, 0, 30 for fewer than twenty rows."""
-    t = known.select(key, F.col("gr_fill").alias("_y"), look_up(F.col("tvt"), F.col("_tx"), F.col("_ty")).alias("_x"))
-    fit = t.groupBy(key).agg(F.count("*").alias("_n"), clip(F.coalesce(F.regr_slope("_y", "_x"), F.lit(0.0)), 0.25, 4.0).alias("cal_a"))
-    t = t.join(fit, key)
+    t = at_places(known.select(key, "rn", "tvt", F.col("gr_fill").alias("_y")), curves, key, [("tvt", [0.0])], "_x").select(key, "rn", "_y", F.col("_x")[0].alias("_x"))
+    w = o.ordered(key).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    t = t.withColumns({"_n": F.count("*").over(w), "cal_a": clip(F.coalesce(F.regr_slope("_y", "_x").over(w), F.lit(0.0)), 0.25, 4.0)})
     t = t.withColumn("_b", F.median(F.col("_y") - F.col("cal_a") * F.col("_x")).over(o.whole(key)))
     made = t.groupBy(key).agg(F.first("_n").alias("_n"), F.first("cal_a").alias("cal_a"), clip(F.first("_b"), -500.0, 500.0).alias("cal_b"), F.sqrt(F.avg(F.pow(F.col("_y") - F.col("cal_a") * F.col("_x") - clip(F.col("_b"), -500.0, 500.0), 2))).alias("pfx_rmse"))
     few = F.col("_n") < 20
@@ -93,13 +141,14 @@ def calibration(known: DataFrame, key: str) -> DataFrame:
 
 def build(rows: DataFrame, typewell: DataFrame, key: str = "well") -> DataFrame:
     """``(key, rn, <121 features in order of name>)`` for every hidden row."""
+    rows = rows.select(key, "rn", "md", "x", "y", "z", "gr", "tvt", "pf", "pf_std", "hmm")
     t = o.fill_linear(rows, key, "gr", "gr_fill").withColumn("gr_fill", F.coalesce("gr_fill", F.lit(0.0)))
     t = o.rolling(t, key, "gr_fill", WINDOWS)
     t = o.shifts(t, key, "gr_fill", SHIFTS)
     t = o.gradient(o.gradient(t, key, "gr_fill", "gr_d1"), key, "gr_d1", "gr_d2")
-    t = t.join(curve_arrays(typewell, key), key)
-    const = series_constants(t, key).join(calibration(t.where("tvt is not null"), key), key)
-    t = t.where("tvt is null").join(const, key)
+    curves = curve_arrays(typewell, key)
+    const = series_constants(t, key).join(calibration(t.where("tvt is not null"), curves, key), key).join(curves.select(key, "tw_range", "tw_gr_mean"), key)
+    t = t.where("tvt is null").drop("gr", "tvt").join(const, key)
     t = t.withColumn("eval_len", F.count("*").over(o.whole(key)).cast("double"))
     t = t.withColumns({"md_since": F.col("md") - F.col("_md0"), "frac": (F.col("rn") - F.col("known_len") + 1) / F.col("eval_len")})
     h, last = F.col("md_since"), F.col("last_known_tvt")
@@ -109,10 +158,10 @@ def build(rows: DataFrame, typewell: DataFrame, key: str = "well") -> DataFrame:
     pf, hmm = F.col("pf"), F.col("hmm")
     ens, apart, _ = _array_stats([pf, hmm, F.col("_bm"), F.col("pf_z")])
     t = t.withColumns({"_sc8": 0.8 * pf + 0.2 * hmm, "_sc15": 0.85 * pf + 0.15 * hmm, "_sc25": 0.75 * pf + 0.25 * hmm, "_cons": 0.5 * pf + 0.25 * hmm + 0.25 * F.col("_bd"), "_ens": ens, "sc_trust": 1 / (1 + F.pow(apart / 6.0, 2))})
-    asked = {"gr_vs_tw_anc": F.col("pf_z"), "gr_vs_slp_all": F.col("_line_all")} | {f"{name}{off}": F.col(path) + float(off) for name, (path, offsets) in FAMILIES.items() for off in offsets}
-    t = t.withColumn("_at", F.array(*asked.values()))  # one look-up expression for all of a row's places
-    t = t.withColumn("_ref", F.transform("_at", lambda x: F.col("cal_a") * look_up(x, F.col("_tx"), F.col("_ty")) + F.col("cal_b")))
-    residual = {k: F.col("gr_fill") - F.col("_ref")[i] for i, k in enumerate(asked)}
+    asked = {"gr_vs_tw_anc": ("pf_z", (0.0,)), "gr_vs_slp_all": ("_line_all", (0.0,))} | FAMILIES
+    t = at_places(t, curves, key, list(asked.values()), "_ref")
+    named = [f"{name}{off}" if name in FAMILIES else name for name, (_, offsets) in asked.items() for off in offsets]
+    residual = {k: F.col("gr_fill") - (F.col("cal_a") * F.col("_ref")[i] + F.col("cal_b")) for i, k in enumerate(named)}
     per = lambda c: c / F.greatest(h, F.lit(1e-6))
     dx, dy, dz = F.col("x") - F.col("_x0"), F.col("y") - F.col("_y0"), F.col("z") - F.col("_z0")
     made = {

@@ -194,6 +194,34 @@ def test_look_up_has_no_bound_on_knots(spark, knots):
     assert np.allclose(got, np.interp(asked, x, x**2))
 
 
+def test_places_of_streams_are_those_of_look_up(spark):
+    """Curves of one knot, with equal knots and with knots that are no number; places of nulls, NaN, infinities and exact knots."""
+    nan, inf = float("nan"), float("inf")
+    curves = [("a", [1.0], [5.0]), ("b", [0.0, 0.0, 1.0, 1.0], [1.0, 2.0, 3.0, 4.0]), ("c", [0.0, 2.0, nan], [1.0, 5.0, 9.0]), ("d", [nan, nan], [3.0, 4.0]), ("e", [-inf, 0.0, 10.0, inf], [0.0, 1.0, 7.0, 9.0]), ("alone", [0.0], [0.0])]
+    c = spark.createDataFrame(curves, "well string, _tx array<double>, _ty array<double>")
+    asked = [None, nan, -inf, inf, -1.0, 0.0, 0.5, 1.0, 2.0, 2.5, 10.0, 11.0] * 3
+    rows = [(w, i, x, i) for w in ("a", "b", "c", "d", "e", "none") for i, x in enumerate(asked)]
+    t = spark.createDataFrame(rows, "well string, rn int, x double, n int").repartition(5)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(r.well, r.rn): r.v for r in features.at_places(t, c, "well", [("x", (0, 1.5)), ("n", (-3,))], "v").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    look = lambda x: features.look_up(x, F.col("_tx"), F.col("_ty"))
+    want = t.join(c, "well").select("well", "rn", F.array(look(F.col("x") + 0.0), look(F.col("x") + 1.5), look(F.col("n") - 3.0)).alias("v")).collect()
+    assert len(got) == len(want) == 5 * len(asked)
+    assert all(str(got[r.well, r.rn]) == str(r.v) for r in want)
+
+
+def test_features_look_up_their_places_in_streams(spark):
+    """No interpreted search for each place of each row, and no curve beside each row."""
+    from cairn.plans import domain
+
+    plan = domain.d07_features(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "sequence(1, greatest(" not in plan and "aggregate(sequence(" not in plan
+
+
 def test_rows_are_numbered_over_ranges(spark):
     t = spark.createDataFrame([(i * 37 % 1009, i) for i in range(1009)], "k int, v int").repartition(7)
     got = joins.numbered(t, ["k"], "n")
