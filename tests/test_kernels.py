@@ -100,6 +100,63 @@ def test_grid_follows_the_hidden_level():
     assert np.sqrt(np.mean((mean - truth) ** 2)) < 8 and (std > 0).all() and np.isfinite(logl)
 
 
+def test_grid_looks_at_every_row():
+    """Any row's signal counts, however far before the hidden part, and every hidden row is smoothed itself."""
+    frame, curve, _ = well(720, 690)
+    s = GridSettings(step=8.0, slopes=3)
+    g = GridSmoother(frame, curve, s)
+    likely = g.run()[2]
+    assert len(g.rows) == 720
+    for row in (*range(0, 80, 7), *range(690, 720)):
+        other = dict(frame, GR=frame["GR"].copy())
+        other["GR"][row] = 400.0 if np.isnan(frame["GR"][row]) else np.nan
+        assert GridSmoother(other, curve, s).run()[2] != likely, row
+    early = dict(frame, GR=frame["GR"] + np.where(np.arange(720) < 600, 30.0, 0.0))
+    assert GridSmoother(early, curve, s).offset == pytest.approx(g.offset + 30, abs=2)
+
+
+def plain_grid(g):
+    """Means and deviations of hidden rows, by loops over the whole grid."""
+    n, v, k = len(g.rows), len(g.values), len(g.slopes)
+
+    def moved(m, t, sign):
+        out = np.zeros((k, v))
+        for i, slope in enumerate(g.slopes):
+            by = sign * (slope * g.d_md[t - 1] - g.d_z[t - 1]) / g.c.step
+            for j in range(v):
+                for at, share in ((j + int(np.floor(by)), 1 - by % 1), (j + int(np.floor(by)) + 1, by % 1)):
+                    if 0 <= at < v:
+                        out[i, at] += share * m[i, j]
+        return out
+
+    f = [np.ones((k, v)) * g.emission(0)]
+    for t in range(1, n):
+        *_, blur, mix = g._step(t, 1)
+        m = mix @ g._blur(moved(f[-1] / f[-1].sum(), t, 1), blur) * g.emission(t)
+        f.append(m)
+    b, out = np.ones((k, v)), {}
+    for t in range(n - 1, -1, -1):
+        p = (f[t] / f[t].sum() * b).sum(0)
+        p /= p.sum()
+        out[g.rows[t]] = p @ g.values, np.sqrt(p @ (g.values - p @ g.values) ** 2)
+        if t:
+            *_, blur, mix = g._step(t, -1)
+            b = moved(g._blur(mix @ (b * g.emission(t)), blur), t, -1)
+            b /= b.sum()
+    return np.array([out[r] for r in g.hidden]).T
+
+
+@pytest.mark.parametrize("segment", [1, 4, 1000])
+def test_grid_held_by_bands_is_the_whole_grid(segment):
+    frame, curve, _ = well(44, 25)
+    frame["MD"] = np.cumsum(np.r_[np.ones(20), np.full(24, 7.0)])
+    frame["MD"][30] = frame["MD"][29]
+    g = GridSmoother(frame, pf.Curve(curve.at[200:340], curve.value[200:340]), GridSettings(step=2.0, margin=8.0, slopes=5, segment=segment))
+    mean, std, _ = g.run()
+    want = plain_grid(g)
+    assert np.allclose(mean, want[0]) and np.allclose(std, want[1], atol=1e-5)
+
+
 def test_projection_is_the_nearest_point():
     assert np.allclose(st.nearest_within(np.array([10.0, 1.0]), np.sqrt(26 / 2), 5.0), [5.0, 1.0])
     assert np.allclose(st.radial(np.array([10.0, 1.0]), np.sqrt(26 / 2), 5.0)[0], [5.0, 0.5])
