@@ -182,3 +182,19 @@ def test_registered_candidates_cover_every_series(spark):
     want = {r.well for r in domain.paths(spark, d).select("well").distinct().collect()}
     got = {r.well: r.n for r in domain.d04b_registered_candidates(spark, d).groupBy("well").agg(F.count_distinct("candidate").alias("n")).collect()}
     assert len(want) > 4 and got.keys() == want and set(got.values()) == {40}
+
+
+def test_physics_looks_at_every_hidden_row(spark):
+    """One copy of a series for each hidden row, whose signal is another there: the smoothed path is another, too."""
+    assert experiment.Config().grid == GridSettings() and GridSettings().stride == 1
+    n, cut = 44, 30
+    level = lambda i: 10050 + 6 * math.sin(i / 9)
+    signal = lambda i: 70 + 25 * math.sin(level(i) / 9)
+    rows = [(f"w{k}", i, float(i), i * 0.9, i * 0.3, -9000 - 0.05 * i, signal(i) + 60 * (i == k), level(i) if i < cut else None) for k in (0, *range(cut, n)) for i in range(n)]
+    h = spark.createDataFrame(rows, "well string, row_number int, MD double, X double, Y double, Z double, GR double, TVT_input double").withColumn("GR", F.when(F.col("row_number") > 0, F.col("GR")))
+    at = [10000.0 + 2 * i for i in range(50)]
+    c = h.select("well").distinct().join(spark.createDataFrame([(x, 70 + 25 * math.sin(x / 9)) for x in at], "TVT double, GR double"))
+    p = experiment.physics(h, c, experiment.Config(seeds=2, particles=8)).toPandas().pivot(index="row_number", columns="well", values="hmm")
+    assert p.shape == (n - cut, n - cut + 1) and np.isfinite(p.to_numpy()).all()
+    for k in range(cut, n):
+        assert np.abs(p[f"w{k}"] - p["w0"]).max() > 1e-4, k
